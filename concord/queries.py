@@ -1,0 +1,7 @@
+"""The registered queries of the library, and their SQL."""
+
+from __future__ import annotations
+
+QUERIES: dict = {}
+ORACLE_SQL: dict = {}
+FLAGSHIP = ""
