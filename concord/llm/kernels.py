@@ -93,17 +93,17 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = 1
 
 
 class Words(NamedTuple):
-    data: np.ndarray  # lower-cased bytes
+    data: np.ndarray  # bytes
     start: np.ndarray  # of each word
     end: np.ndarray
     first: np.ndarray  # per document, the index of its first word; one more at the end
     hash: np.ndarray
 
 
-def words(column: pa.Array) -> Words:
-    """Words [^\\x20\\x09-\\x0D]+ of every text, A-Z lower-cased, with 64-bit hashes."""
+def words(column: pa.Array, lower: bool = True) -> Words:
+    """Words [^\\x20\\x09-\\x0D]+ of every text, with 64-bit hashes; `lower` lower-cases A-Z."""
     raw, at = text_bytes(column)
-    data = LOWER[raw]
+    data = LOWER[raw] if lower else raw
     inside = ~SPACE[data]
     begin = inside.copy()
     begin[1:] &= ~inside[:-1]
