@@ -94,7 +94,7 @@ def op7(spark, sf_dir):
 
 ORACLE = """
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text, coalesce(source, chr(1)) AS host FROM documents),
-w AS (SELECT doc_id, text, host, list_filter(regexp_split_to_array(text, '[ \\t-\\r]+'), x -> x <> '') AS words FROM d),
+w AS (SELECT doc_id, text, host, list_filter(regexp_split_to_array(text, '[ \\t-\\r]+'), lambda x: x <> '') AS words FROM d),
 tri AS (SELECT doc_id, i, words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] AS g
         FROM (SELECT doc_id, words, unnest(range(1, len(words) - 1)) AS i FROM w WHERE len(words) > 2)),
 rep AS (SELECT doc_id, i FROM tri QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),

@@ -2,12 +2,23 @@
 
 from __future__ import annotations
 
+from concord.llm import line_dedup, quality_rules
+from concord.llm.decontaminate import op5
 from concord.llm.language_id import op1
+from concord.llm.line_dedup import op3
+from concord.llm.near_duplicates import op4
 from concord.llm.packing import op10
+from concord.llm.quality_model import op8
+from concord.llm.quality_rules import op7
 
 QUERIES = {
     "op1_language_id": op1,
+    "op3_line_dedup": op3,
+    "op4_near_duplicates": op4,
+    "op5_decontaminate": op5,
+    "op7_quality_rules": op7,
+    "op8_quality_model": op8,
     "op10_packing": op10,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {"op3_line_dedup": line_dedup.ORACLE, "op7_quality_rules": quality_rules.ORACLE}
