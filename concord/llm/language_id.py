@@ -159,8 +159,11 @@ def fit(docs: DataFrame, train_docs: int = 600, train_chars: int = 1 << 16) -> d
 
     `train_chars` bounds what the driver takes of one training text.
     """
-    rows = documents(docs, "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (bucket(4) != 2))
-    rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id").select(F.substring("text", 1, train_chars).alias("text"), "lang", "doc_id").limit(train_docs).collect()
+    usable = documents(docs, "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (bucket(4) != 2))
+    ids = usable.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_docs).distinct()
+    # at most train_docs ids are broadcast; their texts alone go to the driver
+    rows = usable.join(F.broadcast(ids), "doc_id").select("doc_id", F.substring("text", 1, train_chars).alias("text"), "lang").collect()
+    rows = sorted(rows, key=lambda r: (r.doc_id, r.text, r.lang))[:train_docs]
     return train([r.text for r in rows], [r.lang for r in rows])
 
 
