@@ -3,21 +3,27 @@
 from __future__ import annotations
 
 from concord.llm import line_dedup, quality_rules
+from concord.llm.byte_dedup import op9
 from concord.llm.decontaminate import op5
 from concord.llm.language_id import op1
+from concord.llm.language_model import op6
 from concord.llm.line_dedup import op3
 from concord.llm.near_duplicates import op4
 from concord.llm.packing import op10
 from concord.llm.quality_model import op8
 from concord.llm.quality_rules import op7
+from concord.llm.secrets import op2
 
 QUERIES = {
     "op1_language_id": op1,
+    "op2_secrets": op2,
     "op3_line_dedup": op3,
     "op4_near_duplicates": op4,
     "op5_decontaminate": op5,
+    "op6_language_model": op6,
     "op7_quality_rules": op7,
     "op8_quality_model": op8,
+    "op9_byte_dedup": op9,
     "op10_packing": op10,
 }
 

@@ -1,10 +1,75 @@
-"""A corpus pipeline over ``documents``, stage by stage."""
+"""A corpus pipeline over ``documents``, stage by stage.
+
+Each stage takes (spark, docs, sf_dir), works on all rows of docs, and
+returns a frame with the columns of docs; the last returns pieces of packed
+sequences. Rows that share a doc_id are one document.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from concord.llm import decontaminate, near_duplicates, packing, quality_rules, secrets
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop the documents that the quality rules reject."""
+    rows = docs.select("doc_id", "text", "source", F.struct("*").alias("_row"))
+    return quality_rules.judged(rows, "_row").where("kept").select("_row.*")
+
+
+def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the document with the smallest doc_id of each group of near duplicates; rows without an id stay."""
+    groups = near_duplicates.near_duplicates(docs)
+    heads = groups.where("doc_id = component_id OR doc_id IS NULL").select(F.col("doc_id").alias("_head")).distinct()
+    kept = docs.join(heads, docs.doc_id.eqNullSafe(heads._head), "left_semi")
+    # of rows with one id the one with the smallest text
+    same = Window.partitionBy("doc_id", F.when(F.col("doc_id").isNull(), F.xxhash64("text"))).orderBy("text")
+    return kept.select("doc_id", "text", F.struct("*").alias("_row")).withColumn("_n", F.row_number().over(same)).where("_n = 1").select("_row.*")
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop the documents that hold a benchmark item."""
+    found = decontaminate.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return docs.join(found.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+
+
+def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replace secrets in the texts."""
+    return secrets.redact(docs)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of sequences of at most 4096 tokens."""
+    import public_tokenizers
+
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("quality_rules", keep_good),
+    ("near_duplicates", keep_one_of_each),
+    ("decontaminate", drop_contaminated),
+    ("secrets", mask_secrets),
+    ("packing", pack_sequences),
+]
+
+#: The near-duplicate, secret and packing stages have no SQL form; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; each is written as Parquet to the shared folder and read again."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    run_dir = f"{shared}/pipeline-{uuid.uuid4().hex}"
+    for k, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs.write.parquet(f"{run_dir}/{k}-{name}")
+            docs = spark.read.parquet(f"{run_dir}/{k}-{name}")
+    return docs
