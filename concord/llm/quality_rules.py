@@ -78,7 +78,8 @@ def judged(docs: DataFrame, *more: str) -> DataFrame:
     removed = removed_words(docs).where("n_removed_words > 0").select("host", "row", (F.col("n_removed_words") / F.col("n_line_words")).alias("removed_share"))
     out = base.join(removed, ["host", "row"], "left").withColumn("removed_share", F.coalesce("removed_share", F.lit(0.0)))
     depleted = (F.col("removed_share") > 0.5) & (F.col("n_words") * (1 - F.col("removed_share")) < MIN_WORDS)
-    return out.withColumn("kept", ~F.col("base_failed") & ~depleted).drop("host", "row")
+    # one CASE over both sides of the join: a filter on it stays above the projections, which then run once
+    return out.withColumn("kept", F.when(depleted, False).otherwise(~F.col("base_failed"))).drop("host", "row")
 
 
 RESULT = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "removed_share"]
