@@ -103,12 +103,15 @@ def labelled_findings(spark: SparkSession, rows: int = 2400) -> DataFrame:
 
 
 def featured(rows: DataFrame, *keep: str) -> DataFrame:
-    """The columns `keep`, and one column f_<name> for each feature of secret, before, after and path."""
+    """The columns `keep`, and one column f_<name> for each feature of secret, before, after and path.
+
+    The features leave a generator, so that no filter on a score repeats them.
+    """
     made = features(F.col("secret"), F.col("before"), F.col("after"), F.col("path"))
-    return rows.select(*keep, *[v.alias(f"f_{k}") for k, v in made.items()])
+    return rows.select(*keep, F.inline_outer(F.array(F.struct(*[v.alias(f"f_{k}") for k, v in made.items()]))))
 
 
-def forest(findings: DataFrame, trees: int = 20, depth: int = 6, seed: int = 11) -> Column:
+def forest(findings: DataFrame, trees: int = 15, depth: int = 5, seed: int = 11) -> Column:
     """Train on the findings; gives the share of trees that vote for a secret, as an expression over f_<name>."""
     rows = featured(findings, "label")
     names = [c for c in rows.columns if c.startswith("f_")]
