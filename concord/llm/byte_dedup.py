@@ -119,6 +119,19 @@ def _not_at_first(first: np.ndarray, doc: np.ndarray, s: np.ndarray) -> np.ndarr
     return (doc != doc[head]) | (s != s[head])
 
 
+def _merged(doc: np.ndarray, s: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of windows that touch or overlap, as one; a length has 16 bits."""
+    order = np.lexsort((s, doc))
+    doc, s, n = doc[order], s[order], n[order]
+    if not len(doc):
+        return doc, s, n
+    end = s + n
+    new = np.ones(len(doc), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (s[1:] > end[:-1]) | (s[1:] >> 15 != s[:-1] >> 15)
+    start = np.flatnonzero(new)
+    return doc[start], s[start], np.maximum.reduceat(end, start) - s[start]
+
+
 def often_anchors(docs: DataFrame) -> np.ndarray:
     """Sorted hashes of the anchors that blocks hold often; see the module.
 
@@ -154,9 +167,11 @@ def split_contexts(docs: DataFrame, hot: np.ndarray, tasks: int) -> DataFrame:
     def first_of_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for h, g, doc, s, n, first in _blocks(batches, hot):
             again = ~first & _not_at_first(first, doc, s)
-            keep = first | again
-            # a repeat keeps its anchor only to be dealt evenly; g is null
-            yield pa.RecordBatch.from_arrays([pa.array(np.where(first, h, mix(h ^ s.view(U64)))[keep].view(np.int64)), pa.array(g[keep].view(np.int64), mask=again[keep]), pa.array(doc[keep]), pa.array(((s << 16) | n)[keep])], ["h", "g", "doc", "at"])
+            d, at, many = _merged(doc[again], s[again], n[again])
+            # repeats have no g; their h only deals them evenly
+            h = np.concatenate([h[first], mix(at.view(U64) ^ mix(d.view(U64)))])
+            g = pa.array(np.concatenate([g[first], np.zeros(len(d), U64)]).view(np.int64), mask=np.arange(len(h)) >= first.sum())
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), g, pa.array(np.concatenate([doc[first], d])), pa.array(np.concatenate([(s[first] << 16) | n[first], (at << 16) | many]))], ["h", "g", "doc", "at"])
 
     def first_of_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
@@ -231,14 +246,7 @@ def compare_contexts(texts: DataFrame, spans: DataFrame, tasks: int) -> DataFram
             d, p = doc[owner][order], (s[owner] + within)[order]
             again = np.flatnonzero(~first & _not_at_first(first, d, p))
             d, p = d[again], p[again]
-            order = np.lexsort((p, d))
-            d, p = d[order], p[order]
-            # a length has 16 bits
-            new = np.append(True, (d[1:] != d[:-1]) | (p[1:] > p[:-1] + 1) | (p[1:] >> 15 != p[:-1] >> 15)) if len(d) else np.zeros(0, bool)
-            start = np.flatnonzero(new)
-            n = np.diff(np.append(start, len(d)))
-            last = p[start + n - 1] if len(d) else p
-            return _spans(d[start], p[start], last - p[start] + 1)
+            return _spans(*_merged(d, p, np.ones(len(p), np.int64)))
 
         for batch in batches:
             held.append(batch)
@@ -259,7 +267,8 @@ def compare_contexts(texts: DataFrame, spans: DataFrame, tasks: int) -> DataFram
             yield resolve(pa.Table.from_batches(held))
 
     todo = spans.where("h IS NOT NULL").groupBy("doc").agg(F.collect_list(F.struct("at", "h")).alias("todo"))  # at most the document's own
-    pieces = texts.join(todo, "doc").select("doc", "text", "todo").mapInArrow(cut, "h long, doc long, s long, bytes binary")
+    # the same columns of the texts as in report(), so that one exchange of them serves both
+    pieces = texts.join(todo, "doc").select("doc", "text", "todo", "doc_id").mapInArrow(cut, "h long, doc long, s long, bytes binary")
     return pieces.repartition(tasks, "h").sortWithinPartitions("h").mapInArrow(factors, SPANS)
 
 
@@ -301,7 +310,7 @@ def report(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     texts, spans = repeated_spans(docs)
-    return texts.join(spans, "doc", "left").select("doc_id", "text", "spans").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return texts.join(spans, "doc", "left").select("doc_id", "text", "spans", "doc").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def op9(spark, sf_dir):
