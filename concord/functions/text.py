@@ -9,6 +9,7 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Words that carry no content in free-text comparison
 STOP_WORDS = ["the", "an", "and", "or", "of", "in", "on", "to", "for", "with", "by", "at", "from", "is", "are", "was", "were", "be", "been", "as", "it", "its", "this", "that", "these", "those"]
@@ -186,13 +187,13 @@ def strip_controls(v: Column) -> Column:
     return F.regexp_replace(v, r"[\x00-\x08\x0B\x0C\x0E-\x1F]", "")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """X-02: similarity of two strings as matching-block ratio."""
     return pd.Series([None if x is None or y is None else difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _nfkc(v: pd.Series) -> pd.Series:
     return v.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
 
@@ -204,7 +205,7 @@ def audit_key(v: Column) -> Column:
     return collapse(F.regexp_replace(v, r"(?U)(?<=\w)\.(?=\w)", " "))
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def _window_ratio(snippet: pd.Series, text: pd.Series) -> pd.Series:
     def found(s: str | None, t: str | None) -> bool:
         if not s or not t:
@@ -227,7 +228,7 @@ def grep_verify(snippet: Column, text: Column) -> Column:
     return F.when((s == "") | s.isNull() | t.isNull(), False).when(t.contains(s), True).otherwise(_window_ratio(s, t))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def closest(v: pd.Series, options: pd.Series) -> pd.Series:
     """C-14: the closest of the options with a ratio of at least 0.4."""
     return pd.Series([(difflib.get_close_matches(x or "", list(o) if o is not None else [], 1, 0.4) or [None])[0] for x, o in zip(v, options, strict=True)], dtype="object")

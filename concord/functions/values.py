@@ -45,7 +45,7 @@ def canonical(v: Column, options: Column) -> Column:
 def normalised(v: Column, kind: Column, options: Column | None = None) -> Column:
     """X-07: an array (null for absence): several values for `multi`, else one. kind: categorical, multi, numeric, raw or text."""
     options = F.array().cast("array<string>") if options is None else F.coalesce(options, F.array().cast("array<string>"))
-    parts = F.filter(F.transform(F.split(v, ";"), F.trim), lambda x: ~is_null_synonym(x))
+    parts = F.filter(F.transform(F.split(v, ";"), lambda x: F.trim(x)), lambda x: ~is_null_synonym(x))
     several = F.array_sort(F.array_distinct(F.transform(parts, lambda x: canonical(x, options))))
     one = F.when(kind == "numeric", digits_only(v)).when(kind == "raw", F.trim(F.regexp_replace(v, r"(?U)\s+", " "))).when(kind.isin("categorical", "multi"), canonical(v, options)).otherwise(collapse(v))
     return F.when(is_null_synonym(v), None).when((kind == "multi") & v.contains(";"), F.when(F.size(several) > 0, several)).otherwise(F.array(one))

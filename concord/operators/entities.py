@@ -26,23 +26,23 @@ def exact_matches(a: DataFrame, b: DataFrame) -> DataFrame:
     return cascade(keyed(b), side, ["doi_key", "pmid", "title_key"], "a_ord")
 
 
-def fuzzy_matches(a: DataFrame, b: DataFrame, least: float = 0.9) -> DataFrame:
+def fuzzy_matches(a: DataFrame, b: DataFrame, least: float = 0.9, keep: int | None = 3) -> DataFrame:
     """C-01 / J-16, fuzzy phase: ord and a_ord of titles with a ratio over `least`; the smallest ordinal of a wins.
 
-    No ratio over r is possible unless the titles' letter counts overlap by r.
-    Titles are joined on a length band and on one of their rarest-first
-    tokens that such a pair must share a prefix of; the counts prune before
-    the Arrow ratio. Pairs come from shared tokens only, never from all titles.
+    Candidates share one of their `keep` rarest tokens (None: any token), so
+    pairs that differ in a letter of all of these are not found. Of the
+    candidates, letter counts drop those that cannot reach the ratio, which
+    loses none, before the Arrow ratio.
     """
     count = lambda c, x: F.length(c) - F.length(F.replace(c, F.lit(x), F.lit("")))
     prep = lambda df: keyed(df).where("title_key IS NOT NULL").select("ord", "title_key", F.length("title_key").alias("len"), *[count(F.col("title_key"), x).alias(f"n{i}") for i, x in enumerate(LETTERS)])
     words = lambda df: df.withColumn("w", F.explode(F.array_distinct(F.split("title_key", " "))))
     x, y = prep(a), prep(b)
     often = words(x).groupBy("w").agg(F.count("*").alias("df"))
-    # each side keeps its rarest tokens, enough that two titles of the ratio share one
+
     def rare(df: DataFrame) -> DataFrame:
         each = words(df).join(often, "w", "left").groupBy("ord").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "w"))).alias("ws"))
-        return each.select("ord", F.explode(F.transform(F.slice("ws", 1, 3), lambda s: s.w)).alias("w"))
+        return each.select("ord", F.explode(F.transform(F.slice("ws", 1, keep) if keep else F.col("ws"), lambda s: s.w)).alias("w"))
 
     pairs = rare(x).withColumnRenamed("ord", "a_ord").join(rare(y), "w").select("a_ord", "ord").distinct()
     wide = pairs.join(x.select(F.col("ord").alias("a_ord"), F.col("title_key").alias("ta"), F.col("len").alias("la"), *[F.col(f"n{i}").alias(f"a{i}") for i in range(len(LETTERS))]), "a_ord").join(y, "ord")

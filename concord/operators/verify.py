@@ -61,7 +61,7 @@ def audit(spans: DataFrame) -> DataFrame:
 
 def parts_of(values: DataFrame, value: str = "value") -> DataFrame:
     """JS-04: one row for each `;`-separated part that is not absent."""
-    return values.withColumn("part", F.explode(F.filter(F.transform(F.split(value, ";"), F.trim), lambda x: ~is_null_synonym(x))))
+    return values.withColumn("part", F.explode(F.filter(F.transform(F.split(value, ";"), lambda x: F.trim(x)), lambda x: ~is_null_synonym(x))))
 
 
 def field_bleed(values: DataFrame, enums: DataFrame) -> DataFrame:
