@@ -60,7 +60,7 @@ def train(texts: list[str], labels: list[str], steps: int = 500, seed: int = 1)
     m, v = ({k: np.zeros_like(a) for k, a in w.items()} for _ in range(2))
     by_lang = [np.flatnonzero(y == i) for i in range(len(langs))]
     by_lang = [(i, rows) for i, rows in enumerate(by_lang) if len(rows)]
-    for step in range(1, steps + 1):
+    for step in range(1, steps + 1 if by_lang else 1):
         pick = np.concatenate([rng.choice(rows, 8) for _, rows in by_lang])
         b, t = x[pick], y[pick]
         # a random piece of each window is blanked, so that short texts are learned too
