@@ -22,16 +22,21 @@ def arms_of(current: DataFrame) -> DataFrame:
 def align(arms: DataFrame, kind: Column | None = None, options: Column | None = None) -> DataFrame:
     """J-11 / J-13: every ordered pair of arms on the papers that both have, over the union of their fields, normalised once.
 
-    The arms of a cell are gathered (as many as there are arms) and paired,
-    so each row is shuffled once, whatever the number of pairs.
+    A paper's cells (its fields times the arms) are gathered once and paired
+    within the row, so there is one shuffle, on the paper, whatever the
+    number of pairs.
     """
     kind = F.lit("text") if kind is None else kind
     values = arms.withColumn("value", normalised(F.col("value"), kind, options))
-    papers = values.groupBy("paper_id").agg(F.array_sort(F.collect_set(F.struct("arm_ord", "arm"))).alias("have"))
-    cells = values.groupBy("paper_id", "field_name").agg(F.map_from_entries(F.collect_list(F.struct("arm_ord", "value"))).alias("by"))
-    both = cells.join(papers, "paper_id")
-    pairs = F.flatten(F.transform("have", lambda a: F.transform(F.filter(F.col("have"), lambda b: b.arm_ord > a.arm_ord), lambda b: F.struct(a.arm.alias("arm_a"), b.arm.alias("arm_b"), F.col("by")[a.arm_ord].alias("a"), F.col("by")[b.arm_ord].alias("b"), (F.map_contains_key("by", a.arm_ord) | F.map_contains_key("by", b.arm_ord)).alias("seen")))))
-    return both.select("paper_id", "field_name", F.inline(pairs)).where("seen").drop("seen")
+    cells = values.groupBy("paper_id").agg(F.collect_list(F.struct("arm_ord", "arm", "field_name", "value")).alias("cells"))
+    one = cells.select(
+        "paper_id", F.array_sort(F.array_distinct(F.transform("cells", lambda c: F.struct(c.arm_ord.alias("arm_ord"), c.arm.alias("arm"))))).alias("have"),
+        F.array_distinct(F.col("cells.field_name")).alias("fields"), F.map_from_entries(F.transform("cells", lambda c: F.struct(F.struct(c.arm_ord.alias("o"), c.field_name.alias("f")).alias("k"), c.value.alias("v")))).alias("by"),
+    )
+    key = lambda arm, f: F.struct(arm.arm_ord.alias("o"), f.alias("f"))
+    row = lambda a, b: lambda f: F.struct(f.alias("field_name"), a.arm.alias("arm_a"), b.arm.alias("arm_b"), F.col("by")[key(a, f)].alias("a"), F.col("by")[key(b, f)].alias("b"), (F.map_contains_key("by", key(a, f)) | F.map_contains_key("by", key(b, f))).alias("seen"))
+    pairs = F.flatten(F.transform("have", lambda a: F.flatten(F.transform(F.filter(F.col("have"), lambda b: b.arm_ord > a.arm_ord), lambda b: F.transform("fields", row(a, b))))))
+    return one.select("paper_id", F.inline(pairs)).where("seen").drop("seen")
 
 
 def scores(arms: DataFrame, kind: Column | None = None) -> DataFrame:
