@@ -57,7 +57,7 @@ def dedup_report(docs: DataFrame, unit: str = "line", min_words: int = MIN_WORDS
 
 
 def dedup_lines(docs: DataFrame, unit: str = "line", min_words: int = MIN_WORDS) -> DataFrame:
-    """The documents with repeated units removed from their texts; all other columns stay."""
+    """The documents with repeated units removed from their texts; all other columns stay, and so do rows without an id."""
     gap = SEPARATOR[unit]
     gone = repeated(units(docs, unit), min_words).groupBy("doc_id").agg(F.collect_set("pos").alias("_gone"))
     left = F.filter(F.transform(F.split("text", gap), lambda x, i: F.when(~F.array_contains("_gone", i), x)), lambda x: x.isNotNull())

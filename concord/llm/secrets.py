@@ -130,20 +130,23 @@ def forest(findings: DataFrame, trees: int = 15, depth: int = 5, seed: int = 11)
     return F.expr("(" + " + ".join(votes) + f") / {len(votes)}D")
 
 
-def scored(docs: DataFrame, findings: DataFrame | None = None) -> DataFrame:
-    """Every candidate of doc_id, text and source: doc_id, word, start, secret and score."""
+def scored(docs: DataFrame, findings: DataFrame | None = None, *more: str) -> DataFrame:
+    """Every candidate of doc_id, text and source: the columns `more`, doc_id, word, start, secret and score."""
     votes = forest(labelled_findings(docs.sparkSession) if findings is None else findings)
     # an outer explode, so that no filter evaluates the candidates a second time
-    rows = docs.select("doc_id", "source", "text", F.explode_outer(candidates(F.col("text"))).alias("c")).where("c IS NOT NULL")
-    rows = rows.select("doc_id", F.col("c.i").cast("long").alias("word"), (F.call_function("locate", F.col("c.secret"), F.col("text")) - 1).cast("long").alias("start"), "c.secret", "c.before", "c.after", F.col("source").alias("path"))
-    return featured(rows, "doc_id", "word", "start", "secret").select("doc_id", "word", "start", "secret", votes.alias("score"))
+    rows = docs.select(*more, "doc_id", "source", "text", F.explode_outer(candidates(F.col("text"))).alias("c")).where("c IS NOT NULL")
+    rows = rows.select(*more, "doc_id", F.col("c.i").cast("long").alias("word"), (F.call_function("locate", F.col("c.secret"), F.col("text")) - 1).cast("long").alias("start"), "c.secret", "c.before", "c.after", F.col("source").alias("path"))
+    return featured(rows, *more, "doc_id", "word", "start", "secret").select(*more, "doc_id", "word", "start", "secret", votes.alias("score"))
 
 
 def redact(docs: DataFrame, findings: DataFrame | None = None) -> DataFrame:
     """The documents with every secret in their texts replaced by MASK; all other columns stay, n_chars follows the text."""
-    found = scored(docs, findings).where(F.col("score") >= THRESHOLD).groupBy("doc_id").agg(F.collect_set("secret").alias("secrets"))  # at most the document's own
+    # rows are joined by a hash of id and text: ids can be null or repeated, and a chance pair only looks for a string it does not hold
+    key = F.xxhash64("doc_id", "text")
+    found = scored(docs.select("doc_id", "text", "source", key.alias("_key")), findings, "_key").where(F.col("score") >= THRESHOLD)
+    found = found.groupBy("_key").agg(F.collect_set("secret").alias("secrets")).select("_key", F.struct("secrets").alias("_found"))  # at most the text's own
+    rows = docs.select(key.alias("_key"), F.struct("*").alias("_row")).join(found, "_key", "left")
     text = F.aggregate(F.col("_found.secrets"), F.col("_row.text"), lambda acc, x: F.replace(acc, x, F.lit(MASK)))
-    rows = docs.select(F.col("doc_id").alias("_id"), F.struct("*").alias("_row")).join(found.select(F.col("doc_id").alias("_id"), F.struct("secrets").alias("_found")), "_id", "left")
     text = F.when(F.col("_found").isNull(), F.col("_row.text")).otherwise(text)
     renewed = {"text": text} | ({"n_chars": F.when(F.col("_found").isNull(), F.col("_row.n_chars")).otherwise(F.length(text).cast("long"))} if "n_chars" in docs.columns else {})
     return rows.select(*[renewed.get(c, F.col("_row").getField(c)).alias(c) for c in docs.columns])

@@ -34,8 +34,11 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the documents that hold a benchmark item."""
-    found = decontaminate.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return docs.join(found.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    # rows are named by a hash of id and text: ids can be null or repeated
+    key = F.xxhash64("doc_id", "text")
+    found = decontaminate.contamination(docs.select(key.alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    rows = docs.select(key.alias("_key"), F.struct("*").alias("_row"))
+    return rows.join(found.select(F.col("doc_id").alias("_key")).distinct(), "_key", "left_anti").select("_row.*")
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -64,7 +67,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each is written as Parquet to the shared folder and read again."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="spark-")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     run_dir = f"{shared}/pipeline-{uuid.uuid4().hex}"
     for k, (name, stage) in enumerate(STAGES):
