@@ -193,6 +193,20 @@ def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
+def ratio_above(least: float) -> Callable[..., Column]:
+    """X-02 with a bound: the ratio, or 0 where an upper bound of it is not over `least`."""
+
+    @F.pandas_udf(T.DoubleType())
+    def bounded(a: pd.Series, b: pd.Series) -> pd.Series:
+        def one(x: str, y: str) -> float:
+            m = difflib.SequenceMatcher(None, x, y)
+            return m.ratio() if m.real_quick_ratio() > least and m.quick_ratio() > least else 0.0
+
+        return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
+
+    return bounded
+
+
 @F.pandas_udf(T.StringType())
 def _nfkc(v: pd.Series) -> pd.Series:
     return v.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))

@@ -5,11 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from concord.functions.text import ratio, title_key
+from concord.functions.text import ratio_above, title_key
 from concord.operators.latest import cascade
 
-LETTERS = "abcdefghijklmnopqrstuvwxyz "
-
 
 def stable_key(doi: Column, pmid: Column, title: Column) -> Column:
     """SC-02."""
@@ -30,26 +28,27 @@ def fuzzy_matches(a: DataFrame, b: DataFrame, least: float = 0.9, keep: int | No
     """C-01 / J-16, fuzzy phase: ord and a_ord of titles with a ratio over `least`; the smallest ordinal of a wins.
 
     Candidates share one of their `keep` rarest tokens (None: any token), so
-    pairs that differ in a letter of all of these are not found. Of the
-    candidates, letter counts drop those that cannot reach the ratio, which
-    loses none, before the Arrow ratio.
+    pairs that differ in a letter of all of these are not found. Lengths that
+    cannot reach the ratio are dropped in the join, and the Arrow function
+    tries its two upper bounds first; both lose none.
     """
-    count = lambda c, x: F.length(c) - F.length(F.replace(c, F.lit(x), F.lit("")))
-    prep = lambda df: keyed(df).where("title_key IS NOT NULL").select("ord", "title_key", F.length("title_key").alias("len"), *[count(F.col("title_key"), x).alias(f"n{i}") for i, x in enumerate(LETTERS)])
+    prep = lambda df: keyed(df).where("title_key IS NOT NULL").select("ord", "title_key", F.length("title_key").alias("len"))
     words = lambda df: df.withColumn("w", F.explode(F.array_distinct(F.split("title_key", " "))))
-    x, y = prep(a), prep(b)
+    # equal titles are one row on either side, however many records have them
+    x = prep(a).groupBy("title_key", "len").agg(F.min("ord").alias("ord"))
+    y = prep(b).select("title_key", "len").distinct()
     often = words(x).groupBy("w").agg(F.count("*").alias("df"))
 
     def rare(df: DataFrame) -> DataFrame:
-        each = words(df).join(often, "w", "left").groupBy("ord").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "w"))).alias("ws"))
-        return each.select("ord", F.explode(F.transform(F.slice("ws", 1, keep) if keep else F.col("ws"), lambda s: s.w)).alias("w"))
-
-    pairs = rare(x).withColumnRenamed("ord", "a_ord").join(rare(y), "w").select("a_ord", "ord").distinct()
-    wide = pairs.join(x.select(F.col("ord").alias("a_ord"), F.col("title_key").alias("ta"), F.col("len").alias("la"), *[F.col(f"n{i}").alias(f"a{i}") for i in range(len(LETTERS))]), "a_ord").join(y, "ord")
-    common = sum((F.least(F.col(f"a{i}"), F.col(f"n{i}")) for i in range(len(LETTERS))), F.lit(0))
-    others = F.least(F.col("la") - sum((F.col(f"a{i}") for i in range(len(LETTERS))), F.lit(0)), F.col("len") - sum((F.col(f"n{i}") for i in range(len(LETTERS))), F.lit(0)))
-    close = wide.where(2 * (common + others) > least * (F.col("la") + F.col("len"))).withColumn("ratio", ratio("ta", "title_key")).where(F.col("ratio") > least)
-    return close.groupBy("ord").agg(F.min("a_ord").alias("a_ord"), F.min_by("ratio", "a_ord").alias("ratio"))
+        each = words(df).join(often, "w", "left").groupBy(*df.columns).agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "w"))).alias("ws"))
+        return each.select(*df.columns, F.explode(F.transform(F.slice("ws", 1, keep) if keep else F.col("ws"), lambda s: s.w)).alias("w"))
+
+    left = rare(x).toDF("ta", "la", "a_ord", "w")
+    near = 2 * F.least("la", "len") > least * (F.col("la") + F.col("len"))
+    pairs = left.join(rare(y), "w").where(near).select("a_ord", "ta", "title_key").distinct()
+    close = pairs.withColumn("ratio", ratio_above(least)("ta", "title_key")).where(F.col("ratio") > least)
+    best = close.groupBy("title_key").agg(F.min("a_ord").alias("a_ord"), F.min_by("ratio", "a_ord").alias("ratio"))
+    return prep(b).join(best, "title_key").select("ord", "a_ord", "ratio")
 
 
 def merge(a: DataFrame, b: DataFrame, fields: list[str]) -> DataFrame:

@@ -349,7 +349,7 @@ def rule_category(documents):
 @query("verdicts", sql="SELECT verdict, arm, paper_id, no FROM (SELECT *, row_number() OVER (PARTITION BY verdict, arm ORDER BY sha256('42|' || verdict || '|' || arm || '|' || paper_id || ':' || no)) AS rn FROM verdicts) WHERE rn <= 4")
 def stratified_hash_sample(verdicts):
     keyed = verdicts.withColumn("key", F.concat_ws(":", F.col("paper_id").cast("string"), F.col("no").cast("string")))
-    return S.stratified(keyed, ["verdict", "arm"], "key", 4).select("verdict", "arm", "paper_id", "no")
+    return S.stratified(keyed, ["verdict", "arm"], "key", 4).select("verdict", "arm", "paper_id", F.col("no").cast("long").alias("no"))
 
 
 @query("orders", sql="SELECT o_orderstatus, o_orderkey, rn FROM (SELECT o_orderstatus, o_orderkey, row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) AS rn FROM orders) ORDER BY rn, o_orderstatus LIMIT 10")
