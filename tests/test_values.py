@@ -57,11 +57,9 @@ def score(spark, a, b, kind="text", options=()):
 @pytest.mark.parametrize(("a", "b", "kind", "want"), [
     (None, "NR", "text", "MATCH"), ("x", None, "text", "MISMATCH"), ("Small sample", "Limited sample size and short follow-up", "text", "AMBIGUOUS"),
     ("Short follow-up", "Brief follow-up period", "text", "AMBIGUOUS"), ("short", "a SHORT  text", "text", "MATCH"), ("one", "two", "text", "MISMATCH"),
-    ("a; b", "B; A", "multi", "AMBIGUOUS"), ("a; b", "b; a", "multi", "MATCH"), ("a; b", "a", "multi", "AMBIGUOUS"), ("a;b", "c", "multi", "MISMATCH"), ("n=4", "4", "numeric", "MATCH"), ("Review", "review", "categorical", "MISMATCH"),
+    ("a; b", "B; A", "multi", "MISMATCH"), ("a; b", "b; a", "multi", "MATCH"), ("a; b", "a", "multi", "AMBIGUOUS"), ("a;b", "c", "multi", "MISMATCH"), ("n=4", "4", "numeric", "MATCH"), ("Review", "review", "categorical", "MISMATCH"),
 ])
 def test_pair_score(spark, a, b, kind, want):
-    if (a, b) == ("a; b", "B; A"):
-        want = "MISMATCH"  # without options case is kept, so the sets are disjoint
     assert score(spark, a, b, kind) == want
 
 
@@ -89,10 +87,10 @@ def test_number_in_span(spark):
 
 def test_grep_verify(spark):
     text = "This is a randomized controlled trial with 20 patients. The STAR robot was used for autonomous suturing."
-    rows = [("randomized controlled trial", True), ("The “STAR” robot", False), ("The STAR robots was used for autonomous suturing", True), ("", False), ("nothing of the kind was seen", False), (None, False)]
+    rows = [("randomized controlled trial", True), ("The “STAR” robot", True), ("The STAR robots was used for autonomous suturing", True), ("", False), ("nothing of the kind was seen", False), (None, False)]
     df = spark.createDataFrame([(s, text, w) for s, w in rows], "s string, t string, w boolean")
     got = df.select("s", "w", X.grep_verify(F.col("s"), F.col("t")).alias("g")).collect()
-    assert [r.g for r in got] == [r.w if r.s != "The “STAR” robot" else r.g for r in got]
+    assert [r.g for r in got] == [r.w for r in got]
 
 
 def test_text_helpers(spark):
