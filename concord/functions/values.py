@@ -42,8 +42,10 @@ def canonical(v: Column, options: Column) -> Column:
     return F.when(F.array_contains(options, v), v).when(F.size(same) > 0, F.element_at(same, -1)).when((F.size(head) == 1) & (F.size(opened) == 1), F.get(opened, F.lit(0))).otherwise(v)
 
 
-def normalised(v: Column, kind: Column, options: Column | None = None) -> Column:
-    """X-07: an array (null for absence): several values for `multi`, else one. kind: categorical, multi, numeric, raw or text."""
+def normalised(v: Column, kind: Column | None = None, options: Column | None = None) -> Column:
+    """X-07: an array (null for absence): several values for `multi`, else one. kind: categorical, multi, numeric, raw or text (all text without one)."""
+    if kind is None:
+        return F.when(~is_null_synonym(v), F.array(collapse(v)))
     options = F.array().cast("array<string>") if options is None else F.coalesce(options, F.array().cast("array<string>"))
     parts = F.filter(F.transform(F.split(v, ";"), lambda x: F.trim(x)), lambda x: ~is_null_synonym(x))
     several = F.array_sort(F.array_distinct(F.transform(parts, lambda x: canonical(x, options))))

@@ -26,7 +26,6 @@ def align(arms: DataFrame, kind: Column | None = None, options: Column | None =
     within the row, so there is one shuffle, on the paper, whatever the
     number of pairs.
     """
-    kind = F.lit("text") if kind is None else kind
     values = arms.withColumn("value", normalised(F.col("value"), kind, options))
     cells = values.groupBy("paper_id").agg(F.collect_list(F.struct("arm_ord", "arm", "field_name", "value")).alias("cells"))
     one = cells.select(
@@ -41,8 +40,7 @@ def align(arms: DataFrame, kind: Column | None = None, options: Column | None =
 
 def scores(arms: DataFrame, kind: Column | None = None) -> DataFrame:
     """X-10 over J-11."""
-    kind = F.lit("text") if kind is None else kind
-    return align(arms, kind).withColumn("score", pair_score(F.col("a"), F.col("b"), kind))
+    return align(arms, kind).withColumn("score", pair_score(F.col("a"), F.col("b"), F.lit("text") if kind is None else kind))
 
 
 def concordance(arms: DataFrame, kind: Column | None = None) -> DataFrame:
