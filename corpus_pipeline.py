@@ -13,7 +13,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from concord.llm import decontaminate, near_duplicates, packing, quality_rules, secrets
+from concord.llm import decontaminate, jaccard_duplicates, packing, quality_rules, secrets
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,8 +23,8 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest doc_id of each group of near duplicates; rows without an id stay."""
-    groups = near_duplicates.near_duplicates(docs)
+    """Keep the document with the smallest doc_id of each group of near duplicates (five-word shingles, Jaccard 0.8 or more); rows without an id stay."""
+    groups = jaccard_duplicates.near_groups(docs)
     heads = groups.where("doc_id = component_id OR doc_id IS NULL").select(F.col("doc_id").alias("_head")).distinct()
     kept = docs.join(heads, docs.doc_id.eqNullSafe(heads._head), "left_semi")
     # of rows with one id the one with the smallest text
