@@ -48,6 +48,34 @@ def contained(snippets: DataFrame, texts: DataFrame, key: str, snippet: str, tex
     return snippets.join(texts, key).where(collapse(F.col(text)).contains(collapse(F.col(snippet))))
 
 
+def contained_anywhere(snippets: DataFrame, texts: DataFrame, snippet: str, text: str) -> DataFrame:
+    """J-24 over all pairs: each snippet with every text that holds it after collapsing.
+
+    The words of a snippet between its first and last are whole words of a
+    text that holds it. One window of up to three of them is the join key; on
+    the texts' side all windows are. Only hashes are shuffled with the
+    windows. Snippets under three words have no such window and are tried on
+    every text. `contains` decides each pair.
+    """
+    split = lambda c: F.split(c, " ")
+    own = F.slice(split(F.col("_s")), 2, F.greatest(F.size(split(F.col("_s"))) - 2, F.lit(0)))
+    s = snippets.withColumn("_s", collapse(F.col(snippet))).where("_s IS NOT NULL").withColumn("_own", own).withColumn("_sk", F.xxhash64("_s"))
+    t = texts.withColumn("_t", collapse(F.col(text))).where("_t IS NOT NULL").withColumn("_tk", F.xxhash64("_t"))
+
+    def windows(w: Column, n: int) -> Column:
+        of = lambda i: F.xxhash64(F.lit(n), F.array_join(F.slice(w, i, n), " "))
+        return F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), of)).otherwise(F.array().cast("array<long>"))
+
+    by_size = F.when(F.size("_own") >= 3, F.array_min(windows(F.col("_own"), 3))).when(F.size("_own") >= 1, F.array_min(windows(F.col("_own"), 1)))
+    keys = s.select("_sk", by_size.alias("_key")).where("_key IS NOT NULL").distinct()
+    of_text = let(split(F.col("_t")), lambda w: F.array_distinct(F.concat(windows(w, 3), windows(w, 1))))
+    found = t.select("_tk", F.explode(of_text).alias("_key")).join(keys, "_key").select("_tk", "_sk").distinct()
+    long_ones = t.join(found, "_tk").join(s, "_sk")
+    short_ones = t.crossJoin(s.where(F.size("_own") == 0))
+    columns = [*snippets.columns, *texts.columns]
+    return long_ones.select(*columns, "_t", "_s").unionByName(short_ones.select(*columns, "_t", "_s")).where(F.col("_t").contains(F.col("_s"))).select(*columns)
+
+
 def audit(spans: DataFrame) -> DataFrame:
     """C-08: audit_state of (value, source_snippet, tier, paper_text, semantic boolean from a scorer)."""
     snippet = F.trim(F.coalesce("source_snippet", F.lit("")))

@@ -409,6 +409,12 @@ def snippet_exact(benchmark, documents):
     return C.contained(b, documents.withColumn("key", F.col("doc_id") % 40), "key", "snippet", "text").select("doc_id", "item_id")
 
 
+@query("benchmark", "documents")
+def snippet_exact_all(benchmark, documents):
+    """All pairs; the SQL of snippet_exact compares those of one remainder only."""
+    return C.contained_anywhere(benchmark.select("item_id", F.col("text").alias("snippet")), documents.select("doc_id", "text"), "snippet", "text").select("doc_id", "item_id")
+
+
 def citations(papers: DataFrame, side: int) -> DataFrame:
     return papers.where(F.col("id") % 2 == side).select(F.col("id").alias("ord"), "pmid", "doi", "title", "abstract", "year")
 
