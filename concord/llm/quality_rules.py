@@ -21,7 +21,7 @@ without lines keep the base verdict.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from concord.llm.common import documents, table
@@ -61,27 +61,34 @@ def lines_of(docs: DataFrame) -> DataFrame:
 
 
 def removed_words(docs: DataFrame, min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE) -> DataFrame:
-    """host, row (hash of the text), n_line_words and n_removed_words of every text with lines."""
+    """host, row (hash of the text), n_line_words, n_removed_words and bad_lines (hashes) of every text with lines."""
     lines = lines_of(docs).groupBy("host", "row", "line").agg(F.sum("n").alias("n"), F.count("*").alias("times"))
     # exact copies of a text were folded into one row with a multiple of its words; shares are not changed by that
     counts = lines.groupBy("host", "line").agg(F.count("*").alias("docs")).where(F.col("docs") > min_docs)
     hosts = docs.select(F.coalesce("source", F.lit("\x00")).alias("host"), F.xxhash64(F.coalesce("text", F.lit("")), F.length(F.coalesce("text", F.lit("")))).alias("row")).groupBy("host", "row").agg(F.lit(1).alias("one")).groupBy("host").agg(F.count("*").alias("host_docs"))
     bad = counts.join(hosts, "host").where(F.col("docs") > max_share * F.col("host_docs")).select("host", "line", F.lit(1).alias("bad"))
-    return lines.join(bad, ["host", "line"], "left").groupBy("host", "row").agg(F.sum("n").alias("n_line_words"), F.sum(F.when(F.col("bad") == 1, F.col("n")).otherwise(0)).alias("n_removed_words"))
+    return lines.join(bad, ["host", "line"], "left").groupBy("host", "row").agg(F.sum("n").alias("n_line_words"), F.sum(F.when(F.col("bad") == 1, F.col("n")).otherwise(0)).alias("n_removed_words"), F.collect_list(F.when(F.col("bad") == 1, F.col("line"))).alias("bad_lines"))  # at most the text's own
 
 
-def judged(docs: DataFrame, *more: str) -> DataFrame:
-    """The base figures, removed_share and kept of every row."""
+def judged(docs: DataFrame, *more: str, min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE) -> DataFrame:
+    """The base figures, removed_share, bad_lines and kept of every row."""
     base = measured(docs, *dict.fromkeys(("source", *more)))
     text = F.coalesce(F.col("text"), F.lit(""))
     base = base.withColumn("host", F.coalesce("source", F.lit("\x00"))).withColumn("row", F.xxhash64(text, F.length(text)))
-    removed = removed_words(docs).where("n_removed_words > 0").select("host", "row", (F.col("n_removed_words") / F.col("n_line_words")).alias("removed_share"))
+    removed = removed_words(docs, min_docs, max_share).where("n_removed_words > 0").select("host", "row", "bad_lines", (F.col("n_removed_words") / F.col("n_line_words")).alias("removed_share"))
     out = base.join(removed, ["host", "row"], "left").withColumn("removed_share", F.coalesce("removed_share", F.lit(0.0)))
     depleted = (F.col("removed_share") > 0.5) & (F.col("n_words") * (1 - F.col("removed_share")) < MIN_WORDS)
     # one CASE over both sides of the join: a filter on it stays above the projections, which then run once
     return out.withColumn("kept", F.when(depleted, False).otherwise(~F.col("base_failed"))).drop("host", "row")
 
 
+def without_lines(text: Column, bad_lines: Column) -> Column:
+    """The text without the lines whose hash is in bad_lines (null: none); line ends go with their lines."""
+    norm = lambda x: F.trim(F.regexp_replace(F.lower(x), r"[^\p{L}\p{N}]+", " "))
+    stays = lambda x: (norm(x) == "") | ~F.array_contains(bad_lines, F.xxhash64(norm(x), F.length(norm(x))))
+    return F.when(F.size(bad_lines) > 0, F.array_join(F.filter(F.split(text, "\n"), stays), "\n")).otherwise(text)
+
+
 RESULT = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "removed_share"]
 
 

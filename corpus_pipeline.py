@@ -15,11 +15,18 @@ from pyspark.sql import functions as F
 
 from concord.llm import decontaminate, jaccard_duplicates, packing, quality_rules, secrets
 
+#: A line in more distinct documents of one host is boilerplate, however large the host is
+LINE_DOCS = quality_rules.MIN_DOCS
+
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop the documents that the quality rules reject."""
+    """Drop the documents that the quality rules reject, and from the others the lines in over LINE_DOCS documents of their host."""
     rows = docs.select("doc_id", "text", "source", F.struct("*").alias("_row"))
-    return quality_rules.judged(rows, "_row").where("kept").select("_row.*")
+    kept = quality_rules.judged(rows, "_row", min_docs=LINE_DOCS, max_share=0.0).where("kept").select("_row", "bad_lines")
+    text = quality_rules.without_lines(F.col("_row.text"), F.col("bad_lines"))
+    kept = kept.select("_row", "bad_lines", text.alias("_text"))
+    renewed = {"text": F.col("_text")} | ({"n_chars": F.when(F.col("bad_lines").isNull(), F.col("_row.n_chars")).otherwise(F.length("_text").cast("long"))} if "n_chars" in docs.columns else {})
+    return kept.select(*[renewed.get(c, F.col("_row").getField(c)).alias(c) for c in docs.columns])
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
