@@ -8,8 +8,9 @@ above. Similarity itself is exact, on the whole sets.
 
 Only pairs that can change the groups are compared, and none of those is left
 out: first every text of a key with the key's head, then the texts of a key
-that are in different groups so far. So a group of near copies costs a row
-for each copy and key, not for each pair of copies.
+that are in different groups so far. Copies that reach 0.8 with a head cost a row
+for each copy and key; those of a large group that do not are compared in
+pairs, which grows with the square of their number.
 
 SimHash is not used here: at 0.8 texts differ in up to a dozen of 64 bits,
 for which no selective exact key is left on a ring of segments.
