@@ -22,11 +22,37 @@ def bucket(n: int, of: str = "doc_id") -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col(of).cast("string"), F.lit("")).cast("binary")), F.lit(n))
 
 
+#: Stands for a null id where rows are ranked: after all others.
+LAST = (1 << 63) - 1
+
+
+def named(docs: DataFrame, *more: str) -> DataFrame:
+    """doc (the id as a rank, LAST for null), row, text and doc_id of every row.
+
+    A row is a document: it owns its units, windows and spans by (doc, row),
+    where row is a hash of id and text, so null and repeated ids do not mix
+    texts. Ids only rank; rows of one rank follow in the order of their hash.
+    Rows that are equal in id and text are one document.
+    """
+    return docs.select(F.coalesce("doc_id", F.lit(LAST)).alias("doc"), F.xxhash64("doc_id", "text").alias("row"), "text", "doc_id", *more)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share; only a session in one process may leave it unset."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder:
+        return folder
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return tempfile.mkdtemp(prefix="spark-")
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Cut the lineage with a checkpoint in the folder that all executors share."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+    spark = df.sparkSession
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return df.checkpoint()
 
 
@@ -35,6 +61,6 @@ def text_size(docs: DataFrame) -> int:
     return docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
 
 
-def parts(total: int, each: int) -> int:
-    """How many parts of `each` a total needs, at least one."""
-    return max(1, -(-int(total) // each))
+def parts(total: int, each: int = 8 << 20, large: int = 256 << 20, many: int = 2000) -> int:
+    """Into how many parts a shuffle of `total` bytes goes: of `each` bytes up to `many` parts, beyond that larger ones, up to `large`."""
+    return max(1, min(-(-total // each), many), -(-total // large))

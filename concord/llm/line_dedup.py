@@ -1,67 +1,172 @@
 """Operator 3: removal of repeated lines or paragraphs, with original offsets.
 
-Units are lines (or paragraphs) of at least ``MIN_WORDS`` words. They are
-normalised (letters and digits, lower case), digested to 128 bits, and
-grouped over all documents. The occurrence with the smallest (doc_id, place)
-stays; all others are removed. Offsets are in characters of the original.
-
-The first occurrence of each digest is a partial minimum before the shuffle
-and is joined back, so no group of equal units ever meets in one task's
-memory; a hot digest on the units' side is split by adaptive skew joins.
-
-Edge cases: null text is empty and has one empty unit; shorter units are
-never removed; rows with one doc_id count as one document, so a repeated row
-keeps what the first keeps and only counts grow; a null id ranks last.
+A unit of kind ``line`` ends at a line break or at the end of a sentence
+(``.``, ``!`` or ``?`` and blanks), one of kind ``paragraph`` at an empty
+line; units and their ends make up the whole text. Units are normalised
+(letters and digits, lower case), digested to 128 bits, and grouped over all
+documents. The occurrence with the smallest place (document's rank, row,
+number of the unit) stays; all others are removed. Offsets are in characters
+of the original.
+
+1. Scan tasks work on blocks of about ``BLOCK_BYTES``. Of equal units of a
+   block only the first is shuffled, the others are repeats already, so a
+   unit that is in every document is one row a block.
+2. Units are dealt by digest and sorted; all but the first of a digest are
+   repeats. Tasks read the sorted rows as a stream and hold no group.
+3. The repeats of a row meet again with its count of units.
+
+Edge cases: null text is empty and has no units; units without a letter or
+digit are never removed; a row owns its units, so null and repeated ids do
+not mix texts (null ranks last, equal ids by a hash of the row); rows equal
+in id and text are one document, each reported alike; empty tables give no
+rows; columns of any name are kept by ``dedup_lines``.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
-from pyspark.sql import functions as F
-
-from concord.llm.common import documents, table
-
-MIN_WORDS = 8
-SEPARATOR = {"line": "\n", "paragraph": "\n\n"}
-
-
-def units(docs: DataFrame, unit: str = "line") -> DataFrame:
-    """doc_id, pos, start, length, n (words) and digest (h1, h2) of every unit."""
-    gap = SEPARATOR[unit]
-    text = F.coalesce(F.col("text"), F.lit(""))
-    norm = F.trim(F.regexp_replace(F.lower("unit"), r"[^\p{L}\p{N}]+", " "))
-    rows = documents(docs).select("doc_id", F.posexplode(F.split(text, gap)).alias("pos", "unit")).select("doc_id", "pos", F.length("unit").alias("length"), norm.alias("norm"))
-    rows = rows.select("doc_id", "pos", "length", F.when(F.col("norm") == "", 0).otherwise(F.size(F.split("norm", " "))).alias("n"), F.xxhash64("norm").alias("h1"), F.xxhash64(F.concat(F.lit("\x01"), "norm"), F.length("norm")).alias("h2"))
-    before = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    return rows.withColumn("start", F.coalesce(F.sum(F.col("length") + len(gap)).over(before), F.lit(0)).cast("long"))
+import re
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import regex
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-def repeated(found: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """The units that are not the earliest of their digest."""
-    place = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("doc_id"), F.col("pos").alias("pos"))
-    long_ones = found.where(F.col("n") >= min_words)
-    first = long_ones.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("times")).where("times > 1")
-    return long_ones.join(first, ["h1", "h2"]).where(~F.col("first").eqNullSafe(place))
+from concord.llm.common import named, table
+from concord.llm.kernels import chunks
+
+MIN_WORDS = 1
+BLOCK_BYTES = 16 << 20
+ENDS = {"line": re.compile(r"\n|[.!?]+[ \t]+"), "paragraph": re.compile(r"\n(?:[ \t]*\n)+")}
+OTHER = regex.compile(r"[^\p{L}\p{N}]+")
+
+SPAN = "struct<pos: int, start: long, end: long, words: int>"
+FOUND = f"h1 long, h2 long, doc long, row long, doc_id long, n_units long, spans array<{SPAN}>"
+_SPAN = pa.struct([("pos", pa.int32()), ("start", pa.int64()), ("end", pa.int64()), ("words", pa.int32())])
+
+
+def units_of(text: str, unit: str = "line") -> list[tuple[int, int, str]]:
+    """(start, end, normalised text) of every unit."""
+    at = [0, *(m.end() for m in ENDS[unit].finditer(text))]
+    if at[-1] < len(text):
+        at.append(len(text))
+    return [(a, b, OTHER.sub(" ", text[a:b].lower()).strip()) for a, b in zip(at, at[1:])]
+
+
+def _batch(h, doc, row, doc_id, n_units, spans) -> pa.RecordBatch:
+    h1, h2 = (pa.array(h[:, k], pa.int64()) if h is not None else pa.nulls(len(doc), pa.int64()) for k in (0, 1))
+    return pa.RecordBatch.from_arrays([h1, h2, pa.array(doc, pa.int64()), pa.array(row, pa.int64()), doc_id, n_units, spans], [x.split()[0] for x in FOUND.split(", ")[:6]] + ["spans"])
+
+
+def _lists(sizes: np.ndarray, columns: list[np.ndarray]) -> pa.ListArray:
+    kinds = [f.type for f in _SPAN]
+    values = pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [f.name for f in _SPAN])
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), values)
+
+
+def _block_rows(unit: str, min_words: int):
+    """Of each block: a row for each document (its units and repeats within the block), and the first unit of each digest."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        docs, digests, owner, spans, size = [], [], [], [], 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            doc, row, doc_id, n_units = (list(x) for x in zip(*docs, strict=True))
+            d, r = np.array(doc, np.int64), np.array(row, np.int64)
+            h = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
+            o = np.array(owner, np.int64)
+            s = np.array(spans, np.int64).reshape(-1, 4)
+            order = np.lexsort((s[:, 0], r[o], d[o], h[:, 1], h[:, 0]))
+            h, o, s = h[order], o[order], s[order]
+            first = np.ones(len(h), bool)
+            first[1:] = (h[1:] != h[:-1]).any(axis=1)
+            head = np.maximum.accumulate(np.where(first, np.arange(len(h)), 0))
+            again = (d[o] != d[o[head]]) | (r[o] != r[o[head]]) | (s[:, 0] != s[head, 0])
+            mine = np.flatnonzero(again)
+            mine = mine[np.lexsort((s[mine, 0], o[mine]))]
+            # every document, with the repeats that are known already
+            yield _batch(None, d, r, pa.array(doc_id, pa.int64()), pa.array(n_units, pa.int64()), _lists(np.bincount(o[mine], minlength=len(d)), list(s[mine].T)))
+            for a in range(0, int(first.sum()), 1 << 16):
+                at = np.flatnonzero(first)[a : a + (1 << 16)]
+                yield _batch(h[at], d[o[at]], r[o[at]], pa.array([doc_id[k] for k in o[at]], pa.int64()), pa.nulls(len(at), pa.int64()), _lists(np.ones(len(at), int), list(s[at].T)))
+
+        for batch in chunks(batches, limit=BLOCK_BYTES):
+            for doc, row, text, doc_id in zip(*(c.to_pylist() for c in batch.columns[:4]), strict=True):
+                found = units_of(text or "", unit)
+                for k, (a, b, norm) in enumerate(found):
+                    if norm and (n := norm.count(" ") + 1) >= min_words:
+                        digests.append(xxhash.xxh128_digest(norm))
+                        owner.append(len(docs))
+                        spans.append((k, a, b, n))
+                docs.append((doc, row, doc_id, len(found)))
+                size += len(text or "")
+            if size >= BLOCK_BYTES:
+                yield from flush()
+                docs, digests, owner, spans, size = [], [], [], [], 0
+        if docs:
+            yield from flush()
+
+    return run
+
+
+def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of documents as they are, and of the sorted units all but the first of a digest."""
+    head = None  # (h1, h2, doc, row, pos) of the running digest's first unit
+    for batch in batches:
+        is_doc = batch.column(0).is_null()
+        if is_doc.true_count:
+            yield batch.filter(is_doc)
+        batch = batch.filter(pa.compute.invert(is_doc))
+        if not batch.num_rows:
+            continue
+        keys = np.stack([batch.column(k).to_numpy() for k in (0, 1, 2, 3)] + [batch.column(6).flatten().field(0).to_numpy().astype(np.int64)], axis=1)
+        if head is not None:
+            keys = np.concatenate([head[None], keys])
+        first = np.ones(len(keys), bool)
+        first[1:] = (keys[1:, :2] != keys[:-1, :2]).any(axis=1)
+        at = np.maximum.accumulate(np.where(first, np.arange(len(keys)), 0))
+        again = (keys[:, 2:] != keys[at, 2:]).any(axis=1)
+        yield batch.filter(pa.array(again[len(keys) - batch.num_rows :]))
+        head = keys[at[-1]]
+
+
+def repeated(docs: DataFrame, unit: str = "line", min_words: int = MIN_WORDS) -> DataFrame:
+    """doc, row, doc_id, times (equal rows), n_units and spans (the repeats, in order) of every distinct row."""
+    found = named(docs).mapInArrow(_block_rows(unit, min_words), FOUND)
+    # rows of documents have no digest; they are dealt by their own hash
+    deal = [F.coalesce("h1", "row"), F.coalesce("h2", F.lit(0))]
+    found = found.repartition(*deal).sortWithinPartitions("h1", "h2", "doc", "row", F.col("spans")[0]["pos"]).mapInArrow(_repeats, FOUND)
+    out = found.groupBy("doc", "row").agg(F.max("doc_id").alias("doc_id"), F.count("n_units").alias("times"), F.max("n_units").alias("n_units"), F.flatten(F.collect_list("spans")).alias("spans"))  # at most the document's own
+    return out.withColumn("spans", F.array_sort(F.array_distinct("spans")))
 
 
 def dedup_report(docs: DataFrame, unit: str = "line", min_words: int = MIN_WORDS) -> DataFrame:
-    """doc_id, n_units, n_removed, removed_chars and removed ("start-end" of each removed unit) per document."""
-    found = units(docs, unit)
-    gone = repeated(found, min_words).groupBy("doc_id").agg(
-        F.count("*").alias("n_removed"), F.sum("length").alias("removed_chars"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", F.col("length").cast("long").alias("length")))), lambda x: F.concat_ws("-", x.start.cast("string"), (x.start + x.length).cast("string"))), ",").alias("removed"),
-    )  # at most the document's own units
-    total = found.groupBy("doc_id").agg(F.count("*").alias("n_units"))
-    out = total.join(gone, total.doc_id.eqNullSafe(gone.doc_id), "left")
-    return out.select(total.doc_id, "n_units", F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.coalesce("removed_chars", F.lit(0)).cast("long").alias("removed_chars"), F.coalesce("removed", F.lit("")).alias("removed"))
+    """Of every row: doc_id, n_units, n_removed, removed_words, removed_chars, longest_run (words of the longest run of removed neighbours) and removed ("start-end" of each removed unit)."""
+    found = repeated(docs, unit, min_words)
+    size = lambda x: x["end"] - x["start"]
+    step = lambda acc, x: F.struct(
+        x["pos"].alias("pos"), F.when(acc["pos"] + 1 == x["pos"], acc["run"] + x["words"]).otherwise(x["words"]).alias("run"),
+        F.greatest(acc["best"], F.when(acc["pos"] + 1 == x["pos"], acc["run"] + x["words"]).otherwise(x["words"])).alias("best"))
+    start = F.struct(F.lit(-9).alias("pos"), F.lit(0).alias("run"), F.lit(0).alias("best"))
+    out = found.select(
+        "doc_id", "n_units", F.size("spans").cast("long").alias("n_removed"), F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + x["words"]).alias("removed_words"),
+        F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + size(x)).alias("removed_chars"), F.aggregate("spans", start, step, lambda a: a["best"].cast("long")).alias("longest_run"),
+        F.array_join(F.transform("spans", lambda x: F.concat_ws("-", x["start"].cast("string"), x["end"].cast("string"))), ",").alias("removed"), "times")
+    return out.select("*", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias("copy")).drop("times", "copy")
 
 
 def dedup_lines(docs: DataFrame, unit: str = "line", min_words: int = MIN_WORDS) -> DataFrame:
-    """The documents with repeated units removed from their texts; all other columns stay, and so do rows without an id."""
-    gap = SEPARATOR[unit]
-    gone = repeated(units(docs, unit), min_words).groupBy("doc_id").agg(F.collect_set("pos").alias("_gone"))
-    left = F.filter(F.transform(F.split("text", gap), lambda x, i: F.when(~F.array_contains("_gone", i), x)), lambda x: x.isNotNull())
-    return docs.join(gone, "doc_id", "left").withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(left, gap))).drop("_gone").select(*docs.columns)
+    """The documents with repeated units removed from their texts; all other columns stay."""
+    spans = repeated(docs, unit, min_words).where(F.size("spans") > 0).select("doc", "row", "spans")
+    rows = named(docs.select("doc_id", "text", F.struct("*").alias("_row")), "_row").drop("text", "doc_id").join(spans, ["doc", "row"], "left")
+    # the stretches between the removed units
+    starts = F.concat(F.array(F.lit(0).cast("long")), F.col("spans.end"))
+    ends = F.concat(F.col("spans.start"), F.array(F.length("_row.text").cast("long")))
+    left = F.array_join(F.zip_with(starts, ends, lambda a, b: F.call_function("substring", F.col("_row.text"), (a + 1).cast("int"), (b - a).cast("int"))), "")
+    text = F.when(F.col("spans").isNull(), F.col("_row.text")).otherwise(left)
+    return rows.select(*[(text if c == "text" else F.col("_row").getField(c)).alias(c) for c in docs.columns])
 
 
 def op3(spark, sf_dir):
@@ -69,12 +174,18 @@ def op3(spark, sf_dir):
 
 
 ORACLE = """
-WITH u AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS unit, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents),
+WITH u AS (SELECT doc_id, unnest(parts) AS unit, generate_subscripts(parts, 1) AS pos
+           FROM (SELECT doc_id, string_split(regexp_replace(coalesce(text, ''), '(\\n|[.!?]+[ \\t]+)', '\\1' || chr(1), 'g'), chr(1)) AS parts FROM documents)),
+v AS (SELECT * FROM u WHERE unit <> ''),
 n AS (SELECT doc_id, pos, length(unit) AS len, trim(regexp_replace(lower(unit), '[^\\p{L}\\p{N}]+', ' ', 'g')) AS norm,
-             coalesce(sum(length(unit) + 1) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM u),
-r AS (SELECT *, CASE WHEN norm <> '' AND len(string_split(norm, ' ')) >= 8
-                     THEN row_number() OVER (PARTITION BY norm ORDER BY doc_id, pos) ELSE 1 END AS rn FROM n)
-SELECT doc_id, count(*) AS n_units, count(*) FILTER (rn > 1) AS n_removed, coalesce(sum(len) FILTER (rn > 1), 0)::BIGINT AS removed_chars,
-       coalesce(string_agg(start::BIGINT || '-' || (start + len)::BIGINT, ',' ORDER BY start) FILTER (rn > 1), '') AS removed
-FROM r GROUP BY doc_id
+             coalesce(sum(length(unit)) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM v),
+r AS (SELECT *, CASE WHEN norm = '' THEN 0 ELSE len(string_split(norm, ' ')) END AS words,
+             norm <> '' AND row_number() OVER (PARTITION BY norm ORDER BY doc_id, pos) > 1 AS gone FROM n),
+g AS (SELECT doc_id, sum(words) AS run FROM (SELECT doc_id, words, pos - row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS island FROM r WHERE gone) GROUP BY doc_id, island),
+b AS (SELECT doc_id, max(run) AS longest_run FROM g GROUP BY doc_id),
+s AS (SELECT doc_id, count(*) AS n_units, count(*) FILTER (gone) AS n_removed, coalesce(sum(words) FILTER (gone), 0)::BIGINT AS removed_words, coalesce(sum(len) FILTER (gone), 0)::BIGINT AS removed_chars,
+             coalesce(string_agg(start::BIGINT || '-' || (start + len)::BIGINT, ',' ORDER BY start) FILTER (gone), '') AS removed FROM r GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_units, 0) AS n_units, coalesce(n_removed, 0) AS n_removed, coalesce(removed_words, 0) AS removed_words, coalesce(removed_chars, 0) AS removed_chars,
+       coalesce(longest_run, 0)::BIGINT AS longest_run, coalesce(removed, '') AS removed
+FROM documents d LEFT JOIN s ON d.doc_id = s.doc_id LEFT JOIN b ON d.doc_id = b.doc_id
 """
