@@ -10,23 +10,28 @@ in 37 bytes.
 
 1. Scan tasks work on blocks of about ``BLOCK_BYTES``. Of equal contexts in
    a block only the first is shuffled; the others are repeats already.
-2. Contexts are dealt by anchor and sorted. Of equal contexts all but the
-   first repeat. An anchor with a single different context is done.
+2. Contexts are dealt by anchor, sorted and read as a stream. Of equal
+   contexts all but the first repeat (they are equal under two 64-bit hashes,
+   of the anchor and of the whole context). An anchor with a single different
+   context is done.
 3. The bytes of the other contexts, which share an anchor but not all their
    bytes, are cut from the texts and dealt by anchor again. Their windows are
-   put in suffix order, truncated at MATCH bytes, ties by place. A suffix's
-   longest previous factor is the longer of its common prefixes with the
-   previous and the next smaller place in that order; with ties by place it
-   reaches MATCH exactly if the entry just before has the same MATCH bytes.
+   put in suffix order with the common prefixes of neighbours. From each
+   suffix the previous and the next smaller place in that order are found; the
+   longer of the common prefixes with these two is its longest previous
+   factor. A window whose factor reaches MATCH bytes repeats.
 4. A document's repeats are merged and taken out of its bytes.
 
-An anchor with very many different contexts (the edge of a passage that
-many documents hold) would meet in one task. Anchors that are frequent in
-blocks are therefore found first, and every window under one becomes a
-context of its own, whose first place is found by step 2 alone.
+No anchor is held whole beyond ``MOST`` contexts: the windows of an anchor
+with more are dealt one by one by their own hash, and the first place of each
+stays. Anchors that are frequent in blocks (the edge of a passage that many
+documents hold) are found before step 1 and their windows dealt like that at
+once, so that they do not meet in one task.
 
-Edge cases: null is the empty text; rows with one doc_id are one document
-(their places coincide); a null id ranks last; empty tables give no rows.
+Edge cases: null is the empty text; a row owns its spans, so null and
+repeated ids do not mix texts: ids rank the rows (null last), equal ids by a
+hash of the row; rows equal in id and text are one document (their places
+coincide); empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -39,14 +44,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from concord.llm.common import documents, durable, parts, table, text_size
+from concord.llm.common import durable, named, parts, table, text_size
 from concord.llm.kernels import BYTE_CODE, U64, chunks, mix, powers, prefix_hash, span_hash, text_bytes
 
 MATCH, GRAM = 100, 28
 BLOCK_BYTES = 16 << 20
 OFTEN = 8  # contexts of one anchor in a block, from which a block reports the anchor
-LAST = (1 << 63) - 1  # stands for a null id
-GROUP_BYTES = 1 << 20  # context bytes that are put in suffix order at once
+GROUP_BYTES = 1 << 19  # context bytes that are put in suffix order at once
+MOST = 2048  # contexts of one anchor that are put in suffix order
 
 
 def contexts(data: np.ndarray, at: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -87,25 +92,23 @@ def contexts(data: np.ndarray, at: np.ndarray, hot: np.ndarray) -> tuple[np.ndar
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], hot: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
-    """Contexts of about BLOCK_BYTES of text: h, g, doc_id, start, windows, sorted by these; and the number of equal ones before each."""
+    """Contexts of about BLOCK_BYTES of text: h, g, doc, row, start, windows, sorted by these; and which are the first of equal ones."""
     held, size = [], 0
 
     def flush():
         nonlocal size
-        h, g, doc, s, n = (np.concatenate(x) for x in zip(*held, strict=True))
+        h, g, doc, row, s, n = (np.concatenate(x) for x in zip(*held, strict=True))
         held.clear()
         size = 0
-        order = np.lexsort((s, doc, g, h))
-        h, g, doc, s, n = (x[order] for x in (h, g, doc, s, n))
-        first = np.ones(len(h), bool)
-        first[1:] = (h[1:] != h[:-1]) | (g[1:] != g[:-1])
-        return h, g, doc, s, n, first
+        order = np.lexsort((s, row, doc, g, h))
+        h, g, doc, row, s, n = (x[order] for x in (h, g, doc, row, s, n))
+        return h, g, doc, row, s, n, _starts(h, g)
 
     for batch in chunks(batches):
-        data, at = text_bytes(batch.column(1))
-        ids = batch.column(0).fill_null(LAST).to_numpy(zero_copy_only=False)
-        h, g, doc, s, n = contexts(data, at, hot)
-        held.append((h, g, ids[doc], s, n))
+        data, at = text_bytes(batch.column(2))
+        doc, row = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        h, g, owner, s, n = contexts(data, at, hot)
+        held.append((h, g, doc[owner], row[owner], s, n))
         size += len(data)
         if size >= BLOCK_BYTES:
             yield flush()
@@ -113,23 +116,30 @@ def _blocks(batches: Iterator[pa.RecordBatch], hot: np.ndarray) -> Iterator[tupl
         yield flush()
 
 
-def _not_at_first(first: np.ndarray, doc: np.ndarray, s: np.ndarray) -> np.ndarray:
+def _starts(*keys: np.ndarray) -> np.ndarray:
+    """Where a run of equal keys starts."""
+    first = np.ones(len(keys[0]), bool)
+    first[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+    return first
+
+
+def _again(first: np.ndarray, *place: np.ndarray) -> np.ndarray:
     """Rows that stand at another place than the first row of their run."""
     head = np.maximum.accumulate(np.where(first, np.arange(len(first)), 0))
-    return (doc != doc[head]) | (s != s[head])
+    return ~first & np.logical_or.reduce([p != p[head] for p in place])
 
 
-def _merged(doc: np.ndarray, s: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _merged(doc: np.ndarray, row: np.ndarray, s: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
     """Runs of windows that touch or overlap, as one; a length has 16 bits."""
-    order = np.lexsort((s, doc))
-    doc, s, n = doc[order], s[order], n[order]
+    order = np.lexsort((s, row, doc))
+    doc, row, s, n = doc[order], row[order], s[order], n[order]
     if not len(doc):
-        return doc, s, n
+        return doc, row, s, n
     end = s + n
-    new = np.ones(len(doc), bool)
-    new[1:] = (doc[1:] != doc[:-1]) | (s[1:] > end[:-1]) | (s[1:] >> 15 != s[:-1] >> 15)
+    new = _starts(doc, row)
+    new[1:] |= (s[1:] > end[:-1]) | (s[1:] >> 15 != s[:-1] >> 15)
     start = np.flatnonzero(new)
-    return doc[start], s[start], np.maximum.reduceat(end, start) - s[start]
+    return doc[start], row[start], s[start], np.maximum.reduceat(end, start) - s[start]
 
 
 def often_anchors(docs: DataFrame) -> np.ndarray:
@@ -137,12 +147,11 @@ def often_anchors(docs: DataFrame) -> np.ndarray:
 
     Blocks report anchors with OFTEN or more different contexts, and an
     anchor is taken from OFTEN times the number of blocks on, so there are at
-    most a block's contexts / OFTEN of them, and every other anchor has fewer
-    than 2 * OFTEN contexts a block.
+    most a block's contexts / OFTEN of them.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for h, _, _, _, _, first in _blocks(batches, np.zeros(0, U64)):
+        for h, _, _, _, _, _, first in _blocks(batches, np.zeros(0, U64)):
             anchor, count = np.unique(h[first], return_counts=True)
             keep = count >= OFTEN
             yield pa.RecordBatch.from_arrays([pa.array(np.append(anchor[keep].view(np.int64), 0)), pa.array(np.append(count[keep], 0)), pa.array(np.append(np.zeros(keep.sum(), np.int64), 1))], ["h", "n", "blocks"])
@@ -153,123 +162,170 @@ def often_anchors(docs: DataFrame) -> np.ndarray:
     return np.sort(np.array([r.h for r in rows], np.int64).view(U64))
 
 
-SPANS = "doc long, at long, h long"  # at: start << 16 | length; h: the anchor of a context to compare, or null for a repeat
+SPANS = "doc long, row long, at long, h long"  # at: start << 16 | length; h: the anchor of a context to compare, or null for a repeat
 
 
-def _spans(doc, s, n, h=None) -> pa.RecordBatch:
+def _spans(doc, row, s, n, h=None) -> pa.RecordBatch:
     many = pa.array(h.view(np.int64)) if h is not None else pa.nulls(len(doc), pa.int64())
-    return pa.RecordBatch.from_arrays([pa.array(doc), pa.array((s << 16) | n), many], ["doc", "at", "h"])
+    return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(row), pa.array((s << 16) | n), many], ["doc", "row", "at", "h"])
+
+
+def _first_of_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of sorted contexts: repeats, and the first of each where its anchor has several. Holds one batch and one row."""
+    kept, told = None, False  # the first row of the running context, and whether it has been given out
+
+    for batch in batches:
+        lone = batch.column(1).is_null()
+        alone = batch.filter(lone)
+        if alone.num_rows:
+            yield pa.RecordBatch.from_arrays([alone.column(2), alone.column(3), alone.column(4), pa.nulls(alone.num_rows, pa.int64())], ["doc", "row", "at", "h"])
+        batch = batch.filter(pa.compute.invert(lone))
+        if not batch.num_rows:
+            continue
+        rows = np.stack([c.to_numpy() for c in batch.columns])
+        more = kept is not None
+        if more:
+            rows = np.concatenate([kept[:, None], rows], axis=1)
+        h, g, doc, row, at = rows
+        first = _starts(h, g)
+        again = _again(first, doc, row, at >> 16)
+        heads = np.flatnonzero(first)
+        near = h[heads][1:] == h[heads][:-1]
+        several = np.append(near, False) | np.append(False, near)
+        if more:  # an earlier context of its anchor may have shown that there are several
+            several[0] &= not told
+        yield _spans(doc[again], row[again], at[again] >> 16, at[again] & 0xFFFF)
+        c = heads[several]
+        yield _spans(doc[c], row[c], at[c] >> 16, at[c] & 0xFFFF, h[c])
+        told = bool(several[-1]) or (more and len(heads) == 1 and told)
+        kept = rows[:, heads[-1]]
 
 
 def split_contexts(docs: DataFrame, hot: np.ndarray, tasks: int) -> DataFrame:
     """SPANS of all repeats that equal contexts show, and of the contexts to compare."""
 
     def first_of_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for h, g, doc, s, n, first in _blocks(batches, hot):
-            again = ~first & _not_at_first(first, doc, s)
-            d, at, many = _merged(doc[again], s[again], n[again])
+        for h, g, doc, row, s, n, first in _blocks(batches, hot):
+            again = _again(first, doc, row, s)
+            d, r, at, many = _merged(doc[again], row[again], s[again], n[again])
             # repeats have no g; their h only deals them evenly
-            h = np.concatenate([h[first], mix(at.view(U64) ^ mix(d.view(U64)))])
+            h = np.concatenate([h[first], mix(at.view(U64) ^ mix(r.view(U64)))])
             g = pa.array(np.concatenate([g[first], np.zeros(len(d), U64)]).view(np.int64), mask=np.arange(len(h)) >= first.sum())
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), g, pa.array(np.concatenate([doc[first], d])), pa.array(np.concatenate([(s[first] << 16) | n[first], (at << 16) | many]))], ["h", "g", "doc", "at"])
-
-    def first_of_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
-
-        def resolve(t: pa.Table) -> pa.RecordBatch:
-            h, g, doc, at = (t.column(i).to_numpy() for i in range(4))
-            s, n = at >> 16, at & 0xFFFF
-            first = np.ones(len(h), bool)
-            first[1:] = (h[1:] != h[:-1]) | (g[1:] != g[:-1])
-            again = ~first & _not_at_first(first, doc, s)
-            heads = np.flatnonzero(first)
-            _, group = np.unique(h[heads], return_inverse=True)
-            several = np.bincount(group)[group] > 1
-            c = heads[several]
-            mine = np.concatenate([np.flatnonzero(again), c])
-            kind = pa.array(h[mine].view(np.int64), mask=np.arange(len(mine)) < again.sum())
-            return pa.RecordBatch.from_arrays([pa.array(doc[mine]), pa.array((s[mine] << 16) | n[mine]), kind], ["doc", "at", "h"])
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), g, pa.array(np.concatenate([doc[first], d])), pa.array(np.concatenate([row[first], r])), pa.array(np.concatenate([(s[first] << 16) | n[first], (at << 16) | many]))], ["h", "g", "doc", "row", "at"])
 
-        for batch in batches:
-            t = pa.Table.from_batches([batch])
-            lone = t.column("g").is_null()
-            alone = t.filter(lone)
-            if len(alone):
-                yield pa.RecordBatch.from_arrays([alone.column("doc").combine_chunks(), alone.column("at").combine_chunks(), pa.nulls(len(alone), pa.int64())], ["doc", "at", "h"])
-            t = t.filter(pa.compute.invert(lone))
-            held = t if held is None else pa.concat_tables([held, t])
-            if len(held) < 1 << 16:
-                continue
-            h = held.column("h").to_numpy()
-            cut = int(np.searchsorted(h, h[-1]))  # the last anchor may go on
-            if cut:
-                yield resolve(held.slice(0, cut))
-                held = held.slice(cut)
-        if held is not None and len(held):
-            yield resolve(held)
-
-    found = docs.mapInArrow(first_of_block, "h long, g long, doc long, at long")
-    return found.repartition(tasks, "h").sortWithinPartitions("h", "g", "doc", "at").mapInArrow(first_of_all, SPANS)
+    found = docs.mapInArrow(first_of_block, "h long, g long, doc long, row long, at long")
+    return found.repartition(tasks, "h").sortWithinPartitions("h", "g", "doc", "row", "at").mapInArrow(_first_of_all, SPANS)
+
+
+def common_with_smaller(place: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """Along the suffix order: the common prefix of each suffix with the previous one at a smaller place, 0 without one.
+
+    common[i] is that of suffixes i - 1 and i. Pointers jump over larger
+    places in rounds, with the least common prefix on their way.
+    """
+    at, low = np.arange(len(place)) - 1, common.copy()
+    todo = np.arange(len(place))
+    while True:
+        todo = todo[at[todo] >= 0]
+        todo = todo[place[at[todo]] >= place[todo]]
+        if not len(todo):
+            break
+        over = at[todo]
+        low[todo], at[todo] = np.minimum(low[todo], low[over]), at[over]
+    return np.where(at >= 0, low, 0)
+
+
+def longest_previous_factors(suffixes: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """The longest previous factor, up to the suffixes' width, of each; suffixes: rows of bytes in order, place: their places."""
+    common = np.zeros(len(suffixes) + 1, np.int64)  # of neighbours
+    differ = suffixes[1:] != suffixes[:-1]
+    common[1:-1] = np.where(differ.any(axis=1), differ.argmax(axis=1), suffixes.shape[1])
+    previous = common_with_smaller(place, common[:-1])
+    following = common_with_smaller(place[::-1], common[::-1][:-1])[::-1]
+    return np.maximum(previous, following)
+
+
+def _factors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of contexts and lone windows, sorted by h: the windows that repeat."""
+    held, size, kept = [], 0, None
+
+    def resolve(t: pa.Table) -> pa.RecordBatch:
+        h, doc, row, s = (t.column(i).to_numpy() for i in range(4))
+        joined = t.column("bytes").combine_chunks()
+        data, at = np.frombuffer(joined.buffers()[2], np.uint8), np.frombuffer(joined.buffers()[1], np.int32)[joined.offset : joined.offset + len(joined) + 1].astype(np.int64)
+        many = np.diff(at) - MATCH + 1
+        owner = np.repeat(np.arange(len(h)), many)
+        within = np.arange(len(owner)) - np.repeat(np.cumsum(many) - many, many)
+        key = np.empty((len(owner), MATCH + 8), np.uint8)  # the anchor, then the suffix
+        key[:, :8] = h[owner].astype(">i8").view(np.uint8).reshape(-1, 8)
+        key[:, 8:] = np.lib.stride_tricks.sliding_window_view(data, MATCH)[at[:-1][owner] + within]
+        doc, row, s = doc[owner], row[owner], s[owner] + within
+        order = np.lexsort((s, row, doc))
+        place = np.empty(len(order), np.int64)
+        place[order] = np.cumsum(_starts(doc[order], row[order], s[order]))
+        order = order[np.argsort(key.view(f"S{MATCH + 8}")[order, 0], kind="stable")]
+        again = order[longest_previous_factors(key[order], place[order]) == MATCH + 8]  # the anchor's 8 bytes agree too
+        return _spans(*_merged(doc[again], row[again], s[again], np.ones(len(again), np.int64)))
+
+    for batch in batches:
+        alone = batch.column(4).is_null()
+        if alone.true_count:  # windows of anchors with over MOST contexts: a stream, of which the first of each stays
+            rows = np.stack([c.to_numpy() for c in batch.filter(alone).columns[:4]])
+            more = kept is not None
+            rows = np.concatenate([kept[:, None], rows], axis=1) if more else rows
+            first = _starts(rows[0])
+            again = _again(first, *rows[1:])
+            yield _spans(*_merged(*rows[1:, again], np.ones(int(again.sum()), np.int64)))
+            kept = rows[:, np.flatnonzero(first)[-1]]
+            batch = batch.filter(pa.compute.invert(alone))
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        size += batch.column(4).nbytes
+        if size < GROUP_BYTES:
+            continue
+        t = pa.Table.from_batches(held)
+        h = t.column("h").to_numpy()
+        end = int(np.searchsorted(h, h[-1]))
+        held, size = t.slice(end).combine_chunks().to_batches(), t.slice(end).nbytes
+        start = 0
+        while start < end:  # whole anchors, about GROUP_BYTES at a time
+            stop = max(int(np.searchsorted(h, h[start], "right")), min(end, start + GROUP_BYTES // (MATCH + 35)))
+            stop = min(end, int(np.searchsorted(h, h[stop - 1], "right")))
+            yield resolve(t.slice(start, stop - start))
+            start = stop
+    if held:
+        yield resolve(pa.Table.from_batches(held))
 
 
 def compare_contexts(texts: DataFrame, spans: DataFrame, tasks: int) -> DataFrame:
-    """SPANS of the repeats among contexts that share an anchor, by suffix order."""
+    """SPANS of the repeats among contexts that share an anchor, by longest previous factors."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["h", "doc", "row", "s", "bytes"]
         for batch in batches:
-            for doc, text, todo in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            for doc, row, text, todo in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 data = (text or "").encode()
-                starts = [x["at"] >> 16 for x in todo]
-                rows = [data[s : s + (x["at"] & 0xFFFF) + MATCH - 1] for s, x in zip(starts, todo, strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array([x["h"] for x in todo], pa.int64()), pa.array([doc] * len(rows), pa.int64()), pa.array(starts, pa.int64()), pa.array(rows, pa.binary())], ["h", "doc", "s", "bytes"])
-
-    def factors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-
-        def resolve(t: pa.Table) -> pa.RecordBatch:
-            h, doc, s = (t.column(i).to_numpy() for i in range(3))
-            joined = t.column("bytes").combine_chunks()
-            data, at = np.frombuffer(joined.buffers()[2], np.uint8), np.frombuffer(joined.buffers()[1], np.int32)[joined.offset : joined.offset + len(joined) + 1].astype(np.int64)
-            many = np.diff(at) - MATCH + 1
-            owner = np.repeat(np.arange(len(h)), many)
-            within = np.arange(len(owner)) - np.repeat(np.cumsum(many) - many, many)
-            begin = at[:-1][owner] + within
-            key = np.empty((len(owner), MATCH + 8), np.uint8)  # the anchor, then the suffix
-            key[:, :8] = h[owner].astype(">i8").view(np.uint8).reshape(-1, 8)
-            key[:, 8:] = np.lib.stride_tricks.sliding_window_view(data, MATCH)[begin]
-            key = key.view(f"S{MATCH + 8}")[:, 0]
-            order = np.lexsort((s[owner] + within, doc[owner]))  # by place
-            order = order[np.argsort(key[order], kind="stable")]  # then by suffix
-            same = key[order][1:] == key[order][:-1]
-            # the first of each run of equal suffixes is the smallest place; the rest have a previous factor of MATCH bytes
-            first = np.append(True, ~same)
-            d, p = doc[owner][order], (s[owner] + within)[order]
-            again = np.flatnonzero(~first & _not_at_first(first, d, p))
-            d, p = d[again], p[again]
-            return _spans(*_merged(d, p, np.ones(len(p), np.int64)))
-
-        for batch in batches:
-            held.append(batch)
-            size += batch.column("bytes").nbytes
-            if size < GROUP_BYTES:
-                continue
-            t = pa.Table.from_batches(held)
-            h = t.column("h").to_numpy()
-            end = int(np.searchsorted(h, h[-1]))
-            held, size = t.slice(end).combine_chunks().to_batches(), t.slice(end).nbytes
-            start = 0
-            while start < end:  # whole anchors, about GROUP_BYTES at a time
-                stop = max(int(np.searchsorted(h, h[start], "right")), min(end, start + GROUP_BYTES // (MATCH + 35)))
-                stop = min(end, int(np.searchsorted(h, h[stop - 1], "right")))
-                yield resolve(t.slice(start, stop - start))
-                start = stop
-        if held:
-            yield resolve(pa.Table.from_batches(held))
-
-    todo = spans.where("h IS NOT NULL").groupBy("doc").agg(F.collect_list(F.struct("at", "h")).alias("todo"))  # at most the document's own
+                few = [x for x in todo if not x["many"]]
+                starts = [x["at"] >> 16 for x in few]
+                rows = [data[s : s + (x["at"] & 0xFFFF) + MATCH - 1] for s, x in zip(starts, few, strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array([x["h"] for x in few], pa.int64()), pa.array([doc] * len(rows), pa.int64()), pa.array([row] * len(rows), pa.int64()), pa.array(starts, pa.int64()), pa.array(rows, pa.binary())], names)
+                if len(few) == len(todo):
+                    continue
+                prefix = prefix_hash(BYTE_CODE[np.frombuffer(data, np.uint8)])
+                for x in todo:
+                    if x["many"]:
+                        s = (x["at"] >> 16) + np.arange(x["at"] & 0xFFFF)
+                        h = mix(span_hash(prefix, s, s + MATCH) + np.array([x["h"]]).view(U64))
+                        yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.full(len(s), doc)), pa.array(np.full(len(s), row)), pa.array(s), pa.nulls(len(s), pa.binary())], names)
+
+    todo = spans.where("h IS NOT NULL")
+    big = todo.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > MOST).select("h", F.lit(True).alias("many"))
+    todo = todo.join(big, "h", "left").withColumn("many", F.coalesce("many", F.lit(False)))
+    todo = todo.groupBy("doc", "row").agg(F.collect_list(F.struct("at", "h", "many")).alias("todo"))  # at most the document's own
     # the same columns of the texts as in report(), so that one exchange of them serves both
-    pieces = texts.join(todo, "doc").select("doc", "text", "todo", "doc_id").mapInArrow(cut, "h long, doc long, s long, bytes binary")
-    return pieces.repartition(tasks, "h").sortWithinPartitions("h").mapInArrow(factors, SPANS)
+    pieces = texts.join(todo, ["doc", "row"]).select("doc", "row", "text", "todo", "doc_id").mapInArrow(cut, "h long, doc long, row long, s long, bytes binary")
+    return pieces.repartition(tasks, "h").sortWithinPartitions("h", "doc", "row", "s").mapInArrow(_factors, SPANS)
 
 
 def remaining(data: bytes, spans: list[int]) -> tuple[list[tuple[int, int]], bytes]:
@@ -286,13 +342,12 @@ def remaining(data: bytes, spans: list[int]) -> tuple[list[tuple[int, int]], byt
 
 
 def repeated_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The texts by doc (LAST for null), and doc with the list of its repeats (as in SPANS)."""
-    rows = documents(docs)
-    tasks = parts(text_size(rows), 8 << 20)
-    spans = durable(split_contexts(rows, often_anchors(rows), tasks))
-    texts = rows.select(F.coalesce("doc_id", F.lit(LAST)).alias("doc"), "text", "doc_id")
-    repeats = spans.where("h IS NULL").select("doc", "at").union(compare_contexts(texts, spans, tasks).select("doc", "at"))
-    return texts, repeats.groupBy("doc").agg(F.collect_list("at").alias("spans"))  # at most the document's own bytes
+    """The texts by doc and row, and doc and row with the list of their repeats (as in SPANS)."""
+    texts = named(docs)
+    tasks = parts(text_size(docs))
+    spans = durable(split_contexts(texts, often_anchors(texts), tasks))
+    repeats = spans.where("h IS NULL").select("doc", "row", "at").union(compare_contexts(texts, spans, tasks).select("doc", "row", "at"))
+    return texts, repeats.groupBy("doc", "row").agg(F.collect_list("at").alias("spans"))  # at most the document's own bytes
 
 
 def report(docs: DataFrame) -> DataFrame:
@@ -310,7 +365,7 @@ def report(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     texts, spans = repeated_spans(docs)
-    return texts.join(spans, "doc", "left").select("doc_id", "text", "spans", "doc").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return texts.join(spans, ["doc", "row"], "left").select("doc_id", "text", "spans", "doc", "row").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def op9(spark, sf_dir):

@@ -137,7 +137,7 @@ def repeated(docs: DataFrame, unit: str = "line", min_words: int = MIN_WORDS) ->
     found = named(docs).mapInArrow(_block_rows(unit, min_words), FOUND)
     # rows of documents have no digest; they are dealt by their own hash
     deal = [F.coalesce("h1", "row"), F.coalesce("h2", F.lit(0))]
-    found = found.repartition(*deal).sortWithinPartitions("h1", "h2", "doc", "row", F.col("spans")[0]["pos"]).mapInArrow(_repeats, FOUND)
+    found = found.repartition(*deal).sortWithinPartitions("h1", "h2", "doc", "row", F.get("spans", F.lit(0))["pos"]).mapInArrow(_repeats, FOUND)
     out = found.groupBy("doc", "row").agg(F.max("doc_id").alias("doc_id"), F.count("n_units").alias("times"), F.max("n_units").alias("n_units"), F.flatten(F.collect_list("spans")).alias("spans"))  # at most the document's own
     return out.withColumn("spans", F.array_sort(F.array_distinct("spans")))
 
