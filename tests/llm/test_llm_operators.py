@@ -1,6 +1,5 @@
 """The numbered operators against brute force, and their edge cases."""
 
-import hashlib
 import json
 import math
 import re
@@ -12,7 +11,7 @@ import pytest
 import xxhash
 
 import corpus_pipeline
-from concord.llm import byte_dedup, decontaminate, language_id, language_model, line_dedup, near_duplicates, packing, quality_model, quality_rules, secrets
+from concord.llm import byte_dedup, decontaminate, language_id, language_model, near_duplicates, packing, quality_model, quality_rules, secrets
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, words string, key string, hash long, row string"
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon phi chi psi omega".split()
@@ -142,32 +141,6 @@ def test_forest_removes_false_positives(spark):
     assert sum((r.p >= 0.5) == (r.label == 1) for r in got) >= 0.97 * len(got)
 
 
-def test_line_dedup(spark, docs, empty):
-    got = {r.doc_id: r for r in line_dedup.dedup_report(docs).collect()}
-    seen, want = {}, {}
-    one = {}
-    for i, t in TEXTS:
-        one.setdefault(i, []).append(t or "")
-    for i in sorted((k for k in one), key=lambda k: (k is None, k)):
-        spans = set()
-        for t in one[i]:
-            at = 0
-            for k, line in enumerate(t.split("\n")):
-                key = " ".join(re.findall(r"[^\W_]+", line.lower()))
-                if len(key.split()) >= line_dedup.MIN_WORDS and seen.setdefault(key, (i, k)) != (i, k):
-                    spans.add((at, at + len(line)))
-                at += len(line) + 1
-        want[i] = spans
-    for i, spans in want.items():
-        if len(one[i]) == 1:
-            assert got[i].removed == ",".join(f"{a}-{b}" for a, b in sorted(spans)), i
-            assert got[i].n_removed == len(spans)
-    assert got[2].n_removed > 0 and got[1].n_removed == 0 and got[6].n_units == 1
-    kept = {r.doc_id: r.text for r in line_dedup.dedup_lines(docs).collect()}
-    assert kept[4] == dict(TEXTS)[4] and kept[2].strip("\n") == "" and kept[6] is None
-    assert line_dedup.dedup_report(empty).count() == 0
-
-
 def fingerprint(text):
     w = low(text).encode()
     w = re.findall(rb"[^\x20\x09-\x0D]+", w)
@@ -303,30 +276,6 @@ def test_quality_model(spark, empty):
     assert quality_model.score(empty, quality_model.fit(df, labels.limit(0))).count() == 0
 
 
-def removed_bytes(rows):
-    seen, out = {}, {}
-    for d, t in rows:
-        b = (t or "").encode()
-        gone = bytearray(len(b))
-        for i in range(len(b) - 99):
-            if seen.setdefault(b[i : i + 100], (d, i)) != (d, i):
-                gone[i : i + 100] = b"\1" * 100
-        kept = bytes(x for x, g in zip(b, gone) if not g)
-        runs = sum(1 for i in range(len(b)) if gone[i] and (i == 0 or not gone[i - 1]))
-        out[d] = (len(b), sum(gone), runs, hashlib.sha256(kept).hexdigest())
-    return out
-
-
-@pytest.mark.parametrize("often", [8, 1])
-def test_byte_dedup(spark, docs, empty, monkeypatch, often):
-    monkeypatch.setattr(byte_dedup, "OFTEN", often)
-    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in byte_dedup.report(docs).collect()}
-    once = dict(sorted(((i, t) for i, t in TEXTS if i is not None), key=lambda x: x[0]))
-    want = removed_bytes([*once.items(), (None, prose(9))])
-    assert got == want
-    assert byte_dedup.report(empty).count() == 0
-
-
 def test_anchors_cover_every_window():
     text = (prose(1) + prose(2)).encode()
     data = np.frombuffer(text, np.uint8)
