@@ -132,40 +132,60 @@ def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head = keys[at[-1]]
 
 
+REPORT = "doc long, row long, doc_id long, times long, n_units long, n_removed long, removed_words long, removed_chars long, longest_run long, removed string, starts array<long>, ends array<long>"
+
+
+def _figures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The figures of each row's repeats, put in order."""
+    for batch in batches:
+        lists = batch.column(5)
+        owner = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+        pos, start, end, words = (c.to_numpy().astype(np.int64) for c in lists.flatten().flatten())
+        order = np.lexsort((pos, owner))
+        owner, pos, start, end, words = (x[order] for x in (owner, pos, start, end, words))
+        new = np.ones(len(pos), bool)  # equal rows report the same repeats
+        new[1:] = (owner[1:] != owner[:-1]) | (pos[1:] != pos[:-1])
+        owner, pos, start, end, words = (x[new] for x in (owner, pos, start, end, words))
+        sizes = np.bincount(owner, minlength=len(lists))
+        longest = np.zeros(len(lists), np.int64)
+        if len(pos):
+            head = np.ones(len(pos), bool)
+            head[1:] = (owner[1:] != owner[:-1]) | (pos[1:] != pos[:-1] + 1)
+            runs = np.flatnonzero(head)
+            np.maximum.at(longest, owner[runs], np.add.reduceat(words, runs))
+        sums = lambda x: pa.array(np.bincount(owner, x, len(lists)).astype(np.int64))
+        at = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+        named = [f"{a}-{b}" for a, b in zip(start.tolist(), end.tolist(), strict=True)]
+        texts = [",".join(named[a:b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+        made = [pa.array(sizes.astype(np.int64)), sums(words), sums(end - start), pa.array(longest), pa.array(texts, pa.string()), *(pa.ListArray.from_arrays(pa.array(at), pa.array(x)) for x in (start, end))]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:5], *made], [x.split()[0] for x in REPORT.split(", ")])
+
+
 def repeated(docs: DataFrame, unit: str = "line", min_words: int = MIN_WORDS) -> DataFrame:
-    """doc, row, doc_id, times (equal rows), n_units and spans (the repeats, in order) of every distinct row."""
+    """REPORT of every distinct row; times: the number of rows equal to it."""
     found = named(docs).mapInArrow(_block_rows(unit, min_words), FOUND)
     # rows of documents have no digest; they are dealt by their own hash
     deal = [F.coalesce("h1", "row"), F.coalesce("h2", F.lit(0))]
     found = found.repartition(*deal).sortWithinPartitions("h1", "h2", "doc", "row", F.get("spans", F.lit(0))["pos"]).mapInArrow(_repeats, FOUND)
-    out = found.groupBy("doc", "row").agg(F.max("doc_id").alias("doc_id"), F.count("n_units").alias("times"), F.max("n_units").alias("n_units"), F.flatten(F.collect_list("spans")).alias("spans"))  # at most the document's own
-    return out.withColumn("spans", F.array_sort(F.array_distinct("spans")))
+    gathered = found.groupBy("doc", "row").agg(F.max("doc_id").alias("doc_id"), F.count("n_units").alias("times"), F.max("n_units").alias("n_units"), F.flatten(F.collect_list("spans")).alias("spans"))  # at most the document's own
+    return gathered.mapInArrow(_figures, REPORT)
 
 
 def dedup_report(docs: DataFrame, unit: str = "line", min_words: int = MIN_WORDS) -> DataFrame:
     """Of every row: doc_id, n_units, n_removed, removed_words, removed_chars, longest_run (words of the longest run of removed neighbours) and removed ("start-end" of each removed unit)."""
-    found = repeated(docs, unit, min_words)
-    size = lambda x: x["end"] - x["start"]
-    step = lambda acc, x: F.struct(
-        x["pos"].alias("pos"), F.when(acc["pos"] + 1 == x["pos"], acc["run"] + x["words"]).otherwise(x["words"]).alias("run"),
-        F.greatest(acc["best"], F.when(acc["pos"] + 1 == x["pos"], acc["run"] + x["words"]).otherwise(x["words"])).alias("best"))
-    start = F.struct(F.lit(-9).alias("pos"), F.lit(0).alias("run"), F.lit(0).alias("best"))
-    out = found.select(
-        "doc_id", "n_units", F.size("spans").cast("long").alias("n_removed"), F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + x["words"]).alias("removed_words"),
-        F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + size(x)).alias("removed_chars"), F.aggregate("spans", start, step, lambda a: a["best"].cast("long")).alias("longest_run"),
-        F.array_join(F.transform("spans", lambda x: F.concat_ws("-", x["start"].cast("string"), x["end"].cast("string"))), ",").alias("removed"), "times")
-    return out.select("*", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias("copy")).drop("times", "copy")
+    found = repeated(docs, unit, min_words).select("doc_id", "n_units", "n_removed", "removed_words", "removed_chars", "longest_run", "removed", "times")
+    return found.select("*", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias("copy")).drop("times", "copy")
 
 
 def dedup_lines(docs: DataFrame, unit: str = "line", min_words: int = MIN_WORDS) -> DataFrame:
     """The documents with repeated units removed from their texts; all other columns stay."""
-    spans = repeated(docs, unit, min_words).where(F.size("spans") > 0).select("doc", "row", "spans")
-    rows = named(docs.select("doc_id", "text", F.struct("*").alias("_row")), "_row").drop("text", "doc_id").join(spans, ["doc", "row"], "left")
+    gone = repeated(docs, unit, min_words).where("n_removed > 0").select("doc", "row", F.struct("starts", "ends").alias("_gone"))
+    rows = named(docs.select("doc_id", "text", F.struct("*").alias("_row")), "_row").drop("text", "doc_id").join(gone, ["doc", "row"], "left")
     # the stretches between the removed units
-    starts = F.concat(F.array(F.lit(0).cast("long")), F.col("spans.end"))
-    ends = F.concat(F.col("spans.start"), F.array(F.length("_row.text").cast("long")))
+    starts = F.concat(F.array(F.lit(0).cast("long")), F.col("_gone.ends"))
+    ends = F.concat(F.col("_gone.starts"), F.array(F.length("_row.text").cast("long")))
     left = F.array_join(F.zip_with(starts, ends, lambda a, b: F.call_function("substring", F.col("_row.text"), (a + 1).cast("int"), (b - a).cast("int"))), "")
-    text = F.when(F.col("spans").isNull(), F.col("_row.text")).otherwise(left)
+    text = F.when(F.col("_gone").isNull(), F.col("_row.text")).otherwise(left)
     return rows.select(*[(text if c == "text" else F.col("_row").getField(c)).alias(c) for c in docs.columns])
 
 
