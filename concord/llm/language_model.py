@@ -1,24 +1,30 @@
 """Operator 6: language-model scores from a weighted backoff automaton.
 
-1. Scan tasks cut their documents into blocks of about ``BLOCK_BYTES`` of
-   text. A block is one row: its distinct tokens with their training counts,
-   and its documents as indexes into them. Blocks are checkpointed.
-2. Token counts are summed over all blocks with an ordinary groupBy.
-3. Every token has a class: frequent tokens (at least one in ``HEAD`` of all
-   tokens, so there are at most ``HEAD``) are classes of their own, others
-   share ``SUFFIXES`` classes by their last two bytes. Class bigrams are
-   counted over all training documents. Smoothed by absolute discounting,
-   they become the automaton: a state for each class, an arc for each bigram
-   seen, and a failure arc with its weight to the root state. Its size is
-   bounded by (HEAD + SUFFIXES + 1)^2, whatever the corpus.
-4. The counts of a block's tokens are joined back to the block, and one pass
-   over each document moves from state to state and adds log-probabilities
-   of classes (from the automaton) and of tokens in their class (from the
-   counts, add-one, with one unknown token a class).
-
-The counts grow with the corpus and are never collected or broadcast; only
-the automaton is. Tokens are identified by 54 bits of their hash and their
-class.
+The model is smoothed word trigrams. A state is a context seen in training:
+the last two tokens, the last one, or none (the root). A state has an arc for
+every token seen after it and a failure arc to the state without its oldest
+token; weights are log-probabilities. With c the count of an n-gram, n that of
+its context, and p' the weight of the token below, an arc weighs
+(c + mu p') / (n + mu) and a failure arc mu / (n + mu); at the root a token
+weighs (c + 1) / (N + V + 1). The weights of a state's tokens sum to one. A
+document starts in the state of its start mark and ends with an end token.
+
+The automaton grows with the corpus and is never collected or broadcast:
+
+1. Scan tasks cut their documents into blocks of about ``BLOCK_BYTES``. A
+   block tells its distinct n-grams, each with its count in the block's
+   training documents, to the ``p`` parts of the key space: one row a block
+   and part, keys sorted, as differences, compressed.
+2. A part adds up the counts of each n-gram over all blocks, and gives a block
+   those that differ from the block's own. An n-gram that no other block
+   holds need not travel back.
+3. These meet the block (made by the same scan again), which then holds the
+   states and arcs that its documents can reach. One pass from left to right
+   hands the state on from token to token and adds log-probabilities.
+
+Tokens are known by 64 bits of a hash, longer n-grams by 47 bits. Blocks are
+made twice, so the rows must come in the same order again: from files, or
+from a checkpoint.
 
 Edge cases: null or empty text is the end token alone; without training
 documents all counts are 0; repeated ids are scored one by one.
@@ -27,6 +33,7 @@ documents all counts are 0; repeated ids are scored one by one.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -34,224 +41,246 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from concord.llm.common import bucket, documents, durable, table
+from concord.llm.common import bucket, documents, parts, table, text_size
 from concord.llm.kernels import U64, chunks, mix, words
 
-BLOCK_BYTES, HEAD, SUFFIXES, DISCOUNT = 16 << 20, 250, 256, 0.75
-START = END = 0  # the class of the end token; a document starts in its state
-CLASS_BITS = 8
-FLAT = 1 << 20  # tokens that are traversed at once
+BLOCK_BYTES, PART_BYTES = 8 << 20, 4 << 20
+MU = (1000.0, 3.0)  # of contexts of one and of two tokens
+START, END = U64(0x5851F42D4C957F2D), U64(0x14057B7EF767814F)
 
 
-def pack(a: np.ndarray) -> bytes:
-    return pa.compress(np.ascontiguousarray(a).tobytes(), codec="zstd", asbytes=True) if len(a) else b""
+def planes(a: np.ndarray) -> bytes:
+    """The bytes of whole numbers by significance, compressed."""
+    return pa.compress(np.ascontiguousarray(a.view(np.uint8).reshape(len(a), -1).T).tobytes(), codec="zstd", asbytes=True) if len(a) else b""
 
 
-def unpack(b: bytes, n: int, kind: str) -> np.ndarray:
+def unplaned(b: bytes, n: int, kind: str) -> np.ndarray:
     size = np.dtype(kind).itemsize
-    return np.frombuffer(pa.decompress(b, n * size, codec="zstd", asbytes=True), kind) if n else np.zeros(0, kind)
+    if not n:
+        return np.zeros(0, kind)
+    raw = np.frombuffer(pa.decompress(b, n * size, codec="zstd", asbytes=True), np.uint8).reshape(size, n)
+    return np.ascontiguousarray(raw.T).view(kind)[:, 0]
 
 
-BLOCK = "block long, n_keys long, keys binary, counts binary, n_docs long, docs binary, missing binary, held binary, sizes binary, n_tokens long, tokens binary"
+def sorted_pack(keys: np.ndarray, counts: np.ndarray) -> bytes:
+    """Sorted keys as differences, and a count of each."""
+    return planes(np.concatenate([np.diff(keys, prepend=U64(0)), counts.astype(U64)]))
 
 
-def blocks(docs: DataFrame) -> DataFrame:
-    """One row a block; see BLOCK. `missing` marks null ids."""
+def sorted_unpack(b: bytes, n: int) -> tuple[np.ndarray, np.ndarray]:
+    both = unplaned(b, 2 * n, "<u8")
+    return np.cumsum(both[:n], dtype=U64), both[n:].astype(np.int64)
+
+
+class Block(NamedTuple):
+    ids: list[int | None]
+    held: np.ndarray  # per document
+    sizes: np.ndarray  # words per document
+    tokens: np.ndarray  # hashes of all words
+
+
+def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Block]]:
+    """Blocks of a task with their numbers; batches: doc_id, text, held."""
+    number = TaskContext.get().partitionId() << 32
+    ids, held, sizes, tokens, size = [], [], [], [], 0
+    for batch in chunks(batches, limit=BLOCK_BYTES >> 2):
+        w = words(batch.column(1))
+        ids += batch.column(0).to_pylist()
+        held += batch.column(2).to_pylist()
+        sizes.append(np.diff(w.first))
+        tokens.append(w.hash)
+        size += len(w.data)
+        if size >= BLOCK_BYTES:
+            yield number, Block(ids, np.array(held, bool), np.concatenate(sizes), np.concatenate(tokens))
+            ids, held, sizes, tokens, size, number = [], [], [], [], 0, number + 1
+    if ids:
+        yield number, Block(ids, np.array(held, bool), np.concatenate(sizes), np.concatenate(tokens))
+
+
+class Grams(NamedTuple):
+    """The n-grams that end at each token of a block, ends included: keys[k] is (unigrams) or (bigrams, then trigrams)."""
+
+    first: np.ndarray  # per document, its first token; one more at the end
+    train: np.ndarray  # per token
+    keys: tuple[np.ndarray, np.ndarray]
+    inner: np.ndarray  # tokens that are not the first of their document: only those end a trigram
+
+
+def grams(b: Block) -> Grams:
+    first = np.concatenate([[0], np.cumsum(b.sizes + 1)])
+    t = np.full(int(first[-1]), END)
+    place = np.ones(len(t), bool)
+    place[first[1:] - 1] = False
+    t[place] = b.tokens
+    one = mix(t)
+    before = np.empty_like(one)
+    before[1:] = one[:-1]
+    before[first[:-1]] = START
+    two = mix(before * U64(0x9FB21C651E98DF25) + one)
+    inner = np.ones(len(t), bool)
+    inner[first[:-1]] = False
+    at = np.flatnonzero(inner)
+    three = mix(two[at - 1] * U64(0xC2B2AE3D27D4EB4F) + one[at])
+    long = np.concatenate([two >> U64(17) << U64(1), three >> U64(17) << U64(1) | U64(1)])
+    return Grams(first, np.repeat(~b.held, b.sizes + 1), (one, long), inner)
+
+
+def counted(g: Grams, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct keys, their counts in training documents, and each gram's index in them."""
+    keys, at = np.unique(g.keys[k], return_inverse=True)
+    train = g.train if k == 0 else np.concatenate([g.train, g.train[g.inner]])
+    return keys, np.bincount(at[train], minlength=len(keys)), at
+
+
+BITS = (64, 48)
+ROW = "p long, block long, n0 long, b0 binary, n1 long, b1 binary"
+
+
+def _row(p: int, block: int, packed: list[tuple[int, bytes]]) -> pa.RecordBatch:
+    row = [p, block, *(x for pair in packed for x in pair)]
+    return pa.RecordBatch.from_arrays([pa.array([v], pa.binary() if isinstance(v, bytes) else pa.int64()) for v in row], [x.split()[0] for x in ROW.split(", ")])
+
+
+def told(docs: DataFrame, many: int, orders: tuple[int, ...] = (0, 1)) -> DataFrame:
+    """A ROW for each block and part of the key space: the block's n-grams with their counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        next_id = TaskContext.get().partitionId() << 32
-        ids, held, sizes, keys, size = [], [], [], [], 0
+        for number, b in blocks(batches):
+            g = grams(b)
+            found = {k: counted(g, k)[:2] for k in orders}
+            cuts = {}
+            for k, (keys, _) in found.items():
+                part = ((keys >> U64(BITS[k] - 32)) * U64(many)) >> U64(32)
+                cuts[k] = np.searchsorted(part, np.arange(many + 1, dtype=U64))
+            for p in range(many):
+                of = lambda k: slice(cuts[k][p], cuts[k][p + 1]) if k in found else slice(0, 0)  # noqa: E731, B023
+                packed = [(of(k).stop - of(k).start, sorted_pack(found[k][0][of(k)], found[k][1][of(k)]) if k in found else b"") for k in (0, 1)]
+                if packed[0][0] or packed[1][0]:
+                    yield _row(p, number, [(int(n), x) for n, x in packed])
+
+    return scan(docs).mapInArrow(run, ROW)
+
+
+def scan(docs: DataFrame) -> DataFrame:
+    return documents(docs).select("doc_id", "text", (bucket(7) == 2).alias("held"))
+
+
+def _added(rows: list[dict], k: int) -> tuple[np.ndarray, ...]:
+    """Of all rows of a part: keys, counts, totals over all rows, and the end of each row."""
+    both = [sorted_unpack(r[f"b{k}"], r[f"n{k}"]) for r in rows]
+    keys, counts = np.concatenate([x for x, _ in both]), np.concatenate([x for _, x in both])
+    order = np.argsort(keys, kind="stable")
+    first = np.ones(len(keys), bool)
+    first[1:] = keys[order][1:] != keys[order][:-1]
+    at = np.flatnonzero(first)
+    total = np.empty(len(keys), np.int64)
+    total[order] = np.repeat(np.add.reduceat(counts[order], at), np.diff(np.append(at, len(keys)))) if len(at) else 0
+    return keys, counts, total, np.cumsum([r[f"n{k}"] for r in rows])
+
+
+def vocabulary(docs: DataFrame, many: int) -> tuple[int, int]:
+    """N and V of the training documents."""
+
+    def run(t: pa.Table) -> pa.Table:
+        keys, counts, total, _ = _added(t.to_pylist(), 0)
+        return pa.table({"n": pa.array([int(counts.sum())]), "v": pa.array([len(np.unique(keys[total > 0]))])})
+
+    row = told(docs, many, (0,)).groupBy("p").applyInArrow(run, "n long, v long").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
+    return row[0], row[1]
+
+
+def shared_counts(docs: DataFrame, many: int) -> DataFrame:
+    """A ROW for each block and part: the n-grams of the block whose count over all blocks is not the block's own, with that count."""
+
+    def run(t: pa.Table) -> pa.Table:
+        rows = t.to_pylist()
+        out: dict[int, list[tuple[int, bytes]]] = {}
+        for k in (0, 1):
+            keys, counts, total, ends = _added(rows, k)
+            for i, end in enumerate(ends):
+                own = np.arange(end - rows[i][f"n{k}"], end)
+                own = own[total[own] != counts[own]]
+                out.setdefault(i, []).append((len(own), sorted_pack(keys[own], total[own])))
+        found = [_row(rows[i]["p"], rows[i]["block"], x) for i, x in out.items() if x[0][0] or x[1][0]]
+        return pa.Table.from_batches(found, _schema(ROW))
+
+    return told(docs, many).groupBy("p").applyInArrow(run, ROW)
+
+
+def walk(c: tuple[np.ndarray, ...], first: np.ndarray, starts: int, n: int, v: int, mu: tuple[float, float] = MU) -> np.ndarray:
+    """The log-probability of each token; c: counts of the unigram, bigram and trigram that end there, starts: documents in training.
+
+    The state before a token is the longest context that training has; each
+    token hands on the counts of the contexts that it ends.
+    """
+    last, last_two = np.empty(len(c[0])), np.empty(len(c[0]))
+    last[1:], last_two[1:] = c[0][:-1], c[1][:-1]
+    last[first[:-1]], last_two[first[:-1]] = starts, 0  # the start mark has no token before it
+    weight = np.log10((c[0] + 1) / (n + v + 1))
+    for context, count, m in ((last, c[1], mu[0]), (last_two, c[2], mu[1])):
+        arc = np.log10((count + m * 10**weight) / (context + m))
+        failure = np.log10(m / (context + m)) + weight
+        weight = np.where(count > 0, arc, failure)
+    return weight
+
+
+PACKED = "block long, ids binary, missing binary, held binary, n_docs long, sizes binary, n_words long, distinct binary, n_tokens long, tokens binary"
+RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+
 
-        def flush() -> pa.RecordBatch:
-            nonlocal next_id, size
-            every = np.concatenate(keys)
-            distinct, at = np.unique(every, return_inverse=True)
+def packed_blocks(docs: DataFrame) -> DataFrame:
+    """One row a block; see PACKED."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for number, b in blocks(batches):
+            distinct, at = np.unique(b.tokens, return_inverse=True)
             order = np.argsort(-np.bincount(at, minlength=len(distinct)), kind="stable")  # frequent first: small numbers
             rank = np.empty(len(order), np.uint32)
             rank[order] = np.arange(len(order))
-            at = rank[at]
-            n = np.concatenate(sizes)
-            out = np.array(held, bool)
-            counts = np.bincount(at[~np.repeat(out, n)], minlength=len(distinct))
             row = {
-                "block": next_id, "n_keys": len(distinct), "keys": pack(distinct[order]), "counts": pack(counts.astype(np.int64)), "n_docs": len(ids),
-                "docs": pack(np.array([x or 0 for x in ids], np.int64)), "missing": pack(np.array([x is None for x in ids], bool)), "held": pack(out),
-                "sizes": pack(n.astype(np.int64)), "n_tokens": len(at), "tokens": pack(at.astype(np.uint32)),
+                "block": number, "ids": planes(np.array([x or 0 for x in b.ids], np.int64)), "missing": planes(np.array([x is None for x in b.ids], np.uint8)), "held": planes(b.held.astype(np.uint8)), "n_docs": len(b.ids),
+                "sizes": planes(b.sizes.astype(np.int64)), "n_words": len(distinct), "distinct": planes(distinct[order]), "n_tokens": len(at), "tokens": planes(rank[at]),
             }
-            next_id += 1
-            for x in (ids, held, sizes, keys):
-                x.clear()
-            size = 0
-            kinds = [pa.binary() if isinstance(v, bytes) else pa.int64() for v in row.values()]
-            return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row.values(), kinds, strict=True)], list(row))
-
-        for batch in chunks(batches):
-            w = words(batch.column(1))
-            tail = w.data[w.end - 1].astype(U64) | (w.data[np.maximum(w.end - 2, w.start)].astype(U64) << U64(8))
-            keys.append((mix(tail + U64(1)) >> U64(64 - CLASS_BITS) << U64(64 - CLASS_BITS)) | (w.hash >> U64(CLASS_BITS)))
-            ids += batch.column(0).to_pylist()
-            held += batch.column(2).to_pylist()
-            sizes.append(np.diff(w.first))
-            size += len(w.data)
-            if size >= BLOCK_BYTES:
-                yield flush()
-        if ids:
-            yield flush()
-
-    return documents(docs).select("doc_id", "text", (bucket(7) == 2).alias("held")).mapInArrow(run, BLOCK)
-
-
-def block_tokens(found: DataFrame) -> DataFrame:
-    """block, key and n (times in training documents) of every block's distinct tokens."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in batch.to_pylist():
-                keys = unpack(r["keys"], r["n_keys"], "<i8")
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), r["block"], np.int64)), pa.array(keys), pa.array(unpack(r["counts"], r["n_keys"], "<i8"))], ["block", "key", "n"])
-
-    return found.select("block", "n_keys", "keys", "counts").mapInArrow(run, "block long, key long, n long")
-
-
-def classes(keys: np.ndarray, heads: np.ndarray) -> np.ndarray:
-    """The class of each key: 0 is the end, 1..SUFFIXES by suffix, then the head tokens (sorted keys)."""
-    out = (keys.view(U64) >> U64(64 - CLASS_BITS)).astype(np.int64) + 1
-    if len(heads):
-        at = np.minimum(np.searchsorted(heads, keys), len(heads) - 1)
-        out = np.where(heads[at] == keys, SUFFIXES + 1 + at, out)
-    return out
-
-
-def sequences(r: dict) -> Iterator[tuple[slice, np.ndarray, np.ndarray, np.ndarray]]:
-    """Slices of a block's documents: (documents, sizes, tokens with ends as -1, first token of each)."""
-    sizes, tokens = unpack(r["sizes"], r["n_docs"], "<i8"), unpack(r["tokens"], r["n_tokens"], "<u4").astype(np.int64)
-    at = np.concatenate([[0], np.cumsum(sizes)])
-    start = 0
-    while start < len(sizes):
-        end = max(start + 1, int(np.searchsorted(at, at[start] + FLAT, "right")) - 1)
-        n = sizes[start:end]
-        first = np.concatenate([[0], np.cumsum(n + 1)])
-        flat = np.full(int(first[-1]), -1, np.int64)
-        place = np.ones(len(flat), bool)
-        place[first[1:] - 1] = False
-        flat[place] = tokens[at[start] : at[end]]
-        yield slice(start, end), n, flat, first
-        start = end
-
-
-def pairs(found: DataFrame, heads: np.ndarray) -> DataFrame:
-    """pair (u * classes + v) and n over all training documents, ends included."""
-    many = SUFFIXES + 1 + len(heads)
+            yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary() if isinstance(x, bytes) else pa.int64()) for x in row.values()], list(row))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(many * many, np.int64)
-        for batch in batches:
-            for r in batch.to_pylist():
-                of = np.append(classes(unpack(r["keys"], r["n_keys"], "<i8"), heads), END)
-                held = unpack(r["held"], r["n_docs"], "?")
-                for docs, n, flat, first in sequences(r):
-                    v = of[flat]
-                    u = np.empty_like(v)
-                    u[1:] = v[:-1]
-                    u[first[:-1]] = START
-                    use = ~np.repeat(held[docs], n + 1)
-                    total += np.bincount(u[use] * many + v[use], minlength=many * many)
-        seen = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], ["pair", "n"])
-
-    return found.mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
-
-
-class Automaton:
-    """States are classes; an arc for each class bigram seen, a failure arc from each state to the root."""
-
-    def __init__(self, many: int, pair: np.ndarray, n: np.ndarray):
-        u, v = pair // many, pair % many
-        total = np.bincount(v, n, many)
-        out = np.bincount(u, n, many)
-        root = (total + 1) / (total.sum() + many)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            fail = np.where(out > 0, DISCOUNT * np.bincount(u, minlength=many) / out, 1.0)
-        self.root = np.log10(root)
-        self.fail = np.log10(fail)
-        self.arc = np.full(many * many, -1, np.int32)
-        self.arc[pair] = np.arange(len(pair))
-        self.weight = np.log10((n - DISCOUNT) / out[u] + fail[u] * root[v]) if len(pair) else np.zeros(1)
-        self.many = many
-
-    def walk(self, v: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """The log-probability of each class, left to right; documents start at `first`."""
-        u = np.empty_like(v)
-        u[1:] = v[:-1]
-        u[first[:-1]] = START
-        arc = self.arc[u * self.many + v]
-        return np.where(arc >= 0, self.weight[arc], self.fail[u] + self.root[v])
+    return scan(docs).mapInArrow(run, PACKED)
 
 
-RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+def _schema(fields: str) -> pa.Schema:
+    kinds = {"long": pa.int64(), "boolean": pa.bool_(), "double": pa.float64(), "binary": pa.binary()}
+    return pa.schema([(n, kinds[k]) for n, k in (x.split() for x in fields.split(", "))])
 
 
-def scores(docs: DataFrame) -> DataFrame:
+def scores(docs: DataFrame, mu: tuple[float, float] = MU) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row."""
-    spark = docs.sparkSession
-    found = durable(blocks(docs))
-    tokens = block_tokens(found)
-    counts = durable(tokens.groupBy("key").agg(F.sum("n").alias("c")).where("c > 0"))
-    by_class = counts.groupBy(F.shiftrightunsigned("key", 64 - CLASS_BITS).alias("class")).agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect()  # SUFFIXES rows at most
-    held = found.select("n_docs", "held").mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array([int((~unpack(r["held"], r["n_docs"], "?")).sum()) for r in b.to_pylist()], pa.int64())], ["n"]) for b in batches), "n long")
-    ends = held.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    train, vocabulary = sum(r.n for r in by_class) + ends, sum(r.v for r in by_class) + (ends > 0)
-    heads = counts.where(F.col("c") * HEAD >= max(train, 1)).collect()  # HEAD rows at most
-    heads = sorted((r.key, r.c) for r in heads)
-    head_keys = np.array([k for k, _ in heads], np.int64)
-    arcs = pairs(found, head_keys).collect()  # the square of the classes at most
-    arcs.sort()
-    many = SUFFIXES + 1 + len(heads)
-    automaton = Automaton(many, np.array([r.pair for r in arcs], np.int64), np.array([r.n for r in arcs], float))
-    # tokens in their class: the end and the head tokens are their classes' only ones
-    mass, spread = np.zeros(many), np.zeros(many)
-    for r in by_class:
-        mass[r["class"] + 1], spread[r["class"] + 1] = r.n, r.v
-    for k, c in heads:
-        own = int(np.array([k], np.int64).view(U64)[0] >> U64(64 - CLASS_BITS)) + 1
-        mass[own] -= c
-        spread[own] -= 1
-    below = np.log10(mass + spread + 1)
-    alone = np.zeros(many, bool)
-    alone[END] = alone[SUFFIXES + 1 :] = True
-    model = spark.sparkContext.broadcast((automaton, head_keys, below, alone))
-    base_below = float(np.log10(train + vocabulary + 1))
+    many = parts(text_size(docs), PART_BYTES, 16 << 20, 1 << 14)
+    n, v = vocabulary(docs, many)
+    starts = docs.where(bucket(7) != 2).count()
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        automaton, head_keys, below, alone = model.value
         out = []
-        known_keys, known = right.column("key").to_numpy(), right.column("c").to_numpy()
-        order = np.argsort(known_keys)
-        known_keys, known = known_keys[order], known[order]
         for r in left.to_pylist():
-            keys = unpack(r["keys"], r["n_keys"], "<i8")
-            c = np.zeros(len(keys) + 1)
-            if len(known_keys):
-                at = np.minimum(np.searchsorted(known_keys, keys), len(known_keys) - 1)
-                c[:-1] = np.where(known_keys[at] == keys, known[at], 0)
-            c[-1] = ends
-            of = np.append(classes(keys, head_keys), END)
-            base = np.log10(c + 1) - base_below
-            inner = np.where(alone[of], 0.0, np.log10(c + 1) - below[of])
-            ids, missing, held = unpack(r["docs"], r["n_docs"], "<i8"), unpack(r["missing"], r["n_docs"], "?"), unpack(r["held"], r["n_docs"], "?")
-            for docs, n, flat, first in sequences(r):
-                sums = lambda x, at=first[:-1]: np.add.reduceat(x, at)  # noqa: E731  every document has its end
-                columns = [pa.array(ids[docs], mask=missing[docs]), pa.array(held[docs]), pa.array(n + 1), pa.array(sums((c[flat] > 0).astype(np.int64))), pa.array(np.full(len(n), train, np.int64)), pa.array(sums(base[flat])), pa.array(sums(automaton.walk(of[flat], first) + inner[flat]))]
-                out.append(pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in RESULT.split(", ")]))
-        return pa.Table.from_batches(out, _schema())
-
-    joined = tokens.select("block", "key").join(counts, "key").select("block", "key", "c")
-    return found.groupBy("block").cogroup(joined.groupBy("block")).applyInArrow(run, RESULT)
-
-
-def _schema() -> pa.Schema:
-    kinds = {"long": pa.int64(), "boolean": pa.bool_(), "double": pa.float64()}
-    return pa.schema([(n, kinds[k]) for n, k in (x.split() for x in RESULT.split(", "))])
+            d, known = r["n_docs"], sorted(right.to_pylist(), key=lambda x: x["p"])
+            tokens = unplaned(r["distinct"], r["n_words"], "<u8")[unplaned(r["tokens"], r["n_tokens"], "<u4")]
+            b = Block([], unplaned(r["held"], d, "u1").astype(bool), unplaned(r["sizes"], d, "<i8"), tokens)
+            g = grams(b)
+            counts = []
+            for k in (0, 1):
+                keys, count, at = counted(g, k)
+                for x in known:  # counts that other blocks share in
+                    own, total = sorted_unpack(x[f"b{k}"], x[f"n{k}"])
+                    count[np.searchsorted(keys, own)] = total
+                counts.append(count[at])
+            c1, c2, c3 = counts[0], counts[1][: len(g.train)], np.zeros(len(g.train), np.int64)
+            c3[g.inner] = counts[1][len(g.train) :]
+            weight = walk((c1, c2, c3), g.first, starts, n, v, mu)
+            sums = lambda x: pa.array(np.add.reduceat(x, g.first[:-1]))  # noqa: E731, B023  every document has its end
+            ids = pa.array(unplaned(r["ids"], d, "<i8"), mask=unplaned(r["missing"], d, "u1").astype(bool))
+            columns = [ids, pa.array(b.held), pa.array(b.sizes + 1), sums((c1 > 0).astype(np.int64)), pa.array(np.full(d, n, np.int64)), sums(np.log10((c1 + 1) / (n + v + 1))), sums(weight)]
+            out.append(pa.RecordBatch.from_arrays(columns, schema=_schema(RESULT)))
+        return pa.Table.from_batches(out, _schema(RESULT))
+
+    return packed_blocks(docs).groupBy("block").cogroup(shared_counts(docs, many).groupBy("block")).applyInArrow(run, RESULT)
 
 
 def op6(spark, sf_dir):

@@ -1,7 +1,6 @@
 """The numbered operators against brute force, and their edge cases."""
 
 import json
-import math
 import re
 import zlib
 from collections import Counter
@@ -11,7 +10,7 @@ import pytest
 import xxhash
 
 import corpus_pipeline
-from concord.llm import byte_dedup, decontaminate, language_id, language_model, near_duplicates, packing, quality_model, quality_rules, secrets
+from concord.llm import byte_dedup, decontaminate, language_id, near_duplicates, packing, quality_model, quality_rules, secrets
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, words string, key string, hash long, row string"
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon phi chi psi omega".split()
@@ -220,27 +219,6 @@ def test_slots_must_be_consistent(spark):
     assert [r.doc_id for r in got.collect()] == [1]
 
 
-def test_language_model(spark, docs, empty):
-    got = language_model.scores(docs).collect()
-    tokens = [(i, [*split(low(t)), "\0end"]) for i, t in TEXTS]
-    c = Counter(w for i, x in tokens if fold(i, 7) != 2 for w in x)
-    n, v = sum(c.values()), len(c)
-    want = Counter((i, len(x), sum(c[w] > 0 for w in x), round(sum(math.log10((c[w] + 1) / (n + v + 1)) for w in x), 5)) for i, x in tokens)
-    assert Counter((r.doc_id, r.n_tokens, r.n_known, round(r.base_score, 5)) for r in got) == want
-    assert {r.train_tokens for r in got} == {n}
-    assert all(r.held_out == (fold(r.doc_id, 7) == 2) and r.score < 0 for r in got)
-    assert language_model.scores(empty).count() == 0
-
-
-def test_automaton_is_a_distribution():
-    pair, n = np.array([1, 2, 5, 9, 12]), np.array([3.0, 1.0, 4.0, 2.0, 2.0])
-    a = language_model.Automaton(4, pair, n)
-    for u in range(4):
-        every = a.arc[u * 4 + np.arange(4)]
-        p = np.where(every >= 0, 10 ** a.weight[every], 10 ** (a.fail[u] + a.root))
-        assert math.isclose(p.sum(), 1, rel_tol=1e-9)
-
-
 def test_quality_rules_base(spark, docs, empty):
     for r in quality_rules.quality_rules(docs).collect():
         t = next(t for i, t in TEXTS if i == r.doc_id) or ""

@@ -84,11 +84,10 @@ def removed_bytes(docs):
     return out
 
 
-@pytest.mark.parametrize(("often", "most", "block"), [(8, 2048, 16 << 20), (1, 1, 1), (50, 1, 1), (50, 2048, 1)])
-def test_bytes_against_brute_force(docs, monkeypatch, often, most, block):
+@pytest.mark.parametrize(("often", "most"), [(8, 2048), (1, 1), (50, 1), (50, 2048)])
+def test_bytes_against_brute_force(docs, monkeypatch, often, most):
     monkeypatch.setattr(byte_dedup, "OFTEN", often)
     monkeypatch.setattr(byte_dedup, "MOST", most)
-    monkeypatch.setattr(byte_dedup, "BLOCK_BYTES", block)
     want = removed_bytes(docs)
     got = byte_dedup.report(docs).collect()
     assert sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == sorted((str(i), *want[i, t or ""]) for i, t in ROWS)
