@@ -120,26 +120,6 @@ def test_tabulated_filters_equal_the_convolution():
     assert np.allclose(language_id.log_probs(x, w, pair, last), want, atol=1e-3)
 
 
-def test_secrets(spark, docs, empty):
-    got = secrets.scored(docs).collect()
-    real = [r for r in got if r.secret == "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"]
-    assert [(r.doc_id, r.score >= secrets.THRESHOLD) for r in real] == [(15, True)]
-    text = dict(TEXTS)[15]
-    assert text[real[0].start :].startswith(real[0].secret)
-    clean = secrets.redact(docs)
-    assert clean.columns == docs.columns
-    out = {(r.doc_id, r.text) for r in clean.collect()}
-    assert out == {(i, t.replace(real[0].secret, secrets.MASK) if i == 15 else t) for i, t in TEXTS}
-    assert secrets.redact(empty).count() == 0
-
-
-def test_forest_removes_false_positives(spark):
-    held = secrets.labelled_findings(spark, 3600).exceptAll(secrets.labelled_findings(spark, 2400))
-    votes = secrets.forest(secrets.labelled_findings(spark, 2400))
-    got = secrets.featured(held, "label").select("label", votes.alias("p")).collect()
-    assert sum((r.p >= 0.5) == (r.label == 1) for r in got) >= 0.97 * len(got)
-
-
 def fingerprint(text):
     w = low(text).encode()
     w = re.findall(rb"[^\x20\x09-\x0D]+", w)
