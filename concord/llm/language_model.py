@@ -22,9 +22,10 @@ The automaton grows with the corpus and is never collected or broadcast:
    states and arcs that its documents can reach. One pass from left to right
    hands the state on from token to token and adds log-probabilities.
 
-Tokens are known by 64 bits of a hash, longer n-grams by 47 bits. Blocks are
-made twice, so the rows must come in the same order again: from files, or
-from a checkpoint.
+Tokens are known by 64 bits of a hash, longer n-grams by a number of bits that
+grows with the corpus, so that at any size about one in 25,000 shares its key
+with another (see ``width``). Blocks are made twice, so the rows must come in
+the same order again: from files, or from a checkpoint.
 
 Edge cases: null or empty text is the end token alone; without training
 documents all counts are 0; repeated ids are scored one by one.
@@ -106,7 +107,12 @@ class Grams(NamedTuple):
     inner: np.ndarray  # tokens that are not the first of their document: only those end a trigram
 
 
-def grams(b: Block) -> Grams:
+def width(text_bytes: int) -> int:
+    """Bits of the keys of bigrams and trigrams; there are fewer than text_bytes / 2 of these."""
+    return min(62, max(40, int(text_bytes).bit_length() + 13))
+
+
+def grams(b: Block, bits: int) -> Grams:
     first = np.concatenate([[0], np.cumsum(b.sizes + 1)])
     t = np.full(int(first[-1]), END)
     place = np.ones(len(t), bool)
@@ -121,7 +127,8 @@ def grams(b: Block) -> Grams:
     inner[first[:-1]] = False
     at = np.flatnonzero(inner)
     three = mix(two[at - 1] * U64(0xC2B2AE3D27D4EB4F) + one[at])
-    long = np.concatenate([two >> U64(17) << U64(1), three >> U64(17) << U64(1) | U64(1)])
+    rest = U64(65 - bits)
+    long = np.concatenate([two >> rest << U64(1), three >> rest << U64(1) | U64(1)])
     return Grams(first, np.repeat(~b.held, b.sizes + 1), (one, long), inner)
 
 
@@ -132,7 +139,6 @@ def counted(g: Grams, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return keys, np.bincount(at[train], minlength=len(keys)), at
 
 
-BITS = (64, 48)
 ROW = "p long, block long, n0 long, b0 binary, n1 long, b1 binary"
 
 
@@ -141,16 +147,16 @@ def _row(p: int, block: int, packed: list[tuple[int, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([v], pa.binary() if isinstance(v, bytes) else pa.int64()) for v in row], [x.split()[0] for x in ROW.split(", ")])
 
 
-def told(docs: DataFrame, many: int, orders: tuple[int, ...] = (0, 1)) -> DataFrame:
+def told(docs: DataFrame, many: int, bits: int, orders: tuple[int, ...] = (0, 1)) -> DataFrame:
     """A ROW for each block and part of the key space: the block's n-grams with their counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, b in blocks(batches):
-            g = grams(b)
+            g = grams(b, bits)
             found = {k: counted(g, k)[:2] for k in orders}
             cuts = {}
             for k, (keys, _) in found.items():
-                part = ((keys >> U64(BITS[k] - 32)) * U64(many)) >> U64(32)
+                part = ((keys >> U64((64, bits)[k] - 32)) * U64(many)) >> U64(32)
                 cuts[k] = np.searchsorted(part, np.arange(many + 1, dtype=U64))
             for p in range(many):
                 of = lambda k: slice(cuts[k][p], cuts[k][p + 1]) if k in found else slice(0, 0)  # noqa: E731, B023
@@ -158,7 +164,7 @@ def told(docs: DataFrame, many: int, orders: tuple[int, ...] = (0, 1)) -> DataFr
                 if packed[0][0] or packed[1][0]:
                     yield _row(p, number, [(int(n), x) for n, x in packed])
 
-    return scan(docs).mapInArrow(run, ROW)
+    return scan(docs).mapInArrow(run, ROW).repartition(many, "p")
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -185,11 +191,11 @@ def vocabulary(docs: DataFrame, many: int) -> tuple[int, int]:
         keys, counts, total, _ = _added(t.to_pylist(), 0)
         return pa.table({"n": pa.array([int(counts.sum())]), "v": pa.array([len(np.unique(keys[total > 0]))])})
 
-    row = told(docs, many, (0,)).groupBy("p").applyInArrow(run, "n long, v long").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
+    row = told(docs, many, 40, (0,)).groupBy("p").applyInArrow(run, "n long, v long").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
     return row[0], row[1]
 
 
-def shared_counts(docs: DataFrame, many: int) -> DataFrame:
+def shared_counts(docs: DataFrame, many: int, bits: int) -> DataFrame:
     """A ROW for each block and part: the n-grams of the block whose count over all blocks is not the block's own, with that count."""
 
     def run(t: pa.Table) -> pa.Table:
@@ -204,7 +210,7 @@ def shared_counts(docs: DataFrame, many: int) -> DataFrame:
         found = [_row(rows[i]["p"], rows[i]["block"], x) for i, x in out.items() if x[0][0] or x[1][0]]
         return pa.Table.from_batches(found, _schema(ROW))
 
-    return told(docs, many).groupBy("p").applyInArrow(run, ROW)
+    return told(docs, many, bits).groupBy("p").applyInArrow(run, ROW)
 
 
 def walk(c: tuple[np.ndarray, ...], first: np.ndarray, starts: int, n: int, v: int, mu: tuple[float, float] = MU) -> np.ndarray:
@@ -253,7 +259,9 @@ def _schema(fields: str) -> pa.Schema:
 
 def scores(docs: DataFrame, mu: tuple[float, float] = MU) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row."""
-    many = parts(text_size(docs), PART_BYTES, 16 << 20, 1 << 14)
+    size = text_size(docs)
+    many, bits = parts(size, PART_BYTES, 16 << 20, 1 << 14), width(size)
+    dealt = parts(size, 4 * BLOCK_BYTES, 32 * BLOCK_BYTES)
     n, v = vocabulary(docs, many)
     starts = docs.where(bucket(7) != 2).count()
 
@@ -263,7 +271,7 @@ def scores(docs: DataFrame, mu: tuple[float, float] = MU) -> DataFrame:
             d, known = r["n_docs"], sorted(right.to_pylist(), key=lambda x: x["p"])
             tokens = unplaned(r["distinct"], r["n_words"], "<u8")[unplaned(r["tokens"], r["n_tokens"], "<u4")]
             b = Block([], unplaned(r["held"], d, "u1").astype(bool), unplaned(r["sizes"], d, "<i8"), tokens)
-            g = grams(b)
+            g = grams(b, bits)
             counts = []
             for k in (0, 1):
                 keys, count, at = counted(g, k)
@@ -280,7 +288,7 @@ def scores(docs: DataFrame, mu: tuple[float, float] = MU) -> DataFrame:
             out.append(pa.RecordBatch.from_arrays(columns, schema=_schema(RESULT)))
         return pa.Table.from_batches(out, _schema(RESULT))
 
-    return packed_blocks(docs).groupBy("block").cogroup(shared_counts(docs, many).groupBy("block")).applyInArrow(run, RESULT)
+    return packed_blocks(docs).repartition(dealt, "block").groupBy("block").cogroup(shared_counts(docs, many, bits).repartition(dealt, "block").groupBy("block")).applyInArrow(run, RESULT)
 
 
 def op6(spark, sf_dir):
