@@ -64,3 +64,19 @@ def text_size(docs: DataFrame) -> int:
 def parts(total: int, each: int = 8 << 20, large: int = 256 << 20, many: int = 2000) -> int:
     """Into how many parts a shuffle of `total` bytes goes: of `each` bytes up to `many` parts, beyond that larger ones, up to `large`."""
     return max(1, min(-(-total // each), many), -(-total // large))
+
+
+def whole_texts(docs: DataFrame, sample: list[tuple], label: str, most: int) -> list:
+    """key, text and label of the sampled rows, each once: (key, size, label) in order of preference, with key the hash of id and text.
+
+    Texts are taken whole; those that would pass `most` bytes in all are left out.
+    """
+    kept, room = [], most
+    for key, size, value in sample:
+        if size <= room:
+            kept.append((key, value))
+            room -= size
+    name = label.split()[0]
+    keys = docs.sparkSession.createDataFrame(kept, f"key long, {label}").distinct()
+    rows = docs.select(F.xxhash64("doc_id", "text").alias("key"), "text", *([name] if name in docs.columns else []))
+    return rows.join(F.broadcast(keys), [c for c in ("key", name) if c in rows.columns]).select("key", "text", name).dropDuplicates(["key", name]).collect()  # at most the sample

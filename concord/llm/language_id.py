@@ -2,8 +2,11 @@
 
 Bytes are folded into 64 classes, embedded, and passed through filters of
 widths 2, 3 and 4, max pooling over fixed-length windows, and softmax. The
-network is trained in numpy on a bounded sample of labelled documents
-(``train_docs`` of them, the ones with the smallest hash of their id). Whole
+network is trained in numpy on a bounded sample of labelled documents: of each
+language up to ``train_docs``, the ones with the smallest hash of their id, so
+that a rare language is learned too; at most ``langs`` languages, the most
+frequent ones. The driver takes the whole texts of the sample, up to
+``train_bytes`` in all: texts that would pass it are left out, not cut. Whole
 texts are scored: each is cut into windows of ``WINDOW`` bytes, and the mean
 log-probability over its windows decides.
 
@@ -21,10 +24,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from concord.llm.common import bucket, documents, table
+from concord.llm.common import bucket, documents, table, whole_texts
 from concord.llm.kernels import chunks, text_bytes
 
 WINDOW, CLASSES, EMBED, FILTERS, WIDTHS = 256, 64, 8, 12, (2, 3, 4)
@@ -154,16 +157,17 @@ def predict(docs: DataFrame, w: dict) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
-def fit(docs: DataFrame, train_docs: int = 600, train_chars: int = 1 << 16) -> dict:
-    """Train on at most `train_docs` labelled rows outside the held-out fold.
-
-    `train_chars` bounds what the driver takes of one training text.
-    """
+def fit(docs: DataFrame, train_docs: int = 150, langs: int = 200, train_bytes: int = 64 << 20) -> dict:
+    """Train on at most `train_docs` labelled rows of each of `langs` languages outside the held-out fold, `train_bytes` of text in all."""
     usable = documents(docs, "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (bucket(4) != 2))
-    ids = usable.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_docs).distinct()
-    # at most train_docs ids are broadcast; their texts alone go to the driver
-    rows = usable.join(F.broadcast(ids), "doc_id").select("doc_id", F.substring("text", 1, train_chars).alias("text"), "lang").collect()
-    rows = sorted(rows, key=lambda r: (r.doc_id, r.text, r.lang))[:train_docs]
+    ranked = usable.select("lang", F.xxhash64("doc_id", "text").alias("key"), F.octet_length("text").cast("long").alias("size"))
+    # the smallest hashes of a language; Spark keeps no more than these of each before it shuffles
+    smallest = Window.partitionBy("lang").orderBy("key", "size")
+    first = ranked.withColumn("n", F.row_number().over(smallest)).where(F.col("n") <= train_docs)
+    # languages are many only where labels are wrong; in turn from each, so that the bytes are shared
+    sample = first.orderBy("n", "lang", "key").limit(train_docs * langs).select("key", "size", "n", "lang").collect()
+    rows = whole_texts(usable, [(r.key, r.size, r.lang) for r in sample], "lang string", train_bytes)
+    rows = sorted(rows, key=lambda r: (r.key, r.lang))
     return train([r.text for r in rows], [r.lang for r in rows])
 
 

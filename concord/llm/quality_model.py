@@ -8,8 +8,9 @@ numpy network turns the pooled vector into a logit, which is divided by a
 temperature fitted on a part of the sample that the network did not see.
 
 Training reads at most ``train_docs`` labelled documents outside the held-out
-fold (those with the smallest hash of their id), and at most ``train_chars``
-characters of each, on the driver. Scoring reads whole texts.
+fold (those with the smallest hash of their id), whole, on the driver; texts
+that would pass ``train_bytes`` in all are left out, not cut. Scoring reads
+whole texts.
 
 Edge cases: null or empty text is the zero vector with count 0 and gets a
 score like any other; without two classes of labels every score is the mean
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from concord.llm.common import bucket, documents, table
+from concord.llm.common import bucket, documents, table, whole_texts
 from concord.llm.kernels import U64, Words, chunks, doc_of, span_hash, prefix_hash, BYTE_CODE, words
 
 DIM, BITS, NONZERO = 24, 14, 4
@@ -136,13 +137,16 @@ def score(docs: DataFrame, m: dict) -> DataFrame:
     return documents(docs).select("doc_id", "text", (bucket(3) == 1).alias("held_out")).mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
 
 
-def fit(docs: DataFrame, labels: DataFrame, train_docs: int = 1500, train_chars: int = 1 << 15) -> dict:
-    """Train on a bounded sample of labelled rows outside the held-out fold."""
+def fit(docs: DataFrame, labels: DataFrame, train_docs: int = 1500, train_bytes: int = 64 << 20) -> dict:
+    """Train on at most `train_docs` labelled rows outside the held-out fold, `train_bytes` of text in all."""
     chosen = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & (bucket(3) != 1)).select("doc_id", "quality")
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(train_docs)
     # at most train_docs rows are broadcast
-    rows = documents(docs).where(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id").select("doc_id", F.substring("text", 1, train_chars).alias("text"), "quality").collect()
-    rows = sorted(rows, key=lambda r: (r.doc_id, r.text, r.quality))[:train_docs]
+    usable = documents(docs).where(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id")
+    key = F.xxhash64("doc_id", "text")
+    sample = usable.select(key.alias("key"), F.octet_length("text").alias("size"), "quality").distinct().orderBy("key", "quality").limit(train_docs).collect()
+    rows = whole_texts(usable.select("doc_id", "text", "quality"), [(r.key, r.size, r.quality) for r in sample], "quality int", train_bytes)
+    rows = sorted(rows, key=lambda r: (r.key, r.quality))
     return train([r.text for r in rows], [r.quality for r in rows])
 
 
