@@ -49,12 +49,12 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     ends = [*accumulate(map(len, found), lambda a, b: a + b + 1)]
     starts = [0, *(e + 1 for e in ends[:-1])]
     if n < shingle:
-        return _majority(np.array([xxhash.xxh64_intdigest(joined, SEED)], np.uint64))
+        return majority(np.array([xxhash.xxh64_intdigest(joined, SEED)], np.uint64))
     digest = xxhash.xxh64_intdigest
-    return _majority(np.array([digest(joined[s:e], SEED) for s, e in zip(starts, ends[shingle - 1 :], strict=False)], np.uint64))
+    return majority(np.array([digest(joined[s:e], SEED) for s, e in zip(starts, ends[shingle - 1 :], strict=False)], np.uint64))
 
 
-def _majority(h: np.ndarray) -> int:
+def majority(h: np.ndarray) -> int:
     """Bits that are set in over half of the hashes."""
     bits = np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
     whole = len(bits) // 255 * 255

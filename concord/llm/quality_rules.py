@@ -4,19 +4,21 @@ Base rules: a document fails with fewer than 50 words, or if over half of
 its words lie in three-word windows that the text holds twice or more.
 
 Line rule: lines are normalised (letters and digits only, lower case) and
-hashed; for each host the distinct documents that hold a line are counted
-(exact copies of a text count once). A line is boilerplate of its host if it
-is in more than ``MIN_DOCS`` documents and in more than ``MAX_SHARE`` of the
-host's documents. Removing these lines leaves some words; a document is
+hashed; for each host the documents that hold a line are counted. A line is
+boilerplate of its host if it is in more than ``MIN_DOCS`` documents and in
+more than the square root of the host's number of documents, a limit that
+hardly grows with the host. ``clean`` removes these lines. A document is
 depleted, and rejected, if fewer than ``MIN_WORDS`` words and less than half
 of its words remain.
 
-Line counts are partial sums before they are shuffled, so a hot host or line
-is a row for each task, and no group is ever collected.
+Lines are normalised once, and counts are partial sums before they are
+shuffled, so a hot host or line is a row for each task; only boilerplate lines
+meet their documents again.
 
 Edge cases: null text has no words and fails the base rules; a null host is
-a host of its own; repeated ids and rows are judged one by one; documents
-without lines keep the base verdict.
+a host of its own; rows are judged one by one, whatever their ids, and each
+row counts as a document of its host; documents without lines keep the base
+verdict; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -24,17 +26,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from concord.llm.common import documents, table
+from concord.llm.common import durable, named, table
 
-MIN_WORDS, MIN_DOCS, MAX_SHARE = 50, 20, 0.10
+MIN_WORDS, MIN_DOCS = 50, 20
 GAP = r"[ \t-\r]+"
 WORD = r"[^ \t-\r]"
 
 
 def measured(docs: DataFrame, *more: str) -> DataFrame:
-    """The base figures of every row; see the module."""
+    """The base figures of every row, with its doc and row (see common.named)."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    out = documents(docs, *more).withColumn("words", F.filter(F.split(text, GAP), lambda x: x != ""))
+    more = ("doc", "row", *more)
+    out = named(docs, *more[2:]).withColumn("words", F.filter(F.split(text, GAP), lambda x: x != ""))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(WORD))
     out = out.select(
         "doc_id", "text", *more, F.size("words").cast("long").alias("n_words"), F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
@@ -52,34 +55,39 @@ def measured(docs: DataFrame, *more: str) -> DataFrame:
     return out.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
 
 
+def normal_lines(text: Column) -> Column:
+    """array<struct<line (hash), n (words)>> of a text's lines that have a letter or digit, in their order."""
+    norm = F.transform(F.split(text, "\n"), lambda x: F.trim(F.regexp_replace(F.lower(x), r"[^\p{L}\p{N}]+", " ")))
+    return F.transform(F.filter(norm, lambda x: x != ""), lambda x: F.struct(F.xxhash64(x, F.length(x)).alias("line"), F.size(F.split(x, " ")).cast("long").alias("n")))
+
+
 def lines_of(docs: DataFrame) -> DataFrame:
-    """row, host, line (hash), n (its words) and copies for every distinct normalised line of every distinct (host, text)."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select(F.coalesce("source", F.lit("\x00")).alias("host"), F.xxhash64(text, F.length(text)).alias("row"), text.alias("text"))
-    norm = F.filter(F.transform(F.split("text", "\n"), lambda x: F.trim(F.regexp_replace(F.lower(x), r"[^\p{L}\p{N}]+", " "))), lambda x: x != "")
-    return rows.select("host", "row", F.explode(F.transform(norm, lambda x: F.struct(F.xxhash64(x, F.length(x)).alias("line"), F.size(F.split(x, " ")).alias("n")))).alias("l")).select("host", "row", "l.*")
+    """doc, row, host, line, n (its words), first (1 at the line's first place in the text, else 0) and total (words in lines) of every line."""
+    rows = named(docs, F.coalesce("source", F.lit("\x00")).alias("host")).select("doc", "row", "host", F.sort_array(normal_lines(F.coalesce("text", F.lit("")))).alias("lines"))
+    before = F.concat(F.array(F.lit(None).cast("long")), F.col("lines.line"))
+    rows = rows.select("doc", "row", "host", F.aggregate("lines", F.lit(0).cast("long"), lambda s, x: s + x["n"]).alias("total"), F.inline(F.zip_with("lines", F.slice(before, F.lit(1), F.size("lines")), lambda x, b: F.struct(x["line"].alias("line"), x["n"].alias("n"), F.when(x["line"].eqNullSafe(b), 0).otherwise(1).alias("first")))))
+    return rows
 
 
-def removed_words(docs: DataFrame, min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE) -> DataFrame:
-    """host, row (hash of the text), n_line_words, n_removed_words and bad_lines (hashes) of every text with lines."""
-    lines = lines_of(docs).groupBy("host", "row", "line").agg(F.sum("n").alias("n"), F.count("*").alias("times"))
-    # exact copies of a text were folded into one row with a multiple of its words; shares are not changed by that
-    counts = lines.groupBy("host", "line").agg(F.count("*").alias("docs")).where(F.col("docs") > min_docs)
-    hosts = docs.select(F.coalesce("source", F.lit("\x00")).alias("host"), F.xxhash64(F.coalesce("text", F.lit("")), F.length(F.coalesce("text", F.lit("")))).alias("row")).groupBy("host", "row").agg(F.lit(1).alias("one")).groupBy("host").agg(F.count("*").alias("host_docs"))
-    bad = counts.join(hosts, "host").where(F.col("docs") > max_share * F.col("host_docs")).select("host", "line", F.lit(1).alias("bad"))
-    return lines.join(bad, ["host", "line"], "left").groupBy("host", "row").agg(F.sum("n").alias("n_line_words"), F.sum(F.when(F.col("bad") == 1, F.col("n")).otherwise(0)).alias("n_removed_words"), F.collect_list(F.when(F.col("bad") == 1, F.col("line"))).alias("bad_lines"))  # at most the text's own
+def removed_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
+    """doc, row, removed_share (of the words in lines) and bad_lines (hashes) of every row that has boilerplate lines."""
+    lines = durable(lines_of(docs))
+    counts = lines.groupBy("host", "line").agg(F.sum("first").alias("docs")).where(F.col("docs") > min_docs)
+    hosts = docs.groupBy(F.coalesce("source", F.lit("\x00")).alias("host")).agg(F.count("*").alias("host_docs"))
+    bad = counts.join(hosts, "host").where("docs * docs > host_docs").select("host", "line")
+    gone = lines.join(bad, ["host", "line"]).groupBy("doc", "row").agg(F.sum("n").alias("words"), F.sum("first").alias("firsts"), F.max("total").alias("total"), F.collect_set("line").alias("bad_lines"))  # at most the text's own
+    # rows equal in id and text share one key: the sums are as many times a text's own as there are such rows
+    return gone.select("doc", "row", (F.col("words") * F.size("bad_lines") / (F.col("firsts") * F.col("total"))).alias("removed_share"), "bad_lines")
 
 
-def judged(docs: DataFrame, *more: str, min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE) -> DataFrame:
+def judged(docs: DataFrame, *more: str, min_docs: int = MIN_DOCS) -> DataFrame:
     """The base figures, removed_share, bad_lines and kept of every row."""
-    base = measured(docs, *dict.fromkeys(("source", *more)))
-    text = F.coalesce(F.col("text"), F.lit(""))
-    base = base.withColumn("host", F.coalesce("source", F.lit("\x00"))).withColumn("row", F.xxhash64(text, F.length(text)))
-    removed = removed_words(docs, min_docs, max_share).where("n_removed_words > 0").select("host", "row", "bad_lines", (F.col("n_removed_words") / F.col("n_line_words")).alias("removed_share"))
-    out = base.join(removed, ["host", "row"], "left").withColumn("removed_share", F.coalesce("removed_share", F.lit(0.0)))
+    base = measured(docs, *more)
+    removed = removed_lines(docs, min_docs)
+    out = base.join(removed, ["doc", "row"], "left").withColumn("removed_share", F.coalesce("removed_share", F.lit(0.0)))
     depleted = (F.col("removed_share") > 0.5) & (F.col("n_words") * (1 - F.col("removed_share")) < MIN_WORDS)
     # one CASE over both sides of the join: a filter on it stays above the projections, which then run once
-    return out.withColumn("kept", F.when(depleted, False).otherwise(~F.col("base_failed"))).drop("host", "row")
+    return out.withColumn("kept", F.when(depleted, False).otherwise(~F.col("base_failed")))
 
 
 def without_lines(text: Column, bad_lines: Column) -> Column:
@@ -89,6 +97,15 @@ def without_lines(text: Column, bad_lines: Column) -> Column:
     return F.when(F.size(bad_lines) > 0, F.array_join(F.filter(F.split(text, "\n"), stays), "\n")).otherwise(text)
 
 
+def clean(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
+    """The documents that are kept, without their boilerplate lines; all other columns stay, n_chars follows the text."""
+    rows = docs.select("doc_id", "text", "source", F.struct("*").alias("_row"))
+    kept = judged(rows, "_row", min_docs=min_docs).where("kept").select("_row", "bad_lines")
+    kept = kept.select("_row", "bad_lines", without_lines(F.col("_row.text"), F.col("bad_lines")).alias("_text"))
+    renewed = {"text": F.col("_text")} | ({"n_chars": F.when(F.col("bad_lines").isNull(), F.col("_row.n_chars")).otherwise(F.length("_text").cast("long"))} if "n_chars" in docs.columns else {})
+    return kept.select(*[renewed.get(c, F.col("_row").getField(c)).alias(c) for c in docs.columns])
+
+
 RESULT = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "removed_share"]
 
 
@@ -109,18 +126,18 @@ rep AS (SELECT doc_id, i FROM tri QUALIFY count(*) OVER (PARTITION BY doc_id, g)
 cov AS (SELECT doc_id, count(DISTINCT j) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS j FROM rep) GROUP BY doc_id),
 raw_lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d),
 dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM raw_lines WHERE regexp_matches(line, '[^ \\t-\\r]') GROUP BY doc_id),
-norm AS (SELECT DISTINCT d.host, d.text, s.line, s.n FROM d,
+norm AS (SELECT d.doc_id, d.host, s.line, s.n FROM d,
          LATERAL (SELECT line, count(*) AS n FROM (SELECT trim(regexp_replace(lower(unnest(string_split(d.text, chr(10)))), '[^\\p{L}\\p{N}]+', ' ', 'g')) AS line) WHERE line <> '' GROUP BY line) s),
-hosts AS (SELECT host, count(DISTINCT text) AS host_docs FROM d GROUP BY host),
-bad AS (SELECT host, line FROM norm JOIN hosts USING (host) GROUP BY host, line, host_docs HAVING count(*) > 20 AND count(*) > 0.10 * host_docs),
-gone AS (SELECT n.host, n.text,
+hosts AS (SELECT host, count(*) AS host_docs FROM d GROUP BY host),
+bad AS (SELECT host, line FROM norm JOIN hosts USING (host) GROUP BY host, line, host_docs HAVING count(*) > 20 AND count(*) * count(*) > host_docs),
+gone AS (SELECT n.doc_id,
                 sum(CASE WHEN b.line IS NOT NULL THEN n.n * len(string_split(n.line, ' ')) ELSE 0 END) * 1.0 / sum(n.n * len(string_split(n.line, ' '))) AS removed_share
-         FROM norm n LEFT JOIN bad b ON n.host = b.host AND n.line = b.line GROUP BY n.host, n.text),
+         FROM norm n LEFT JOIN bad b ON n.host = b.host AND n.line = b.line GROUP BY n.doc_id),
 m AS (SELECT w.doc_id, len(words) AS n_words, length(array_to_string(words, '')) AS word_chars,
              length(w.text) - length(regexp_replace(w.text, '[#*$%&|<>]', '', 'g')) AS n_symbols,
              coalesce(dup.n, 0) AS n_dup_lines, coalesce(cov.n, 0) AS n_repeat_words, coalesce(g.removed_share, 0.0) AS removed_share
       FROM w LEFT JOIN dup ON w.doc_id = dup.doc_id LEFT JOIN cov ON w.doc_id = cov.doc_id
-             LEFT JOIN gone g ON w.host = g.host AND w.text = g.text),
+             LEFT JOIN gone g ON w.doc_id = g.doc_id),
 b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines,
        n_repeat_words::BIGINT AS n_repeat_words, base_failed,

@@ -1,8 +1,10 @@
 """The pipeline's near-duplicate stage against all pairs by brute force."""
 
 import numpy as np
+import pytest
 
 import corpus_pipeline
+from concord.llm import jaccard_duplicates
 from concord.llm.near_duplicates import fingerprint
 
 SCHEMA = "doc_id long, text string, source string"
@@ -25,7 +27,9 @@ def edited(words, changes, rng):
     return " ".join(out)
 
 
-def test_edited_copies_leave_the_corpus(spark):
+@pytest.mark.parametrize("chunk", [1 << 17, 300])
+def test_edited_copies_leave_the_corpus(spark, monkeypatch, chunk):
+    monkeypatch.setattr(jaccard_duplicates, "CHUNK", chunk)
     rng = np.random.default_rng(5)
     rows = []
     for k in range(12):
@@ -46,7 +50,11 @@ def test_edited_copies_leave_the_corpus(spark):
                 low, high = sorted((group[i], group[j]))
                 group = {k: low if g == high else g for k, g in group.items()}
     assert far > 50  # out of reach of 2 bits
-    docs = spark.createDataFrame([*rows, (None, rows[0][1], "s"), (9000, None, "s"), (9001, "", "s")], SCHEMA)
-    kept = {r.doc_id for r in corpus_pipeline.keep_one_of_each(spark, docs, "").collect()}
+    other = "some text that nothing else in this corpus is like at all"
+    docs = spark.createDataFrame([*rows, (None, rows[0][1], "s"), (None, other, "s"), (None, other, "t"), (5000, other + " of five thousand rows", "s"), (9000, None, "s"), (9001, "", "s"), (9000, None, "s")], SCHEMA)
+    got = corpus_pipeline.keep_one_of_each(spark, docs, "").collect()
+    kept = {r.doc_id for r in got}
     assert kept == set(group.values()) | {None, 9000}
+    # of one id both texts stay, of rows without an id the one that is like no other, of equal rows one
+    assert sorted(r.text or "" for r in got if r.doc_id in (None, 5000, 9000)) == sorted(["", other, other + " of five thousand rows", rows[[i for i, _, _ in rows].index(5000)][1]])
     assert 5004 not in kept and sum(i is not None and 6000 <= i < 7000 for i in kept) == 1

@@ -219,7 +219,10 @@ def test_common_lines_deplete_documents(spark):
     got = {r.doc_id: r for r in quality_rules.quality_rules(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert all(not got[i].base_failed and not got[i].kept for i in range(40))
     assert all(got[100 + i].kept for i in range(40))
-    assert all(got[200 + i].kept for i in range(40))  # copies of one text are one document of their host
+    assert all(not got[200 + i].kept and got[200 + i].removed_share == 1 for i in range(40))  # each copy is a document of its host
+    again = spark.createDataFrame([(None, rows[0][1], "en", "host", 1, "", "", 1, ""), (7, rows[7][1], "en", "host", 1, "", "", 1, ""), *rows], SCHEMA)
+    shares = {(r.doc_id, round(r.removed_share, 9)) for r in quality_rules.quality_rules(again).collect() if r.doc_id in (None, 7)}
+    assert shares == {(None, round(got[0].removed_share, 9)), (7, round(got[7].removed_share, 9))}
 
 
 def test_quality_model(spark, empty):
@@ -258,10 +261,15 @@ def test_pipeline_stages(spark, tmp_path):
     assert set(kept[0]) == good | {30}
     assert set(kept[1]) == good - {2, 3, 12} | {30} and max(n for i, n in kept[1].items() if i is not None) == 1
     assert set(kept[2]) == good - {2, 3, 12} and (kept[1][None], kept[2][None]) == (3, 2)
+    nothing = tmp_path / "nothing"
+    docs.limit(0).write.parquet(str(nothing / "documents.parquet"))
+    spark.createDataFrame(ITEMS, "item_id long, text string").limit(0).write.parquet(str(nothing / "benchmark.parquet"))
+    assert corpus_pipeline.run(spark, str(nothing)).count() == 0
     assert set(kept[3]) == set(kept[2])
     text = {r.doc_id: r for r in spark.read.parquet(str(tmp_path / "secrets")).collect()}[15]
     assert sum(secrets.MASK in r.text for r in spark.read.parquet(str(tmp_path / "secrets")).collect()) == 2
     assert secrets.MASK in text.text and text.n_chars == len(text.text)
     assert {r.doc_id for r in kept[4].collect()} == set(kept[3])
-    assert corpus_pipeline.run(spark, str(tmp_path)).count() == kept[4].count()
+    tokens = lambda df: sorted((str(r.doc_id), r.n) for r in df.groupBy("doc_id").agg({"length": "sum"}).toDF("doc_id", "n").collect())
+    assert tokens(corpus_pipeline.run(spark, str(tmp_path))) == tokens(kept[4])
     json.dumps(sorted(kept[3], key=str))
