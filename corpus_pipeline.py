@@ -2,50 +2,53 @@
 
 Each stage takes (spark, docs, sf_dir), works on all rows of docs, and
 returns a frame with the columns of docs; the last returns pieces of packed
-sequences. Rows that share a doc_id are one document.
+sequences. A row is a document, whatever its id.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from concord.llm import decontaminate, jaccard_duplicates, packing, quality_rules, secrets
+from concord.llm.common import durable, named, shared_folder
 
-#: A line in more distinct documents of one host is boilerplate, however large the host is
-LINE_DOCS = quality_rules.MIN_DOCS
+#: Keys up to this number (16 MB of two longs) go to all executors; more are joined by shuffling
+BROADCAST_KEYS = 1 << 20
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop the documents that the quality rules reject, and from the others the lines in over LINE_DOCS documents of their host."""
-    rows = docs.select("doc_id", "text", "source", F.struct("*").alias("_row"))
-    kept = quality_rules.judged(rows, "_row", min_docs=LINE_DOCS, max_share=0.0).where("kept").select("_row", "bad_lines")
-    text = quality_rules.without_lines(F.col("_row.text"), F.col("bad_lines"))
-    kept = kept.select("_row", "bad_lines", text.alias("_text"))
-    renewed = {"text": F.col("_text")} | ({"n_chars": F.when(F.col("bad_lines").isNull(), F.col("_row.n_chars")).otherwise(F.length("_text").cast("long"))} if "n_chars" in docs.columns else {})
-    return kept.select(*[renewed.get(c, F.col("_row").getField(c)).alias(c) for c in docs.columns])
+    """Drop the documents that the quality rules reject, and from the others the boilerplate lines of their host."""
+    return quality_rules.clean(docs)
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows of docs whose (doc, row) is not in gone."""
+    gone = durable(gone.select("doc", "row").distinct())
+    if gone.count() <= BROADCAST_KEYS:
+        gone = F.broadcast(gone)
+    rows = named(docs.select("doc_id", "text", F.struct("*").alias("_row")), "_row").select("doc", "row", "_row")
+    return rows.join(gone, ["doc", "row"], "left_anti")
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest doc_id of each group of near duplicates (five-word shingles, Jaccard 0.8 or more); rows without an id stay."""
-    groups = jaccard_duplicates.near_groups(docs)
-    heads = groups.where("doc_id = component_id OR doc_id IS NULL").select(F.col("doc_id").alias("_head")).distinct()
-    kept = docs.join(heads, docs.doc_id.eqNullSafe(heads._head), "left_semi")
-    # of rows with one id the one with the smallest text
-    same = Window.partitionBy("doc_id", F.when(F.col("doc_id").isNull(), F.xxhash64("text"))).orderBy("text")
-    return kept.select("doc_id", "text", F.struct("*").alias("_row")).withColumn("_n", F.row_number().over(same)).where("_n = 1").select("_row.*")
+    """Keep the first row of each group of near duplicates (five-word shingles, Jaccard 0.8 or more), in order of id; of equal rows one."""
+    groups = durable(jaccard_duplicates.near_groups(docs))
+    gone = groups.where("doc <> head_doc OR row <> head_row")
+    again = named(docs).groupBy("doc", "row").agg(F.count("*").alias("n")).where("n > 1")
+    kept = without(docs, gone)
+    again = durable(again.join(gone.select("doc", "row"), ["doc", "row"], "left_anti").select("doc", "row"))
+    alone = kept.join(again, ["doc", "row"], "left_anti").select("_row.*")
+    one = kept.join(again, ["doc", "row"], "left_semi").withColumn("_n", F.row_number().over(Window.partitionBy("doc", "row").orderBy(F.lit(0)))).where("_n = 1").select("_row.*")
+    return alone.unionByName(one)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the documents that hold a benchmark item."""
-    # rows are named by a hash of id and text: ids can be null or repeated
-    key = F.xxhash64("doc_id", "text")
-    found = decontaminate.contamination(docs.select(key.alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    rows = docs.select(key.alias("_key"), F.struct("*").alias("_row"))
-    return rows.join(found.select(F.col("doc_id").alias("_key")).distinct(), "_key", "left_anti").select("_row.*")
+    found = decontaminate.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return without(docs, found.select(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("doc"), "row")).select("_row.*")
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -74,9 +77,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each is written as Parquet to the shared folder and read again."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="spark-")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    run_dir = f"{shared}/pipeline-{uuid.uuid4().hex}"
+    run_dir = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
