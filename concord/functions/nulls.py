@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 # The vocabularies of absence
 NULL_SYNONYMS = ["", "nr", "n/r", "not reported", "not_found", "none", "n/a"]
-ABSENCE_SENTINELS = ["NR", "N/R", "NOT REPORTED", "NOT_FOUND", "NONE", "N/A", "NOT DISCUSSED", "NO COMPARISON REPORTED"]
+ABSENCE_SENTINELS = ["NR", "N/A", "NA", "NOT_FOUND", "NOT FOUND", "NOT REPORTED"]
 AUDIT_ABSENCE = ["NOT_FOUND", "Not discussed", "NR", "No comparison reported"]
+UNPOPULATED = ["NOT_FOUND", "Not discussed", "NR", "No comparison reported", "Not assessable"]
 
 
 def is_null_synonym(v: Column) -> Column:
@@ -17,8 +18,9 @@ def is_null_synonym(v: Column) -> Column:
 
 
 def is_absence_claim(v: Column) -> Column:
-    """F-02: null or an absence sentinel, upper-cased."""
-    return v.isNull() | F.upper(F.trim(v)).isin(ABSENCE_SENTINELS)
+    """F-02: null, blank or an absence sentinel, trimmed and upper-cased."""
+    t = F.upper(F.trim(v))
+    return v.isNull() | (t == "") | t.isin(ABSENCE_SENTINELS)
 
 
 def is_audit_absence(v: Column) -> Column:
@@ -26,6 +28,12 @@ def is_audit_absence(v: Column) -> Column:
     return F.coalesce(v.isin(AUDIT_ABSENCE), F.lit(False))
 
 
+def is_populated(v: Column) -> Column:
+    """A-38 / A-39: neither null, blank nor an absence value, trimmed and case-sensitive."""
+    t = F.trim(v)
+    return v.isNotNull() & (t != "") & ~t.isin(UNPOPULATED)
+
+
 def human_value(v: Column) -> Column:
     """F-04: blank or NR becomes null."""
     t = F.trim(v)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # Words that carry no content in free-text comparison
-STOP_WORDS = ["the", "an", "and", "or", "of", "in", "on", "to", "for", "with", "by", "at", "from", "is", "are", "was", "were", "be", "been", "as", "it", "its", "this", "that", "these", "those"]
+STOP_WORDS = "a an and are as at be been being but by can did do does for from had has have in is it its of on or our that the their these this those to was were will with within without".split()
 
 
 def let(value: Column, f: Callable[[Column], Column]) -> Column:
@@ -85,30 +85,64 @@ def clamp(v: Column, low: float = 0.0, high: float = 1.0) -> Column:
     return F.greatest(F.lit(low), F.least(F.lit(high), v))
 
 
+def _accents() -> tuple[str, str]:
+    """Accented Latin letters and what is left of them without their marks."""
+    pairs = [(chr(c), unicodedata.normalize("NFKD", chr(c))[0]) for c in range(0xC0, 0x250)]
+    pairs = [(a, b) for a, b in pairs if a != b and b.isascii()]
+    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+
+
 def surname(author: Column) -> Column:
-    """X-11: before a comma, else the first word."""
-    return F.when(author.contains(","), F.trim(F.split_part(author, F.lit(","), F.lit(1)))).otherwise(F.trim(F.split_part(F.trim(author), F.lit(" "), F.lit(1))))
+    """X-11: the last word, or the first where the last is one or two letters (initials); plain letters, `Unknown` without any."""
+    plain = F.trim(F.regexp_replace(F.regexp_replace(F.translate(author, *_accents()), r"[^A-Za-z0-9\- ]", ""), " +", " "))
+    words = F.split(plain, " ")
+    return F.when(F.coalesce(plain, F.lit("")) == "", "Unknown").when((F.size(words) > 1) & (F.length(F.element_at(words, -1)) <= 2), F.get(words, F.lit(0))).otherwise(F.element_at(words, -1))
+
+
+def first_author(authors: Column) -> Column:
+    """X-11 of the first name of a JSON array."""
+    return surname(F.get(F.from_json(authors, "array<string>"), F.lit(0)))
+
+
+def first_author_list(authors: Column) -> Column:
+    """X-11 of a `;` list: what stands before the first comma, at most 30 characters, a dash without a name."""
+    name = F.trim(F.split_part(F.split_part(authors, F.lit(";"), F.lit(1)), F.lit(","), F.lit(1)))
+    return F.when(F.coalesce(name, F.lit("")) == "", "—").otherwise(F.substring(name, 1, 30))
+
+
+def canonical_filename(label: Column, authors: Column, year: Column) -> Column:
+    """X-12: label, surname of the first author (of a JSON array) and year."""
+    return F.concat(F.coalesce(F.nullif(label, F.lit("")), F.lit("EE-000")), F.lit("_"), first_author(authors), F.lit("_"), F.coalesce(F.nullif(year, F.lit(0)).cast("string"), F.lit("XXXX")), F.lit(".pdf"))
 
 
-def canonical_filename(label: Column, author: Column, year: Column) -> Column:
-    """X-12."""
-    name = F.regexp_replace(F.coalesce(author, F.lit("Unknown")), r"[^\p{L}\p{N}-]", "")
-    return F.concat(F.concat_ws("_", label, name, F.coalesce(year.cast("string"), F.lit("nd"))), F.lit(".pdf"))
+def fitted_text(text: Column, title: Column, abstract: Column, limit: int = 32000) -> Column:
+    """X-13: title and abstract, then the text; a text that does not fit is cut before its references where these begin in time, else at the limit, and at the last sentence end if that is in its last fifth."""
+    head = lambda name, v: F.when(F.coalesce(v, F.lit("")) != "", F.concat(F.lit(f"{name}: "), v, F.lit("\n\n"))).otherwise("")
+    header = F.concat(head("Title", title), head("Abstract", abstract))
+    room = F.lit(limit) - F.length(header)
+    refs = F.call_function("regexp_instr", text, F.lit(r"(?im)^(?:#{1,4}\s+)?(?:references|bibliography|acknowledgements?)\b")) - 1
+    cut = F.when((refs >= 0) & (refs <= room), F.regexp_replace(F.call_function("left", text, refs), r"\s+$", "")).otherwise(F.call_function("left", text, room))
 
+    def body(b: Column) -> Column:
+        last = F.length(b) - F.locate(" .", F.reverse(b)) - 1
+        return F.when((F.locate(" .", F.reverse(b)) > 0) & (last > F.length(b) * 0.8), F.call_function("left", b, last + 1)).otherwise(b)
 
-def before_references(v: Column, limit: int = 32000) -> Column:
-    """X-13: cut at a references heading, then at the last sentence end within the limit."""
-    body = F.regexp_replace(v, r"(?ims)^\s*#*\s*(references|bibliography)\s*$.*", "")
-    head = F.substring(body, 1, limit)
-    last = F.length(head) - F.locate(" .", F.reverse(head)) + 1
-    return F.when(F.length(body) <= limit, body).when(F.locate(" .", F.reverse(head)) > 0, F.substring(head, F.lit(1), last - 1)).otherwise(head)
+    return F.when(room <= 0, F.call_function("left", header, F.lit(limit))).when(F.length(text) <= room, F.concat(header, text)).otherwise(F.concat(header, let(cut, body)))
 
 
 def locate_span(text: Column, span: Column) -> Column:
-    """X-15: 0-based place by exact, lower-cased, collapsed, then first-40-characters search; -1 if none."""
-    at = lambda needle, hay: F.nullif(F.call_function("locate", needle, hay), F.lit(0))
-    found = F.coalesce(at(span, text), at(F.lower(span), F.lower(text)), at(collapse(span), collapse(text)), at(F.substring(collapse(span), 1, 40), collapse(text)))
-    return F.when((F.trim(F.coalesce(span, F.lit(""))) == ""), -1).otherwise(F.coalesce(found - 1, F.lit(-1)))
+    """X-15: 0-based place in the text; -1 if none. Tried in order: the first 200 characters of the span, its first 80, the first 60 of its parts between ellipses (longest first), and windows of 60 characters."""
+    at = lambda needle: F.nullif(F.call_function("locate", needle, text), F.lit(0))
+    left = lambda v, n: F.call_function("left", v, F.lit(n))
+    n = F.length(span)
+    none = F.array().cast("array<int>")
+    parts = F.filter(F.transform(F.split(span, r"\s*\.\.\.\s*"), lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", "")), lambda x: F.length(x) >= 60)
+    parts = F.array_sort(F.transform(parts, lambda x, i: F.struct((-F.length(x)).alias("n"), i.alias("i"), x.alias("x"))))
+    by_part = F.transform(parts, lambda p: at(left(p["x"], 60)))
+    by_window = F.when(n > 60, F.transform(F.sequence(F.lit(0), n - 61, F.lit(20)), lambda s: at(F.substring(span, s + 1, F.lit(60))))).otherwise(none)
+    first = lambda xs: F.get(F.filter(xs, lambda x: x.isNotNull()), F.lit(0))
+    found = F.coalesce(at(left(span, 200)), F.when(n >= 80, at(left(span, 80))), first(by_part), first(by_window))
+    return F.when(F.coalesce(span, F.lit("")) == "", -1).otherwise(F.coalesce(found - 1, F.lit(-1)))
 
 
 def context(text: Column, at: Column, length: Column, width: int = 200) -> Column:

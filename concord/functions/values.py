@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from concord.functions.nulls import is_null_synonym
-from concord.functions.text import collapse, content_tokens, jaccard, tokens
+from concord.functions.text import collapse, content_tokens, jaccard
 
 
 def digits_only(v: Column) -> Column:
@@ -56,13 +56,14 @@ def normalised(v: Column, kind: Column | None = None, options: Column | None = N
 def pair_score(a: Column, b: Column, kind: Column) -> Column:
     """X-10 on normalised arrays: MATCH, MISMATCH or AMBIGUOUS."""
     x, y = F.get(a, F.lit(0)), F.get(b, F.lit(0))
-    sets, free = jaccard(a, b), jaccard(tokens(x), tokens(y))
     closed = kind.isin("categorical", "multi")
+    # values are collapsed, so a blank parts their tokens; two texts without a common token have a Jaccard of 0
+    apart = ~F.arrays_overlap(F.split(F.lower(x), " "), F.split(F.lower(y), " "))
     return (
         F.when(a.isNull() & b.isNull(), "MATCH").when(a.isNull() | b.isNull(), "MISMATCH")
-        .when((F.size(a) > 1) | (F.size(b) > 1), F.when(sets == 1, "MATCH").when(sets == 0, "MISMATCH").otherwise("AMBIGUOUS"))
+        .when((F.size(a) > 1) | (F.size(b) > 1), F.when(F.array_sort(F.array_distinct(a)) == F.array_sort(F.array_distinct(b)), "MATCH").when(~F.arrays_overlap(a, b), "MISMATCH").otherwise("AMBIGUOUS"))
         .when(x == y, "MATCH").when(closed, "MISMATCH")
-        .when(x.contains(y) | y.contains(x), "MATCH").when(free == 0, "MISMATCH").otherwise("AMBIGUOUS")
+        .when(x.contains(y) | y.contains(x), "MATCH").when(apart, "MISMATCH").otherwise("AMBIGUOUS")
     )
 
 

@@ -7,45 +7,55 @@ from pyspark.sql import functions as F
 
 from concord.functions.nulls import is_null_synonym
 from concord.functions.values import kappa_columns, normalised, pair_score
-from concord.operators.latest import current_spans, latest
+from concord.operators.latest import latest
 
 
-def arms_of(current: DataFrame) -> DataFrame:
-    """H-01 / H-02: the long frame arm, arm_ord, paper_id, field_name, value of the three model arms; one scan, three values a row."""
-    local = F.when(F.col("flag") == "A", "Randomized trial").when(F.col("flag") == "N", "NR").otherwise("Cohort study (prospective)")
-    openai = F.when(F.col("line_status") == "O", "randomized  Trial").otherwise("Cohort study")
-    anthropic = F.when(F.col("quantity") % 3 == 0, "n/a").when(F.col("quantity") % 3 == 1, "Prospective cohort").otherwise("Randomized trial")
-    rows = F.array(*[F.struct(F.lit(i).alias("arm_ord"), F.lit(n).alias("arm"), v.alias("value")) for i, (n, v) in enumerate((("local", local), ("openai", openai), ("anthropic", anthropic)))])
-    return current.select("paper_id", "field_name", F.inline(rows))
+def stacked(rows: DataFrame, keys: list[str], arms: dict[str, Column]) -> DataFrame:
+    """One row an arm, in the order of the arms: keys, arm_ord, arm and value; one scan."""
+    cells = F.array(*[F.struct(F.lit(i).alias("arm_ord"), F.lit(n).alias("arm"), v.alias("value")) for i, (n, v) in enumerate(arms.items())])
+    return rows.select(*keys, F.inline(cells))
 
 
-def align(arms: DataFrame, kind: Column | None = None, options: Column | None = None) -> DataFrame:
-    """J-11 / J-13: every ordered pair of arms on the papers that both have, over the union of their fields, normalised once.
+def arm_store(local: DataFrame, cloud: DataFrame, human: DataFrame) -> DataFrame:
+    """H-01 / H-02: arm, paper_id, field_name, value and snippet of all three stores: `local`, cloud arms by their name, readers as `human_<extractor>`.
 
-    A paper's cells (its fields times the arms) are gathered once and paired
-    within the row, so there is one shuffle, on the paper, whatever the
-    number of pairs.
+    A filter on the arm is pushed into the branches, so a query for one arm reads one store.
     """
-    values = arms.withColumn("value", normalised(F.col("value"), kind, options))
-    cells = values.groupBy("paper_id").agg(F.collect_list(F.struct("arm_ord", "arm", "field_name", "value")).alias("cells"))
-    one = cells.select(
-        "paper_id", F.array_sort(F.array_distinct(F.transform("cells", lambda c: F.struct(c.arm_ord.alias("arm_ord"), c.arm.alias("arm"))))).alias("have"),
-        F.array_distinct(F.col("cells.field_name")).alias("fields"), F.map_from_entries(F.transform("cells", lambda c: F.struct(F.struct(c.arm_ord.alias("o"), c.field_name.alias("f")).alias("k"), c.value.alias("v")))).alias("by"),
-    )
-    key = lambda arm, f: F.struct(arm.arm_ord.alias("o"), f.alias("f"))
-    row = lambda a, b: lambda f: F.struct(f.alias("field_name"), a.arm.alias("arm_a"), b.arm.alias("arm_b"), F.col("by")[key(a, f)].alias("a"), F.col("by")[key(b, f)].alias("b"), (F.map_contains_key("by", key(a, f)) | F.map_contains_key("by", key(b, f))).alias("seen"))
-    pairs = F.flatten(F.transform("have", lambda a: F.flatten(F.transform(F.filter(F.col("have"), lambda b: b.arm_ord > a.arm_ord), lambda b: F.transform("fields", row(a, b))))))
-    return one.select("paper_id", F.inline(pairs)).where("seen").drop("seen")
+    columns = ["paper_id", "field_name", "value", "snippet"]
+    named = [local.select(F.lit("local").alias("arm"), *columns), cloud.select("arm", *columns), human.select(F.concat(F.lit("human_"), F.col("extractor")).alias("arm"), *columns)]
+    return named[0].unionByName(named[1]).unionByName(named[2])
+
+
+def wide(arms: DataFrame, names: list[str]) -> DataFrame:
+    """paper_id, field_name, a struct of the value for each arm (null without a row), and has_<arm>: whether the arm has the paper.
+
+    Rows are dealt once, by paper; cells and papers are both put together within that.
+    """
+    cell = lambda n: F.max(F.when(F.col("arm") == n, F.struct("value"))).alias(n)
+    cells = arms.repartition("paper_id").groupBy("paper_id", "field_name").agg(*[cell(n) for n in names])
+    paper = Window.partitionBy("paper_id")
+    return cells.select("*", *[F.max(F.col(n).isNotNull()).over(paper).alias(f"has_{n}") for n in names])
+
 
+def align(arms: DataFrame, names: list[str], kind: Column | None = None, options: Column | None = None) -> DataFrame:
+    """J-11 / J-13: every pair of arms in order, on the papers that both have, over the union of their fields, normalised once.
 
-def scores(arms: DataFrame, kind: Column | None = None) -> DataFrame:
+    kind and options are expressions over field_name.
+    """
+    cells = wide(arms, names).select("paper_id", "field_name", *[F.struct(F.col(f"has_{n}").alias("has"), F.col(n).isNotNull().alias("seen"), normalised(F.col(n)["value"], kind, options).alias("v")).alias(n) for n in names])
+    pairs = [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]]
+    row = lambda a, b: F.struct(F.lit(a).alias("arm_a"), F.lit(b).alias("arm_b"), F.col(a)["v"].alias("a"), F.col(b)["v"].alias("b"), (F.col(a)["has"] & F.col(b)["has"] & (F.col(a)["seen"] | F.col(b)["seen"])).alias("both"))
+    return cells.select("paper_id", "field_name", F.inline(F.array(*[row(a, b) for a, b in pairs]))).where("both").drop("both")
+
+
+def scores(arms: DataFrame, names: list[str], kind: Column | None = None, options: Column | None = None) -> DataFrame:
     """X-10 over J-11."""
-    return align(arms, kind).withColumn("score", pair_score(F.col("a"), F.col("b"), F.lit("text") if kind is None else kind))
+    return align(arms, names, kind, options).withColumn("score", pair_score(F.col("a"), F.col("b"), F.lit("text") if kind is None else kind))
 
 
-def concordance(arms: DataFrame, kind: Column | None = None) -> DataFrame:
+def concordance(arms: DataFrame, names: list[str], kind: Column | None = None, options: Column | None = None) -> DataFrame:
     """C-09: kappa with interval per pair of arms and field."""
-    return scores(arms, kind).groupBy("arm_a", "arm_b", "field_name").agg(*kappa_columns(F.col("score")))
+    return scores(arms, names, kind, options).groupBy("arm_a", "arm_b", "field_name").agg(*kappa_columns(F.col("score")))
 
 
 def mean_kappa(report: DataFrame) -> DataFrame:
@@ -63,17 +73,20 @@ def schema_parity(extractions: DataFrame) -> DataFrame:
     return extractions.groupBy("model").agg(F.count_distinct("schema_hash").alias("n_hashes"), F.array_join(F.array_sort(F.collect_set("schema_hash")), ",").alias("hashes")).where("n_hashes > 1")
 
 
-def disagreements(arms: DataFrame, n_arms: int = 3) -> DataFrame:
+def disagreements(arms: DataFrame, names: list[str], kind: Column | None = None, options: Column | None = None) -> DataFrame:
     """J-14 / C-10: cells of papers that all arms have, where some pair does not match; wide by arm."""
-    shared = arms.groupBy("paper_id").agg(F.count_distinct("arm").alias("n")).where(F.col("n") == n_arms).select("paper_id")
-    bad = scores(arms.join(shared, "paper_id", "left_semi")).groupBy("paper_id", "field_name").agg(F.count_if(F.col("score") != "MATCH").alias("n_pairs"), F.max(F.col("score") == "MISMATCH").alias("mismatch")).where("n_pairs > 0")
-    wide = arms.groupBy("paper_id", "field_name").agg(*[F.max(F.when(F.col("arm") == a, F.col("value"))).alias(a) for a in ("local", "openai", "anthropic")])
-    return bad.join(wide, ["paper_id", "field_name"])
+    cells = wide(arms, names).where(" AND ".join(f"has_{n}" for n in names))
+    values = [normalised(F.col(n)["value"], kind, options).alias(f"v_{n}") for n in names]
+    score = lambda a, b: pair_score(F.col(f"v_{a}"), F.col(f"v_{b}"), F.lit("text") if kind is None else kind)
+    pairs = [score(a, b).alias(f"s_{a}_{b}") for i, a in enumerate(names) for b in names[i + 1 :]]
+    scored = cells.select("paper_id", "field_name", *[F.col(n)["value"].alias(n) for n in names], *values).select("paper_id", "field_name", *names, F.array(*pairs).alias("s"))
+    out = scored.select("paper_id", "field_name", F.size(F.filter("s", lambda x: x != "MATCH")).cast("long").alias("n_pairs"), F.array_contains("s", "MISMATCH").alias("mismatch"), *names)
+    return out.where("n_pairs > 0")
 
 
-def ambiguous_queue(arms: DataFrame) -> DataFrame:
+def ambiguous_queue(arms: DataFrame, names: list[str], kind: Column | None = None, options: Column | None = None) -> DataFrame:
     """C-11."""
-    return scores(arms).where("score = 'AMBIGUOUS'").select("paper_id", "field_name", "arm_a", "arm_b", F.array_join("a", ";").alias("value_a"), F.array_join("b", ";").alias("value_b"))
+    return scores(arms, names, kind, options).where("score = 'AMBIGUOUS'").select("paper_id", "field_name", "arm_a", "arm_b", F.array_join("a", ";").alias("value_a"), F.array_join("b", ";").alias("value_b"))
 
 
 def shared_papers(human: DataFrame, least: int = 2) -> DataFrame:
@@ -143,11 +156,34 @@ def filled_domain(counts: DataFrame, domain: DataFrame, key: str) -> DataFrame:
     return domain.join(counts, key, "left").fillna(0)
 
 
-def running(df: DataFrame, keys: list[str], order: list[str], value: Column) -> DataFrame:
-    """W-06 / W-07: running count, sum and mean within keys."""
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn("seen", F.count("*").over(w)).withColumn("total", F.sum(value).over(w)).withColumn("mean", F.avg(value).over(w))
+BATCH = 4096  # rows of a running total that are put in order in one task
 
 
-def current_arms(extractions: DataFrame, spans: DataFrame) -> DataFrame:
-    return arms_of(current_spans(extractions, spans))
+def running(df: DataFrame, order: str, sums: dict[str, Column], keys: list[str] = ()) -> DataFrame:
+    """W-06 / W-07: seen (rows so far), and running sums, in the order of a unique whole number, within keys.
+
+    Ranges of the order are summed first, so that no task orders all rows of a key.
+    """
+    rows = df.select("*", F.expr(f"{order} div {BATCH}").alias("_b"), F.lit(1).alias("_seen"), *[v.alias(f"_{k}") for k, v in sums.items()])
+    names = ["seen", *sums]
+    parts = rows.groupBy(*keys, "_b").agg(*[F.sum(f"_{n}").alias(f"_t_{n}") for n in names])
+    earlier = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select(*keys, "_b", *[F.coalesce(F.sum(f"_t_{n}").over(earlier), F.lit(0)).alias(f"_e_{n}") for n in names])
+    so_far = Window.partitionBy(*keys, "_b").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    out = rows.join(parts, [*keys, "_b"])
+    return out.select(*df.columns, *[(F.col(f"_e_{n}") + F.sum(f"_{n}").over(so_far)).alias(n) for n in names])
+
+
+def progress(df: DataFrame, order: str, seconds: Column, failed: Column, total: int) -> DataFrame:
+    """W-06: after each item: done, failed, mean seconds, percent and seconds to go."""
+    out = running(df, order, {"failures": failed.cast("long"), "spent": seconds})
+    mean = F.col("spent") / F.col("seen")
+    return out.withColumn("mean", mean).withColumn("percent", 100.0 * F.col("seen") / total).withColumn("to_go", mean * (total - F.col("seen")))
+
+
+def checkpoints(df: DataFrame, order: str, seconds: Column, failed: Column, total: int, every: int = 100, most_failed: float = 0.05, most_hours: float = 30.0) -> DataFrame:
+    """W-07: every `every` items the failure rate, the projected hours, and whether to stop and why."""
+    out = progress(df, order, seconds, failed, total).where(F.col("seen") % every == 0)
+    rate, hours = F.col("failures") / F.col("seen"), (F.col("spent") + F.col("to_go")) / 3600
+    reason = F.when(rate > most_failed, "failure rate").when(hours > most_hours, "projected hours")
+    return out.withColumn("failure_rate", rate).withColumn("hours", hours).withColumn("abort", reason)

@@ -13,10 +13,10 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from concord import lifecycle as L
 from concord.functions.nulls import is_absence_claim
 from concord.functions.text import has_ellipsis
-from concord.functions.values import stable_seed
 from concord.operators.imports import errors
 from concord.operators.latest import cascade, childless, latest
 from concord.operators.reports import VERDICTS, crosstab
+from concord.operators.sampling import hash_rank
 from concord.sources.responses import spans
 
 
@@ -115,11 +115,12 @@ def approximate(df: DataFrame, keys: list[str], column: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.approx_count_distinct(column).alias("n_distinct"), F.percentile_approx(column, 0.5).alias("median"))
 
 
-def priorities(rows: DataFrame, share: float, seed: int = 42) -> DataFrame:
-    """T-09 / T-12: 1 for included, 2 for flagged, 3 for a seeded share of the excluded, others dropped."""
-    lot = stable_seed(F.lit(str(seed)), F.col("id").cast("string")) / float(1 << 32)
-    p = F.when(F.col("decision") == "include", 1).when(F.col("decision") == "flagged", 2).when(lot < share, 3)
-    return rows.withColumn("priority", p).where("priority IS NOT NULL")
+def priorities(rows: DataFrame, sample: int = 30, seed: int = 42) -> DataFrame:
+    """T-09 / T-12: 1 for what was screened in, 2 for a seeded sample of the rest, 3 for all others."""
+    wanted = F.col("status") == "ABSTRACT_SCREENED_IN"
+    drawn = rows.where(~wanted).select("id").orderBy(hash_rank(seed, F.col("id")), "id").limit(sample).withColumn("_drawn", F.lit(True))
+    # at most `sample` rows are broadcast
+    return rows.join(F.broadcast(drawn), "id", "left").withColumn("priority", F.when(wanted, 1).when(F.col("_drawn"), 2).otherwise(3)).drop("_drawn")
 
 
 def distinct_fields(sp: DataFrame) -> DataFrame:

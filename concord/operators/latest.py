@@ -56,11 +56,15 @@ def labelled(papers: DataFrame, order: str = "id") -> DataFrame:
 
 
 def cascade(df: DataFrame, lookup: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """J-15: left joins by several keys, the first key that hits wins; `hit` names it. The smallest value of a key is taken."""
+    """J-15: left joins by several keys, the first key that hits wins; `hit` names it. The smallest value of a key is taken.
+
+    Rows without a key join by a key of their own that hits nothing, so that they do not meet in one task.
+    """
     out = df
+    lone = F.concat(F.lit("\x00"), F.xxhash64(*df.columns).cast("string"))
     for k in keys:
-        side = lookup.where(F.col(k).isNotNull() & (F.col(k) != "")).groupBy(k).agg(F.min(value).alias(f"_by_{k}"))
-        out = out.join(side, k, "left")
+        side = lookup.where(F.col(k).isNotNull() & (F.col(k) != "")).groupBy(F.col(k).alias(f"_{k}")).agg(F.min(value).alias(f"_by_{k}"))
+        out = out.withColumn(f"_{k}", F.coalesce(F.nullif(F.col(k), F.lit("")), lone)).join(side, f"_{k}", "left").drop(f"_{k}")
     found = F.coalesce(*[F.col(f"_by_{k}") for k in keys])
     hit = F.coalesce(*[F.when(F.col(f"_by_{k}").isNotNull(), k) for k in keys])
     return out.withColumn(value, found).withColumn("hit", hit).drop(*[f"_by_{k}" for k in keys])

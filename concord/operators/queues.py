@@ -107,7 +107,11 @@ def coverage(wide: DataFrame, fields: list[str]) -> DataFrame:
 
 def budget_check(wanted: DataFrame, available: DataFrame, limit: float) -> DataFrame:
     """A-56: wanted models by name or `name:tag` prefix, their memory against a limit."""
-    hit = available.join(F.broadcast(wanted.select(F.col("name").alias("want")).distinct().limit(1000)), (F.col("name") == F.col("want")) | F.col("name").startswith(F.concat("want", F.lit(":"))), "left_semi")
+    names = wanted.select(F.explode(F.array(F.col("name"))).alias("want")).distinct()
+    # a name is wanted as it is, or by the part before its tag
+    bare = F.regexp_extract("name", "^([^:]*):", 1)
+    keyed = available.withColumn("_id", F.monotonically_increasing_id()).withColumn("want", F.explode(F.array_distinct(F.array("name", F.when(F.col("name").contains(":"), bare).otherwise(F.col("name"))))))
+    hit = keyed.join(names, "want", "left_semi").dropDuplicates(["_id"])
     return hit.agg(F.count("*").alias("n"), F.coalesce(F.sum("gb"), F.lit(0.0)).alias("gb")).withColumn("fits", F.col("gb") <= limit)
 
 

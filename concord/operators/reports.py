@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from concord import lifecycle as L
+from concord.functions.nulls import is_populated
+
+BINS = 4096  # of nearest_rank
 
 # Rating and verdict domains
 LEVEL1 = ["EQUIVALENT", "PARTIAL", "DIVERGENT"]
@@ -90,15 +95,25 @@ def bfilter(ratings: DataFrame) -> DataFrame:
 
 
 def nearest_rank(df: DataFrame, keys: list[str], value: str, ps: list[int]) -> DataFrame:
-    """A-32: the value at the half-even rank of (n - 1) * p / 100.
+    """A-32: the value at the half-even rank of (n - 1) * p / 100, of a numeric column.
 
-    Values are counted, ranked by running sums and picked, so that no group is gathered.
+    Each group's range is cut into BINS equal bins that are counted; only the
+    values of the bins that hold a wanted rank are then ranked one by one, so
+    that no group is gathered or sorted whole.
     """
-    tally = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("n"))
-    w = Window.partitionBy(*keys)
-    run = tally.withColumn("upto", F.sum("n").over(w.orderBy(value))).withColumn("all", F.sum("n").over(w))
-    picks = [F.min(F.when(F.col("upto") > F.bround(F.lit(p) / 100.0 * (F.col("all") - 1)), F.col(value))).alias(f"p{p}") for p in ps]
-    return run.groupBy(*keys).agg(F.max("all").alias("n"), *picks)
+    rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"))
+    ends = rows.groupBy(*keys).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count("*").alias("n"))
+    share = F.coalesce(F.try_divide((F.col("_v") - F.col("_lo")).cast("double"), (F.col("_hi") - F.col("_lo")).cast("double")), F.lit(0.0))
+    binned = rows.join(ends, keys).select(*keys, "_v", "n", F.floor(share * BINS).alias("_bin"))
+    w = Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)  # BINS + 1 rows a group
+    bins = binned.groupBy(*keys, "_bin", "n").agg(F.count("*").alias("_in")).withColumn("_before", F.coalesce(F.sum("_in").over(w), F.lit(0)))
+    rank = lambda p: F.bround(F.lit(p) / 100.0 * (F.col("n") - 1))
+    here = lambda p: (F.col("_before") <= rank(p)) & (rank(p) < F.col("_before") + F.col("_in"))
+    wanted = bins.where(reduce(lambda a, b: a | b, [here(p) for p in ps])).select(*keys, "_bin", "_before")
+    tally = binned.join(wanted, [*keys, "_bin"]).groupBy(*keys, "_bin", "_before", "n", "_v").agg(F.count("*").alias("_in"))
+    upto = F.col("_before") + F.sum("_in").over(Window.partitionBy(*keys, "_bin").orderBy("_v"))
+    run = tally.withColumn("_upto", upto)
+    return run.groupBy(*keys).agg(F.max("n").alias("n"), *[F.min(F.when(F.col("_upto") > rank(p), F.col("_v"))).alias(f"p{p}") for p in ps])
 
 
 def length_stats(df: DataFrame, keys: list[str], text: str) -> DataFrame:
@@ -138,11 +153,16 @@ def evidence_wide(current: DataFrame, fields: list[str]) -> DataFrame:
     return current.groupBy("paper_id").agg(*[cell(f, c).alias(f"{f}_{n}") for f in fields for c, n in (("flag", "value"), ("confidence", "confidence"), ("audit_status", "state"))])
 
 
-def low_yield(current: DataFrame, least: int) -> DataFrame:
-    """A-36 / A-39."""
+def field_coverage(current: DataFrame, least: int) -> DataFrame:
+    """A-36: papers with fewer than `least` spans."""
     return current.groupBy("paper_id").agg(F.count("*").alias("n_fields")).where(F.col("n_fields") < least)
 
 
+def low_yield(current: DataFrame, least: int = 4, value: str = "value") -> DataFrame:
+    """A-39: papers with fewer than `least` populated fields; absence values do not count."""
+    return current.groupBy("paper_id").agg(F.count_if(is_populated(F.col(value))).alias("n_populated")).where(F.col("n_populated") < least)
+
+
 def top(df: DataFrame, key: str, n: int, ties: list[Column]) -> DataFrame:
     """T-01 / T-02: largest counts first (sort and limit in one operator)."""
     return df.groupBy(key).agg(F.count("*").alias("n")).orderBy(F.desc("n"), *ties).limit(n)

@@ -29,9 +29,21 @@ def under_supplied(df: DataFrame, strata: list[str], k: int) -> DataFrame:
 
 
 def fraction(df: DataFrame, key: str, share: float, seed: int = 42) -> DataFrame:
-    """T-08: max(1, int(n * share)) rows in seeded order."""
-    n = max(1, int(df.count() * share))
-    return df.withColumn("_h", hash_rank(seed, F.col(key))).orderBy("_h").limit(n).drop("_h")
+    """T-08: max(1, int(n * share)) rows, the first in seeded order.
+
+    Rows are counted by the first four digits of their hash. Whole classes
+    below the last wanted row are taken by a filter; only its class is sorted.
+    """
+    rows = df.withColumn("_h", hash_rank(seed, F.col(key))).withColumn("_c", F.conv(F.substring("_h", 1, 4), 16, 10).cast("int"))
+    classes = sorted((r["_c"], r["n"]) for r in rows.groupBy("_c").agg(F.count("*").alias("n")).collect())  # 65,536 at most
+    wanted, seen, last = max(1, int(sum(n for _, n in classes) * share)), 0, -1
+    for c, n in classes:
+        if seen + n >= wanted:
+            last = c
+            break
+        seen += n
+    edge = rows.where(F.col("_c") == last).orderBy("_h").limit(max(0, wanted - seen))
+    return rows.where(F.col("_c") < last).unionByName(edge).drop("_h", "_c")
 
 
 def shuffled(sample: DataFrame, key: str, seed: int = 42) -> DataFrame:

@@ -77,12 +77,12 @@ def contained_anywhere(snippets: DataFrame, texts: DataFrame, snippet: str, text
 
 
 def audit(spans: DataFrame) -> DataFrame:
-    """C-08: audit_state of (value, source_snippet, tier, paper_text, semantic boolean from a scorer)."""
+    """C-08: audit_state of (value, source_snippet, tier, paper_text, semantic boolean from a scorer); a missing answer verifies nothing."""
     snippet = F.trim(F.coalesce("source_snippet", F.lit("")))
     passed = (F.col("tier") == 4) | grep_verify(F.col("source_snippet"), F.col("paper_text"))
     state = (
         F.when(is_audit_absence(F.col("value")), "verified").when((snippet != "") & has_ellipsis(snippet), "invalid_snippet").when(snippet == "", "flagged")
-        .when(~F.col("semantic"), "flagged").when(passed, "verified").otherwise("contested")
+        .when(~F.coalesce("semantic", F.lit(False)), "flagged").when(passed, "verified").otherwise("contested")
     )
     return spans.withColumn("audit_state", state)
 

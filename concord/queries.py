@@ -20,40 +20,19 @@ from concord.operators import sampling as S
 from concord.operators import verify as C
 from concord.sources import responses
 from concord.streaming import streams
-from concord.views import VIEWS, frames, sql_prefix
+from concord.registry import ORACLE_SQL, QUERIES, query
+from concord.views import ARMS as MODEL_ARMS
+from concord.views import frames
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
 FLAGSHIP = "concordance_kappa"
 
 
-def query(*views: str, sql: str | None = None):
-    """Register f(*frames of the views) under its name, with the SQL over the same views."""
-
-    def add(f):
-        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return f(*frames(spark, sf_dir, *views))
-
-        QUERIES[f.__name__] = run
-        if sql:
-            own = [v for v in views if v in VIEWS]
-            text = sql.strip()
-            if own:
-                text = f"{sql_prefix(*own)}{', ' + text[5:] if text.startswith('WITH ') else ' ' + text}"
-            ORACLE_SQL[f.__name__] = text
-        return f
-
-    return add
-
-
 # ---- pieces of SQL that several oracles share
 HEADS = "heads AS (SELECT paper_id, max(id) AS extraction_id FROM extractions GROUP BY paper_id)"
 CURRENT = f"""{HEADS}, current AS (SELECT * FROM (SELECT h.paper_id, s.*, row_number() OVER (PARTITION BY h.paper_id, s.field_name ORDER BY s.span_no DESC) AS rn
     FROM heads h JOIN spans s ON s.extraction_id = h.extraction_id) WHERE rn = 1)"""
 ARMS = f"""{CURRENT}, raw_arms AS (
-    SELECT paper_id, field_name, 0 AS arm_ord, 'local' AS arm, CASE flag WHEN 'A' THEN 'Randomized trial' WHEN 'N' THEN 'NR' ELSE 'Cohort study (prospective)' END AS value FROM current
-    UNION ALL SELECT paper_id, field_name, 1, 'openai', CASE WHEN line_status = 'O' THEN 'randomized  Trial' ELSE 'Cohort study' END FROM current
-    UNION ALL SELECT paper_id, field_name, 2, 'anthropic', CASE WHEN quantity % 3 = 0 THEN 'n/a' WHEN quantity % 3 = 1 THEN 'Prospective cohort' ELSE 'Randomized trial' END FROM current),
+    {" UNION ALL ".join(f"SELECT paper_id, field_name, {i} AS arm_ord, '{n}' AS arm, {v} AS value FROM current" for i, (n, v) in enumerate(MODEL_ARMS.items()))}),
     arms AS (SELECT paper_id, field_name, arm_ord, arm, value, CASE WHEN lower(trim(value)) IN ('', 'nr', 'n/r', 'not reported', 'not_found', 'none', 'n/a') THEN NULL
         ELSE lower(trim(regexp_replace(value, '\\s+', ' ', 'g'))) END AS v FROM raw_arms)"""
 SCORES = f"""{ARMS}, scored AS (SELECT paper_id, field_name, arm_a, arm_b, a, b, CASE WHEN a IS NULL AND b IS NULL THEN 'MATCH' WHEN a IS NULL OR b IS NULL THEN 'MISMATCH'
@@ -67,25 +46,33 @@ VOTES = """now AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY pape
 KAPPA = """count(*) FILTER (score <> 'AMBIGUOUS') AS n, count(*) FILTER (score = 'MATCH') AS n_match, count(*) FILTER (score = 'MISMATCH') AS n_mismatch, count(*) FILTER (score = 'AMBIGUOUS') AS n_ambiguous"""
 
 
+NAMES = list(MODEL_ARMS)
+
+
+def model_arms(extractions: DataFrame, spans: DataFrame) -> DataFrame:
+    """The three model arms over the current spans."""
+    return A.stacked(J.current_spans(extractions, spans), ["paper_id", "field_name"], {n: F.expr(v) for n, v in MODEL_ARMS.items()})
+
+
 @query("extractions", "spans", sql=f"""WITH {SCORES}, c AS (SELECT arm_a, arm_b, field_name, {KAPPA} FROM scored GROUP BY ALL),
     p AS (SELECT *, CASE WHEN n > 0 THEN n_match::DOUBLE / n END AS p FROM c), e AS (SELECT *, p * p + (1 - p) * (1 - p) AS e FROM p),
     k AS (SELECT *, CASE WHEN n = 0 THEN NULL WHEN n_match = n THEN 1.0 WHEN n_match = 0 THEN 0.0 ELSE (p - e) / (1 - e) END AS k,
           CASE WHEN n <= 1 OR n_match = n OR n_match = 0 THEN 0.0 ELSE sqrt(p * (1 - p) / (n * (1 - e) * (1 - e))) END AS s FROM e)
     SELECT arm_a, arm_b, field_name, n, n_match, n_mismatch, n_ambiguous, round(p, 6) AS percent_agreement, round(k, 6) AS kappa, round(k - 1.96 * s, 6) AS ci_lower, round(k + 1.96 * s, 6) AS ci_upper FROM k""")
 def concordance_kappa(extractions, spans):
-    return A.concordance(A.current_arms(extractions, spans))
+    return A.concordance(model_arms(extractions, spans), NAMES)
 
 
 @query("extractions", "spans", sql=f"WITH {SCORES} SELECT paper_id, field_name, arm_a, arm_b, a AS value_a, b AS value_b FROM scored WHERE score = 'AMBIGUOUS'")
 def ambiguous_queue(extractions, spans):
-    return A.ambiguous_queue(A.current_arms(extractions, spans))
+    return A.ambiguous_queue(model_arms(extractions, spans), NAMES)
 
 
 @query("extractions", "spans", sql=f"""WITH {SCORES}, bad AS (SELECT paper_id, field_name, count(*) FILTER (score <> 'MATCH') AS n_pairs, bool_or(score = 'MISMATCH') AS mismatch FROM scored GROUP BY ALL HAVING count(*) FILTER (score <> 'MATCH') > 0),
     w AS (SELECT paper_id, field_name, max(value) FILTER (arm = 'local') AS local, max(value) FILTER (arm = 'openai') AS openai, max(value) FILTER (arm = 'anthropic') AS anthropic FROM arms GROUP BY ALL)
     SELECT paper_id, field_name, n_pairs, mismatch, local, openai, anthropic FROM bad JOIN w USING (paper_id, field_name)""")
 def three_arm_disagreements(extractions, spans):
-    return A.disagreements(A.current_arms(extractions, spans))
+    return A.disagreements(model_arms(extractions, spans), NAMES)
 
 
 @query("extractions", sql="SELECT id, paper_id, schema_hash, model FROM (SELECT *, row_number() OVER (PARTITION BY paper_id ORDER BY id DESC) AS rn FROM extractions) WHERE rn = 1")
@@ -254,7 +241,7 @@ def verdict_grouping_sets(verdicts):
     return R.verdict_sets(verdicts)
 
 
-@query("verdicts", sql="SELECT arm, upper(trim(value)) = 'NR' AS absent, count(*) FILTER (verdict = 'SUPPORTED') AS \"SUPPORTED\", count(*) FILTER (verdict = 'PARTIALLY_SUPPORTED') AS \"PARTIALLY_SUPPORTED\", count(*) FILTER (verdict = 'UNSUPPORTED') AS \"UNSUPPORTED\", count(*) AS total FROM verdicts GROUP BY ALL")
+@query("verdicts", sql="SELECT arm, value IS NULL OR upper(trim(value)) IN ('', 'NR', 'N/A', 'NA', 'NOT_FOUND', 'NOT FOUND', 'NOT REPORTED') AS absent, count(*) FILTER (verdict = 'SUPPORTED') AS \"SUPPORTED\", count(*) FILTER (verdict = 'PARTIALLY_SUPPORTED') AS \"PARTIALLY_SUPPORTED\", count(*) FILTER (verdict = 'UNSUPPORTED') AS \"UNSUPPORTED\", count(*) AS total FROM verdicts GROUP BY ALL")
 def absence_verdicts(verdicts):
     return R.crosstab(verdicts.withColumn("absent", N.is_absence_claim(F.col("value"))), ["arm", "absent"], "verdict", R.VERDICTS)
 
@@ -281,8 +268,13 @@ def field_verification_rate(spans):
 
 
 @query("extractions", "spans", sql=f"WITH {CURRENT} SELECT paper_id, count(*) AS n_fields FROM current GROUP BY ALL HAVING count(*) < 4")
-def low_yield(extractions, spans):
-    return R.low_yield(J.current_spans(extractions, spans), 4)
+def field_coverage(extractions, spans):
+    return R.field_coverage(J.current_spans(extractions, spans), 4)
+
+
+@query("cloud", sql="SELECT paper_id, count(*) FILTER (value IS NOT NULL AND trim(value) NOT IN ('', 'NOT_FOUND', 'Not discussed', 'NR', 'No comparison reported', 'Not assessable')) AS n_populated FROM cloud GROUP BY paper_id HAVING n_populated < 4")
+def low_yield(cloud):
+    return R.low_yield(cloud)
 
 
 @query("spans", sql="""WITH c AS (SELECT extraction_id, audit_status, CASE audit_status WHEN 'flagged' THEN 2 WHEN 'contested' THEN 3 ELSE 5 END AS r, count(*) AS n FROM spans GROUP BY ALL)
@@ -403,15 +395,9 @@ def events_session(events):
 
 
 @query("benchmark", "documents", sql="""WITH b AS (SELECT item_id, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS t FROM benchmark), d AS (SELECT doc_id, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS t FROM documents)
-    SELECT doc_id, item_id FROM d JOIN b ON doc_id % 40 = item_id % 40 AND contains(d.t, b.t)""")
+    SELECT doc_id, item_id FROM d JOIN b ON contains(d.t, b.t)""")
 def snippet_exact(benchmark, documents):
-    b = benchmark.withColumn("key", F.col("item_id") % 40).withColumnRenamed("text", "snippet")
-    return C.contained(b, documents.withColumn("key", F.col("doc_id") % 40), "key", "snippet", "text").select("doc_id", "item_id")
-
-
-@query("benchmark", "documents")
-def snippet_exact_all(benchmark, documents):
-    """All pairs; the SQL of snippet_exact compares those of one remainder only."""
+    """All pairs of snippets and texts."""
     return C.contained_anywhere(benchmark.select("item_id", F.col("text").alias("snippet")), documents.select("doc_id", "text"), "snippet", "text").select("doc_id", "item_id")
 
 
@@ -482,6 +468,3 @@ def response_to_spans(events):
     return responses.spans(events.select("event_id", text.alias("response"))).drop("response")
 
 
-@query("events", sql="SELECT event_type, avg_before FROM (SELECT event_type, round(avg(value), 6) AS avg_before FROM events GROUP BY ALL)")
-def progress_mean(events):
-    return events.groupBy("event_type").agg(F.round(F.avg("value"), 6).alias("avg_before"))

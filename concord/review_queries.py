@@ -1,0 +1,271 @@
+"""Queries of the review workflow: functions of text and values, typed agreement, imports, queues, samples and progress, with their SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from concord import lifecycle as L
+from concord.functions import nulls as N
+from concord.functions import text as X
+from concord.functions import values as V
+from concord.operators import agreement as A
+from concord.operators import entities as E
+from concord.operators import imports as I
+from concord.operators import jobs as B
+from concord.operators import latest as J
+from concord.operators import queues as Q
+from concord.operators import reports as R
+from concord.operators import sampling as S
+from concord.operators import verify as C
+from concord.queries import CURRENT, HEADS, KAPPA, NAMES, VOTES, status_events
+from concord.registry import query
+from concord.sources import readers, responses, sinks
+from concord.views import KINDS, OPTIONS, TYPED_ARMS
+
+NULLS = "('', 'nr', 'n/r', 'not reported', 'not_found', 'none', 'n/a')"
+LINE = "split_part(text, chr(10), 1)"
+
+
+def line() -> F.Column:
+    return F.split_part("text", F.lit("\n"), F.lit(1))
+
+
+# ---- agreement of typed fields
+
+
+def chosen(column: str, options: dict[str, str], other: str) -> str:
+    return f"CASE {column} " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in options.items()) + f" ELSE {other} END"
+
+
+def canonical_sql(x: str) -> str:
+    """One value against the list `opts`."""
+    head = f"list_filter(opts, lambda o: starts_with(o, {x} || ' ') OR o = {x})"
+    same = f"list_filter(opts, lambda o: lower(o) = lower({x}))"
+    return f"CASE WHEN list_contains(opts, {x}) THEN {x} WHEN len({same}) > 0 THEN {same}[-1] WHEN len({head}) = 1 AND trim(regexp_extract({head}[1], '^(.+?)\\s*\\(', 1)) = {x} THEN {head}[1] ELSE {x} END"
+
+
+TYPED = f"""{CURRENT}, raw AS ({" UNION ALL ".join(f"SELECT paper_id, field_name, {i} AS arm_ord, '{n}' AS arm, {v} AS value FROM current" for i, (n, v) in enumerate(TYPED_ARMS.items()))}),
+    kinds AS (SELECT *, {chosen("field_name", {k: f"'{v}'" for k, v in KINDS.items()}, "'text'")} AS kind, {chosen("field_name", {k: str(v) for k, v in OPTIONS.items()}, "[]::VARCHAR[]")} AS opts FROM raw),
+    parts AS (SELECT paper_id, field_name, arm, trim(x) AS x, opts FROM (SELECT *, unnest(string_split(value, ';')) AS x FROM kinds WHERE kind = 'multi' AND contains(value, ';')) WHERE lower(trim(x)) NOT IN {NULLS}),
+    multi AS (SELECT paper_id, field_name, arm, list_sort(list_distinct(list(c))) AS l FROM (SELECT *, {canonical_sql("x")} AS c FROM parts) GROUP BY ALL),
+    one AS (SELECT *, trim(value) AS t, regexp_replace(value, '[^0-9]', '', 'g') AS d FROM kinds),
+    typed AS (SELECT o.paper_id, o.field_name, o.arm_ord, o.arm, o.kind, CASE WHEN o.value IS NULL OR lower(o.t) IN {NULLS} THEN NULL WHEN o.kind = 'multi' AND contains(o.value, ';') THEN m.l
+        WHEN o.kind = 'numeric' THEN [CASE WHEN d = '' THEN t ELSE d::HUGEINT::VARCHAR END] WHEN o.kind = 'raw' THEN [trim(regexp_replace(o.value, '\\s+', ' ', 'g'))]
+        WHEN o.kind IN ('categorical', 'multi') THEN [{canonical_sql("t")}] ELSE [lower(trim(regexp_replace(o.value, '\\s+', ' ', 'g')))] END AS v FROM one o LEFT JOIN multi m USING (paper_id, field_name, arm)),
+    scored AS (SELECT paper_id, field_name, arm_a, arm_b, a, b, CASE WHEN a IS NULL AND b IS NULL THEN 'MATCH' WHEN a IS NULL OR b IS NULL THEN 'MISMATCH'
+        WHEN len(a) > 1 OR len(b) > 1 THEN CASE WHEN a = b THEN 'MATCH' WHEN NOT list_has_any(a, b) THEN 'MISMATCH' ELSE 'AMBIGUOUS' END
+        WHEN a[1] = b[1] THEN 'MATCH' WHEN kind IN ('categorical', 'multi') THEN 'MISMATCH' WHEN contains(a[1], b[1]) OR contains(b[1], a[1]) THEN 'MATCH'
+        WHEN NOT list_has_any(string_split(lower(a[1]), ' '), string_split(lower(b[1]), ' ')) THEN 'MISMATCH' ELSE 'AMBIGUOUS' END AS score
+        FROM (SELECT x.paper_id, x.field_name, x.kind, x.arm AS arm_a, y.arm AS arm_b, x.v AS a, y.v AS b FROM typed x JOIN typed y ON x.paper_id = y.paper_id AND x.field_name = y.field_name AND x.arm_ord < y.arm_ord)),
+    c AS (SELECT arm_a, arm_b, field_name, {KAPPA} FROM scored GROUP BY ALL), p AS (SELECT *, CASE WHEN n > 0 THEN n_match::DOUBLE / n END AS p FROM c), e AS (SELECT *, p * p + (1 - p) * (1 - p) AS e FROM p),
+    k AS (SELECT *, CASE WHEN n = 0 THEN NULL WHEN n_match = n THEN 1.0 WHEN n_match = 0 THEN 0.0 ELSE (p - e) / (1 - e) END AS k, CASE WHEN n <= 1 OR n_match = n OR n_match = 0 THEN 0.0 ELSE sqrt(p * (1 - p) / (n * (1 - e) * (1 - e))) END AS s FROM e),
+    report AS (SELECT arm_a, arm_b, field_name, n, n_match, n_mismatch, n_ambiguous, round(p, 6) AS percent_agreement, round(k, 6) AS kappa, round(k - 1.96 * s, 6) AS ci_lower, round(k + 1.96 * s, 6) AS ci_upper FROM k)"""
+
+
+def kind_of(field: F.Column) -> F.Column:
+    return F.coalesce(F.create_map(*[F.lit(x) for kv in KINDS.items() for x in kv])[field], F.lit("text"))
+
+
+def options_of(field: F.Column) -> F.Column:
+    out = F.array().cast("array<string>")
+    for name, options in OPTIONS.items():
+        out = F.when(field == name, F.array(*map(F.lit, options))).otherwise(out)
+    return out
+
+
+def typed_arms(extractions: DataFrame, spans: DataFrame) -> DataFrame:
+    return A.stacked(J.current_spans(extractions, spans), ["paper_id", "field_name"], {n: F.expr(v) for n, v in TYPED_ARMS.items()})
+
+
+def typed(extractions: DataFrame, spans: DataFrame) -> tuple:
+    return typed_arms(extractions, spans), NAMES, kind_of(F.col("field_name")), options_of(F.col("field_name"))
+
+
+@query("extractions", "spans", sql=f"WITH {TYPED} SELECT * FROM report")
+def typed_concordance(extractions, spans):
+    return A.concordance(*typed(extractions, spans))
+
+
+@query("extractions", "spans", sql=f"WITH {TYPED} SELECT paper_id, field_name, arm_a, arm_b, array_to_string(a, ';') AS value_a, array_to_string(b, ';') AS value_b FROM scored WHERE score = 'AMBIGUOUS'")
+def typed_ambiguous_queue(extractions, spans):
+    return A.ambiguous_queue(*typed(extractions, spans))
+
+
+@query("extractions", "spans", sql=f"WITH {TYPED}, m AS (SELECT arm_a, arm_b, avg(kappa) AS k, count(kappa) AS n_fields FROM report GROUP BY ALL) SELECT arm_a, arm_b, round(k, 6) AS mean_kappa, n_fields, CASE WHEN k >= 0.8 THEN 'high' WHEN k >= 0.6 THEN 'medium' WHEN k IS NOT NULL THEN 'low' ELSE 'none' END AS band, CASE WHEN k IS NULL THEN 'N/A' ELSE printf('%.3f', round(k, 6)) END AS shown FROM m")
+def mean_kappa_bands(extractions, spans):
+    out = A.mean_kappa(A.concordance(*typed(extractions, spans)))
+    return out.withColumn("band", V.kappa_band(F.col("mean_kappa"))).withColumn("shown", V.shown(F.col("mean_kappa")))
+
+
+STORE = "store AS (SELECT 'local' AS arm, e.paper_id, s.field_name, s.flag AS value, s.line_status AS snippet FROM spans s JOIN extractions e ON e.id = s.extraction_id UNION ALL SELECT arm, paper_id, field_name, value, snippet FROM cloud UNION ALL SELECT 'human_' || extractor, paper_id, field_name, value, snippet FROM human)"
+
+
+def store(extractions: DataFrame, spans: DataFrame, cloud: DataFrame, human: DataFrame) -> DataFrame:
+    local = spans.join(extractions.select(F.col("id").alias("extraction_id"), "paper_id"), "extraction_id").select("paper_id", "field_name", F.col("flag").alias("value"), F.col("line_status").alias("snippet"))
+    return A.arm_store(local, cloud, human)
+
+
+@query("extractions", "spans", "cloud", "human", sql=f"WITH {STORE} SELECT arm, field_name, count(*) FILTER (value IS NOT NULL AND lower(trim(value)) NOT IN {NULLS}) AS n_values, count(DISTINCT value) FILTER (value IS NOT NULL AND lower(trim(value)) NOT IN {NULLS}) AS n_distinct, min(snippet) AS first_snippet FROM store GROUP BY ALL")
+def arm_store_values(extractions, spans, cloud, human):
+    real = ~N.is_null_synonym(F.col("value"))
+    return store(extractions, spans, cloud, human).groupBy("arm", "field_name").agg(F.count_if(real).alias("n_values"), F.count_distinct(F.when(real, F.col("value"))).alias("n_distinct"), F.min("snippet").alias("first_snippet"))
+
+
+@query("extractions", "spans", "cloud", "human", sql=f"WITH {STORE}, s AS (SELECT * FROM store WHERE arm IN ('local', 'openai', 'human_A')) SELECT paper_id, field_name, max(snippet) FILTER (arm = 'local') AS local, max(snippet) FILTER (arm = 'openai') AS openai, max(snippet) FILTER (arm = 'human_A') AS \"human_A\" FROM s GROUP BY ALL")
+def snippets_of_cells(extractions, spans, cloud, human):
+    order = ["local", "openai", "human_A"]
+    return Q.snippets_by_arm(store(extractions, spans, cloud, human).where(F.col("arm").isin(order)), order)
+
+
+@query("human", "cloud", sql="SELECT 'human' AS side, count(DISTINCT paper_id) AS n FROM human WHERE paper_id NOT IN (SELECT paper_id FROM cloud) UNION ALL SELECT 'cloud', count(DISTINCT paper_id) FROM cloud WHERE paper_id NOT IN (SELECT paper_id FROM human)")
+def papers_of_one_side(human, cloud):
+    return A.only_in(human, cloud).agg(F.lit("human").alias("side"), F.count("*").alias("n")).union(A.only_in(cloud, human).agg(F.lit("cloud").alias("side"), F.count("*").alias("n")))
+
+
+@query("human", "cloud", sql="SELECT h.paper_id, h.field_name, h.value AS human, c.value AS model FROM human h JOIN cloud c ON h.paper_id = c.paper_id AND h.field_name = c.field_name WHERE lower(trim(h.value)) <> lower(trim(c.value))")
+def human_model_differences(human, cloud):
+    return B.human_against_model(human, cloud)
+
+
+@query("human", sql=f"WITH {VOTES}, r AS (SELECT paper_id, field_name, norm, n FROM votes WHERE norm IS NOT NULL) SELECT paper_id, field_name, '{{' || string_agg('\"' || norm || '\":' || n, ',' ORDER BY norm) || '}}' AS votes FROM r GROUP BY ALL HAVING sum(n) >= 2 AND count(*) > 1 AND 2 * max(n) <= sum(n)")
+def undecided_cells(human):
+    return B.votes_json(A.votes(human))
+
+
+# ---- values
+
+
+@query("cloud", "human", sql=f"""WITH v AS (SELECT value FROM cloud UNION ALL SELECT value FROM human)
+    SELECT value, count(*) AS n, bool_or(value IS NULL OR lower(trim(value)) IN {NULLS}) AS synonym, bool_or(value IS NULL OR upper(trim(value)) IN ('', 'NR', 'N/A', 'NA', 'NOT_FOUND', 'NOT FOUND', 'NOT REPORTED')) AS claim,
+        bool_or(coalesce(value IN ('NOT_FOUND', 'Not discussed', 'NR', 'No comparison reported'), false)) AS audit_absence, bool_or(value IS NOT NULL AND trim(value) NOT IN ('', 'NOT_FOUND', 'Not discussed', 'NR', 'No comparison reported', 'Not assessable')) AS populated,
+        min(CASE WHEN trim(value) <> '' AND upper(trim(value)) <> 'NR' THEN trim(value) END) AS human_value, min(CASE WHEN lower(trim(value)) NOT IN ('', 'none', 'null') THEN trim(value) END) AS csv_value FROM v GROUP BY value""")
+def absence_predicates(cloud, human):
+    v = F.col("value")
+    rows = cloud.select("value").unionByName(human.select("value")).groupBy("value").agg(F.count("*").alias("n"))
+    return rows.select("value", "n", N.is_null_synonym(v).alias("synonym"), N.is_absence_claim(v).alias("claim"), N.is_audit_absence(v).alias("audit_absence"), N.is_populated(v).alias("populated"), N.human_value(v).alias("human_value"), N.csv_value(v).alias("csv_value"))
+
+
+@query("lineitem", sql="""WITH v AS (SELECT l_orderkey, l_linenumber, CASE l_linenumber % 4 WHEN 0 THEN '00' || l_quantity::INT || ' pigs, 5' WHEN 1 THEN '-' || l_partkey || ',' || '250.5 mm' WHEN 2 THEN 'none' ELSE ' 7.25' END AS v, l_extendedprice AS price FROM lineitem)
+    SELECT l_orderkey, l_linenumber, CASE WHEN regexp_replace(v, '[^0-9]', '', 'g') = '' THEN trim(v) ELSE regexp_replace(v, '[^0-9]', '', 'g')::HUGEINT::VARCHAR END AS digits, TRY_CAST(nullif(regexp_extract(replace(trim(v), ',', ''), '^-?\\d+(\\.\\d+)?'), '') AS DOUBLE) AS leading,
+        greatest(0.0, least(1.0, price / 50000)) AS clamped, CASE l_linenumber % 4 WHEN 2 THEN NULL WHEN 3 THEN 7.25 ELSE NULL END AS rounded FROM v""")
+def numbers_in_values(lineitem):
+    v = F.when(F.col("l_linenumber") % 4 == 0, F.concat(F.lit("00"), F.col("l_quantity").cast("int").cast("string"), F.lit(" pigs, 5"))).when(F.col("l_linenumber") % 4 == 1, F.concat(F.lit("-"), F.col("l_partkey").cast("string"), F.lit(",250.5 mm"))).when(F.col("l_linenumber") % 4 == 2, "none").otherwise(" 7.25")
+    rows = lineitem.select("l_orderkey", "l_linenumber", v.alias("v"), "l_extendedprice")
+    return rows.select("l_orderkey", "l_linenumber", V.digits_only(F.col("v")).alias("digits"), V.leading_number(F.col("v")).alias("leading"), X.clamp(F.col("l_extendedprice") / 50000).alias("clamped"), B.rounded(F.col("v")).alias("rounded"))
+
+
+@query("human", sql="""WITH v AS (SELECT DISTINCT value, substr(value, 1, 3) AS short FROM human), o AS (SELECT ['click', 'view', 'purchase', 'login', 'logout'] AS opts)
+    SELECT value, CASE WHEN len(list_filter(opts, lambda x: starts_with(lower(x), lower(short)))) = 1 THEN list_filter(opts, lambda x: starts_with(lower(x), lower(short)))[1] ELSE short END AS completed FROM v, o""")
+def completed_prefixes(human):
+    options = F.array(*map(F.lit, ["click", "view", "purchase", "login", "logout"]))
+    return human.select("value").distinct().select("value", V.prefix_of(F.substring("value", 1, 3), options).alias("completed"))
+
+
+@query("human", sql="""WITH e AS (SELECT * FROM (VALUES ('f1', 'click'), ('f1', 'view'), ('f2', 'purchase'), ('f3', 'login'), ('f3', 'logout')) AS t(field_name, enum_value)), o AS (SELECT field_name, list(enum_value) AS opts FROM e GROUP BY ALL),
+    v AS (SELECT h.id, h.field_name, substr(h.value, 1, 4) AS value, opts FROM human h LEFT JOIN o ON o.field_name = h.field_name),
+    n AS (SELECT *, CASE WHEN opts IS NOT NULL AND len(list_filter(opts, lambda x: starts_with(lower(x), lower(value)))) = 1 THEN list_filter(opts, lambda x: starts_with(lower(x), lower(value)))[1] ELSE value END AS new_value FROM v)
+    SELECT field_name, value, new_value, count(*) AS n FROM n WHERE value <> new_value GROUP BY ALL""")
+def category_changes(human):
+    enums = human.sparkSession.createDataFrame([("f1", "click"), ("f1", "view"), ("f2", "purchase"), ("f3", "login"), ("f3", "logout")], "field_name string, enum_value string")
+    _, changes = C.normalise_categories(human.select("id", "field_name", F.substring("value", 1, 4).alias("value")), enums)
+    return R.counts(changes, "field_name", "value", "new_value")
+
+
+# ---- text
+
+
+@query("documents", sql=f"""WITH d AS (SELECT doc_id, text, {LINE} AS line FROM documents), e AS (SELECT doc_id, text, line, CASE WHEN doc_id % 3 = 0 THEN '<think> ' || line || chr(10) || '</think> x' WHEN doc_id % 3 = 1 THEN '```json' || chr(10) || line || chr(10) || '```' ELSE line END AS v FROM d)
+    SELECT doc_id, trim(regexp_extract(v, '(?s)<think>(.*?)</think>', 1)) AS thinking, CASE WHEN doc_id % 3 = 1 THEN trim(line) ELSE trim(v) END AS bare, CASE WHEN length(v) > 40 THEN substr(v, 1, 40) || '...' ELSE v END AS short, ceil(length(v) / 4.0)::BIGINT AS n_tokens,
+        coalesce(regexp_matches(v, '\\.\\.\\.|…'), false) AS bridged, regexp_replace(v || chr(7), '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]', '', 'g') = v AS controls_gone FROM e""")
+def text_forms(documents):
+    d = documents.select("doc_id", line().alias("line"))
+    kind = F.col("doc_id") % 3
+    v = F.when(kind == 0, F.concat(F.lit("<think> "), F.col("line"), F.lit("\n</think> x"))).when(kind == 1, F.concat(F.lit("```json\n"), F.col("line"), F.lit("\n```"))).otherwise(F.col("line"))
+    e = d.withColumn("v", v)
+    return e.select("doc_id", X.thinking(F.col("v")).alias("thinking"), X.strip_fence(F.col("v")).alias("bare"), X.shorten(F.col("v"), 40).alias("short"), X.token_estimate(F.col("v")).cast("long").alias("n_tokens"), X.has_ellipsis(F.col("v")).alias("bridged"), (X.strip_controls(F.concat("v", F.lit("\x07"))) == F.col("v")).alias("controls_gone"))
+
+
+STOPS = "[" + ", ".join(f"'{w}'" for w in X.STOP_WORDS) + "]"
+
+
+@query("documents", sql=f"""WITH d AS (SELECT doc_id, substr(text, 1, 300) AS a, substr(text, 60, 300) AS b FROM documents),
+    t AS (SELECT doc_id, list_distinct(list_filter(regexp_extract_all(lower(a), '[a-z]+'), lambda x: length(x) >= 2 AND NOT list_contains({STOPS}, x))) AS x, list_distinct(list_filter(regexp_extract_all(lower(b), '[a-z]+'), lambda x: length(x) >= 2 AND NOT list_contains({STOPS}, x))) AS y FROM d),
+    s AS (SELECT doc_id, len(x) AS n_a, len(y) AS n_b, len(list_intersect(x, y)) AS shared FROM t) SELECT doc_id, n_a::INTEGER AS n_a, n_b::INTEGER AS n_b, round(CASE WHEN n_a + n_b = shared THEN 1.0 ELSE shared::DOUBLE / (n_a + n_b - shared) END, 9) AS jaccard, n_a > 0 AND n_b > 0 AND shared::DOUBLE / nullif(n_a + n_b - shared, 0) >= 0.3 AS matched FROM s""")
+def content_similarity(documents):
+    d = documents.select("doc_id", F.substring("text", 1, 300).alias("a"), F.substring("text", 60, 300).alias("b"))
+    x, y = X.content_tokens(F.col("a")), X.content_tokens(F.col("b"))
+    return d.select("doc_id", F.size(x).alias("n_a"), F.size(y).alias("n_b"), F.round(X.jaccard(x, y), 9).alias("jaccard"), V.free_text_match(F.col("a"), F.col("b")).alias("matched"))
+
+
+def spans_to_find(documents: DataFrame) -> DataFrame:
+    kind = F.col("doc_id") % 5
+    piece = lambda a, n: F.substring("text", a, n)
+    span = F.when(kind == 0, piece(31, 250)).when(kind == 1, F.concat(piece(11, 85), F.lit(" zzzz"))).when(kind == 2, F.concat(piece(5, 20), F.lit(" ... "), piece(101, 70))).when(kind == 3, F.concat(F.lit("zzzzzzzzzz qqqqqqqqqq"), piece(202, 140))).otherwise("")
+    return documents.select("doc_id", "text", span.alias("span"))
+
+
+SPAN_PARTS = "list_filter(list_transform(regexp_split_to_array(span, '\\s*\\.\\.\\.\\s*'), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: length(x) >= 60)"
+
+
+@query("documents", sql=f"""WITH d AS (SELECT doc_id, text, CASE doc_id % 5 WHEN 0 THEN substr(text, 31, 250) WHEN 1 THEN substr(text, 11, 85) || ' zzzz' WHEN 2 THEN substr(text, 5, 20) || ' ... ' || substr(text, 101, 70) WHEN 3 THEN 'zzzzzzzzzz qqqqqqqqqq' || substr(text, 202, 140) ELSE '' END AS span FROM documents),
+    p AS (SELECT doc_id, x, row_number() OVER (PARTITION BY doc_id ORDER BY length(x) DESC, i) AS r FROM (SELECT doc_id, unnest({SPAN_PARTS}) AS x, generate_subscripts({SPAN_PARTS}, 1) AS i FROM d)),
+    b AS (SELECT p.doc_id, first(instr(text, substr(x, 1, 60)) ORDER BY r) AS at FROM p JOIN d USING (doc_id) WHERE instr(text, substr(x, 1, 60)) > 0 GROUP BY p.doc_id),
+    w AS (SELECT doc_id, first(instr(text, substr(span, s + 1, 60)) ORDER BY s) AS at FROM (SELECT doc_id, text, span, unnest(range(0, length(span) - 60, 20)) AS s FROM d WHERE length(span) > 60) WHERE instr(text, substr(span, s + 1, 60)) > 0 GROUP BY doc_id)
+    SELECT d.doc_id, CASE WHEN span = '' THEN -1 ELSE coalesce(nullif(instr(text, substr(span, 1, 200)), 0), CASE WHEN length(span) >= 80 THEN nullif(instr(text, substr(span, 1, 80)), 0) END, b.at, w.at, 0) - 1 END::INTEGER AS at FROM d LEFT JOIN b ON b.doc_id = d.doc_id LEFT JOIN w ON w.doc_id = d.doc_id""")
+def span_places(documents):
+    return spans_to_find(documents).select("doc_id", X.locate_span(F.col("text"), F.col("span")).alias("at"))
+
+
+@query("documents", sql=f"""WITH d AS (SELECT doc_id, {LINE} AS title, 'About ' || doc_id AS abstract, CASE WHEN doc_id % 3 = 0 THEN substr(text, 1, 900) || chr(10) || '## References' || chr(10) || text ELSE text END AS t FROM documents),
+    h AS (SELECT *, CASE WHEN title <> '' THEN 'Title: ' || title || chr(10) || chr(10) ELSE '' END || 'Abstract: ' || abstract || chr(10) || chr(10) AS header FROM d), r AS (SELECT *, 2000 - length(header) AS room, strpos(t, regexp_extract(t, '(?im)^(?:#{{1,4}}\\s+)?(?:references|bibliography|acknowledgements?)\\b')) - 1 AS refs, regexp_matches(t, '(?im)^(?:#{{1,4}}\\s+)?(?:references|bibliography|acknowledgements?)\\b') AS has FROM h),
+    c AS (SELECT *, CASE WHEN has AND refs <= room THEN regexp_replace(substr(t, 1, refs), '\\s+$', '') WHEN room > 0 THEN substr(t, 1, room) ELSE '' END AS b FROM r), l AS (SELECT *, CASE WHEN contains(b, '. ') THEN length(b) - strpos(reverse(b), ' .') - 1 ELSE -1 END AS last FROM c)
+    SELECT doc_id, CASE WHEN room <= 0 THEN substr(header, 1, 2000) WHEN length(t) <= room THEN header || t ELSE header || CASE WHEN last > length(b) * 0.8 THEN substr(b, 1, last + 1) ELSE b END END AS fitted FROM l""")
+def fitted_texts(documents):
+    t = F.when(F.col("doc_id") % 3 == 0, F.concat(F.substring("text", 1, 900), F.lit("\n## References\n"), F.col("text"))).otherwise(F.col("text"))
+    return documents.select("doc_id", X.fitted_text(t, line(), F.concat(F.lit("About "), F.col("doc_id").cast("string")), 2000).alias("fitted"))
+
+
+AUTHORS = "CASE doc_id % 6 WHEN 0 THEN '[\"John Smith\", \"A B\"]' WHEN 1 THEN '[\"Lukas A\"]' WHEN 2 THEN '[\"Müller\"]' WHEN 3 THEN '[\"Garcia-Lopez\"]' WHEN 4 THEN '[]' END"
+
+
+@query("documents", sql=f"""WITH d AS (SELECT doc_id, 2000 + doc_id % 20 AS year, ['Smith', 'Lukas', 'Muller', 'Garcia-Lopez', 'Unknown', 'Unknown'][doc_id % 6 + 1] AS name, CASE WHEN doc_id % 2 = 0 THEN 'Chen, B; Doe' ELSE NULL END AS listed FROM documents)
+    SELECT doc_id, name, 'EE-' || doc_id || '_' || name || '_' || CASE WHEN year = 2000 THEN 'XXXX' ELSE year::VARCHAR END || '.pdf' AS file, CASE WHEN listed IS NULL THEN '—' ELSE 'Chen' END AS listed_name,
+        (['John 2', 'Lukas 2', 'Müller 2', 'Garcia-Lopez 2'])[doc_id % 6 + 1] IS NOT NULL AS has_name FROM d""")
+def author_names(documents):
+    made = F.when(F.col("doc_id") % 6 == 0, '["John Smith", "A B"]').when(F.col("doc_id") % 6 == 1, '["Lukas A"]').when(F.col("doc_id") % 6 == 2, '["Müller"]').when(F.col("doc_id") % 6 == 3, '["Garcia-Lopez"]').when(F.col("doc_id") % 6 == 4, "[]")
+    d = documents.select("doc_id", made.alias("authors"), (F.lit(2000) + F.col("doc_id") % 20).alias("year"), F.when(F.col("doc_id") % 2 == 0, "Chen, B; Doe").alias("listed"))
+    year = F.when(F.col("year") == 2000, 0).otherwise(F.col("year"))
+    return d.select("doc_id", X.first_author(F.col("authors")).alias("name"), X.canonical_filename(F.concat(F.lit("EE-"), F.col("doc_id").cast("string")), F.col("authors"), year).alias("file"), X.first_author_list(F.col("listed")).alias("listed_name"), (F.size(F.coalesce(F.from_json("authors", "array<string>"), F.array())) > 0).alias("has_name"))
+
+
+@query("documents", sql=f"""WITH d AS (SELECT doc_id, text, {LINE} AS line FROM documents), e AS (SELECT *, substr(text, 41, 60) AS snippet, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS flat FROM d)
+    SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'exact' WHEN doc_id % 3 = 1 THEN CASE WHEN contains(text, replace(snippet, ' ', '  ')) THEN 'exact' ELSE 'normalized' END ELSE 'none' END AS found, substr(text, greatest(40 - 200, 0) + 1, 60 + 400) AS around FROM e""")
+def snippet_kinds(documents):
+    s = F.substring("text", 41, 60)
+    snippet = F.when(F.col("doc_id") % 3 == 0, s).when(F.col("doc_id") % 3 == 1, F.upper(s)).otherwise("zzzz qqqq xxxx")
+    return documents.select("doc_id", X.snippet_match(F.col("text"), snippet).alias("found"), X.context(F.col("text"), F.lit(40), F.lit(60)).alias("around"))
+
+
+@query("papers", sql="""SELECT id, CASE WHEN doi IS NOT NULL THEN 'https://doi.org/' || doi END AS doi_link, CASE WHEN pmid IS NOT NULL THEN 'https://pubmed.ncbi.nlm.nih.gov/' || pmid END AS pmid_link, 1 + (doi IS NOT NULL)::INT + (pmid IS NOT NULL)::INT AS n_links,
+    concat_ws('; ', CASE WHEN id % 2 = 0 THEN 'Non-English: German' END, CASE WHEN id % 3 = 0 THEN 'Content type: Meeting Abstract' END) AS flag, id % 2 = 0 OR id % 3 = 0 AS flagged FROM papers""")
+def links_and_flags(papers):
+    language, kind = F.when(F.col("id") % 2 == 0, "German").otherwise("English"), F.when(F.col("id") % 3 == 0, "meeting_abstract").otherwise("full_manuscript")
+    made = X.links(F.col("doi"), F.col("pmid"), F.col("title"))
+    url = lambda k: F.get(F.filter("links", lambda x: x["kind"] == k), F.lit(0))["url"]
+    rows = papers.select("id", made.alias("links"), language.alias("language"), kind.alias("content_type"))
+    marked = Q.quality_flagged(rows).select("id", F.lit(True).alias("flagged"))
+    return rows.join(marked, "id", "left").select("id", url("doi").alias("doi_link"), url("pubmed").alias("pmid_link"), F.size("links").alias("n_links"), X.flag_reason(F.col("language"), F.col("content_type")).alias("flag"), F.coalesce("flagged", F.lit(False)).alias("flagged"))
+
+
+@query("documents", sql=f"SELECT doc_id, 'Paper ' || doc_id || ' in ' || coalesce(nullif(lang, 'xx'), '(not available)') || ': ' || {LINE} || '.' AS prompt, CASE WHEN lang = 'en' THEN 300 WHEN lang = 'de' THEN 900 ELSE 600 END::INTEGER AS time_limit, upper(regexp_extract('review_' || lang || '.xlsx', '_([A-Za-z]+)\\.[A-Za-z]+$', 1)) AS extractor FROM documents")
+def prompts(documents):
+    return documents.select("doc_id", X.prompt("Paper {id} in {lang}: {line}.", id=F.col("doc_id"), lang=F.col("lang"), line=line()).alias("prompt"), Q.limit_for(F.col("lang"), [("^en$", 300), ("^de$", 900)]).alias("time_limit"), Q.extractor_of(F.concat(F.lit("review_"), F.col("lang"), F.lit(".xlsx"))).alias("extractor"))
+
+
+@query("lineitem", sql="""WITH s AS (SELECT l_orderkey, list_sort(list(l_linenumber * 37)) AS places FROM lineitem GROUP BY ALL), e AS (SELECT l_orderkey, unnest(places) AS a FROM s),
+    i AS (SELECT l_orderkey, greatest(a - 25, 0) AS s, least(a + 25, 260) AS e FROM e WHERE a - 25 < 260), m AS (SELECT *, sum(new) OVER (PARTITION BY l_orderkey ORDER BY s, e) AS g FROM (SELECT *, CASE WHEN s <= max(e) OVER (PARTITION BY l_orderkey ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS new FROM i))
+    SELECT l_orderkey, string_agg(substr(repeat('0123456789', 26), s + 1, e - s), chr(10) || '[...]' || chr(10) ORDER BY s) AS windows FROM (SELECT l_orderkey, g, min(s) AS s, max(e) AS e FROM m GROUP BY ALL) GROUP BY l_orderkey""")
+def merged_windows(lineitem):
+    s = lineitem.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.col("l_linenumber") * 37)).alias("at"))
+    return s.select("l_orderkey", X.windows_around(F.repeat(F.lit("0123456789"), 26), F.col("at"), 25).alias("windows"))

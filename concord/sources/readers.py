@@ -77,7 +77,7 @@ def newest_text(texts: DataFrame) -> DataFrame:
     return latest(texts, ["paper_id"], ["version"])
 
 
-def pdf_files(spark: SparkSession, path: str, least: int = 1024) -> DataFrame:
+def pdf_files(spark: SparkSession, path: str, least: int = 10 * 1024) -> DataFrame:
     """SRC-18 / SRC-19 / SRC-25: path, hash and validity of the PDF files of a folder."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.pdf").load(path)
     return files.select("path", "length", F.sha2("content", 256).alias("sha256"), (is_pdf(F.col("content")) & (F.col("length") >= least)).alias("valid"))

@@ -30,8 +30,11 @@ def publish(frames: dict[str, DataFrame], root: str) -> int:
     jvm, src, fs = _fs(spark, f"{root}/_next")
     part = next(s.getPath() for s in fs.listStatus(src) if s.getPath().getName().startswith("part-"))
     target = jvm.org.apache.hadoop.fs.Path(f"{root}/CURRENT")
-    fs.delete(target, False)
-    fs.rename(part, target)
+    # one step: a reader sees the old pointer or the new one
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    context.rename(part, target, options)
     fs.delete(src, True)
     return n
 
