@@ -4,8 +4,9 @@ Candidates are all runs of 16 or more characters of ``[A-Za-z0-9+/_-]``, with
 up to two ``=`` after them, at their own places. Their features are length,
 character transitions, dictionary coverage, signs of a path (in the candidate
 and in the document's source), and the neighbouring words, hashed into
-``BUCKETS``. The dictionary are the ``DICTIONARY`` words that are most frequent
-in the whole corpus, as a table of fixed size. A random forest trained from
+``BUCKETS``. The dictionary are the words that come at least once in
+``DICTIONARY_DOCS`` documents on average, counted over the whole corpus, as a
+table of fixed size. A random forest trained from
 labelled findings removes false positives; its trees are written out as
 expressions over one candidate, so that a text is scored and masked in one
 projection, without a shuffle.
@@ -35,7 +36,7 @@ from concord.llm.common import table
 THRESHOLD = 0.5
 MASK = "[SECRET]"
 RUN = r"[A-Za-z0-9+/_\-]{16,}={0,2}"
-BUCKETS, DICTIONARY, DICTIONARY_SLOTS = 16, 20_000, 1 << 19
+BUCKETS, DICTIONARY_DOCS, DICTIONARY_SLOTS = 16, 50, 1 << 15
 NEAR = 64  # characters before and after a candidate in which its neighbours are
 
 # Words of made findings
@@ -79,13 +80,17 @@ def candidates(text: Column) -> Column:
 
 
 def dictionary(docs: DataFrame) -> bytes:
-    """A table of DICTIONARY_SLOTS marks: 1 where a word hashes that is among the DICTIONARY most frequent ones of all documents."""
+    """A table of DICTIONARY_SLOTS marks: 1 where a word hashes that comes at least once in DICTIONARY_DOCS documents on average, and twice in all."""
     words = docs.select(F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("w")).where(F.length("w") >= 3)
-    top = words.groupBy("w").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "w").limit(DICTIONARY)  # the dictionary's size
-    marks = bytearray(DICTIONARY_SLOTS)
-    for r in top.select(F.pmod(F.xxhash64("w"), F.lit(DICTIONARY_SLOTS)).alias("slot")).collect():
-        marks[r.slot] = 1
-    return bytes(marks)
+    often = words.groupBy("w").agg(F.count("*").alias("n")).where(F.col("n") >= max(2, docs.count() / DICTIONARY_DOCS))
+    slot = F.pmod(F.xxhash64("w"), F.lit(DICTIONARY_SLOTS)).cast("int")
+    # 64 slots a row: a table's worth of rows at most
+    rows = often.select(slot.alias("slot")).groupBy(F.shiftright("slot", 6).alias("part")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("slot").bitwiseAND(F.lit(63)))).alias("bits")).collect()
+    return bytes(marks_of({r.part: r.bits & (1 << 64) - 1 for r in rows}))
+
+
+def marks_of(parts: dict[int, int]) -> list[int]:
+    return [parts.get(k >> 6, 0) >> (k & 63) & 1 for k in range(DICTIONARY_SLOTS)]
 
 
 def features(secret: Column, before: Column, after: Column, path: Column, marks: bytes) -> dict[str, Column]:

@@ -70,4 +70,4 @@ def test_dictionary_counts_all_documents(spark):
     df = spark.createDataFrame([("common words here",), ("Common words",), (None,), ("rare",)], "text string")
     marks = secrets.dictionary(df)
     slot = {r.w: r.s for r in spark.createDataFrame([("common",), ("words",), ("here",), ("rare",), ("absent",)], "w string").select("w", F.pmod(F.xxhash64("w"), F.lit(secrets.DICTIONARY_SLOTS)).alias("s")).collect()}
-    assert [marks[slot[w]] for w in ("common", "words", "here", "rare", "absent")] == [1, 1, 1, 1, 0]
+    assert [marks[slot[w]] for w in ("common", "words", "here", "rare", "absent")] == [1, 1, 0, 0, 0]
