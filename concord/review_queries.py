@@ -240,10 +240,10 @@ def author_names(documents):
 
 
 @query("documents", sql=f"""WITH d AS (SELECT doc_id, text, {LINE} AS line FROM documents), e AS (SELECT *, substr(text, 41, 60) AS snippet, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS flat FROM d)
-    SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'exact' WHEN doc_id % 3 = 1 THEN CASE WHEN contains(text, replace(snippet, ' ', '  ')) THEN 'exact' ELSE 'normalized' END ELSE 'none' END AS found, substr(text, greatest(40 - 200, 0) + 1, 60 + 400) AS around FROM e""")
+    SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'exact' WHEN doc_id % 3 = 1 THEN CASE WHEN contains(text, lower(snippet)) THEN 'exact' ELSE 'normalized' END ELSE 'none' END AS found, substr(text, greatest(40 - 200, 0) + 1, 60 + 400) AS around FROM e""")
 def snippet_kinds(documents):
     s = F.substring("text", 41, 60)
-    snippet = F.when(F.col("doc_id") % 3 == 0, s).when(F.col("doc_id") % 3 == 1, F.upper(s)).otherwise("zzzz qqqq xxxx")
+    snippet = F.when(F.col("doc_id") % 3 == 0, s).when(F.col("doc_id") % 3 == 1, F.lower(s)).otherwise("zzzz qqqq xxxx")
     return documents.select("doc_id", X.snippet_match(F.col("text"), snippet).alias("found"), X.context(F.col("text"), F.lit(40), F.lit(60)).alias("around"))
 
 
@@ -269,3 +269,358 @@ def prompts(documents):
 def merged_windows(lineitem):
     s = lineitem.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.col("l_linenumber") * 37)).alias("at"))
     return s.select("l_orderkey", X.windows_around(F.repeat(F.lit("0123456789"), 26), F.col("at"), 25).alias("windows"))
+
+
+# ---- sources and ragged payloads
+
+
+@query("documents", sql="SELECT doc_id, array_to_string(list_filter(string_split(split_part(text, chr(10), 1), ' '), lambda x: x <> ''), ' ') AS abstract FROM documents")
+def inverted_abstracts(documents):
+    """SRC-08: the words of a line to an inverted index and back."""
+    words = F.filter(F.split(line(), " "), lambda x: x != "")
+    index = F.map_from_entries(F.transform(F.array_distinct(words), lambda w: F.struct(w.alias("w"), F.filter(F.transform(words, lambda x, i: F.when(x == w, i)), lambda i: i.isNotNull()).alias("p"))))
+    return documents.select("doc_id", readers.inverted_abstract(index).alias("abstract"))
+
+
+@query("papers", sql="SELECT CASE WHEN pmid IS NULL THEN '' ELSE pmid END AS pmid, lower(doi) AS doi, title, CASE WHEN year % 4 = 0 THEN NULL ELSE year END::INTEGER AS year, 'A ' || id AS first_author FROM papers")
+def work_records(papers):
+    """SRC-07."""
+    r = F.struct(
+        F.struct(F.concat(F.lit("https://pubmed.ncbi.nlm.nih.gov/"), F.coalesce("pmid", F.lit("none"))).alias("pmid")).alias("ids"), F.concat(F.lit("https://doi.org/"), F.upper("doi")).alias("doi"), "title",
+        F.create_map(F.lit("a"), F.array(F.lit(0))).alias("abstract_inverted_index"), F.when(F.col("year") % 4 != 0, F.col("year").cast("string")).alias("publication_year"),
+        F.array(F.struct(F.struct(F.concat(F.lit("A "), F.col("id").cast("string")).alias("display_name")).alias("author"))).alias("authorships"))
+    return readers.works(papers.select(r.alias("r"))).select("pmid", "doi", "title", "year", F.col("authors")[0].alias("first_author"))
+
+
+@query("papers", sql="SELECT pmid, doi, title, year::INTEGER AS year, 'J ' || id AS journal FROM papers")
+def medline_records(papers):
+    """SRC-05."""
+    aid = F.filter(F.array(F.lit("S0001 [pii]"), F.concat("doi", F.lit(" [doi]"))), lambda x: x.isNotNull())
+    r = F.struct("pmid", aid.alias("aid"), F.col("title").alias("ti"), F.lit("ab").alias("ab"), F.concat(F.lit("J "), F.col("id").cast("string")).alias("jt"), F.concat(F.col("year").cast("string"), F.lit(" Jan")).alias("dp"), F.array(F.lit("A B")).alias("au"))
+    return readers.medline(papers.select(r.alias("r"))).select("pmid", "doi", "title", "year", "journal")
+
+
+@query("pages", sql="SELECT regexp_extract(url, '^http[s]?://([^/]+)/', 1) AS host, regexp_extract(url, '^http[s]?://[^/]+/([a-z]+)/', 1) AS lang, count(*) AS n FROM pages WHERE regexp_matches(url, '^http[s]?://([^/]+)/([a-z]+)/') GROUP BY ALL")
+def log_groups(pages):
+    """SRC-21: named groups of a pattern."""
+    return R.counts(readers.read_log(pages.select(F.col("url").alias("value")), "^http[s]?://([^/]+)/([a-z]+)/", ["host", "lang"]), "host", "lang")
+
+
+@query("orders", sql="SELECT o_custkey AS paper_id, max_by(o_orderstatus, o_orderkey) AS text FROM orders GROUP BY ALL")
+def newest_texts(orders):
+    """SRC-17."""
+    return readers.newest_text(orders.select(F.col("o_custkey").alias("paper_id"), F.col("o_orderkey").alias("version"), F.col("o_orderstatus").alias("text"))).select("paper_id", "text")
+
+
+@query("lineitem", sql="SELECT l_orderkey AS id, first('s' || l_suppkey % 5 ORDER BY l_linenumber, l_partkey) AS strategy, first(l_partkey ORDER BY l_linenumber, l_partkey) AS result FROM lineitem WHERE l_returnflag = 'N' GROUP BY ALL")
+def first_successes(lineitem):
+    """SRC-24."""
+    ordinal = F.struct("l_linenumber", "l_partkey")
+    return readers.first_success(lineitem.select(F.col("l_orderkey").alias("id"), F.concat(F.lit("s"), (F.col("l_suppkey") % 5).cast("string")).alias("strategy"), ordinal.alias("ordinal"), (F.col("l_returnflag") == "N").alias("ok"), F.col("l_partkey").alias("result")))
+
+
+@query("papers", sql="SELECT p.id, p.doi, l.answer FROM papers p LEFT JOIN (SELECT doi, min(source) AS answer FROM papers WHERE doi IS NOT NULL AND id % 2 = 0 GROUP BY doi) l ON l.doi = p.doi WHERE p.id % 5 <> 0")
+def lookups(papers):
+    """SRC-22 / SRC-26: only rows without a known answer are looked up."""
+    found = papers.where("doi IS NOT NULL AND id % 2 = 0").groupBy("doi").agg(F.min("source").alias("answer"))
+    return readers.unchecked(papers.select("id", "doi"), papers.where("id % 5 = 0"), found).select("id", "doi", "answer")
+
+
+@query("events", sql="""WITH w AS (SELECT event_id, CASE WHEN event_id % 2 = 0 THEN event_type END AS f1, CASE WHEN event_id % 3 = 0 THEN ' ' WHEN event_id % 3 = 1 THEN props END AS f2 FROM events)
+    SELECT event_id, 'f1' AS field_name, f1 AS correction FROM w WHERE trim(coalesce(f1, '')) <> '' UNION ALL SELECT event_id, 'f2', f2 FROM w WHERE trim(coalesce(f2, '')) <> ''""")
+def long_corrections(events):
+    """SRC-28 / SNK-08, by headers found like SRC-27."""
+    wide = events.select(F.col("event_id").alias("The Event ID"), F.when(F.col("event_id") % 2 == 0, F.col("event_type")).alias("f1_correction"), F.when(F.col("event_id") % 3 == 0, " ").when(F.col("event_id") % 3 == 1, F.col("props")).alias("f2_correction"))
+    named = readers.rename_headers(wide, {"event_id": ["identifier", "event id"], "f1_correction": ["f1"], "f2_correction": ["f2_corr"]})
+    return I.wide_to_long(named, "event_id")
+
+
+@query("papers", sql="SELECT status, count(*) AS n FROM papers WHERE status IN ('PARSED', 'EXTRACTED', 'REJECTED') GROUP BY ALL")
+def papers_by_status(papers):
+    return R.counts(readers.by_status(papers, "PARSED", "EXTRACTED", "REJECTED"), "status")
+
+
+@query("papers", sql="SELECT p.id, 'EE-' || lpad((p.id % 1200)::VARCHAR, 3, '0') || '_Smith_2020.pdf' AS file, q.title FROM papers p LEFT JOIN papers q ON q.id = p.id % 1200")
+def files_of_papers(papers):
+    """J-25."""
+    files = papers.select(F.col("id").alias("no"), F.concat(F.lit("EE-"), F.lpad((F.col("id") % 1200).cast("string"), 3, "0"), F.lit("_Smith_2020.pdf")).alias("path"))
+    return readers.file_papers(files, papers.select("id", "title")).select(F.col("no").alias("id"), F.col("path").alias("file"), "title")
+
+
+@query("events", sql="""SELECT event_id, event_type AS field_name, CASE WHEN event_id % 4 = 0 THEN 'NR' ELSE value::VARCHAR END AS value, event_id % 4 <> 0 AS populated FROM events WHERE event_id % 5 <> 4""")
+def response_fields(events):
+    """JS-01 / A-38: spans of ragged payloads by shape, and which are populated."""
+    value = F.when(F.col("event_id") % 4 == 0, F.lit(None).cast("string")).otherwise(F.col("value").cast("string"))
+    one = F.to_json(F.struct(F.col("event_type").alias("field_name"), value.alias("value")))
+    shape = F.col("event_id") % 5
+    text = F.when(shape == 0, F.concat(F.lit('{"results": ['), one, F.lit("]}"))).when(shape == 1, F.concat(F.lit("```json\n["), one, F.lit("]\n```"))).when(shape == 2, F.concat(F.lit('{"evidence_spans":['), one, F.lit("]}"))).when(shape == 3, one).otherwise("broken {")
+    found = responses.spans(events.select("event_id", text.alias("response"))).where("field_name IS NOT NULL")
+    return found.select("event_id", "field_name", "value", N.is_populated(F.col("value")).alias("populated"))
+
+
+@query("events", sql="SELECT event_type AS field_name, min_by(event_id % 4 + 1, event_id)::INTEGER AS tier FROM events WHERE event_id % 3 <> 0 GROUP BY ALL")
+def first_tiers(events):
+    """JS-02."""
+    rows = events.select(F.col("event_type").alias("field_name"), F.when(F.col("event_id") % 3 != 0, (F.col("event_id") % 4 + 1).cast("int")).alias("tier"), F.col("event_id").alias("ordinal"))
+    return responses.tiers(rows)
+
+
+@query("papers", sql="SELECT a.id, coalesce(a.doi, b.doi) AS doi, coalesce(a.pmid, b.pmid) AS pmid, a.title FROM papers a LEFT JOIN (SELECT id // 2 * 2 AS a_ord, min_by(doi, id) AS doi, min_by(pmid, id) AS pmid FROM (SELECT id, coalesce(doi, '') AS doi, coalesce(pmid, '') AS pmid FROM papers WHERE id % 2 = 1) GROUP BY ALL) b ON b.a_ord = a.id WHERE a.id % 2 = 0")
+def merged_records(papers):
+    """JS-06: only nulls are filled."""
+    a = papers.where("id % 2 = 0").select(F.col("id").alias("ord"), "doi", "pmid", "title")
+    b = papers.where("id % 2 = 1").select(F.col("id").alias("ord"), F.coalesce("doi", F.lit("")).alias("doi"), F.coalesce("pmid", F.lit("")).alias("pmid"), "title", F.expr("id div 2 * 2").alias("a_ord"))
+    return E.merge(a, b, ["doi", "pmid", "title"]).withColumnRenamed("ord", "id")
+
+
+@query("papers", sql="SELECT coalesce(nullif(doi, ''), nullif(pmid, ''), title) AS stable, count(*) AS n FROM papers GROUP BY ALL")
+def stable_keys(papers):
+    """SC-02."""
+    return R.counts(papers.select(E.stable_key(F.col("doi"), F.col("pmid"), F.col("title")).alias("stable")), "stable")
+
+
+@query("papers", sql="WITH k AS (SELECT * FROM papers WHERE id % 3 = 0), i AS (SELECT * FROM papers WHERE id % 3 <> 0) SELECT id FROM i WHERE doi IS NULL UNION ALL SELECT min(id) FROM i WHERE doi IS NOT NULL AND doi NOT IN (SELECT doi FROM k WHERE doi IS NOT NULL) GROUP BY doi")
+def new_citations(papers):
+    """SNK-01: rows with a known key are skipped, of a new key the first comes in."""
+    return E.add_new(papers.where("id % 3 = 0").select("id", "doi"), papers.where("id % 3 <> 0").select("id", "doi"), "doi", "id").select("id")
+
+
+@query("papers", sql="SELECT id, CASE WHEN id % 4 = 1 THEN 'r' || (id % 7) ELSE 'not attempted' END AS reason FROM papers WHERE id % 3 <> 0")
+def missing_files(papers):
+    """SC-07."""
+    log = papers.where("id % 4 = 1").select("id", F.explode(F.array(F.struct(F.lit(1).alias("seq"), F.lit("old").alias("reason")), F.struct(F.lit(2).alias("seq"), F.concat(F.lit("r"), (F.col("id") % 7).cast("string")).alias("reason")))).alias("l")).select("id", "l.*")
+    return E.missing(papers.select("id"), papers.where("id % 3 = 0").select("id"), log)
+
+
+@query("papers", sql="SELECT id, CASE WHEN pmid IS NOT NULL THEN 'pmid' ELSE 'doi' END AS fill FROM papers WHERE status IN ('EXTRACTED', 'INGESTED') AND id % 4 < 2 AND (pmid IS NOT NULL OR doi IS NOT NULL)")
+def papers_without_authors(papers):
+    """SC-05."""
+    rows = papers.withColumn("authors", F.when(F.col("id") % 4 == 0, F.array().cast("array<string>")).when(F.col("id") % 4 > 1, F.array(F.lit("A"))))
+    pmid, doi = B.without_authors(rows, ["EXTRACTED", "INGESTED"])
+    return pmid.select("id", F.lit("pmid").alias("fill")).union(doi.select("id", F.lit("doi").alias("fill")))
+
+
+# ---- joins and queues
+
+
+@query("papers", "human", sql="SELECT p.id, p.status, d.value AS decision, v.value AS verifier FROM papers p LEFT JOIN (SELECT paper_id, max_by(value, id) AS value FROM human WHERE extractor = 'A' GROUP BY ALL) d ON d.paper_id = p.id LEFT JOIN (SELECT paper_id, max_by(value, id) AS value FROM human WHERE extractor = 'B' GROUP BY ALL) v ON v.paper_id = p.id WHERE p.status = 'ABSTRACT_SCREEN_FLAGGED'")
+def flagged_with_decisions(papers, human):
+    """J-22."""
+    said = lambda e: human.where(F.col("extractor") == e).select("id", "paper_id", F.lit(1).alias("pass"), F.col("value").alias("decision"), F.col("snippet").alias("rationale"))
+    return Q.flagged_papers(papers, said("A"), said("B"), "ABSTRACT_SCREEN_FLAGGED").select("id", "status", "decision", "verifier")
+
+
+@query("papers", "orders", sql="SELECT p.id, coalesce(a.path, 'own/' || p.id) AS effective_path FROM papers p LEFT JOIN (SELECT o_custkey AS paper_id, max_by('asset/' || o_orderkey, o_orderkey) AS path FROM orders GROUP BY ALL) a ON a.paper_id = p.id")
+def effective_paths(papers, orders):
+    """F-14 / J-10."""
+    assets = orders.select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("paper_id"), F.concat(F.lit("asset/"), F.col("o_orderkey").cast("string")).alias("path"))
+    return Q.effective_path(papers.select("id", F.concat(F.lit("own/"), F.col("id").cast("string")).alias("pdf_path")), assets).select("id", "effective_path")
+
+
+@query("pages", sql="SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'abstract_only' ELSE 'other' END AS content_type, CASE WHEN regexp_extract(url, '/([a-z]{2})/', 1) IN ('en', 'fr') THEN regexp_extract(url, '/([a-z]{2})/', 1) ELSE 'other' END AS language, greatest(0.0, least(1.0, CASE WHEN page_id % 4 = 0 THEN 0.0 ELSE (page_id % 5 - 1) / 2.0 END)) AS confidence FROM pages")
+def page_classes(pages):
+    """F-17 / F-18."""
+    rows = pages.select("page_id", F.when(F.col("page_id") % 3 == 0, "abstract_only").otherwise("strange").alias("content_type"), F.regexp_extract("url", "/([a-z]{2})/", 1).alias("language"), F.when(F.col("page_id") % 4 != 0, (F.col("page_id") % 5 - 1) / 2.0).alias("confidence"))
+    return Q.page_class(rows, ["abstract_only", "full_manuscript"], ["en", "fr"])
+
+
+@query("human", "papers", sql="SELECT DISTINCT p.id, p.title FROM human h JOIN papers p ON p.id = h.paper_id WHERE contains(h.snippet, '\"k\": 1')")
+def marked_titles(human, papers):
+    """F-11."""
+    return B.marked_titles(human.select("paper_id", F.col("snippet").alias("rationale")), papers, '"k": 1')
+
+
+@query("spans", "extractions", "papers", sql="SELECT p.status, count(*) AS n_spans, count(DISTINCT e.paper_id) AS n_papers FROM spans s JOIN extractions e ON e.id = s.extraction_id JOIN papers p ON p.id = e.paper_id GROUP BY ALL")
+def spans_by_paper_status(spans, extractions, papers):
+    """J-02."""
+    return B.paper_spans(spans, extractions, papers).groupBy("status").agg(F.count("*").alias("n_spans"), F.count_distinct("paper_id").alias("n_papers"))
+
+
+@query("spans", "extractions", "papers", sql="SELECT field_name, count(*) AS n FROM spans WHERE extraction_id IN (SELECT id FROM extractions WHERE paper_id IN (SELECT id FROM papers WHERE status = 'EXTRACT_FAILED')) GROUP BY ALL")
+def spans_to_remove(spans, extractions, papers):
+    """J-09."""
+    return R.counts(B.children_of(spans, extractions, papers.where("status = 'EXTRACT_FAILED'")), "field_name")
+
+
+@query("verdicts", "ratings", sql="WITH t AS (SELECT paper_id, field_name, min(field_type) AS kind FROM ratings GROUP BY ALL) SELECT kind, v.verdict, count(*) AS n FROM verdicts v JOIN t ON t.paper_id = v.paper_id AND t.field_name = v.field_name GROUP BY ALL")
+def verdicts_by_rated_type(verdicts, ratings):
+    """J-17 / H-05."""
+    return R.counts(Q.with_verdict_type(verdicts.drop("field_type"), ratings).withColumnRenamed("field_type", "kind"), "kind", "verdict")
+
+
+@query("ratings", "spans", sql="WITH f AS (SELECT extraction_id AS paper_id, field_name, bool_or(audit_status = 'flagged') AS flag FROM spans WHERE flag <> 'R' GROUP BY ALL) SELECT r.risk, count(*) AS n, count(*) FILTER (coalesce(f.flag, false)) AS flagged FROM ratings r LEFT JOIN f ON f.paper_id = r.paper_id AND f.field_name = r.field_name GROUP BY ALL")
+def flagged_ratings(ratings, spans):
+    """J-21."""
+    flags = spans.where("flag <> 'R'").groupBy(F.col("extraction_id").alias("paper_id"), "field_name").agg(F.bool_or(F.col("audit_status") == "flagged").alias("flag"))
+    return Q.with_flags(ratings, flags).groupBy("risk").agg(F.count("*").alias("n"), F.count_if("flag").alias("flagged"))
+
+
+SPAN_ROWS = "sp AS (SELECT e.paper_id, s.field_name, s.audit_status, s.flag AS value FROM spans s JOIN extractions e ON e.id = s.extraction_id)"
+
+
+def span_rows(spans: DataFrame, extractions: DataFrame) -> DataFrame:
+    return spans.join(extractions.select(F.col("id").alias("extraction_id"), "paper_id"), "extraction_id").select("paper_id", "field_name", "audit_status", F.col("flag").alias("value"))
+
+
+@query("spans", "extractions", "human", sql=f"WITH {SPAN_ROWS} SELECT count(DISTINCT paper_id) AS n FROM sp WHERE audit_status <> 'verified' AND NOT EXISTS (SELECT 1 FROM human h WHERE h.paper_id = sp.paper_id AND h.field_name = sp.field_name)")
+def unresolved_papers(spans, extractions, human):
+    """A-42 / H-14."""
+    return Q.unresolved(span_rows(spans, extractions), human.select("paper_id", "field_name").distinct())
+
+
+@query("spans", "extractions", sql=f"WITH {SPAN_ROWS}, r AS (SELECT *, CASE audit_status WHEN 'flagged' THEN 2 WHEN 'contested' THEN 3 WHEN 'verified' THEN 5 ELSE 99 END AS r FROM sp) SELECT paper_id, count(*) AS n, first(audit_status ORDER BY r, field_name, value) AS worst, first(field_name ORDER BY r, field_name, value) AS worst_field FROM r GROUP BY ALL")
+def paper_span_documents(spans, extractions):
+    """A-40."""
+    docs = Q.paper_documents(span_rows(spans, extractions))
+    return docs.select("paper_id", F.size("spans").cast("long").alias("n"), F.col("spans")[0]["audit_status"].alias("worst"), F.col("spans")[0]["field_name"].alias("worst_field"))
+
+
+@query("spans", "extractions", sql=f"WITH {SPAN_ROWS} SELECT paper_id, field_name, audit_status, CASE field_name WHEN 'f1' THEN 1 WHEN 'f2' THEN 1 WHEN 'f3' THEN 2 ELSE 99 END::INTEGER AS tier FROM sp WHERE audit_status <> 'verified' ORDER BY CASE audit_status WHEN 'flagged' THEN 2 ELSE 3 END, tier, field_name, paper_id LIMIT 200")
+def review_queue_head(spans, extractions):
+    """C-17 / T-04 / T-05: the first 200 of the queue."""
+    tiers = spans.sparkSession.createDataFrame([("f1", 1), ("f2", 1), ("f3", 2)], "field_name string, tier int")
+    return Q.review_queue(span_rows(spans, extractions), tiers).limit(200).select("paper_id", "field_name", "audit_status", "tier")
+
+
+@query("papers", sql="SELECT coalesce(nullif(pdf_exclusion_reason, ''), 'unknown') AS reason, count(*) AS n FROM papers GROUP BY ALL")
+def reason_counts(papers):
+    """A-43 / A-47 / A-48."""
+    return Q.queue_counts(papers.select(F.col("pdf_exclusion_reason").alias("reason")), "reason")
+
+
+@query("spans", sql="""WITH c AS (SELECT extraction_id, CASE WHEN bool_or(audit_status = 'flagged') THEN 'flagged' WHEN bool_or(audit_status = 'contested') THEN 'contested' ELSE 'verified' END AS worst FROM spans GROUP BY ALL)
+    SELECT extraction_id % 4 AS section, count(*) AS n, count(*) FILTER (worst = 'invalid_snippet') AS invalid_snippet, count(*) FILTER (worst = 'flagged') AS flagged, count(*) FILTER (worst = 'contested') AS contested, count(*) FILTER (worst = 'pending') AS pending, count(*) FILTER (worst = 'verified') AS verified FROM c GROUP BY ALL""")
+def queue_sections(spans):
+    """A-49 / A-50 / A-51."""
+    return Q.queue_summary(R.worst_state(spans).withColumn("section", F.col("extraction_id") % 4), "section")
+
+
+@query("runs", sql="SELECT run_id, count(*) AS attempted, count(*) FILTER (NOT failed) AS succeeded, count(*) FILTER (failed) AS failed, true AND count(*) FILTER (NOT failed) + count(*) FILTER (failed) = count(*) AS valid, sum(seconds)::DOUBLE / nullif(count(*) FILTER (NOT failed), 0) > 0 AS timed FROM runs GROUP BY ALL")
+def run_counters(runs):
+    """A-45 / SNK-06."""
+    out = Q.run_summary(runs.select("run_id", (~F.col("failed")).alias("ok"), "seconds"))
+    return out.join(runs.groupBy("run_id").agg((F.sum("seconds") > 0).alias("timed")), "run_id")
+
+
+@query("runs", sql="SELECT run_id, max(item) - min(item) AS seconds, round(CASE WHEN count(*) FILTER (NOT failed) = 0 THEN 0 ELSE (max(item) - min(item)) / (count(*) FILTER (NOT failed)) END, 9) AS per_success FROM runs GROUP BY ALL")
+def run_durations(runs):
+    """A-55."""
+    r = runs.groupBy("run_id").agg(F.timestamp_seconds(F.min("item")).alias("started_at"), F.timestamp_seconds(F.max("item")).alias("ended_at"), F.count_if(~F.col("failed")).alias("succeeded"))
+    return R.duration(r).select("run_id", "seconds", F.round("per_success", 9).alias("per_success"))
+
+
+@query("runs", sql="SELECT item, failed, row_number() OVER (ORDER BY item) AS seen, sum(failed::BIGINT) OVER w::BIGINT AS failures, round(sum(seconds) OVER w / row_number() OVER (ORDER BY item), 4) AS mean, round(100.0 * row_number() OVER (ORDER BY item) / 20000, 6) AS percent, round(sum(seconds) OVER w / row_number() OVER (ORDER BY item) * (20000 - row_number() OVER (ORDER BY item)) / 1000, 2) AS to_go FROM runs WINDOW w AS (ORDER BY item ROWS UNBOUNDED PRECEDING)")
+def running_progress(runs):
+    """W-06."""
+    out = A.progress(runs.select("item", "failed", "seconds"), "item", F.col("seconds"), F.col("failed"), 20000)
+    return out.select("item", "failed", "seen", "failures", F.round("mean", 4).alias("mean"), F.round("percent", 6).alias("percent"), F.round(F.col("to_go") / 1000, 2).alias("to_go"))
+
+
+@query("runs", sql="""WITH r AS (SELECT item, row_number() OVER w AS seen, sum(failed::BIGINT) OVER w AS failures, sum(seconds) OVER w AS spent FROM runs WINDOW w AS (ORDER BY item ROWS UNBOUNDED PRECEDING)), c AS (SELECT item, seen, failures / seen AS rate, (spent + spent / seen * (20000 - seen)) / 3600 AS hours FROM r WHERE seen % 100 = 0)
+    SELECT item, seen, round(rate, 9) AS failure_rate, round(hours, 3) AS hours, CASE WHEN rate > 0.059 THEN 'failure rate' WHEN hours > 800 THEN 'projected hours' END AS abort FROM c""")
+def abort_projection(runs):
+    """W-07."""
+    out = A.checkpoints(runs.select("item", "failed", "seconds"), "item", F.col("seconds"), F.col("failed"), 20000, 100, 0.059, 800.0)
+    return out.select("item", "seen", F.round("failure_rate", 9).alias("failure_rate"), F.round("hours", 3).alias("hours"), "abort")
+
+
+@query("papers", "runs", sql="SELECT (SELECT count(*) FROM papers) AS n, count(DISTINCT item % 900) AS done, sum(item)::BIGINT AS input_tokens, sum(run_id)::BIGINT AS output_tokens, (SELECT count(*) FROM papers) - count(DISTINCT item % 900) AS remaining, round(sum(item) / 1e6 * 2.5 + sum(run_id) / 1e6 * 10, 6) AS cost FROM runs")
+def token_costs(papers, runs):
+    """A-09 / A-10."""
+    return Q.progress(papers, runs.select((F.col("item") % 900).alias("paper_id"), F.col("item").alias("input_tokens"), F.col("run_id").alias("output_tokens")), 2.5, 10.0)
+
+
+@query("runs", sql="SELECT count(*) AS n, round(count(*) * 45.75 / 3600, 2) AS hours FROM runs WHERE NOT failed")
+def work_hours(runs):
+    """A-26."""
+    return B.workload(runs.where("NOT failed"), 45.75)
+
+
+@query("runs", sql="WITH w AS (SELECT run_id, max(verdict) FILTER (model = '1-URGENT') AS a, max(verdict) FILTER (model = '2-HIGH') AS b, max(verdict) FILTER (model = '5-LOW') AS c FROM runs GROUP BY ALL) SELECT '1-URGENT' AS model_a, '2-HIGH' AS model_b, round(avg((a = b)::INT), 6) AS agreement FROM w UNION ALL SELECT '1-URGENT', '5-LOW', round(avg((a = c)::INT), 6) FROM w UNION ALL SELECT '2-HIGH', '5-LOW', round(avg((b = c)::INT), 6) FROM w")
+def model_agreements(runs):
+    """A-37."""
+    return Q.model_agreement(runs, "run_id", ["1-URGENT", "2-HIGH", "5-LOW"])
+
+
+@query("verdicts", sql="WITH t AS (SELECT * FROM (VALUES ('SUPPORTED', 'local', 10), ('UNSUPPORTED', 'openai', 1000000), ('NONE', 'local', 3)) AS t(verdict, arm, want)), h AS (SELECT verdict, arm, count(*) AS have FROM verdicts GROUP BY ALL) SELECT t.verdict, t.arm, want, coalesce(have, 0) AS have, greatest(want - coalesce(have, 0), 0) AS short FROM t LEFT JOIN h ON h.verdict = t.verdict AND h.arm = t.arm")
+def sampling_targets(verdicts):
+    """A-31."""
+    targets = verdicts.sparkSession.createDataFrame([("SUPPORTED", "local", 10), ("UNSUPPORTED", "openai", 1000000), ("NONE", "local", 3)], "verdict string, arm string, want int")
+    return Q.feasibility(verdicts, targets)
+
+
+@query("verdicts", sql="SELECT arm, windowed, count(*) AS n, count(*) FILTER (verdict = 'SUPPORTED') AS \"SUPPORTED\", count(*) FILTER (verdict = 'PARTIALLY_SUPPORTED') AS \"PARTIALLY_SUPPORTED\", count(*) FILTER (verdict = 'UNSUPPORTED') AS \"UNSUPPORTED\", round(avg(short_circuit::INT), 6) AS short_circuit_rate FROM verdicts GROUP BY ALL")
+def verdicts_by_path(verdicts):
+    """A-29 / A-30."""
+    return B.path_table(verdicts)
+
+
+@query("part", "orders", sql="SELECT count(*) AS n, round(sum(p_retailprice), 4) AS gb, sum(p_retailprice) <= 500.0 AS fits FROM part WHERE p_brand IN (SELECT DISTINCT 'Brand#' || (o_custkey % 20) FROM orders) OR split_part(p_brand || ':' || p_size, ':', 1) = 'Brand#13'")
+def model_budget(part, orders):
+    """A-56: wanted by name, or by the name before a tag."""
+    available = part.select(F.when(F.col("p_brand") == "Brand#13", F.concat("p_brand", F.lit(":"), F.col("p_size").cast("string"))).otherwise(F.col("p_brand")).alias("name"), F.col("p_retailprice").alias("gb"))
+    wanted = orders.select(F.concat(F.lit("Brand#"), (F.col("o_custkey") % 20).cast("string")).alias("name")).union(orders.sparkSession.createDataFrame([("Brand#13",)], "name string"))
+    return Q.budget_check(available=available, wanted=wanted, limit=500.0).withColumn("gb", F.round("gb", 4))
+
+
+@query("events", sql=f"WITH w AS (SELECT event_type AS f1, CASE WHEN event_id % 3 = 0 THEN 'NR' ELSE props END AS f2, CASE WHEN event_id % 7 = 0 THEN NULL ELSE ' n/a ' END AS f3 FROM events) SELECT 'f1' AS field_name, count(*) AS filled, round(1.0::DOUBLE, 9) AS share FROM w UNION ALL SELECT 'f2', count(*) FILTER (f2 <> 'NR'), round(count(*) FILTER (f2 <> 'NR') / count(*), 9) FROM w UNION ALL SELECT 'f3', 0, 0.0 FROM w LIMIT 3")
+def import_coverage(events):
+    """A-53."""
+    rows = events.select(F.col("event_type").alias("f1"), F.when(F.col("event_id") % 3 == 0, "NR").otherwise(F.col("props")).alias("f2"), F.when(F.col("event_id") % 7 != 0, " n/a ").alias("f3"))
+    return Q.coverage(rows, ["f1", "f2", "f3"]).withColumn("share", F.round("share", 9))
+
+
+@query("ratings", "verdicts", sql="WITH w AS (SELECT paper_id, field_name, CASE WHEN min(risk) = 'low' THEN 'a' END AS local, CASE WHEN max(risk) = 'medium' THEN 'b' END AS openai, max(level2) AS anthropic FROM ratings GROUP BY ALL), l AS (SELECT paper_id, field_name, unnest(['local', 'openai', 'anthropic']) AS arm, unnest([local, openai, anthropic]) AS value FROM w) SELECT l.paper_id, l.field_name, arm, value, n_arms FROM l JOIN (SELECT paper_id, field_name, count(value) AS n_arms FROM l GROUP BY ALL HAVING count(value) >= 2) USING (paper_id, field_name) WHERE value IS NOT NULL")
+def judge_arms(ratings, verdicts):
+    """C-18 / H-21."""
+    w = ratings.groupBy("paper_id", "field_name").agg(F.when(F.min("risk") == "low", "a").alias("local"), F.when(F.max("risk") == "medium", "b").alias("openai"), F.max("level2").alias("anthropic"))
+    return Q.judge_inputs(w, ["local", "openai", "anthropic"])
+
+
+@query("documents", sql="WITH d AS (SELECT doc_id, text, CASE WHEN doc_id % 3 = 0 THEN -1 ELSE doc_id % 500 END AS place FROM documents) SELECT doc_id, CASE WHEN length(text) <= 800 THEN 'whole' WHEN place >= 0 THEN 'window' ELSE 'head' END AS strategy, CASE WHEN length(text) <= 800 THEN text WHEN place >= 0 THEN substr(text, greatest(place - 400, 0) + 1, 800) ELSE substr(text, 1, 600) END AS \"window\" FROM d")
+def source_windows(documents):
+    """C-19 / H-08."""
+    rows = documents.select("doc_id", F.col("text").alias("source_text"), F.when(F.col("doc_id") % 3 == 0, -1).otherwise((F.col("doc_id") % 500).cast("int")).alias("at"))
+    return Q.source_windows(rows, 800, 600).select("doc_id", "strategy", "window")
+
+
+@query("papers", "events", sql="WITH e AS (SELECT max_by(event_type, event_id) AS event_type, user_id AS id FROM events GROUP BY user_id) SELECT id, CASE WHEN event_type = 'click' THEN 'ABSTRACT_SCREENED_IN' ELSE 'ABSTRACT_SCREENED_OUT' END AS status FROM e WHERE id NOT IN (SELECT id FROM papers WHERE id % 2 = 0)")
+def backfilled_papers(papers, events):
+    """C-20 / H-18: of rows with one key the last wins."""
+    rows = events.select(F.col("user_id").alias("id"), F.col("event_id").alias("ord"), "event_type")
+    return Q.backfill(papers.where("id % 2 = 0").select("id"), rows, "id", F.when(F.col("event_type") == "click", "ABSTRACT_SCREENED_IN").otherwise("ABSTRACT_SCREENED_OUT")).select("id", "status")
+
+
+@query("human", sql="WITH h AS (SELECT CASE WHEN id % 5 = 0 THEN 'field_' || (id % 3) WHEN id % 5 = 1 THEN ' ' ELSE field_name END AS field_name FROM human) SELECT field_name, CASE WHEN regexp_matches(field_name, '^field_\\d+$') THEN 'unnamed column' WHEN trim(field_name) = '' THEN 'empty name' ELSE 'unknown field' END AS cause, count(*) AS n FROM h WHERE field_name NOT IN ('f1', 'f2', 'f3', 'f4') GROUP BY ALL")
+def stray_fields(human):
+    """C-22."""
+    rows = human.select(F.when(F.col("id") % 5 == 0, F.concat(F.lit("field_"), (F.col("id") % 3).cast("string"))).when(F.col("id") % 5 == 1, " ").otherwise(F.col("field_name")).alias("field_name"))
+    return R.counts(Q.stray_field(rows, ["f1", "f2", "f3", "f4"]), "field_name", "cause")
+
+
+@query("human", sql="SELECT extractor, count(*) AS n FROM human WHERE contains(lower(extractor || chr(31) || value || chr(31) || snippet), 'purchase') OR contains(lower(extractor || chr(31) || value || chr(31) || snippet), '\"k\": 7') GROUP BY ALL")
+def blinding_leaks(human):
+    """C-24."""
+    return R.counts(S.leaks(human, ["extractor", "value", "snippet"], ["PURCHASE", '"k": 7']), "extractor")
+
+
+@query("verdicts", sql="SELECT arm, verdict, count(*) AS n, round(avg((paper_id % 3 > 0)::INT), 6) AS precision FROM verdicts WHERE no = 1 GROUP BY ALL")
+def unblinded_precision(verdicts):
+    """C-25."""
+    sample = verdicts.where("no = 1").select("paper_id", (F.col("paper_id") % 3 > 0).alias("correct"))
+    return S.precision(sample, verdicts.where("no = 1").select("paper_id", "arm", "verdict"), "paper_id", ["arm", "verdict"])
+
+
+@query("papers", sql="SELECT id, 'A' || (id % 50) || ' ' || year AS label FROM papers")
+def paper_short_labels(papers):
+    """H-10: authors as a JSON array or a `;` list."""
+    name = F.concat(F.lit("A"), (F.col("id") % 50).cast("string"))
+    authors = F.when(F.col("id") % 2 == 0, F.to_json(F.array(F.concat(name, F.lit(" B")), F.lit("Other C")))).otherwise(F.concat(name, F.lit(" B; Other C")))
+    return papers.select("id", Q.paper_label(authors, F.col("year")).alias("label"))
+
+
+@query("human", sql="WITH f AS (SELECT * FROM (VALUES ('f1', 'categorical', 1), ('f2', 'numeric', 2)) AS t(field_name, field_type, tier)) SELECT h.field_name, coalesce(f.field_type, 'free_text') AS field_type, coalesce(f.tier, 99) AS tier, count(*) AS n FROM human h LEFT JOIN f ON f.field_name = h.field_name GROUP BY ALL")
+def field_defaults(human):
+    """H-11."""
+    fields = human.sparkSession.createDataFrame([("f1", "categorical", 1), ("f2", "numeric", 2)], "field_name string, field_type string, tier int")
+    return R.counts(Q.with_defaults(human.select("field_name"), fields), "field_name", "field_type", "tier")
