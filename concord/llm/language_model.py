@@ -261,7 +261,7 @@ def scores(docs: DataFrame, mu: tuple[float, float] = MU) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row."""
     size = text_size(docs)
     many, bits = parts(size, PART_BYTES, 16 << 20, 1 << 14), width(size)
-    dealt = parts(size, 4 * BLOCK_BYTES, 32 * BLOCK_BYTES)
+    dealt = parts(size, BLOCK_BYTES, 4 * BLOCK_BYTES, 1 << 14)
     n, v = vocabulary(docs, many)
     starts = docs.where(bucket(7) != 2).count()
 
