@@ -41,17 +41,39 @@ def allowed(frm: Column, to: Column) -> Column:
     return F.concat_ws(">", frm, to).isin(EDGES)
 
 
+RANGE = 4096
+FOLD = "struct<status:string,applied:bigint,rejected:bigint>"
+
+
 def fold_status(events: DataFrame, start: str = "INGESTED") -> DataFrame:
     """M-01 / M-05: paper_id, status, applied and rejected of events (paper_id, seq, to_status, override).
 
-    Illegal events are skipped before later ones are judged. A paper's own
-    events are folded; an override always applies.
+    Illegal events are skipped before later ones are judged; an override
+    always applies. Events are folded within ranges of `seq` of RANGE numbers
+    into a map from each status before the range to the status after it, with
+    the events applied and rejected on the way. Maps of ranges are chained in
+    the same way, so no array holds more than RANGE events or maps, however
+    long the history of one paper is. A paper whose events lie in one range
+    needs no map.
     """
-    kind = "struct<status:string,applied:bigint,rejected:bigint>"
-    first = F.struct(F.lit(start).alias("status"), F.lit(0).cast("long").alias("applied"), F.lit(0).cast("long").alias("rejected"))
-    step = lambda acc, e: F.when(e.override | allowed(acc.status, e.to_status), F.struct(e.to_status.alias("status"), (acc.applied + 1).alias("applied"), acc.rejected.alias("rejected"))).otherwise(F.struct(acc.status.alias("status"), acc.applied.alias("applied"), (acc.rejected + 1).alias("rejected"))).cast(kind)
-    rows = events.groupBy("paper_id").agg(F.array_sort(F.collect_list(F.struct("seq", "to_status", "override"))).alias("events"))
-    return rows.select("paper_id", F.aggregate("events", first.cast(kind), step).alias("f")).select("paper_id", "f.*")
+    begin = lambda s: F.struct(s.alias("status"), F.lit(0).cast("long").alias("applied"), F.lit(0).cast("long").alias("rejected")).cast(FOLD)
+    step = lambda acc, e: F.when(e.override | allowed(acc.status, e.to_status), F.struct(e.to_status.alias("status"), (acc.applied + 1).alias("applied"), acc.rejected.alias("rejected"))).otherwise(F.struct(acc.status.alias("status"), acc.applied.alias("applied"), (acc.rejected + 1).alias("rejected"))).cast(FOLD)
+    statuses = F.array(*map(F.lit, STATUSES))
+    sizes = events.groupBy("paper_id").agg(F.count("*").alias("_n"))
+    few, many = sizes.where(F.col("_n") <= RANGE).select("paper_id"), sizes.where(F.col("_n") > RANGE).select("paper_id")
+    rows = events.join(few, "paper_id", "left_semi").groupBy("paper_id").agg(F.array_sort(F.collect_list(F.struct("seq", "to_status", "override"))).alias("events"))
+    short = rows.select("paper_id", F.aggregate("events", begin(F.lit(start)), step).alias("f"))
+
+    parts = events.join(many, "paper_id", "left_semi").groupBy("paper_id", F.expr(f"seq div {RANGE}").alias("part")).agg(F.array_sort(F.collect_list(F.struct("seq", "to_status", "override"))).alias("events"))
+    maps = parts.select("paper_id", "part", F.transform(statuses, lambda s: F.aggregate("events", begin(s), step)).alias("map"))
+    follow = lambda acc, m: F.struct(at(m, acc).status.alias("status"), (acc.applied + at(m, acc).applied).alias("applied"), (acc.rejected + at(m, acc).rejected).alias("rejected")).cast(FOLD)
+    at = lambda m, acc: F.get(m["map"], (F.array_position(statuses, acc.status) - 1).cast("int"))
+    for _ in range(2):
+        wider = maps.groupBy("paper_id", F.expr(f"part div {RANGE}").alias("part")).agg(F.array_sort(F.collect_list(F.struct("part", "map"))).alias("maps"))
+        maps = wider.select("paper_id", "part", F.transform(statuses, lambda s: F.aggregate("maps", begin(s), follow)).alias("map"))
+    chained = maps.groupBy("paper_id").agg(F.array_sort(F.collect_list(F.struct("part", "map"))).alias("maps"))
+    long = chained.select("paper_id", F.aggregate("maps", begin(F.lit(start)), follow).alias("f"))
+    return short.unionByName(long).select("paper_id", "f.*")
 
 
 def reset(papers: DataFrame, ids: DataFrame, status: str) -> DataFrame:

@@ -24,13 +24,15 @@ def exact_matches(a: DataFrame, b: DataFrame) -> DataFrame:
     return cascade(keyed(b), side, ["doi_key", "pmid", "title_key"], "a_ord")
 
 
-def fuzzy_matches(a: DataFrame, b: DataFrame, least: float = 0.9, keep: int | None = 3) -> DataFrame:
+def fuzzy_matches(a: DataFrame, b: DataFrame, least: float = 0.9, keep: int | None = 4) -> DataFrame:
     """C-01 / J-16, fuzzy phase: ord and a_ord of titles with a ratio over `least`; the smallest ordinal of a wins.
 
-    Candidates share one of their `keep` rarest tokens (None: any token), so
-    pairs that differ in a letter of all of these are not found. Lengths that
-    cannot reach the ratio are dropped in the join, and the Arrow function
-    tries its two upper bounds first; both lose none.
+    Candidates of a title of b hold one of its `keep` rarest tokens among those
+    that titles of a have (None: any token). A word that a does not know takes
+    no place, so misspelt words do not hide the others; a pair is missed only
+    if the title of a holds none of these tokens.
+    Lengths that cannot reach the ratio are dropped in the join, and the Arrow
+    function tries its two upper bounds first; both lose none.
     """
     prep = lambda df: keyed(df).where("title_key IS NOT NULL").select("ord", "title_key", F.length("title_key").alias("len"))
     words = lambda df: df.withColumn("w", F.explode(F.array_distinct(F.split("title_key", " "))))
@@ -40,10 +42,10 @@ def fuzzy_matches(a: DataFrame, b: DataFrame, least: float = 0.9, keep: int | No
     often = words(x).groupBy("w").agg(F.count("*").alias("df"))
 
     def rare(df: DataFrame) -> DataFrame:
-        each = words(df).join(often, "w", "left").groupBy(*df.columns).agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "w"))).alias("ws"))
+        each = words(df).join(often, "w").groupBy(*df.columns).agg(F.array_sort(F.collect_list(F.struct("df", "w"))).alias("ws"))
         return each.select(*df.columns, F.explode(F.transform(F.slice("ws", 1, keep) if keep else F.col("ws"), lambda s: s.w)).alias("w"))
 
-    left = rare(x).toDF("ta", "la", "a_ord", "w")
+    left = words(x).select("title_key", "len", "ord", "w").toDF("ta", "la", "a_ord", "w")
     near = 2 * F.least("la", "len") > least * (F.col("la") + F.col("len"))
     pairs = left.join(rare(y), "w").where(near).select("a_ord", "ta", "title_key").distinct()
     close = pairs.withColumn("ratio", ratio_above(least)("ta", "title_key")).where(F.col("ratio") > least)

@@ -44,11 +44,25 @@ def prisma_flow(papers: DataFrame) -> DataFrame:
     return out
 
 
-def prisma_reconcile(flow: DataFrame) -> DataFrame:
-    """V-01: the totals must add up."""
+def prisma_by_source(papers: DataFrame) -> DataFrame:
+    """A-03: records, exclusions of files and included studies by source."""
+    s = F.col("status")
+    return papers.groupBy("source").agg(F.count("*").alias("n"), F.count_if(s == "PDF_EXCLUDED").alias("pdf_excluded"), F.count_if(s.isin(*L.INCLUDED)).alias("included"))
+
+
+def ft_split(papers: DataFrame, adjudicated: DataFrame) -> DataFrame:
+    """A-03: full-text exclusions that a person decided, and those of the first screening alone."""
+    out = papers.where("status = 'FT_SCREENED_OUT'").join(adjudicated.select(F.col("paper_id").alias("id"), F.lit(True).alias("_hit")).distinct(), "id", "left")
+    return out.agg(F.count("*").alias("ft_screened_out"), F.count_if(F.coalesce("_hit", F.lit(False))).alias("adjudicated"), F.count_if(F.col("_hit").isNull()).alias("primary_only"))
+
+
+def prisma_reconcile(flow: DataFrame, by_source: DataFrame) -> DataFrame:
+    """V-01: the boxes must add up to the records that the sources were counted to hold, and parts must not exceed their wholes."""
     total = F.col("excluded") + F.col("pdf_excluded") + F.col("ft_screened_out") + F.col("rejected") + F.col("included") + F.col("in_progress")
-    gap = F.col("identified") - total
-    return flow.select("identified", total.alias("accounted"), gap.alias("discrepancy"), ((gap == 0) & (F.col("not_retrieved") <= F.col("pdf_excluded")) & (F.col("screened") <= F.col("identified")) & (F.col("low_yield_rejected") <= F.col("rejected"))).alias("valid"))
+    counted = by_source.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("counted"), F.coalesce(F.sum("included"), F.lit(0)).alias("counted_included"))
+    checks = [F.col("counted") == total, F.col("counted_included") == F.col("included"), F.col("not_retrieved") <= F.col("pdf_excluded"), F.col("screened") <= F.col("identified"), F.col("low_yield_rejected") <= F.col("rejected")]
+    rows = flow.join(counted)  # one row each
+    return rows.select("counted", total.alias("accounted"), (F.col("counted") - total).alias("discrepancy"), F.size(F.filter(F.array(*checks), lambda c: ~c)).alias("n_broken"), reduce(lambda a, b: a & b, checks).alias("valid"))
 
 
 def reasons(papers: DataFrame, status: str, column: str) -> DataFrame:

@@ -624,3 +624,273 @@ def field_defaults(human):
     """H-11."""
     fields = human.sparkSession.createDataFrame([("f1", "categorical", 1), ("f2", "numeric", 2)], "field_name string, field_type string, tier int")
     return R.counts(Q.with_defaults(human.select("field_name"), fields), "field_name", "field_type", "tier")
+
+
+# ---- imports, lifecycle and corrections
+
+
+@query("human", "papers", sql="""WITH r AS (SELECT paper_id * 7 % 1300 AS id, CASE WHEN id % 9 = 0 THEN 'MAYBE' WHEN id % 9 = 1 THEN NULL WHEN id % 2 = 0 THEN 'REJECT' ELSE 'ACCEPT' END AS decision, CASE WHEN id % 3 = 0 THEN ' ' ELSE snippet END AS note FROM human WHERE extractor = 'A'),
+    e AS (SELECT id, 'unknown id' AS error FROM r WHERE id NOT IN (SELECT id FROM papers) UNION ALL SELECT id, 'bad decision' FROM r WHERE decision IS NULL OR decision NOT IN ('ACCEPT', 'REJECT') UNION ALL SELECT id, 'repeated' FROM r GROUP BY id HAVING count(*) > 1 UNION ALL SELECT id, 'note missing' FROM r WHERE decision = 'REJECT' AND trim(coalesce(note, '')) = '')
+    SELECT error, count(*) AS n, count(DISTINCT id) AS n_ids FROM e GROUP BY ALL""")
+def import_errors(human, papers):
+    """V-02 / V-04."""
+    rows = human.where("extractor = 'A'").select((F.col("paper_id") * 7 % 1300).alias("id"), F.when(F.col("id") % 9 == 0, "MAYBE").when(F.col("id") % 9 == 1, None).when(F.col("id") % 2 == 0, "REJECT").otherwise("ACCEPT").alias("decision"), F.when(F.col("id") % 3 == 0, " ").otherwise(F.col("snippet")).alias("note"))
+    return I.errors(rows, papers, "id", "decision", ["ACCEPT", "REJECT"], ["REJECT"]).groupBy("error").agg(F.count("*").alias("n"), F.count_distinct("key").alias("n_ids"))
+
+
+DECISIONS = "dec AS (SELECT DISTINCT paper_id, field_name, CASE WHEN paper_id % 4 = 0 THEN 'REJECT_VALUE' WHEN paper_id % 4 = 1 THEN 'CORRECT' ELSE 'ACCEPT' END AS decision, CASE WHEN paper_id % 4 = 1 THEN 'fixed' END AS correction FROM sp WHERE audit_status = 'flagged' OR paper_id % 2 = 0)"
+
+
+def span_decisions(rows: DataFrame) -> DataFrame:
+    kind = F.col("paper_id") % 4
+    return rows.where("audit_status = 'flagged' OR paper_id % 2 = 0").select("paper_id", "field_name", F.when(kind == 0, "REJECT_VALUE").when(kind == 1, "CORRECT").otherwise("ACCEPT").alias("decision"), F.when(kind == 1, "fixed").alias("correction")).distinct()
+
+
+@query("spans", "extractions", sql=f"WITH {SPAN_ROWS}, {DECISIONS}, o AS (SELECT sp.paper_id, sp.field_name, CASE WHEN decision IN ('ACCEPT', 'CORRECT') THEN 'verified' WHEN decision = 'REJECT_VALUE' THEN 'rejected_value' ELSE audit_status END AS state, CASE WHEN decision = 'CORRECT' THEN correction ELSE value END AS value FROM sp LEFT JOIN dec ON dec.paper_id = sp.paper_id AND dec.field_name = sp.field_name) SELECT field_name, state AS audit_status, value, count(*) AS n FROM o GROUP BY ALL")
+def applied_decisions(spans, extractions):
+    """M-07 / M-09."""
+    rows = span_rows(spans, extractions)
+    return R.counts(I.apply_decisions(rows, span_decisions(rows), ["paper_id", "field_name"])[0], "field_name", "audit_status", "value")
+
+
+@query("spans", "extractions", sql=f"WITH {SPAN_ROWS}, {DECISIONS} SELECT sp.paper_id FROM sp LEFT JOIN dec ON dec.paper_id = sp.paper_id AND dec.field_name = sp.field_name GROUP BY sp.paper_id HAVING bool_and(decision IS NOT NULL OR audit_status = 'verified')")
+def completed_papers(spans, extractions):
+    """M-07: papers without an unresolved span."""
+    rows = span_rows(spans, extractions)
+    return I.apply_decisions(rows, span_decisions(rows), ["paper_id", "field_name"])[1]
+
+
+@query("human", sql="WITH r AS (SELECT CASE WHEN paper_id % 5 = 0 THEN 'X' || paper_id ELSE 'EE-' || lpad(paper_id::VARCHAR, 3, '0') END AS paper_id, value AS f1, CASE WHEN id % 6 = 0 THEN ' NR ' ELSE extractor END AS f2 FROM human WHERE id % 10 = 0), e AS (SELECT paper_id, 'label' AS error FROM r WHERE NOT regexp_matches(paper_id, '^EE-\\d{3,}$') UNION ALL SELECT paper_id, 'value of f1' FROM r WHERE lower(trim(f1)) NOT IN " + NULLS + " AND f1 NOT IN ('click', 'view') UNION ALL SELECT paper_id, 'value of f2' FROM r WHERE lower(trim(f2)) NOT IN " + NULLS + " AND f2 NOT IN ('A', 'C') UNION ALL SELECT paper_id, 'repeated' FROM r GROUP BY paper_id HAVING count(*) > 1) SELECT error, count(*) AS n FROM e GROUP BY ALL")
+def workbook_errors(human):
+    """V-03."""
+    rows = human.where("id % 10 = 0").select(F.when(F.col("paper_id") % 5 == 0, F.concat(F.lit("X"), F.col("paper_id").cast("string"))).otherwise(F.concat(F.lit("EE-"), F.lpad(F.col("paper_id").cast("string"), 3, "0"))).alias("paper_id"), F.col("value").alias("f1"), F.when(F.col("id") % 6 == 0, " NR ").otherwise(F.col("extractor")).alias("f2"))
+    return R.counts(Q.workbook_errors(rows, {"f1": ["click", "view"], "f2": ["A", "C"]}), "error")
+
+
+@query("papers", sql="SELECT id, CASE WHEN id % 5 = 0 AND status NOT IN ('REJECTED', 'FT_SCREENED_OUT') THEN 'PDF_EXCLUDED' ELSE status END AS status, CASE WHEN id % 5 = 0 AND status NOT IN ('REJECTED', 'FT_SCREENED_OUT') THEN 'NON_ENGLISH' ELSE pdf_exclusion_reason END AS reason FROM papers")
+def pdf_dispositions(papers):
+    """M-10."""
+    decided = papers.where("id % 5 < 2").select("id", F.when(F.col("id") % 5 == 0, "EXCLUDE").otherwise("PROCEED").alias("disposition"), F.lit("NON_ENGLISH").alias("exclude_reason"))
+    return I.dispositions(papers, decided, ["REJECTED", "FT_SCREENED_OUT"]).select("id", "status", F.col("pdf_exclusion_reason").alias("reason"))
+
+
+@query("papers", sql="SELECT id, CASE WHEN id % 4 = 0 AND status IN ('AI_AUDIT_COMPLETE', 'HUMAN_AUDIT_COMPLETE') THEN 'REJECTED' ELSE status END AS status, CASE WHEN id % 4 = 0 AND status IN ('AI_AUDIT_COMPLETE', 'HUMAN_AUDIT_COMPLETE') THEN 'late' ELSE rejected_reason END AS rejected_reason FROM papers")
+def rejected_papers(papers):
+    """M-02: only over an allowed edge."""
+    return B.reject(papers, papers.where("id % 4 = 0").select("id", F.lit("late").alias("reason"))).select("id", "status", "rejected_reason")
+
+
+@query("papers", sql="SELECT id, CASE WHEN id % 6 = 0 THEN 'PARSED' ELSE status END AS status FROM papers")
+def reset_papers(papers):
+    """M-03 / M-04 / SC-08."""
+    return L.reset(papers, papers.where("id % 6 = 0").select("id"), "PARSED").select("id", "status")
+
+
+@query("papers", sql="""WITH d AS (SELECT id AS ord, CASE WHEN id % 2 = 0 THEN upper(doi) END AS doi, CASE WHEN id % 2 = 1 THEN pmid END AS pmid, CASE WHEN id % 3 = 0 THEN 'ABSTRACT_SCREENED_IN' ELSE 'PARSED' END AS to_status FROM papers WHERE id % 2 = 0 OR pmid IS NOT NULL),
+    f AS (SELECT d.*, coalesce((SELECT min(id) FROM papers p WHERE p.doi = d.doi), (SELECT min(id) FROM papers p WHERE p.pmid = d.pmid)) AS id FROM d), m AS (SELECT id, max_by(to_status, ord) AS t FROM f WHERE id IS NOT NULL GROUP BY ALL)
+    SELECT p.id, CASE WHEN t IS NOT NULL AND (p.status || '>' || t) IN ('INGESTED>ABSTRACT_SCREENED_IN', 'ABSTRACT_SCREEN_FLAGGED>ABSTRACT_SCREENED_IN', 'PDF_ACQUIRED>PARSED', 'EXTRACT_FAILED>PARSED') THEN t ELSE p.status END AS status FROM papers p LEFT JOIN m ON m.id = p.id""")
+def adjudicated_papers(papers):
+    """M-08 / H-13: decisions find their paper by DOI, then PMID."""
+    rows = papers.where("id % 2 = 0 OR pmid IS NOT NULL").select(F.col("id").alias("ord"), F.when(F.col("id") % 2 == 0, F.upper("doi")).alias("doi"), F.when(F.col("id") % 2 == 1, F.col("pmid")).alias("pmid"), F.when(F.col("id") % 3 == 0, "ABSTRACT_SCREENED_IN").otherwise("PARSED").alias("to_status"))
+    return B.adjudicate(papers, rows, ["doi", "pmid"])[0].select("id", "status")
+
+
+@query("human", sql="WITH d AS (SELECT CASE id % 5 WHEN 0 THEN ' accept' WHEN 1 THEN 'Reject' WHEN 2 THEN 'abstract_screened_in' WHEN 3 THEN 'correct' ELSE 'unsure' END AS decision FROM human) SELECT decision, CASE upper(trim(decision)) WHEN 'ACCEPT' THEN 'ACCEPT' WHEN 'REJECT' THEN 'REJECT_VALUE' WHEN 'ABSTRACT_SCREENED_IN' THEN 'INCLUDE' WHEN 'CORRECT' THEN 'CORRECT' END AS mapped, CASE lower(trim(decision)) WHEN 'reject' THEN 'REJECTED' WHEN 'accept' THEN 'HUMAN_AUDIT_COMPLETE' WHEN 'correct' THEN 'HUMAN_AUDIT_COMPLETE' END AS legacy, count(*) AS n FROM d GROUP BY ALL")
+def decision_names(human):
+    """M-12 / M-13."""
+    d = F.when(F.col("id") % 5 == 0, " accept").when(F.col("id") % 5 == 1, "Reject").when(F.col("id") % 5 == 2, "abstract_screened_in").when(F.col("id") % 5 == 3, "correct").otherwise("unsure")
+    rows = B.legacy_decisions(human.select(d.alias("decision"))).withColumn("mapped", F.col("decision"))
+    known, unknown = L.map_decisions(rows, "mapped")
+    return R.counts(known.unionByName(unknown.withColumn("mapped", F.lit(None).cast("string"))).withColumnRenamed("to_status", "legacy"), "decision", "mapped", "legacy")
+
+
+@query("decisions", sql="SELECT paper_id, CASE WHEN paper_id % 10 = 0 THEN NULL WHEN pass1 = 'exclude' THEN 'FT_SCREENED_OUT' WHEN verifier = 'exclude' THEN 'FT_FLAGGED' ELSE 'FT_ELIGIBLE' END AS full_text, CASE WHEN pass1 = 'include' AND pass2 = 'include' THEN CASE WHEN paper_id % 2 = 0 THEN 'ABSTRACT_SCREENED_IN' ELSE 'ABSTRACT_SCREEN_FLAGGED' END WHEN pass1 = 'exclude' AND pass2 = 'exclude' THEN CASE WHEN paper_id % 2 = 1 THEN 'ABSTRACT_SCREENED_OUT' ELSE 'ABSTRACT_SCREEN_FLAGGED' END ELSE 'ABSTRACT_SCREEN_FLAGGED' END AS again FROM decisions")
+def second_screening(decisions):
+    """C-04 / SC-09."""
+    primary = F.when(F.col("pass1") == "exclude", "FT_EXCLUDE").otherwise("FT_ELIGIBLE")
+    before = F.when(F.col("paper_id") % 2 == 0, "ABSTRACT_SCREENED_IN").otherwise("ABSTRACT_SCREENED_OUT")
+    return decisions.select("paper_id", I.full_text(primary, F.when(F.col("verifier") == "exclude", "FT_FLAGGED"), F.col("paper_id") % 10 == 0).alias("full_text"), B.rescreened(before, F.array("pass1", "pass2")).alias("again"))
+
+
+@query("extractions", sql="WITH e AS (SELECT paper_id, min_by(schema_hash, id) AS expected FROM extractions WHERE model <> 'P' GROUP BY ALL), a AS (SELECT paper_id, max_by(schema_hash, id) AS actual FROM extractions GROUP BY ALL) SELECT coalesce(e.paper_id, a.paper_id) AS paper_id, expected, actual FROM e FULL JOIN a ON e.paper_id = a.paper_id WHERE expected IS DISTINCT FROM actual")
+def hash_drift(extractions):
+    """V-09 / SC-13."""
+    e = extractions.where("model <> 'P'").groupBy("paper_id").agg(F.min_by("schema_hash", "id").alias("h"))
+    return I.drift(e, extractions.groupBy("paper_id").agg(F.max_by("schema_hash", "id").alias("h")), "paper_id", "h")
+
+
+@query("spans", sql="WITH s AS (SELECT extraction_id, list_sort(list(span_no + (extraction_id % 3 = 0)::INT * (span_no // 2))) AS slots FROM spans GROUP BY ALL) SELECT extraction_id, len(list_filter([1, 2, 3, 4], lambda x: NOT list_contains(slots, x)))::INTEGER AS n_missing, len(slots) <> len(list_distinct(slots)) AS repeated, len(list_distinct(list_filter(slots, lambda x: x > 4 OR x < 1)))::INTEGER AS n_beyond FROM s")
+def slot_checks(spans):
+    """U-05."""
+    slot = (F.col("span_no") + F.when(F.col("extraction_id") % 3 == 0, F.expr("span_no div 2")).otherwise(0)).cast("int")
+    c = spans.groupBy("extraction_id").agg(F.array_sort(F.collect_list(slot)).alias("slots")).select("extraction_id", I.slot_coverage(F.col("slots"), 4).alias("c"))
+    return c.select("extraction_id", F.size("c.missing").alias("n_missing"), "c.repeated", F.size("c.out_of_range").alias("n_beyond"))
+
+
+@query("human", "papers", sql="WITH r AS (SELECT paper_id AS id, CASE id % 4 WHEN 0 THEN 'AGREE' WHEN 1 THEN ' ' WHEN 2 THEN 'DISAGREE' ELSE 'AGREE?' END AS decision FROM human WHERE id % 3 = 1) SELECT 'new' AS kind, count(*) AS n FROM r WHERE trim(decision) <> '' AND id % 3 <> 0 UNION ALL SELECT 'bad decision', count(*) FROM r WHERE trim(decision) NOT IN ('', 'AGREE', 'DISAGREE') HAVING count(*) > 0 UNION ALL SELECT 'repeated', count(*) FROM (SELECT id FROM r WHERE trim(decision) <> '' GROUP BY id HAVING count(*) > 1) HAVING count(*) > 0")
+def pair_adjudication(human, papers):
+    """H-12."""
+    rows = human.where("id % 3 = 1").select(F.col("paper_id").alias("id"), F.when(F.col("id") % 4 == 0, "AGREE").when(F.col("id") % 4 == 1, " ").when(F.col("id") % 4 == 2, "DISAGREE").otherwise("AGREE?").alias("decision"))
+    new, bad = B.adjudicated_pairs(rows, rows, papers.where("id % 3 = 0").select("id"), "id")
+    return new.agg(F.lit("new").alias("kind"), F.count("*").alias("n")).union(bad.groupBy(F.col("error").alias("kind")).agg(F.count("*").alias("n")))
+
+
+@query("runs", "verdicts", sql="SELECT count(*) AS n FROM runs WHERE item NOT IN (SELECT paper_id FROM verdicts WHERE no > 3)")
+def items_to_retry(runs, verdicts):
+    """SC-03 / ST-04."""
+    return I.retry(runs.select(F.col("item").alias("paper_id")), verdicts.where("no > 3"), ["paper_id"]).agg(F.count("*").alias("n"))
+
+
+@query("spans", sql="WITH c AS (SELECT extraction_id AS k, max(quantity) AS q FROM spans WHERE flag = 'R' GROUP BY ALL), s AS (SELECT extraction_id, field_name, CASE WHEN partkey % 2 = 0 THEN NULL ELSE confidence END AS confidence FROM spans WHERE span_no = 1) SELECT s.extraction_id, coalesce(q, coalesce(confidence, 0.0)) AS confidence FROM s LEFT JOIN c ON c.k = s.extraction_id")
+def updated_confidence(spans):
+    """H-16 / H-17: nulls are filled, then the last change of a key is applied."""
+    s = B.with_not_null(spans.where("span_no = 1").select("extraction_id", F.when(F.col("partkey") % 2 != 0, F.col("confidence")).alias("confidence"), F.lit(None).cast("int").alias("tier"))).drop("tier")
+    changes = spans.where("flag = 'R'").select("extraction_id", F.col("quantity").alias("ord"), F.col("quantity").alias("confidence"))
+    return B.updated(s, changes, "extraction_id", ["confidence"])
+
+
+@query("ratings", "human", sql="SELECT r.risk, count(*) AS n FROM ratings r JOIN human h ON h.id = r.paper_id AND h.extractor = 'A' WHERE r.level1 = 'PARTIAL' GROUP BY ALL")
+def pairs_of_run(ratings, human):
+    """H-04."""
+    a = ratings.select(F.col("paper_id").alias("rating_id"), "risk", F.col("level1").alias("run_id"))
+    return R.counts(B.run_pairs(a, human.where("extractor = 'A'").select(F.col("id").alias("rating_id")), "PARTIAL"), "risk")
+
+
+@query("verdicts", sql="WITH d AS (SELECT unnest(['SUPPORTED', 'PARTIALLY_SUPPORTED', 'UNSUPPORTED', 'ERROR']) AS verdict) SELECT d.verdict, count(v.verdict) AS n FROM d LEFT JOIN verdicts v ON v.verdict = d.verdict GROUP BY ALL")
+def zero_filled(verdicts):
+    """H-06."""
+    domain = verdicts.sparkSession.createDataFrame([("SUPPORTED",), ("PARTIALLY_SUPPORTED",), ("UNSUPPORTED",), ("ERROR",)], "verdict string")
+    return A.filled_domain(R.counts(verdicts, "verdict"), domain, "verdict")
+
+
+@query("orders", sql="WITH a AS (SELECT o_orderkey AS rating_id, list_sort(list_distinct([o_orderstatus, o_orderpriority, 'x'])) AS arms FROM orders) SELECT x AS arm_a, y AS arm_b, count(*) AS n FROM (SELECT rating_id, unnest(arms) AS x, arms FROM a) t, LATERAL (SELECT unnest(t.arms) AS y) WHERE y > x GROUP BY ALL")
+def arm_pairs(orders):
+    """SNK-04 / V-08 / H-22."""
+    return R.counts(sinks.pair_rows(orders.select(F.col("o_orderkey").alias("rating_id"), F.array_distinct(F.array("o_orderstatus", "o_orderpriority", F.lit("x"))).alias("arms"))), "arm_a", "arm_b")
+
+
+@query("orders", sql="SELECT o_orderkey AS result, s AS slot, CASE WHEN s = 1 THEN o_orderstatus END AS reasoning, CASE WHEN s = 2 THEN o_orderpriority END AS hypothesis FROM orders, (SELECT unnest([1, 2]) AS s)")
+def verdict_rows(orders):
+    """SNK-05 / H-23."""
+    none = F.lit(None).cast("string")
+    both = F.array(F.struct(F.lit(1).alias("slot"), F.col("o_orderstatus").alias("reasoning"), none.alias("hypothesis")), F.struct(F.lit(2).alias("slot"), none.alias("reasoning"), F.col("o_orderpriority").alias("hypothesis")))
+    return sinks.verdict_rows(orders.select(F.col("o_orderkey").alias("result"), both.alias("verdicts")))
+
+
+@query("conversations", sql="SELECT conv_id, string_agg(role || ': ' || length(text), chr(10) || chr(10) ORDER BY turn, role || ': ' || length(text)) AS markdown FROM conversations WHERE text IS NOT NULL GROUP BY ALL")
+def markdown_per_conversation(conversations):
+    """SNK-13."""
+    rows = conversations.where("text IS NOT NULL").select("conv_id", "turn", F.concat("role", F.lit(": "), F.length("text").cast("string")).alias("text"))
+    return sinks.text_per_paper(rows, "conv_id", "turn", "text")
+
+
+@query("papers", sql="SELECT 'We identified ' || count(*) || ' records, screened ' || count(*) FILTER (status NOT IN ('INGESTED')) || ', excluded ' || count(*) FILTER (status = 'ABSTRACT_SCREENED_OUT') || ', assessed ' || count(*) FILTER (status NOT IN ('INGESTED', 'ABSTRACT_SCREENED_OUT', 'ABSTRACT_SCREEN_FLAGGED', 'ABSTRACT_SCREENED_IN', 'PDF_ACQUIRED', 'PDF_EXCLUDED')) || ' full texts and included ' || count(*) FILTER (status IN ('AI_AUDIT_COMPLETE', 'HUMAN_AUDIT_COMPLETE')) || ' studies.' AS text FROM papers")
+def methods_paragraph(papers):
+    """SNK-14."""
+    return sinks.methods_text(R.prisma_flow(papers))
+
+
+@query("papers", sql="SELECT '{\"source\":\"' || source || '\",\"n\":' || count(*) || '}' AS value FROM papers GROUP BY source")
+def json_report(papers):
+    """SNK-10."""
+    return sinks.report_json(R.counts(papers, "source"))
+
+
+# ---- samples and orders
+
+
+@query("papers", sql="SELECT id, CASE WHEN status = 'ABSTRACT_SCREENED_IN' THEN 1 WHEN row_number() OVER (PARTITION BY status = 'ABSTRACT_SCREENED_IN' ORDER BY sha256('42|' || id), id) <= 30 THEN 2 ELSE 3 END::INTEGER AS priority FROM papers")
+def priorities(papers):
+    """T-09 / T-12."""
+    return B.priorities(papers).select("id", "priority")
+
+
+@query("verdicts", sql="WITH v AS (SELECT paper_id || ':' || no AS key FROM verdicts), r AS (SELECT key, row_number() OVER (ORDER BY sha256('42|' || key)) AS rn, count(*) OVER () AS n FROM v) SELECT key FROM r WHERE rn <= greatest(1, (n * 0.013)::DECIMAL(18, 6)::DOUBLE // 1)")
+def spot_check(verdicts):
+    """T-08."""
+    return S.fraction(verdicts.select(F.concat_ws(":", F.col("paper_id").cast("string"), F.col("no").cast("string")).alias("key")), "key", 0.013)
+
+
+@query("verdicts", sql="SELECT verdict, arm, count(*) AS n FROM verdicts WHERE short_circuit GROUP BY ALL HAVING count(*) < 1200")
+def scarce_cells(verdicts):
+    """T-07."""
+    return S.under_supplied(verdicts.where("short_circuit"), ["verdict", "arm"], 1200)
+
+
+@query("verdicts", sql="SELECT verdict, arm, first(paper_id ORDER BY paper_id, no) AS paper_id, first(no ORDER BY paper_id, no) AS no FROM verdicts GROUP BY ALL")
+def first_examples(verdicts):
+    """T-13."""
+    rows = verdicts.select("verdict", "arm", "paper_id", "no", F.struct("paper_id", "no").alias("place"))
+    return S.examples(rows, ["verdict", "arm"], "place").select("verdict", "arm", "paper_id", F.col("no").cast("long").alias("no"))
+
+
+@query("orders", sql="WITH a AS (SELECT o_orderkey, unnest(['local', 'openai', 'anthropic']) AS arm FROM orders) SELECT o_orderkey, string_agg(arm, ',' ORDER BY sha256(o_orderkey || '|' || arm), arm) AS slots FROM a GROUP BY ALL")
+def arm_permutations(orders):
+    """T-11."""
+    return orders.select("o_orderkey", F.array_join(S.permutation(F.array(*map(F.lit, ["local", "openai", "anthropic"])), F.col("o_orderkey")), ",").alias("slots"))
+
+
+@query("papers", sql="WITH s AS (SELECT id, row_number() OVER (ORDER BY sha256('42|' || id)) AS row_id FROM papers WHERE id < 200) SELECT (SELECT count(*) FROM s) AS n, (SELECT first(id ORDER BY row_id) FROM s) AS first_id, (SELECT coalesce(bool_and(up), true) FROM (SELECT id > lag(id) OVER (ORDER BY row_id) AS up FROM s)) AS monotonic")
+def shuffled_sample(papers):
+    """W-03 / W-05."""
+    s = S.shuffled(papers.where("id < 200").select("id"), "id")
+    return s.agg(F.count("*").alias("n"), F.min_by("id", "row_id").alias("first_id")).join(S.is_monotonic(s, "row_id", "id"))
+
+
+@query("papers", sql="WITH g AS (SELECT source, count(*) AS group_n FROM papers GROUP BY ALL), r AS (SELECT *, dense_rank() OVER (ORDER BY group_n DESC, source) AS group_rank FROM g) SELECT p.id, p.source, group_n, group_rank::INTEGER AS group_rank, (row_number() OVER (PARTITION BY p.source ORDER BY id))::INTEGER AS item_rank FROM papers p JOIN r ON r.source = p.source")
+def ranked_groups(papers):
+    """W-04."""
+    return R.group_rank(papers.select("id", "source"), "source", "id").select("id", "source", "group_n", "group_rank", "item_rank")
+
+
+@query("papers", sql="WITH a AS (SELECT id, 'odd' AS stratum FROM papers WHERE id % 2 = 1 ORDER BY id LIMIT 5), b AS (SELECT id, 'third' AS stratum FROM papers WHERE id % 3 = 0 AND id NOT IN (SELECT id FROM a) ORDER BY id LIMIT 6), c AS (SELECT id, 'any' AS stratum FROM papers WHERE id NOT IN (SELECT id FROM a) AND id NOT IN (SELECT id FROM b) ORDER BY id LIMIT 4) SELECT * FROM a UNION ALL SELECT * FROM b UNION ALL SELECT * FROM c")
+def chosen_strata(papers):
+    """W-09."""
+    return S.first_strata(papers.select("id"), "id", [("odd", F.col("id") % 2 == 1, 5), ("third", F.col("id") % 3 == 0, 6), ("any", F.lit(True), 4)], "id")
+
+
+@query("papers", sql="WITH k AS (SELECT CASE WHEN id % 10 = 0 THEN 'x' || id ELSE (id * 7 % 1000)::VARCHAR END AS key FROM papers) SELECT key FROM k ORDER BY TRY_CAST(key AS BIGINT) NULLS LAST, key LIMIT 950")
+def numbers_first(papers):
+    """T-03."""
+    keys = papers.select(F.when(F.col("id") % 10 == 0, F.concat(F.lit("x"), F.col("id").cast("string"))).otherwise((F.col("id") * 7 % 1000).cast("string")).alias("key"))
+    return keys.orderBy(*R.id_order("key")).limit(950)
+
+
+@query("human", "papers", sql="SELECT field_name FROM human GROUP BY ALL UNION ALL SELECT status FROM papers GROUP BY ALL")
+def distinct_names(human, papers):
+    """U-04 / U-06."""
+    return Q.merge_sources(B.distinct_fields(human), papers.select(F.col("status").alias("field_name")).distinct())
+
+
+@query("human", sql="WITH c AS (SELECT field_name, count(*) AS n, count(DISTINCT value) AS d FROM human GROUP BY ALL) SELECT field_name, status, place FROM (SELECT field_name, CASE WHEN n % 3 = 0 THEN 'COLLAPSED' WHEN n % 3 = 1 THEN 'LOW_VARIANCE' ELSE 'OK' END AS status, row_number() OVER (ORDER BY n % 3, field_name) AS place FROM c)")
+def report_in_order(human):
+    """H-30."""
+    c = human.groupBy("field_name").agg(F.count("*").alias("n"))
+    rows = c.select("field_name", F.when(F.col("n") % 3 == 0, "COLLAPSED").when(F.col("n") % 3 == 1, "LOW_VARIANCE").otherwise("OK").alias("status"))
+    ordered = B.report_order(rows).agg(F.collect_list(F.struct("field_name", "status")).alias("r"))  # a row for each field
+    return ordered.select(F.posexplode("r").alias("place", "x")).select("x.field_name", "x.status", (F.col("place") + 1).cast("long").alias("place"))
+
+
+@query("spans", sql="SELECT extraction_id, field_name, CASE WHEN partkey % 2 = 0 THEN NULL ELSE 'r' || partkey END AS rationale, CASE WHEN partkey % 3 = 0 THEN CASE WHEN partkey % 2 = 0 THEN NULL ELSE 'r' || partkey END ELSE printf('[confidence %.2f] ', partkey % 10 / 10.0) || CASE WHEN partkey % 2 = 0 THEN '' ELSE 'r' || partkey END END AS shown FROM spans WHERE span_no = 1")
+def decorated_rationales(spans):
+    """H-19."""
+    rationale, confidence = F.when(F.col("partkey") % 2 != 0, F.concat(F.lit("r"), F.col("partkey").cast("string"))), F.when(F.col("partkey") % 3 != 0, F.col("partkey") % 10 / 10.0)
+    return spans.where("span_no = 1").select("extraction_id", "field_name", rationale.alias("rationale"), B.decorated(rationale, confidence).alias("shown"))
+
+
+@query("documents", sql="WITH d AS (SELECT doc_id, replace(text, chr(10), chr(10) || chr(10)) AS t, (doc_id * 37 % 700)::INTEGER AS place FROM documents) SELECT doc_id, CASE WHEN contains(substr(t, 1, place), chr(10) || chr(10)) THEN place - strpos(reverse(substr(t, 1, place)), chr(10) || chr(10)) + 1 ELSE 0 END::INTEGER AS start FROM d")
+def paragraph_starts(documents):
+    """H-09."""
+    return documents.select("doc_id", B.snap_paragraph(F.replace("text", F.lit("\n"), F.lit("\n\n")), (F.col("doc_id") * 37 % 700).cast("int")).cast("int").alias("start"))
+
+
+@query("papers", sql="SELECT source, count(*) AS n, count(*) FILTER (status = 'PDF_EXCLUDED') AS pdf_excluded, count(*) FILTER (status IN ('AI_AUDIT_COMPLETE', 'HUMAN_AUDIT_COMPLETE')) AS included FROM papers GROUP BY ALL")
+def prisma_by_source(papers):
+    """A-03: the flow by source of the records."""
+    return R.prisma_by_source(papers)
+
+
+@query("papers", "human", sql="WITH a AS (SELECT DISTINCT paper_id FROM human WHERE value = 'purchase') SELECT count(*) FILTER (status = 'FT_SCREENED_OUT') AS ft_screened_out, count(*) FILTER (status = 'FT_SCREENED_OUT' AND id IN (SELECT paper_id FROM a)) AS adjudicated, count(*) FILTER (status = 'FT_SCREENED_OUT' AND id NOT IN (SELECT paper_id FROM a)) AS primary_only FROM papers")
+def ft_exclusions_split(papers, human):
+    """A-03: full-text exclusions by who decided."""
+    return R.ft_split(papers, human.where("value = 'purchase'").select("paper_id"))

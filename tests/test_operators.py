@@ -49,14 +49,15 @@ def test_labels_are_global(spark):
 
 
 def test_prisma_reconciles(spark):
-    papers = spark.createDataFrame([(i, s, "NON_ENGLISH", None) for i, s in enumerate(["ABSTRACT_SCREENED_OUT"] * 4 + ["AI_AUDIT_COMPLETE"] * 3 + ["PDF_EXCLUDED"] * 2 + ["FT_SCREENED_OUT"])], "id long, status string, pdf_exclusion_reason string, rejected_reason string")
-    r = R.prisma_reconcile(R.prisma_flow(papers)).first()
-    assert (r.identified, r.discrepancy, r.valid) == (10, 0, True)
-    r = R.prisma_reconcile(R.prisma_flow(papers.withColumn("status", F.lit("NEW")))).first()
-    assert (r.discrepancy, r.valid) == (0, True)
-
-
-CONSENSUS = {"EE-001": (["x"] * 4, "UNANIMOUS"), "EE-002": (["x"] * 3 + ["y"], "MAJORITY"), "EE-003": (["x", "x", "y", "y"], "NO_CONSENSUS"), "EE-004": (["30", None, "30", None], "UNANIMOUS"), "EE-005": (["x", None, None, None], "INSUFFICIENT"), "EE-006": (["Da Vinci", "da vinci", "DA VINCI", "Raven"], "MAJORITY")}
+    data = [(i, s, "NON_ENGLISH", None, f"s{i % 2}") for i, s in enumerate(["ABSTRACT_SCREENED_OUT"] * 4 + ["AI_AUDIT_COMPLETE"] * 3 + ["PDF_EXCLUDED"] * 2 + ["FT_SCREENED_OUT"])]
+    papers = spark.createDataFrame(data, "id long, status string, pdf_exclusion_reason string, rejected_reason string, source string")
+    flow = R.prisma_flow(papers)
+    r = R.prisma_reconcile(flow, R.prisma_by_source(papers)).first()
+    assert (r.counted, r.discrepancy, r.n_broken, r.valid) == (10, 0, 0, True)
+    r = R.prisma_reconcile(flow, R.prisma_by_source(papers.where("id > 0"))).first()
+    assert (r.discrepancy, r.n_broken, r.valid) == (-1, 1, False)
+    r = R.prisma_reconcile(flow, R.prisma_by_source(papers.where("id <> 5"))).first()
+    assert (r.n_broken, r.valid) == (2, False)
 
 
 def test_consensus(spark):
@@ -67,7 +68,7 @@ def test_consensus(spark):
 
 def test_alignment_covers_the_union_of_fields(spark):
     arms = spark.createDataFrame([("local", 0, 1, "a", "x"), ("openai", 1, 1, "b", "NR"), ("local", 0, 2, "a", "x")], "arm string, arm_ord int, paper_id long, field_name string, value string")
-    assert rows(A.scores(arms), "paper_id", "field_name", "score") == [(1, "a", "MISMATCH"), (1, "b", "MATCH")]
+    assert rows(A.scores(arms, ["local", "openai"]), "paper_id", "field_name", "score") == [(1, "a", "MISMATCH"), (1, "b", "MATCH")]
 
 
 def test_distribution_status(spark):

@@ -97,10 +97,7 @@ def test_text_helpers(spark):
     assert one(spark, X.thinking(F.col("v")), v="a <think> x\ny </think> b") == "x\ny"
     assert one(spark, X.strip_fence(F.col("v")), v="```json\n{}\n```") == "{}"
     assert one(spark, X.shorten(F.col("v"), 3), v="abcdef") == "abc..."
-    assert one(spark, X.surname(F.col("v")), v="Smith, John") == "Smith"
     assert one(spark, X.has_ellipsis(F.col("v")), v="a ... b") is True
-    assert one(spark, X.before_references(F.col("v")), v="Body.\n## References\n[1] x") == "Body.\n"
-    assert one(spark, X.locate_span(F.col("t"), F.col("s")), t="One TWO three", s="two") == 4
     assert one(spark, X.prompt("Title: {t}. Abstract: {a}", t=F.col("v"), a=F.lit(None)), v="x") == "Title: x. Abstract: (not available)"
     got = one(spark, X.windows_around(F.col("v"), F.array(F.lit(2), F.lit(4), F.lit(20)), 3), v="abcdefghijklmnopqrstuvwxyz")
     assert got == "abcdefg\n[...]\nrstuvw"
