@@ -83,9 +83,17 @@ def text_per_paper(rows: DataFrame, key: str, order: str, text: str) -> DataFram
     return rows.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, text))), lambda x: x[text]), "\n\n").alias("markdown"))
 
 
-def artifact_name(review: str, kind: str, extension: str) -> str:
+# Stages that people review, and what goes either way
+REVIEW_STAGES = ["abstract_adjudication", "ft_adjudication", "pdf_acquisition", "pdf_quality", "extraction_audit"]
+DIRECTIONS = ["queue", "decisions"]
+
+
+def artifact_name(review: str, stage: str, direction: str, extension: str) -> str:
     """SNK-17."""
-    return f"{review}_{kind}.{extension}"
+    for value, known in ((stage, REVIEW_STAGES), (direction, DIRECTIONS)):
+        if value not in known:
+            raise ValueError(f"{value!r} is none of {', '.join(known)}")
+    return f"{review}_{stage}_{direction}.{extension}"
 
 
 def methods_text(flow: DataFrame) -> DataFrame:
