@@ -466,7 +466,8 @@ def audit_states(documents):
     return C.audit(rows).select("doc_id", "audit_state")
 
 
-@query("events")
+@query("events", sql="""SELECT event_id, event_id % 5 <> 4 AS _ok, CASE WHEN event_id % 5 <> 4 THEN 0 END::INTEGER AS ordinal, CASE event_id % 5 WHEN 4 THEN NULL WHEN 3 THEN 'k' ELSE event_type END AS field_name,
+    CASE event_id % 5 WHEN 4 THEN NULL WHEN 3 THEN json_extract_string(props, '$.k') ELSE value::VARCHAR END AS value, NULL::VARCHAR AS source_snippet, NULL::DOUBLE AS confidence, NULL::INTEGER AS tier FROM events""")
 def response_to_spans(events):
     one = F.to_json(F.struct(F.col("event_type").alias("field_name"), F.col("value").cast("string").alias("value")))
     shape = F.col("event_id") % 5
