@@ -50,6 +50,7 @@ from concord.llm.kernels import BYTE_CODE, U64, chunks, mix, powers, prefix_hash
 MATCH, GRAM = 100, 28
 BLOCK_BYTES = 16 << 20
 OFTEN = 8  # contexts of one anchor in a block, from which a block reports the anchor
+PIECE = 4 << 20  # bytes of one text that are looked at at once
 GROUP_BYTES = 1 << 19  # context bytes that are put in suffix order at once
 MOST = 2048  # contexts of one anchor that are put in suffix order
 
@@ -107,11 +108,14 @@ def _blocks(batches: Iterator[pa.RecordBatch], hot: np.ndarray) -> Iterator[tupl
     for batch in chunks(batches):
         data, at = text_bytes(batch.column(2))
         doc, row = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        h, g, owner, s, n = contexts(data, at, hot)
-        held.append((h, g, doc[owner], row[owner], s, n))
-        size += len(data)
-        if size >= BLOCK_BYTES:
-            yield flush()
+        # a long text goes piece by piece; every window lies in one of them
+        for low in range(0, max(len(data), 1), PIECE) if len(at) == 2 else (0,):
+            part = data[low : low + PIECE + MATCH - 1] if len(at) == 2 else data
+            h, g, owner, s, n = contexts(part, np.array([0, len(part)]) if len(at) == 2 else at, hot)
+            held.append((h, g, doc[owner], row[owner], s + low, n))
+            size += len(part)
+            if size >= BLOCK_BYTES:
+                yield flush()
     if held:
         yield flush()
 

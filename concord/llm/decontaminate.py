@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from concord.llm.common import named, table
-from concord.llm.kernels import BYTE_CODE, LOWER, SPACE, U64, chunks, doc_of, mix, prefix_hash, span_hash, text_bytes
+from concord.llm.kernels import BYTE_CODE, LOWER, SPACE, U64, chunks, doc_of, mix, prefix_hash, span_hash, spans_hash, text_bytes
 
 WINDOW, COVERAGE, LITERALS = 8, 0.5, 2
 FILTER_BITS = 22
@@ -62,9 +62,8 @@ def canonical(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Canonical token codes, the hashes of what stood there, and each text's first token."""
     raw, at = text_bytes(column)
     keep = KEEP[raw]
-    place = np.flatnonzero(keep)
-    data = raw[place]
-    cut = np.concatenate([[0], np.cumsum(keep)])[at]  # the texts' offsets in data
+    data = raw[keep]
+    cut = np.concatenate([[0], np.cumsum([np.count_nonzero(keep[a:b]) for a, b in zip(at, at[1:])])]).astype(np.int64)  # the texts' offsets in data
     inside = ~SPACE[data]
     begin, stop = inside.copy(), inside.copy()
     begin[1:] &= ~inside[:-1]
@@ -74,16 +73,14 @@ def canonical(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     begin[edge], stop[edge - 1] = inside[edge], inside[edge - 1]
     start, end = np.flatnonzero(begin), np.flatnonzero(stop) + 1
     first = np.searchsorted(start, cut)
-    value = span_hash(prefix_hash(BYTE_CODE[LOWER[data]]), start, end)
+    value = spans_hash(LOWER[data], start, end)
     if not len(start):
         return value, value, first
-    digits = np.concatenate([[0], np.cumsum((data >= 48) & (data < 58))])
-    number = digits[end] > digits[start]
+    number = np.logical_or.reduceat((data >= 48) & (data < 58), start)  # what is between words is no digit
     head = data[start]
     after = data[np.minimum(start + 1, len(data) - 1)]
     capital = ((head >= 65) & (head < 91)) | ((head == 0xC3) & (after >= 0x80) & (after <= 0x9E))
-    upper = np.concatenate([[0], np.cumsum((data >= 65) & (data < 91))])
-    name = capital & (upper[end] - upper[start] <= 1)
+    name = capital & (np.add.reduceat(((data >= 65) & (data < 91)).astype(np.int32), start) <= 1)
     unit = np.zeros(len(start), bool)
     near = UNIT_HASHES[np.minimum(np.searchsorted(UNIT_HASHES, value), len(UNIT_HASHES) - 1)] == value
     unit[1:] = near[1:] & number[:-1]

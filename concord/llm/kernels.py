@@ -92,6 +92,22 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = 1
             start = end
 
 
+PIECE = 1 << 20  # bytes that are hashed at once: memory does not grow with a text by more than its words
+
+
+def spans_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """span_hash of the codes of data[start:end] for ascending spans that do not overlap, piece by piece."""
+    out = np.empty(len(start), U64)
+    k = 0
+    while k < len(start):
+        last = max(k + 1, int(np.searchsorted(end, start[k] + PIECE, "right")))
+        low = start[k]
+        prefix = prefix_hash(BYTE_CODE[data[low : end[last - 1]]])
+        out[k:last] = span_hash(prefix, start[k:last] - low, end[k:last] - low)
+        k = last
+    return out
+
+
 class Words(NamedTuple):
     data: np.ndarray  # bytes
     start: np.ndarray  # of each word
@@ -115,7 +131,7 @@ def words(column: pa.Array, lower: bool = True) -> Words:
     stop[edge - 1] = inside[edge - 1]
     start, end = np.flatnonzero(begin), np.flatnonzero(stop) + 1
     first = np.searchsorted(start, at)
-    return Words(data, start, end, first, span_hash(prefix_hash(BYTE_CODE[data]), start, end))
+    return Words(data, start, end, first, spans_hash(data, start, end))
 
 
 def doc_of(first: np.ndarray) -> np.ndarray:

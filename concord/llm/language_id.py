@@ -46,6 +46,9 @@ def windows(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     count = -(-np.diff(at) // WINDOW)
     first = np.concatenate([[0], np.cumsum(count)])
     out = np.zeros(int(first[-1]) * WINDOW, np.uint8)
+    if len(at) == 2:  # one text, of any length
+        out[: len(data)] = FOLD[data]
+        return out.reshape(-1, WINDOW), first
     shift = np.repeat(first[:-1] * WINDOW - at[:-1], np.diff(at))
     out[np.arange(len(data)) + shift] = FOLD[data]
     return out.reshape(-1, WINDOW), first

@@ -51,15 +51,17 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     if n < shingle:
         return majority(np.array([xxhash.xxh64_intdigest(joined, SEED)], np.uint64))
     digest = xxhash.xxh64_intdigest
-    return majority(np.array([digest(joined[s:e], SEED) for s, e in zip(starts, ends[shingle - 1 :], strict=False)], np.uint64))
+    return majority(np.fromiter((digest(joined[s:e], SEED) for s, e in zip(starts, ends[shingle - 1 :], strict=False)), np.uint64, n - shingle + 1))
 
 
 def majority(h: np.ndarray) -> int:
     """Bits that are set in over half of the hashes."""
-    bits = np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    whole = len(bits) // 255 * 255
-    count = bits[:whole].reshape(-1, 255, 64).sum(axis=1, dtype=np.uint8).sum(axis=0, dtype=np.int64) + bits[whole:].sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * count > len(bits), bitorder="little").tobytes(), "little")
+    count = np.zeros(64, np.int64)
+    for at in range(0, len(h), 255 << 10):  # bounded memory for long texts
+        bits = np.unpackbits(h[at : at + (255 << 10)].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        whole = len(bits) // 255 * 255
+        count += bits[:whole].reshape(-1, 255, 64).sum(axis=1, dtype=np.uint8).sum(axis=0, dtype=np.int64) + bits[whole:].sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * count > len(h), bitorder="little").tobytes(), "little")
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
