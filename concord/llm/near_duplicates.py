@@ -2,9 +2,10 @@
 
 Fingerprints are made per document in Arrow batches. Equal fingerprints are
 folded into one representative before anything is compared. The 64 bits are
-a ring of ``SEGMENTS`` segments. If two fingerprints differ in at most
+a ring of segments: 8, or more where the number of fingerprints asks for
+wider keys (see ``segments_for``). If two fingerprints differ in at most
 ``DISTANCE`` bits, some chain of consecutive segments exists whose first l
-segments differ in at most l * DISTANCE / SEGMENTS bits, for every l. The
+segments differ in at most l * DISTANCE / segments bits, for every l. The
 longest part of such a chain that allows no difference is the join key (one
 row for each start of the ring); the cumulative budgets of the longer chains
 prune the pairs of a key, and the full Hamming distance is checked last.
@@ -35,7 +36,7 @@ from concord.llm.common import documents, durable, table
 from concord.llm.graph import components
 from concord.llm.kernels import chunks
 
-SEGMENTS, DISTANCE, PAIRS_UP_TO, SHINGLE = 8, 2, 64, 3
+DISTANCE, PAIRS_UP_TO, SHINGLE = 2, 64, 3
 SEED = 42  # of XXH64
 
 
@@ -75,17 +76,26 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return documents(docs).mapInArrow(run, "doc_id long, fp long")
 
 
-def budget(segments: int) -> int:
-    """Bits in which the first `segments` segments of a chain may differ."""
-    return segments * DISTANCE // SEGMENTS
+def budget(chain: int, segments: int) -> int:
+    """Bits in which the first `chain` segments of a chain may differ."""
+    return chain * DISTANCE // segments
 
 
-def links(nodes: DataFrame) -> DataFrame:
+def segments_for(fingerprints: int) -> int:
+    """The fewest segments whose keys (24, 28 or 30 bits at 2 bits of distance) are as many as the fingerprints, 32 at most."""
+    for segments in (8, 16):
+        exact = max(n for n in range(1, segments + 1) if budget(n, segments) == 0)
+        if fingerprints <= 1 << exact * (64 // segments):
+            return segments
+    return 32
+
+
+def links(nodes: DataFrame, segments: int = 8) -> DataFrame:
     """Edges (a, b) between distinct fingerprints that connect all within DISTANCE bits; nodes: rep, fp."""
-    width = 64 // SEGMENTS
-    exact = max(n for n in range(1, SEGMENTS + 1) if budget(n) == 0)
+    width = 64 // segments
+    exact = max(n for n in range(1, segments + 1) if budget(n, segments) == 0)
     mask = (1 << width * exact) - 1
-    turned = [F.col("fp") if not i else F.shiftrightunsigned("fp", width * i).bitwiseOR(F.shiftleft("fp", 64 - width * i)) for i in range(SEGMENTS)]
+    turned = [F.col("fp") if not i else F.shiftrightunsigned("fp", width * i).bitwiseOR(F.shiftleft("fp", 64 - width * i)) for i in range(segments)]
     ring = nodes.select("rep", "fp", F.explode(F.array(*[F.struct(F.lit(i).alias("start"), t.bitwiseAND(F.lit(mask)).alias("key"), t.alias("ring")) for i, t in enumerate(turned)])).alias("r")).select("rep", "fp", "r.*")
     sizes = ring.groupBy("start", "key").agg(F.count("*").alias("size")).where("size > 1")
     ring = durable(ring.join(sizes, ["start", "key"]))
@@ -94,9 +104,9 @@ def links(nodes: DataFrame) -> DataFrame:
     left, right = small.toDF("start", "key", "a", "x"), small.toDF("start", "key", "b", "y")
     differ = F.col("x").bitwiseXOR(F.col("y"))
     within = F.col("a") < F.col("b")
-    for n in range(exact + 1, SEGMENTS + 1):
-        part = differ if n == SEGMENTS else differ.bitwiseAND(F.lit((1 << width * n) - 1))
-        within &= F.bit_count(part) <= budget(n)
+    for n in range(exact + 1, segments + 1):
+        part = differ if n == segments else differ.bitwiseAND(F.lit((1 << width * n) - 1))
+        within &= F.bit_count(part) <= budget(n, segments)
     pairs = left.join(right, ["start", "key"]).where(within).select("a", "b")
 
     hot = ring.where(F.col("size") > PAIRS_UP_TO).select("rep", "fp").distinct()
@@ -110,7 +120,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id of every row."""
     rows = durable(fingerprints(docs))
     nodes = durable(rows.groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    found = components(links(nodes.where("rep IS NOT NULL")))
+    found = components(links(nodes.where("rep IS NOT NULL"), segments_for(nodes.count())))
     named = nodes.join(found, nodes.rep == found.node, "left").select("fp", F.coalesce("root", "rep").alias("component_id"))
     return rows.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 

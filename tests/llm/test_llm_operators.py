@@ -152,7 +152,12 @@ def test_near_duplicates(spark, docs, empty, monkeypatch, pairs_up_to):
     assert near_duplicates.near_duplicates(empty).count() == 0
 
 
-def test_pigeonring_links_all_within_two_bits(spark):
+def test_segments_follow_the_number_of_fingerprints():
+    assert [near_duplicates.segments_for(n) for n in (0, 1 << 24, (1 << 24) + 1, 1 << 28, 1 << 40)] == [8, 8, 16, 16, 32]
+
+
+@pytest.mark.parametrize("segments", [8, 16, 32])
+def test_pigeonring_links_all_within_two_bits(spark, segments):
     rng = np.random.default_rng(4)
     base = [int(x) for x in rng.integers(0, 1 << 62, 20)]
     fps = set(base)
@@ -162,7 +167,7 @@ def test_pigeonring_links_all_within_two_bits(spark):
             fps.add(b ^ (1 << int(i)) ^ (1 << int(j)))
     fps = sorted(fps)
     signed = [(k, f - (1 << 64) if f >> 63 else f) for k, f in enumerate(fps)]
-    edges = near_duplicates.links(spark.createDataFrame(signed, "rep long, fp long"))
+    edges = near_duplicates.links(spark.createDataFrame(signed, "rep long, fp long"), segments)
     root = {r.node: r.root for r in near_duplicates.components(edges).collect()}
     for x in range(len(fps)):
         for y in range(x):
