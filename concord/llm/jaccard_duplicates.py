@@ -6,8 +6,10 @@ fingerprints differ in 10 of 64 bits on average and in up to 17, and no chain
 of segments with such budgets selects anything (at 12 bits a key of one
 segment has 4 bits). So ``BANDS`` keys of ``ROWS`` minimum hashes each find
 the rest: a pair at similarity s shares no key with probability
-(1 - s^5)^32, 3 in a million at 0.8 and less above. Whatever found a pair,
-its similarity is taken exactly, on the whole sets of shingles.
+(1 - s^5)^32, 3 in a million at 0.8 and less above. Every text also has a
+sketch, a byte of each minimum hash; a pair goes on if ``ALIKE`` bytes or more
+agree, which a pair at 0.8 misses with a chance of 1 in a million. What is left
+is compared exactly, on the whole sets of shingles.
 
 Texts with equal sets are folded first. Only pairs that can change the groups
 are compared, and none of those is left out: first every text of a key with
@@ -15,7 +17,8 @@ the key's head, then, in keys whose texts are in several groups, every text
 outside the head's group with all the others. For that the texts of a key are
 dealt into chunks of about ``CHUNK`` shingles, and each chunk of the first
 meets each chunk of the others in a task, so a large key is neither collected
-nor written out in pairs.
+nor written out in pairs. Sketches meet first; texts follow where a pair of
+two groups is left.
 
 Edge cases: null or empty text has the empty set, equal to all other empty
 ones; a row is a document (see common.named), with or without an id.
@@ -37,6 +40,7 @@ from concord.llm.kernels import chunks, mix, window_hash, words
 from concord.llm.near_duplicates import links, majority
 
 SHINGLE, LEAST, BANDS, ROWS, CHUNK = 5, 0.8, 32, 5, 1 << 17
+ALIKE = 104  # of BANDS * ROWS bytes; 128 agree on average at 0.8, with a deviation of 5
 SALTS = np.random.default_rng(42).integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
 
 
@@ -49,34 +53,35 @@ def shingle_sets(texts: pa.Array) -> list[np.ndarray]:
     return out
 
 
-def band_keys(shingles: np.ndarray) -> np.ndarray:
-    """BANDS hashes, each of ROWS minimum hashes; none for the empty set."""
+def band_keys(shingles: np.ndarray) -> tuple[np.ndarray, bytes]:
+    """BANDS hashes, each of ROWS minimum hashes, and a byte of each; none for the empty set."""
     if not len(shingles):
-        return np.zeros(0, np.int64)
+        return np.zeros(0, np.int64), b""
     least = np.full(len(SALTS), ~np.uint64(0))
     for at in range(0, len(shingles), 4096):  # bounded memory for long texts
         h = shingles[at : at + 4096, None] * SALTS
         np.minimum(least, (h ^ (h >> np.uint64(32))).min(axis=0), out=least)
     keys = np.arange(1, BANDS + 1, dtype=np.uint64)
-    for column in mix(least).reshape(BANDS, ROWS).T:
+    least = mix(least)
+    for column in least.reshape(BANDS, ROWS).T:
         keys = mix(keys ^ column)
-    return keys.view(np.int64)
+    return keys.view(np.int64), least.astype(np.uint8).tobytes()
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc, row, digest (of the set), size (of the set), fp (fingerprint) and bands of every row."""
+    """doc, row, digest (of the set), size (of the set), fp (fingerprint), bands and sketch of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches):
             sets = shingle_sets(batch.column(2))
             digest = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
             fp = np.array([majority(s) if len(s) else 0 for s in sets], np.uint64).view(np.int64)
-            keys = [band_keys(s) for s in sets]
+            keys, sketches = zip(*map(band_keys, sets), strict=True)
             at = np.cumsum([0, *map(len, keys)]).astype(np.int32)
             bands = pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(keys)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(digest), pa.array([len(s) for s in sets], pa.int64()), pa.array(fp), bands], ["doc", "row", "digest", "size", "fp", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(digest), pa.array([len(s) for s in sets], pa.int64()), pa.array(fp), bands, pa.array(sketches, pa.binary())], ["doc", "row", "digest", "size", "fp", "bands", "sketch"])
 
-    return named(docs).mapInArrow(run, "doc long, row long, digest long, size long, fp long, bands array<long>")
+    return named(docs).mapInArrow(run, "doc long, row long, digest long, size long, fp long, bands array<long>, sketch binary")
 
 
 def shared(sets: list[np.ndarray], others: list[np.ndarray]) -> Iterator[np.ndarray]:
@@ -106,6 +111,34 @@ def alike(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return full.mapInArrow(run, "a long, b long")
 
 
+def _sketches(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
+
+
+def likely(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sketches agree in ALIKE bytes or more; sketches: rep, sketch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                same = (_sketches(batch.column(2)) == _sketches(batch.column(3))).sum(axis=1)
+                yield batch.select(["a", "b"]).filter(pa.array(same >= ALIKE))
+
+    return pairs.join(sketches.toDF("a", "sa"), "a").join(sketches.toDF("b", "sb"), "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+
+
+def _near(left: pa.Table, right: pa.Table) -> pa.Table:
+    """The key and chunks of a pair of chunks if some pair of two groups has like sketches."""
+    found = False
+    if left.num_rows and right.num_rows:
+        b, rb = _sketches(right.column("sketch")), right.column("root").to_numpy()
+        for row, root in zip(_sketches(left.column("sketch")), left.column("root").to_numpy(), strict=True):
+            if (((b == row).sum(axis=1) >= ALIKE) & (rb != root)).any():
+                found = True
+                break
+    return left.select(["band", "i", "j"]).slice(0, int(found))
+
+
 def _across(left: pa.Table, right: pa.Table) -> pa.Table:
     """Pairs of a chunk of texts outside the head's group with a chunk of all texts of a key; only of different groups."""
     a, b = (t.column("rep").to_numpy() for t in (left, right))
@@ -124,18 +157,22 @@ def near_groups(docs: DataFrame) -> DataFrame:
     """doc, row, head_doc and head_row (the first row of the group in order of id and row) of every distinct row."""
     rows = durable(signatures(docs))
     # a node is a set of shingles, named by its first row
-    first = rows.groupBy("digest").agg(F.min(F.struct("doc", "row", "size", "fp", "bands")).alias("n"))
-    nodes = durable(first.select("digest", "n.doc", F.col("n.row").alias("rep"), "n.size", "n.fp", "n.bands"))
+    first = rows.groupBy("digest").agg(F.min(F.struct("doc", "row", "size", "fp", "bands", "sketch")).alias("n"))
+    nodes = durable(first.select("digest", "n.doc", F.col("n.row").alias("rep"), "n.size", "n.fp", "n.bands", "n.sketch"))
     sizes = lambda x, y: F.least(x, y) >= LEAST * F.greatest(x, y)  # noqa: E731  others cannot reach the similarity
 
     banded = nodes.select("rep", "doc", "size", F.explode("bands").alias("band"))
     heads = banded.groupBy("band").agg(F.min(F.struct("doc", "rep", "size")).alias("head"), F.count("*").alias("n")).where("n > 1").drop("n")
     banded = durable(banded.join(heads, "band"))
     stars = banded.where((F.col("rep") != F.col("head.rep")) & sizes(F.col("size"), F.col("head.size"))).select(F.col("rep").alias("a"), F.col("head.rep").alias("b"))
-    pairs = durable(stars.union(links(nodes.select("rep", "fp"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    wanted = banded.select("rep").union(pairs.select("a")).union(pairs.select("b")).distinct()
-    texts = durable(named(docs).select(F.col("row").alias("rep"), "text").join(wanted, "rep", "left_semi").dropDuplicates(["rep"]))
-    linked = durable(alike(pairs, texts))
+    found = stars.union(links(nodes.where("size > 0").select("rep", "fp"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    sketches = nodes.where("size > 0").select("rep", "sketch")
+    pairs = durable(likely(found, sketches))
+
+    def texts_of(wanted: DataFrame) -> DataFrame:
+        return durable(named(docs).select(F.col("row").alias("rep"), "text").join(wanted.distinct(), "rep", "left_semi").dropDuplicates(["rep"]))
+
+    linked = durable(alike(pairs, texts_of(pairs.select(F.explode(F.array("a", "b")).alias("rep")))))
 
     roots = components(linked).toDF("rep", "root")
     grouped = banded.join(roots, "rep", "left").withColumn("root", F.coalesce("root", "rep")).select("band", "rep", "size", "root", F.col("head.rep").alias("head"))
@@ -144,12 +181,22 @@ def near_groups(docs: DataFrame) -> DataFrame:
     grouped = durable(grouped.join(head_root, "band").select("band", "rep", "size", "root", outside.alias("outside")))
     number = lambda total: F.ceil(total / F.lit(CHUNK)).cast("int")
     mixed = grouped.groupBy("band").agg(number(F.sum("size")).alias("all"), number(F.sum(F.when(F.col("outside"), F.col("size")))).alias("out")).where("out > 0")
-    members = grouped.join(mixed, "band").join(texts, "rep")
+    members = grouped.join(mixed, "band")
     chunk = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
-    left = members.where("outside").select("band", chunk("out").alias("i"), F.explode(F.sequence(F.lit(0), F.col("all") - 1)).alias("j"), "rep", "root", "text")
-    right = members.select("band", F.explode(F.sequence(F.lit(0), F.col("out") - 1)).alias("i"), chunk("all").alias("j"), "rep", "root", "text")
-    right = right.toDF("its_band", "its_i", "its_j", "rep", "root", "text")
-    rest = durable(left.groupBy("band", "i", "j").cogroup(right.groupBy("its_band", "its_i", "its_j")).applyInArrow(_across, "a long, b long"))
+    left = members.where("outside").select("band", chunk("out").alias("i"), F.explode(F.sequence(F.lit(0), F.col("all") - 1)).alias("j"), "rep", "root")
+    right = members.select("band", F.explode(F.sequence(F.lit(0), F.col("out") - 1)).alias("i"), chunk("all").alias("j"), "rep", "root")
+
+    def meet(of: DataFrame, function, schema: str) -> DataFrame:
+        """Each chunk of the left with each of the right, with their sketches or texts."""
+        a, b = left.join(of, "rep"), right.join(of, "rep")
+        if "sketch" not in of.columns:
+            a, b = (x.join(near, ["band", "i", "j"], "left_semi") for x in (a, b))
+        b = b.toDF(*[f"its_{c}" if c in ("band", "i", "j") else c for c in b.columns])
+        return durable(a.groupBy("band", "i", "j").cogroup(b.groupBy("its_band", "its_i", "its_j")).applyInArrow(function, schema))
+
+    near = meet(sketches, _near, "band long, i int, j int")
+    wanted = left.join(near, ["band", "i", "j"], "left_semi").select("rep").union(right.join(near, ["band", "i", "j"], "left_semi").select("rep"))
+    rest = meet(texts_of(wanted), _across, "a long, b long")
     found = components(linked.union(rest)).toDF("rep", "root")
 
     named_nodes = durable(nodes.select("digest", "doc", "rep").join(found, "rep", "left").withColumn("root", F.coalesce("root", "rep")))
