@@ -148,7 +148,7 @@ def absence_predicates(cloud, human):
 
 @query("lineitem", sql="""WITH v AS (SELECT l_orderkey, l_linenumber, CASE l_linenumber % 4 WHEN 0 THEN '00' || l_quantity::INT || ' pigs, 5' WHEN 1 THEN '-' || l_partkey || ',' || '250.5 mm' WHEN 2 THEN 'none' ELSE ' 7.25' END AS v, l_extendedprice AS price FROM lineitem)
     SELECT l_orderkey, l_linenumber, CASE WHEN regexp_replace(v, '[^0-9]', '', 'g') = '' THEN trim(v) ELSE regexp_replace(v, '[^0-9]', '', 'g')::HUGEINT::VARCHAR END AS digits, TRY_CAST(nullif(regexp_extract(replace(trim(v), ',', ''), '^-?\\d+(\\.\\d+)?'), '') AS DOUBLE) AS leading,
-        greatest(0.0, least(1.0, price / 50000)) AS clamped, CASE l_linenumber % 4 WHEN 2 THEN NULL WHEN 3 THEN 7.25 ELSE NULL END AS rounded FROM v""")
+        greatest(0.0, least(1.0, price / 50000)) AS clamped, (CASE l_linenumber % 4 WHEN 2 THEN NULL WHEN 3 THEN 7.25 ELSE NULL END)::DOUBLE AS rounded FROM v""")
 def numbers_in_values(lineitem):
     v = F.when(F.col("l_linenumber") % 4 == 0, F.concat(F.lit("00"), F.col("l_quantity").cast("int").cast("string"), F.lit(" pigs, 5"))).when(F.col("l_linenumber") % 4 == 1, F.concat(F.lit("-"), F.col("l_partkey").cast("string"), F.lit(",250.5 mm"))).when(F.col("l_linenumber") % 4 == 2, "none").otherwise(" 7.25")
     rows = lineitem.select("l_orderkey", "l_linenumber", v.alias("v"), "l_extendedprice")
