@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from concord.llm import decontaminate, jaccard_duplicates, packing, quality_rules, secrets
-from concord.llm.common import durable, named, shared_folder
+from concord.llm.common import LAST, durable, named, shared_folder
 
 #: Keys up to this number (16 MB of two longs) go to all executors; more are joined by shuffling
 BROADCAST_KEYS = 1 << 20
@@ -48,7 +48,7 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the documents that hold a benchmark item."""
     found = decontaminate.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return without(docs, found.select(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("doc"), "row")).select("_row.*")
+    return without(docs, found.select(F.coalesce("doc_id", F.lit(LAST)).alias("doc"), "row")).select("_row.*")
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
