@@ -13,7 +13,8 @@ of its words remain.
 
 Lines are normalised once, and counts are partial sums before they are
 shuffled, so a hot host or line is a row for each task; only boilerplate lines
-meet their documents again.
+meet their documents again, by broadcast where they have ``BROADCAST_BYTES`` at
+most.
 
 Edge cases: null text has no words and fails the base rules; a null host is
 a host of its own; rows are judged one by one, whatever their ids, and each
@@ -29,6 +30,7 @@ from pyspark.sql import functions as F
 from concord.llm.common import durable, named, table
 
 MIN_WORDS, MIN_DOCS = 50, 20
+BROADCAST_BYTES = 16 << 20
 GAP = r"[ \t-\r]+"
 WORD = r"[^ \t-\r]"
 
@@ -83,7 +85,10 @@ def removed_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
 def judged(docs: DataFrame, *more: str, min_docs: int = MIN_DOCS) -> DataFrame:
     """The base figures, removed_share, bad_lines and kept of every row."""
     base = measured(docs, *more)
-    removed = removed_lines(docs, min_docs)
+    removed = durable(removed_lines(docs, min_docs))
+    size = removed.agg(F.coalesce(F.sum(40 + 8 * F.size("bad_lines")), F.lit(0))).first()[0]
+    if size <= BROADCAST_BYTES:  # else the texts are shuffled to meet their lines
+        removed = F.broadcast(removed)
     out = base.join(removed, ["doc", "row"], "left").withColumn("removed_share", F.coalesce("removed_share", F.lit(0.0)))
     depleted = (F.col("removed_share") > 0.5) & (F.col("n_words") * (1 - F.col("removed_share")) < MIN_WORDS)
     # one CASE over both sides of the join: a filter on it stays above the projections, which then run once

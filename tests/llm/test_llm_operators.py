@@ -217,7 +217,9 @@ def test_quality_rules_base(spark, docs, empty):
     assert quality_rules.quality_rules(empty).count() == 0
 
 
-def test_common_lines_deplete_documents(spark):
+@pytest.mark.parametrize("broadcast", [16 << 20, 0])
+def test_common_lines_deplete_documents(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(quality_rules, "BROADCAST_BYTES", broadcast)
     boiler = [" ".join(prose(40 + k, 14).split()) for k in range(4)]
     rows = [(i, "\n".join([*boiler, f"own words number {i} " + " ".join(prose(500 + i, 6).split())]), "en", "host", 1, "", "", 1, "") for i in range(40)]
     rows += [(100 + i, prose(1000 + i), "en", "host", 1, "", "", 1, "") for i in range(40)] + [(200 + i, rows[0][1], "en", "other", 1, "", "", 1, "") for i in range(40)]
