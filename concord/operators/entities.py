@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from concord.functions.text import ratio_above, title_key
+from concord.functions.text import title_key
 from concord.operators.latest import cascade
+from concord.operators.similar import similar_pairs
 
 
 def stable_key(doi: Column, pmid: Column, title: Column) -> Column:
@@ -24,33 +25,15 @@ def exact_matches(a: DataFrame, b: DataFrame) -> DataFrame:
     return cascade(keyed(b), side, ["doi_key", "pmid", "title_key"], "a_ord")
 
 
-def fuzzy_matches(a: DataFrame, b: DataFrame, least: float = 0.9, keep: int | None = 4) -> DataFrame:
-    """C-01 / J-16, fuzzy phase: ord and a_ord of titles with a ratio over `least`; the smallest ordinal of a wins.
-
-    Candidates of a title of b hold one of its `keep` rarest tokens among those
-    that titles of a have (None: any token). A word that a does not know takes
-    no place, so misspelt words do not hide the others; a pair is missed only
-    if the title of a holds none of these tokens.
-    Lengths that cannot reach the ratio are dropped in the join, and the Arrow
-    function tries its two upper bounds first; both lose none.
-    """
-    prep = lambda df: keyed(df).where("title_key IS NOT NULL").select("ord", "title_key", F.length("title_key").alias("len"))
-    words = lambda df: df.withColumn("w", F.explode(F.array_distinct(F.split("title_key", " "))))
+def fuzzy_matches(a: DataFrame, b: DataFrame, least: float = 0.9) -> DataFrame:
+    """C-01 / J-16, fuzzy phase: ord and a_ord of all titles with a ratio over `least`; the smallest ordinal of a wins. See `similar`: no pair is lost."""
+    prep = lambda df: keyed(df).where("title_key IS NOT NULL").select("ord", "title_key")
     # equal titles are one row on either side, however many records have them
-    x = prep(a).groupBy("title_key", "len").agg(F.min("ord").alias("ord"))
-    y = prep(b).select("title_key", "len").distinct()
-    often = words(x).groupBy("w").agg(F.count("*").alias("df"))
-
-    def rare(df: DataFrame) -> DataFrame:
-        each = words(df).join(often, "w").groupBy(*df.columns).agg(F.array_sort(F.collect_list(F.struct("df", "w"))).alias("ws"))
-        return each.select(*df.columns, F.explode(F.transform(F.slice("ws", 1, keep) if keep else F.col("ws"), lambda s: s.w)).alias("w"))
-
-    left = words(x).select("title_key", "len", "ord", "w").toDF("ta", "la", "a_ord", "w")
-    near = 2 * F.least("la", "len") > least * (F.col("la") + F.col("len"))
-    pairs = left.join(rare(y), "w").where(near).select("a_ord", "ta", "title_key").distinct()
-    close = pairs.withColumn("ratio", ratio_above(least)("ta", "title_key")).where(F.col("ratio") > least)
-    best = close.groupBy("title_key").agg(F.min("a_ord").alias("a_ord"), F.min_by("ratio", "a_ord").alias("ratio"))
-    return prep(b).join(best, "title_key").select("ord", "a_ord", "ratio")
+    once = lambda df: prep(df).groupBy("title_key").agg(F.min("ord").alias("id")).withColumnRenamed("title_key", "text")
+    pairs = similar_pairs(once(a), once(b), least)
+    best = pairs.groupBy("b_id").agg(F.min("a_id").alias("a_ord"), F.min_by("ratio", "a_id").alias("ratio"))
+    titles = once(b).join(best, F.col("id") == F.col("b_id")).select(F.col("text").alias("title_key"), "a_ord", "ratio")
+    return prep(b).join(titles, "title_key").select("ord", "a_ord", "ratio")
 
 
 def merge(a: DataFrame, b: DataFrame, fields: list[str]) -> DataFrame:

@@ -1,0 +1,101 @@
+"""The similarity join against all pairs, and the cases of two-source deduplication."""
+
+import difflib
+import random
+
+import pytest
+
+from concord.operators import entities as E
+from concord.operators.similar import similar_pairs
+
+
+def everything(a, b, least):
+    out = {}
+    for i, x in a:
+        for j, y in b:
+            m = difflib.SequenceMatcher(None, x, y)
+            if x and y and m.ratio() > least:
+                out[i, j] = m.ratio()
+    return out
+
+
+def joined(spark, a, b, least):
+    frame = lambda rows: spark.createDataFrame(rows, "id long, text string")
+    got = similar_pairs(frame(a), frame(b), least).collect()
+    assert len({(r.a_id, r.b_id) for r in got}) == len(got)
+    return {(r.a_id, r.b_id): r.ratio for r in got}
+
+
+def edited(r, text, n, letters):
+    x = list(text)
+    for _ in range(n):
+        kind, at = r.randrange(3), r.randrange(len(x) + 1)
+        if kind == 0:
+            x.insert(at, r.choice(letters))
+        elif at < len(x):
+            x[at : at + 1] = [] if kind == 1 else [r.choice(letters)]
+    return "".join(x)
+
+
+@pytest.mark.parametrize("least", [0.9, 0.8, 0.6])
+@pytest.mark.parametrize("letters", ["ab", "abcdefghij klmnopé日"])
+def test_equals_all_pairs(spark, least, letters):
+    r = random.Random(11)
+    a = [(i, "".join(r.choice(letters) for _ in range(r.randrange(0, 60)))) for i in range(50)]
+    b = [(100 + i, edited(r, r.choice(a)[1], r.randrange(0, 9), letters)) for i in range(100)]
+    a, b = ([(i, x) for x, i in {x: i for i, x in rows}.items()] for rows in (a, b))
+    want = everything(a, b, least)
+    assert len(want) > 20
+    assert joined(spark, a, b, least) == pytest.approx(want)
+
+
+def test_short_texts_and_pure_insertions(spark):
+    a = [(i, "abcdefghijklmnopqrstuvwxyz"[:i]) for i in range(27)]
+    b = [(100 + i, x) for i, (_, x) in enumerate(a)] + [(200 + k, "".join(c + ("-" if i % k == 0 else "") for i, c in enumerate("abcdefghijklmnopqrstuvwxyz" * 4))) for k in range(3, 12)]
+    a.append((50, "abcdefghijklmnopqrstuvwxyz" * 4))
+    want = everything(a, b, 0.9)
+    assert any(i == 50 for i, _ in want)
+    assert joined(spark, a, b, 0.9) == pytest.approx(want)
+
+
+@pytest.mark.parametrize("changed", [1, 3, 4, 5])
+def test_changed_words_that_other_titles_know(spark, changed):
+    """Titles of 23 words with a letter changed in several of them, where the changed words stand in other titles."""
+    r = random.Random(changed)
+    words = ["".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=r.randrange(4, 9))) for _ in range(400)]
+    a, b = [], []
+    for i in range(60):
+        title = r.sample(words, 23)
+        other = list(title)
+        for k in r.sample(range(23), changed):
+            other[k] = other[k][:-1] + "q"
+        a.append((i, " ".join(title)))
+        b.append((1000 + i, " ".join(other)))
+    a += [(500 + i, " ".join(w[:-1] + "q" for w in words[20 * i : 20 * i + 20])) for i in range(20)]
+    got = joined(spark, a, b, 0.9)
+    assert got == pytest.approx(everything(a, b, 0.9))
+    assert all((i, 1000 + i) in got for i in range(60)) or changed == 5
+
+
+def test_titles_without_a_common_word(spark):
+    a = [(1, "randomisedcontrolledtrial ofsurgicalrobots inabdominal procedures"), (2, "another title")]
+    b = [(9, "randomisedcontroledtrial ofsurgicalrobot inabdomina procedure")]
+    assert set(joined(spark, a, b, 0.9)) == {(1, 9)} == set(everything(a, b, 0.9))
+
+
+def test_first_source_wins_and_empty_sides(spark):
+    schema = "ord long, title string, doi string, pmid string"
+    a = spark.createDataFrame([(5, "Outcomes of robot assisted surgery", None, None), (3, "Outcomes of robot-assisted surgery!", None, None), (4, None, None, None), (6, "?!", None, None)], schema)
+    b = spark.createDataFrame([(1, "Outcome of robot assisted surgery", None, None), (2, "Outcome of robot assisted surgery", None, None), (7, "!", None, None), (8, None, None, None)], schema)
+    assert sorted((r.ord, r.a_ord) for r in E.fuzzy_matches(a, b).collect()) == [(1, 3), (2, 3)]
+    assert E.fuzzy_matches(a.limit(0), b).count() == 0 == E.fuzzy_matches(a, b.limit(0)).count()
+
+
+def test_two_sources_end_in_one_record_each(spark):
+    """Same DOI, same title, a title with a typing error, and a new record; empty fields are filled from the second source."""
+    schema = "ord long, title string, doi string, pmid string, abstract string"
+    a = spark.createDataFrame([(0, "Autonomous suturing with the STAR robot", "10.1/a", "1", None), (1, "Surgical automation: a review", None, "2", "kept"), (2, "Learning from demonstration in the operating room", None, None, None)], schema)
+    b = spark.createDataFrame([(0, "Other title", "10.1/A ", None, "from b"), (1, "Surgical automation — a review", None, None, "not taken"), (2, "Learning from demonstrations in the operating room", None, None, "found by title"), (3, "A new record", None, None, "new")], schema)
+    unique, matched = E.deduplicate(a, b, ["doi", "pmid", "abstract"])
+    assert {(r.title, r.abstract) for r in unique.collect()} == {("Autonomous suturing with the STAR robot", "from b"), ("Surgical automation: a review", "kept"), ("Learning from demonstration in the operating room", "found by title"), ("A new record", "new")}
+    assert sorted((r.ord, r.a_ord) for r in matched.collect()) == [(0, 0), (1, 1), (2, 2)]
