@@ -13,8 +13,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from concord import lifecycle as L
 from concord.functions.nulls import is_absence_claim
 from concord.functions.text import has_ellipsis
-from concord.operators.imports import errors
-from concord.operators.latest import cascade, childless, latest
+from concord.operators.latest import cascade, childless, labelled, latest
 from concord.operators.reports import VERDICTS, crosstab
 from concord.operators.sampling import hash_rank
 from concord.sources.responses import spans
@@ -191,16 +190,20 @@ def run_pairs(ratings: DataFrame, pair_ratings: DataFrame, run: str) -> DataFram
 
 
 def snap_paragraph(text: Column, at: Column) -> Column:
-    """H-09: the start of the paragraph around a 0-based place."""
-    head = F.reverse(F.substring(text, F.lit(1), at))
-    back = F.call_function("locate", F.lit("\n\n"), head)
-    return F.when(back > 0, at - back + 1).otherwise(0)
+    """H-09: where the paragraph around a 0-based place begins: after the first break of the last blank line before it, else after the last line break, else 0."""
 
+    def last(mark: str) -> Column:
+        """0-based place of the last mark that ends at `at` or before; -1 if none."""
+        back = F.call_function("locate", F.lit(mark), F.reverse(F.call_function("left", text, at)))
+        return F.when(back > 0, F.least(at, F.length(text)) - back - len(mark) + 1).otherwise(-1)
 
-def adjudicated_pairs(rows: DataFrame, known: DataFrame, done: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
-    """H-12: (new decisions, errors); undecided rows are skipped, and nothing is new while there are errors."""
-    decided = rows.where(F.trim(F.coalesce("decision", F.lit(""))) != "")
-    return decided.join(done.select(key), key, "left_anti"), errors(decided, known, key, "decision", ["AGREE", "DISAGREE"])
+    return F.when(at <= 0, 0).otherwise(F.when(last("\n\n") >= 0, last("\n\n")).otherwise(last("\n")) + 1)
+
+
+def snap_paragraph_end(text: Column, at: Column) -> Column:
+    """H-09: where the paragraph around a 0-based place ends: at the next blank line, else at the next line break, else at the end of the text."""
+    next_ = lambda mark: F.nullif(F.call_function("locate", F.lit(mark), text, F.greatest(at, F.lit(0)) + 1), F.lit(0)) - 1
+    return F.when(at >= F.length(text), F.length(text)).otherwise(F.coalesce(next_("\n\n"), next_("\n"), F.length(text)))
 
 
 def with_not_null(sp: DataFrame) -> DataFrame:
@@ -209,8 +212,8 @@ def with_not_null(sp: DataFrame) -> DataFrame:
 
 
 def decorated(rationale: Column, confidence: Column) -> Column:
-    """H-19."""
-    return F.when(confidence.isNull(), rationale).otherwise(F.concat(F.format_string("[confidence %.2f] ", confidence), F.coalesce(rationale, F.lit(""))))
+    """H-19: the rationale followed by the confidence; without one, or with 0, the rationale alone."""
+    return F.when(F.coalesce(confidence, F.lit(0.0)) == 0, rationale).otherwise(F.concat(F.coalesce(rationale, F.lit("")), F.lit(" [confidence: "), confidence.cast("string"), F.lit("]")))
 
 
 def has_columns(df: DataFrame, wanted: list[str]) -> list[str]:
@@ -251,9 +254,18 @@ def isolated(df: DataFrame, score: Callable, schema: str) -> DataFrame:
     return df.mapInPandas(run, schema)
 
 
-def manifest(papers: DataFrame, labels: DataFrame, name: Column) -> DataFrame:
-    """SC-10 / SC-11: file names for labelled papers."""
-    return papers.join(labels.select("id", "ee_label"), "id").withColumn("file", name)
+def manifest(papers: DataFrame, statuses_out: list[str] = ("SCREENED_OUT",)) -> DataFrame:
+    """SC-10: id, seq, ee_id, file of all papers whose status does not leave them out, numbered by id: label, surname and year of each.
+
+    The surname is the first word of the first author of a JSON array, without a comma and signs; `Unknown` where there is none.
+    """
+    kept = labelled(papers.where(F.col("status").isNull() | ~F.col("status").isin(list(statuses_out)))).withColumnsRenamed({"ee_seq": "seq", "ee_label": "_l"})
+    first = F.get(F.split(F.trim(F.get(F.from_json(F.col("authors"), "array<string>"), F.lit(0))), r"\s+"), F.lit(0))
+    name = F.regexp_replace(F.rtrim(first, F.lit(",")), r"(?U)[^\w-]", "")
+    name = F.when(F.coalesce(first, F.lit("")) == "", "Unknown").otherwise(name)
+    label = F.concat(F.lit("EE-"), F.when(F.col("seq") < 1000, F.lpad(F.col("seq").cast("string"), 3, "0")).otherwise(F.col("seq").cast("string")))
+    year = F.coalesce(F.nullif(F.col("year"), F.lit(0)).cast("string"), F.lit("XXXX"))
+    return kept.select("id", "seq", label.alias("ee_id"), F.concat(label, F.lit("_"), name, F.lit("_"), year, F.lit(".pdf")).alias("file"))
 
 
 def updated(table: DataFrame, changes: DataFrame, key: str, columns: list[str]) -> DataFrame:

@@ -150,23 +150,17 @@ def stray_field(values: DataFrame, known: list[str]) -> DataFrame:
     return bad.withColumn("cause", F.when(F.col("field_name").rlike(r"^field_\d+$"), "unnamed column").when(F.trim("field_name") == "", "empty name").otherwise("unknown field"))
 
 
-def workbook_errors(rows: DataFrame, fields: dict[str, list[str]], key: str = "paper_id") -> DataFrame:
-    """V-03: bad paper labels, values outside their lists, repeated labels."""
-    out = rows.where(~F.col(key).rlike(r"^EE-\d{3,}$")).select(F.col(key), F.lit("label").alias("error"))
-    for f, allowed in fields.items():
-        out = out.union(rows.where(~is_null_synonym(F.col(f)) & ~F.col(f).isin(allowed)).select(key, F.lit(f"value of {f}").alias("error")))
-    return out.union(rows.groupBy(key).agg(F.count("*").alias("n")).where("n > 1").select(key, F.lit("repeated").alias("error")))
-
-
 def snippets_by_arm(arms: DataFrame, order: list[str]) -> DataFrame:
     """H-03: all arms' snippets of each cell in columns."""
     return arms.groupBy("paper_id", "field_name").agg(*[F.max(F.when(F.col("arm") == a, F.col("snippet"))).alias(a) for a in order])
 
 
-def paper_label(authors: Column, year: Column) -> Column:
-    """H-10: `Surname Year`; authors are a JSON array or a `;` list."""
-    first = F.coalesce(F.get(F.from_json(authors, "array<string>"), F.lit(0)), F.split_part(authors, F.lit(";"), F.lit(1)))
-    return F.concat_ws(" ", F.split_part(F.trim(first), F.lit(" "), F.lit(1)), year.cast("string"))
+def paper_label(authors: Column, year: Column, paper_id: Column) -> Column:
+    """H-10: the last word of the first author and the year; authors are a JSON array or a `;` list; the id where there is no author."""
+    listed = F.from_json(authors, "array<string>")
+    first = F.when(listed.isNotNull(), F.get(listed, F.lit(0))).otherwise(F.split_part(authors, F.lit(";"), F.lit(1)))
+    name = F.regexp_extract(first, r"(\S+)\s*$", 1)
+    return F.when(F.coalesce(name, F.lit("")) == "", paper_id.cast("string")).otherwise(F.concat(name, F.lit(" "), F.coalesce(year.cast("string"), F.lit("None"))))
 
 
 def with_defaults(rows: DataFrame, fields: DataFrame) -> DataFrame:
@@ -175,8 +169,9 @@ def with_defaults(rows: DataFrame, fields: DataFrame) -> DataFrame:
 
 
 def extractor_of(path: Column) -> Column:
-    """H-26: the last letter-only part of a file name."""
-    return F.upper(F.regexp_extract(path, r"_([A-Za-z]+)\.[A-Za-z]+$", 1))
+    """H-26: the one letter after the last underscore of a file name, upper-cased; any other name fails the action."""
+    letter = F.regexp_extract(path, r"_(\p{L})(?:\.[^./\\]*)?$", 1)
+    return F.when(letter != "", F.upper(letter)).otherwise(F.raise_error(F.concat(F.lit("no extractor in the file name "), path)))
 
 
 def limit_for(name: Column, rules: list[tuple[str, int]], other: int = 600) -> Column:

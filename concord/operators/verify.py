@@ -99,11 +99,31 @@ def field_bleed(values: DataFrame, enums: DataFrame) -> DataFrame:
     return stray.join(enums.select(F.col("field_name").alias("other_field"), F.col("enum_value").alias("part")), "part").where("other_field <> field_name")
 
 
-def field_issues(values: DataFrame, enums: DataFrame) -> DataFrame:
-    """C-14: parts outside their field's enumeration, with the closest value."""
-    options = enums.groupBy("field_name").agg(F.array_sort(F.collect_set("enum_value")).alias("options"))
-    parts = parts_of(values).join(options, "field_name").where(~F.array_contains("options", F.col("part")))
-    return parts.withColumn("closest", closest(F.col("part"), F.col("options"))).drop("options")
+def field_issues(values: DataFrame, fields: DataFrame, size_field: str = "sample_size") -> DataFrame:
+    """C-14: the rows of `values` with part, issue and closest (the suggestion) for every broken rule.
+
+    `fields` has field_name and options (array; null where the field takes any value) and must be small enough to broadcast, as a
+    specification is. Unknown field names; parts of a `;` list that are neither an option nor the word before a space in one; sizes
+    that are no whole number. NOT_FOUND and NR are good for any known field.
+    """
+    known = fields.select("field_name", "options", F.lit(True).alias("_known"))
+    names = fields.agg(F.array_sort(F.collect_set("field_name")).alias("_names"))  # one row
+    rows = values.join(F.broadcast(known), "field_name", "left").crossJoin(F.broadcast(names))
+    unknown, value = F.col("_known").isNull(), F.col("value")
+    given = ~unknown & ~value.isin("NOT_FOUND", "NR")
+    parts = F.filter(F.transform(F.split(value, ";"), lambda p: F.trim(p)), lambda p: p != "")
+    bad = F.filter(parts, lambda p: ~F.exists("options", lambda o: (o == p) | F.startswith(o, F.concat(p, F.lit(" ")))))
+    issue = lambda part, text: F.struct(part.alias("part"), F.lit(text).alias("issue"))
+    no_size = (F.col("field_name") == size_field) & ~value.rlike(r"^\s*[+-]?\d+(?:_\d+)*\s*$")
+    found = F.concat(
+        F.when(unknown, F.array(issue(F.col("field_name"), "unknown field name"))).otherwise(F.array().cast("array<struct<part:string,issue:string>>")),
+        F.when(given & F.col("options").isNotNull(), F.transform(bad, lambda p: issue(p, "invalid categorical value"))).otherwise(F.array().cast("array<struct<part:string,issue:string>>")),
+        F.when(given & no_size, F.array(issue(value, "non-numeric size"))).otherwise(F.array().cast("array<struct<part:string,issue:string>>")),
+    )
+    rows = rows.withColumn("_i", F.explode(found)).select(*values.columns, "_i.part", "_i.issue", F.when(unknown, F.col("_names")).otherwise(F.col("options")).alias("_options"))
+    # the closest of few distinct pairs, not of all rows
+    asked = rows.where("issue <> 'non-numeric size'").select("part", "_options").distinct().withColumn("closest", closest(F.col("part"), F.col("_options")))
+    return rows.join(asked, ["part", "_options"], "left").select(*values.columns, *[c for c in ("part", "issue", "closest") if c not in values.columns])
 
 
 def normalise_categories(values: DataFrame, enums: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -446,7 +446,8 @@ def field_bleed(human):
 
 @query("human")
 def field_issues(human):
-    return R.counts(C.field_issues(human.select("id", "field_name", "value"), human.sparkSession.sql(ENUMS)), "field_name", "part", "closest")
+    fields = human.sparkSession.sql(ENUMS).groupBy("field_name").agg(F.collect_set("enum_value").alias("options"))
+    return R.counts(C.field_issues(human.select("id", "field_name", "value"), fields), "field_name", "part", "closest")
 
 
 def triples(documents: DataFrame) -> DataFrame:

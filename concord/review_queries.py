@@ -11,6 +11,7 @@ from concord.functions import text as X
 from concord.functions import values as V
 from concord.operators import agreement as A
 from concord.operators import entities as E
+from concord.operators import gates as G
 from concord.operators import imports as I
 from concord.operators import jobs as B
 from concord.operators import latest as J
@@ -18,6 +19,7 @@ from concord.operators import queues as Q
 from concord.operators import reports as R
 from concord.operators import sampling as S
 from concord.operators import verify as C
+from concord.operators import windows as W
 from concord.queries import CURRENT, HEADS, KAPPA, NAMES, VOTES, status_events
 from concord.registry import query
 from concord.sources import readers, responses, sinks
@@ -258,17 +260,22 @@ def links_and_flags(papers):
     return rows.join(marked, "id", "left").select("id", url("doi").alias("doi_link"), url("pubmed").alias("pmid_link"), F.size("links").alias("n_links"), X.flag_reason(F.col("language"), F.col("content_type")).alias("flag"), F.coalesce("flagged", F.lit(False)).alias("flagged"))
 
 
-@query("documents", sql=f"SELECT doc_id, 'Paper ' || doc_id || ' in ' || coalesce(nullif(lang, 'xx'), '(not available)') || ': ' || {LINE} || '.' AS prompt, CASE WHEN lang = 'en' THEN 300 WHEN lang = 'de' THEN 900 ELSE 600 END::INTEGER AS time_limit, upper(regexp_extract('review_' || lang || '.xlsx', '_([A-Za-z]+)\\.[A-Za-z]+$', 1)) AS extractor FROM documents")
+@query("documents", sql=f"SELECT doc_id, 'Paper ' || doc_id || ' in ' || coalesce(nullif(lang, 'xx'), '(not available)') || ': ' || {LINE} || '.' AS prompt, CASE WHEN lang = 'en' THEN 300 WHEN lang = 'de' THEN 900 ELSE 600 END::INTEGER AS time_limit, upper(left(lang, 1)) AS extractor FROM documents WHERE length(lang) > 0")
 def prompts(documents):
-    return documents.select("doc_id", X.prompt("Paper {id} in {lang}: {line}.", id=F.col("doc_id"), lang=F.col("lang"), line=line()).alias("prompt"), Q.limit_for(F.col("lang"), [("^en$", 300), ("^de$", 900)]).alias("time_limit"), Q.extractor_of(F.concat(F.lit("review_"), F.col("lang"), F.lit(".xlsx"))).alias("extractor"))
+    """X-23, H-26, H-31."""
+    documents = documents.where("length(lang) > 0")
+    path = F.concat(F.lit("imports/review_of_"), F.col("lang"), F.lit("_"), F.substring("lang", 1, 1), F.lit(".xlsx"))
+    return documents.select("doc_id", X.prompt("Paper {id} in {lang}: {line}.", id=F.col("doc_id"), lang=F.col("lang"), line=line()).alias("prompt"), Q.limit_for(F.col("lang"), [("^en$", 300), ("^de$", 900)]).alias("time_limit"), Q.extractor_of(path).alias("extractor"))
 
 
-@query("lineitem", sql="""WITH s AS (SELECT l_orderkey, list_sort(list(l_linenumber * 37)) AS places FROM lineitem GROUP BY ALL), e AS (SELECT l_orderkey, unnest(places) AS a FROM s),
-    i AS (SELECT l_orderkey, greatest(a - 25, 0) AS s, least(a + 25, 260) AS e FROM e WHERE a - 25 < 260), m AS (SELECT *, sum(new) OVER (PARTITION BY l_orderkey ORDER BY s, e) AS g FROM (SELECT *, CASE WHEN s <= max(e) OVER (PARTITION BY l_orderkey ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS new FROM i))
-    SELECT l_orderkey, string_agg(substr(repeat('0123456789', 26), s + 1, e - s), chr(10) || '[...]' || chr(10) ORDER BY s) AS windows FROM (SELECT l_orderkey, g, min(s) AS s, max(e) AS e FROM m GROUP BY ALL) GROUP BY l_orderkey""")
-def merged_windows(lineitem):
-    s = lineitem.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.col("l_linenumber") * 37)).alias("at"))
-    return s.select("l_orderkey", X.windows_around(F.repeat(F.lit("0123456789"), 26), F.col("at"), 25).alias("windows"))
+@query("documents", sql="""WITH d AS (SELECT doc_id, text, length(text) AS n FROM documents WHERE length(text) > 0), e AS (SELECT doc_id, text, n, unnest([n // 5, n // 4, n // 2, n - 1]) AS a FROM d),
+    i AS (SELECT doc_id, text, greatest(a - 60, 0) AS s, least(a + 60, n) AS e FROM e), m AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY s, e) AS g FROM (SELECT *, CASE WHEN s <= max(e) OVER (PARTITION BY doc_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS new FROM i))
+    SELECT doc_id, string_agg(substr(text, s::BIGINT + 1, (e - s)::BIGINT), chr(10) || '[...]' || chr(10) ORDER BY s) AS windows FROM (SELECT doc_id, text, g, min(s) AS s, max(e) AS e FROM m GROUP BY ALL) GROUP BY doc_id""")
+def merged_windows(documents):
+    """X-14 by characters: windows around four places of every text."""
+    n = F.length("text")
+    at = F.array(*[F.floor(x).cast("int") for x in (n / 5, n / 4, n / 2)], n - 1)
+    return documents.where(n > 0).select("doc_id", X.windows_around(F.col("text"), at, 60).alias("windows"))
 
 
 # ---- sources and ragged payloads
@@ -611,12 +618,13 @@ def unblinded_precision(verdicts):
     return S.precision(sample, verdicts.where("no = 1").select("paper_id", "arm", "verdict"), "paper_id", ["arm", "verdict"])
 
 
-@query("papers", sql="SELECT id, 'A' || (id % 50) || ' ' || year AS label FROM papers")
+@query("papers", sql="""WITH n AS (SELECT id, year, string_split(trim(regexp_replace(title, '[^\\p{L} ]', '', 'g')), ' ') AS words FROM papers)
+    SELECT id, CASE WHEN id % 4 = 3 OR words[-1] = '' THEN id::VARCHAR ELSE words[-1] || ' ' || year END AS label FROM n""")
 def paper_short_labels(papers):
-    """H-10: authors as a JSON array or a `;` list."""
-    name = F.concat(F.lit("A"), (F.col("id") % 50).cast("string"))
-    authors = F.when(F.col("id") % 2 == 0, F.to_json(F.array(F.concat(name, F.lit(" B")), F.lit("Other C")))).otherwise(F.concat(name, F.lit(" B; Other C")))
-    return papers.select("id", Q.paper_label(authors, F.col("year")).alias("label"))
+    """H-10: authors as a JSON array, a `;` list, an empty array or nothing; the names are the words of the titles."""
+    name = F.trim(F.regexp_replace("title", r"[^\p{L} ]", ""))
+    authors = F.when(F.col("id") % 4 == 0, F.to_json(F.array(name, F.lit("Other C")))).when(F.col("id") % 4 == 1, F.concat(name, F.lit("; Other C"))).when(F.col("id") % 4 == 2, name).when(F.col("id") % 8 == 3, "[]")
+    return papers.select("id", Q.paper_label(authors, F.col("year"), F.col("id")).alias("label"))
 
 
 @query("human", sql="WITH f AS (SELECT * FROM (VALUES ('f1', 'categorical', 1), ('f2', 'numeric', 2)) AS t(field_name, field_type, tier)) SELECT h.field_name, coalesce(f.field_type, 'free_text') AS field_type, coalesce(f.tier, 99) AS tier, count(*) AS n FROM human h LEFT JOIN f ON f.field_name = h.field_name GROUP BY ALL")
@@ -660,11 +668,18 @@ def completed_papers(spans, extractions):
     return I.apply_decisions(rows, span_decisions(rows), ["paper_id", "field_name"])[1]
 
 
-@query("human", sql="WITH r AS (SELECT CASE WHEN paper_id % 5 = 0 THEN 'X' || paper_id ELSE 'EE-' || lpad(paper_id::VARCHAR, 3, '0') END AS paper_id, value AS f1, CASE WHEN id % 6 = 0 THEN ' NR ' ELSE extractor END AS f2 FROM human WHERE id % 10 = 0), e AS (SELECT paper_id, 'label' AS error FROM r WHERE NOT regexp_matches(paper_id, '^EE-\\d{3,}$') UNION ALL SELECT paper_id, 'value of f1' FROM r WHERE lower(trim(f1)) NOT IN " + NULLS + " AND f1 NOT IN ('click', 'view') UNION ALL SELECT paper_id, 'value of f2' FROM r WHERE lower(trim(f2)) NOT IN " + NULLS + " AND f2 NOT IN ('A', 'C') UNION ALL SELECT paper_id, 'repeated' FROM r GROUP BY paper_id HAVING count(*) > 1) SELECT error, count(*) AS n FROM e GROUP BY ALL")
-def workbook_errors(human):
+@query("human", "papers", sql="""WITH r AS (SELECT id, CASE WHEN paper_id % 5 = 0 THEN 'X' || paper_id ELSE printf('EE-%03d', paper_id) END AS paper_id, nullif(value, 'NR') AS f1, CASE WHEN id % 6 = 0 THEN NULL WHEN id % 6 = 1 THEN lower(extractor) || '; D' ELSE extractor END AS f2, CASE WHEN length(trim(snippet)) > 8 AND upper(trim(snippet)) <> 'NR' THEN snippet END AS q FROM human),
+    known AS (SELECT printf('EE-%03d', id) AS paper_id FROM papers),
+    e AS (SELECT 'label' AS error, NULL AS part FROM r WHERE NOT regexp_full_match(paper_id, 'EE-[0-9]{3}') UNION ALL SELECT 'unknown paper', NULL FROM r WHERE paper_id NOT IN (SELECT paper_id FROM known)
+    UNION ALL SELECT 'value of f1', f1 FROM r WHERE lower(f1) NOT IN ('click', 'view') UNION ALL SELECT 'value of f2', part FROM (SELECT unnest(string_split(f2, '; ')) AS part FROM r) WHERE upper(part) NOT IN ('A', 'C') UNION ALL SELECT 'quote of f1', NULL FROM r WHERE f1 IS NOT NULL AND q IS NULL)
+    SELECT error, part, count(*) AS n FROM e GROUP BY ALL""")
+def workbook_errors(human, papers):
     """V-03."""
-    rows = human.where("id % 10 = 0").select(F.when(F.col("paper_id") % 5 == 0, F.concat(F.lit("X"), F.col("paper_id").cast("string"))).otherwise(F.concat(F.lit("EE-"), F.lpad(F.col("paper_id").cast("string"), 3, "0"))).alias("paper_id"), F.col("value").alias("f1"), F.when(F.col("id") % 6 == 0, " NR ").otherwise(F.col("extractor")).alias("f2"))
-    return R.counts(Q.workbook_errors(rows, {"f1": ["click", "view"], "f2": ["A", "C"]}), "error")
+    label = F.format_string("EE-%03d", F.col("paper_id"))
+    f2 = F.when(F.col("id") % 6 == 0, " NR ").when(F.col("id") % 6 == 1, F.concat(F.lower("extractor"), F.lit("; D"))).otherwise(F.col("extractor"))
+    rows = human.select(F.when(F.col("paper_id") % 5 == 0, F.concat(F.lit("X"), F.col("paper_id").cast("string"))).otherwise(label).alias("paper_id"), F.col("value").alias("f1"), f2.alias("f2"), F.when(F.length(F.trim("snippet")) > 8, F.col("snippet")).alias("q1"))
+    known = papers.select(F.format_string("EE-%03d", F.col("id")).alias("paper_id"))
+    return R.counts(G.workbook_problems(rows, {"f1": ["Click", "View"], "f2": ["A", "C"]}, {"f1": "q1"}, known), "error", "part")
 
 
 @query("papers", sql="SELECT id, CASE WHEN id % 5 = 0 AND status NOT IN ('REJECTED', 'FT_SCREENED_OUT') THEN 'PDF_EXCLUDED' ELSE status END AS status, CASE WHEN id % 5 = 0 AND status NOT IN ('REJECTED', 'FT_SCREENED_OUT') THEN 'NON_ENGLISH' ELSE pdf_exclusion_reason END AS reason FROM papers")
@@ -727,12 +742,18 @@ def slot_checks(spans):
     return c.select("extraction_id", F.size("c.missing").alias("n_missing"), "c.repeated", F.size("c.out_of_range").alias("n_beyond"))
 
 
-@query("human", "papers", sql="WITH r AS (SELECT paper_id AS id, CASE id % 4 WHEN 0 THEN 'AGREE' WHEN 1 THEN ' ' WHEN 2 THEN 'DISAGREE' ELSE 'AGREE?' END AS decision FROM human WHERE id % 3 = 1) SELECT 'new' AS kind, count(*) AS n FROM r WHERE trim(decision) <> '' AND id % 3 <> 0 UNION ALL SELECT 'bad decision', count(*) FROM r WHERE trim(decision) NOT IN ('', 'AGREE', 'DISAGREE') HAVING count(*) > 0 UNION ALL SELECT 'repeated', count(*) FROM (SELECT id FROM r WHERE trim(decision) <> '' GROUP BY id HAVING count(*) > 1) HAVING count(*) > 0")
+@query("human", "papers", sql="""WITH r AS (SELECT id, CASE value WHEN 'click' THEN 'AGREE' WHEN 'view' THEN 'DISAGREE' WHEN 'purchase' THEN NULL ELSE value END AS decision FROM human), d AS (SELECT * FROM r WHERE decision IS NOT NULL)
+    SELECT 'all' AS batch, 'invalid decision' AS kind, count(*) AS n FROM d WHERE decision NOT IN ('AGREE', 'DISAGREE') UNION ALL SELECT 'all', 'duplicate', count(*) FROM d WHERE id IN (SELECT id FROM papers) UNION ALL SELECT 'all', 'added', 0
+    UNION ALL SELECT 'clean', 'added', count(*) FROM d WHERE decision IN ('AGREE', 'DISAGREE') AND id NOT IN (SELECT id FROM papers)""")
 def pair_adjudication(human, papers):
-    """H-12."""
-    rows = human.where("id % 3 = 1").select(F.col("paper_id").alias("id"), F.when(F.col("id") % 4 == 0, "AGREE").when(F.col("id") % 4 == 1, " ").when(F.col("id") % 4 == 2, "DISAGREE").otherwise("AGREE?").alias("decision"))
-    new, bad = B.adjudicated_pairs(rows, rows, papers.where("id % 3 = 0").select("id"), "id")
-    return new.agg(F.lit("new").alias("kind"), F.count("*").alias("n")).union(bad.groupBy(F.col("error").alias("kind")).agg(F.count("*").alias("n")))
+    """H-12: all rows as one import, which is refused as a whole, and the good rows as another."""
+    v = F.col("value")
+    rows = human.select("id", F.when(v == "click", "AGREE").when(v == "view", "DISAGREE").when(v == "purchase", None).otherwise(v).alias("decision"))
+    good = rows.where("decision IS NULL OR decision IN ('AGREE', 'DISAGREE')").join(papers.select("id"), "id", "left_anti")
+    count = lambda df, batch: df.agg(F.lit(batch).alias("batch"), F.lit("added").alias("kind"), F.count("*").alias("n"))
+    added, errors = G.pair_decisions(rows, papers, ["id"], "empty")
+    why = errors.groupBy(F.lit("all").alias("batch"), F.col("error").alias("kind")).agg(F.count("*").alias("n"))
+    return count(added, "all").unionByName(why).unionByName(count(G.pair_decisions(good, papers, ["id"])[0], "clean"))
 
 
 @query("runs", "verdicts", sql="SELECT count(*) AS n FROM runs WHERE item NOT IN (SELECT paper_id FROM verdicts WHERE no > 3)")
@@ -871,17 +892,41 @@ def report_in_order(human):
     return ordered.select(F.posexplode("r").alias("place", "x")).select("x.field_name", "x.status", (F.col("place") + 1).cast("long").alias("place"))
 
 
-@query("spans", sql="SELECT extraction_id, field_name, CASE WHEN partkey % 2 = 0 THEN NULL ELSE 'r' || partkey END AS rationale, CASE WHEN partkey % 3 = 0 THEN CASE WHEN partkey % 2 = 0 THEN NULL ELSE 'r' || partkey END ELSE printf('[confidence %.2f] ', partkey % 10 / 10.0) || CASE WHEN partkey % 2 = 0 THEN '' ELSE 'r' || partkey END END AS shown FROM spans WHERE span_no = 1")
+@query("spans", sql="SELECT extraction_id, span_no, CASE WHEN partkey % 3 = 0 OR round(confidence, 2) = 0 THEN 'r' || partkey ELSE 'r' || partkey || ' [confidence: ' || round(confidence, 2) || ']' END AS shown FROM spans")
 def decorated_rationales(spans):
     """H-19."""
-    rationale, confidence = F.when(F.col("partkey") % 2 != 0, F.concat(F.lit("r"), F.col("partkey").cast("string"))), F.when(F.col("partkey") % 3 != 0, F.col("partkey") % 10 / 10.0)
-    return spans.where("span_no = 1").select("extraction_id", "field_name", rationale.alias("rationale"), B.decorated(rationale, confidence).alias("shown"))
+    confidence = F.when(F.col("partkey") % 3 != 0, F.round("confidence", 2))
+    return spans.select("extraction_id", "span_no", B.decorated(F.concat(F.lit("r"), F.col("partkey").cast("string")), confidence).alias("shown"))
 
 
-@query("documents", sql="WITH d AS (SELECT doc_id, replace(text, chr(10), chr(10) || chr(10)) AS t, (doc_id * 37 % 700)::INTEGER AS place FROM documents) SELECT doc_id, CASE WHEN contains(substr(t, 1, place), chr(10) || chr(10)) THEN place - strpos(reverse(substr(t, 1, place)), chr(10) || chr(10)) + 1 ELSE 0 END::INTEGER AS start FROM d")
+@query("documents", sql="""WITH d AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN replace(text, chr(10), chr(10) || chr(10)) ELSE text END AS t, doc_id * 37 % 700 AS place FROM documents), h AS (SELECT *, substr(t, 1, place) AS head, substr(t, place + 1) AS tail FROM d)
+    SELECT doc_id, CASE WHEN contains(head, chr(10) || chr(10)) THEN length(head) - length(string_split(head, chr(10) || chr(10))[-1]) - 1 WHEN contains(head, chr(10)) THEN length(head) - length(string_split(head, chr(10))[-1]) ELSE 0 END::INTEGER AS "start",
+    (CASE WHEN place >= length(t) THEN length(t) WHEN contains(tail, chr(10) || chr(10)) THEN place + length(string_split(tail, chr(10) || chr(10))[1]) WHEN contains(tail, chr(10)) THEN place + length(string_split(tail, chr(10))[1]) ELSE length(t) END)::INTEGER AS "end" FROM h""")
 def paragraph_starts(documents):
-    """H-09."""
-    return documents.select("doc_id", B.snap_paragraph(F.replace("text", F.lit("\n"), F.lit("\n\n")), (F.col("doc_id") * 37 % 700).cast("int")).cast("int").alias("start"))
+    """H-09: the paragraph around a place of every text; half of the texts have blank lines."""
+    t = F.when(F.col("doc_id") % 2 == 0, F.replace("text", F.lit("\n"), F.lit("\n\n"))).otherwise(F.col("text"))
+    at = (F.col("doc_id") * 37 % 700).cast("int")
+    return documents.select("doc_id", B.snap_paragraph(t, at).cast("int").alias("start"), B.snap_paragraph_end(t, at).cast("int").alias("end"))
+
+
+@query("papers", sql="""WITH k AS (SELECT id, year, row_number() OVER (ORDER BY id) AS seq, string_split(trim(regexp_replace(title, '[^\\p{L} ]', '', 'g')), ' ')[1] AS name FROM papers WHERE status <> 'ABSTRACT_SCREENED_OUT')
+    SELECT id, seq, 'EE-' || lpad(seq::VARCHAR, greatest(3, length(seq::VARCHAR))::INTEGER, '0') || '_' || CASE WHEN id % 3 = 2 OR name = '' THEN 'Unknown' ELSE name END || '_' || year || '.pdf' AS file FROM k""")
+def manifest(papers):
+    """SC-10: the names of the files of all papers that stay, in sequence; the authors are the words of the titles."""
+    name = F.trim(F.regexp_replace("title", r"[^\p{L} ]", ""))
+    authors = F.when(F.col("id") % 3 == 0, F.to_json(F.array(name, F.lit("Other C")))).when(F.col("id") % 3 == 1, F.to_json(F.array(F.regexp_replace(name, "^([^ ]+)", "$1,")))).otherwise("no JSON")
+    return B.manifest(papers.withColumn("authors", authors), ["ABSTRACT_SCREENED_OUT"]).select("id", "seq", "file")
+
+
+@query("human", sql="""WITH p AS (SELECT field_name, value, unnest(string_split(value || '; vi', '; ')) AS part FROM human)
+    SELECT field_name, 'unknown field name' AS issue, field_name AS part, count(*) AS n FROM human WHERE field_name IN ('f5', 'f6') GROUP BY ALL
+    UNION ALL SELECT field_name, 'invalid categorical value', part, count(*) FROM p WHERE field_name IN ('f0', 'f1', 'f2') AND part NOT IN ('click', 'view', 'vi') GROUP BY ALL
+    UNION ALL SELECT field_name, 'non-numeric size', value || '; vi', count(*) FROM human WHERE field_name = 'f4' GROUP BY ALL""")
+def field_issue_counts(human):
+    """C-14: values with a word that begins an option, against a specification without two of the fields; f4 is a size."""
+    values = human.select("field_name", F.concat("value", F.lit("; vi")).alias("value"))
+    fields = human.sparkSession.createDataFrame([*((f"f{i}", ["click", "view", "vi (shorthand)"]) for i in range(3)), ("f3", None), ("f4", None)], "field_name string, options array<string>")
+    return R.counts(C.field_issues(values, fields, "f4"), "field_name", "issue", "part")
 
 
 @query("papers", sql="SELECT source, count(*) AS n, count(*) FILTER (status = 'PDF_EXCLUDED') AS pdf_excluded, count(*) FILTER (status IN ('AI_AUDIT_COMPLETE', 'HUMAN_AUDIT_COMPLETE')) AS included FROM papers GROUP BY ALL")
@@ -890,6 +935,18 @@ def prisma_by_source(papers):
     return R.prisma_by_source(papers)
 
 
+@query("documents")
+def token_windows(documents):
+    """C-19 / X-14: what of every text is shown for three spans of it, with a budget of 400 tokens and cells of 1,200 characters."""
+    import public_tokenizers
+
+    n, at = F.length("text"), lambda part: F.floor(F.length("text") * part).cast("int")
+    spans = F.array(F.substring("text", at(0.2) + 1, F.lit(90)), F.when(F.col("doc_id") % 3 == 0, F.substring("text", at(0.7) + 1, F.lit(250))), F.lit("not in any text"))
+    own = F.when(F.col("doc_id") % 2 == 0, F.substring("text", at(0.5) + 1, F.lit(70)))
+    rows = documents.where(n > 0).select("doc_id", F.col("text").alias("source_text"), F.when(F.col("doc_id") % 5 == 0, "NR").otherwise("a value").alias("value"), own.alias("span"), spans.alias("spans"))
+    return W.with_audit_windows(rows, public_tokenizers.path("byte_bpe_50k.json"), 400, (40, 20), 1200).select("doc_id", "strategy", "window")
+
+
 @query("papers", "human", sql="WITH a AS (SELECT DISTINCT paper_id FROM human WHERE value = 'purchase') SELECT count(*) FILTER (status = 'FT_SCREENED_OUT') AS ft_screened_out, count(*) FILTER (status = 'FT_SCREENED_OUT' AND id IN (SELECT paper_id FROM a)) AS adjudicated, count(*) FILTER (status = 'FT_SCREENED_OUT' AND id NOT IN (SELECT paper_id FROM a)) AS primary_only FROM papers")
 def ft_exclusions_split(papers, human):
     """A-03: full-text exclusions by who decided."""

@@ -115,8 +115,8 @@ def test_small_selections(spark):
     assert rows(S.smallest(big, ["k"], "id", 2)) == [(0, 0), (0, 3), (1, 1), (1, 4), (2, 2), (2, 5)]
     r = {x.k: x for x in B.approximate(big, ["k"], "id").collect()}
     assert all(abs(r[k].n_distinct - 333) < 40 and abs(r[k].median - 500) < 20 for k in range(3))
-    labels = spark.createDataFrame([(1, "EE-001")], "id long, ee_label string")
-    assert rows(B.manifest(spark.createDataFrame([(1, "t")], "id long, title string"), labels, F.concat("ee_label", F.lit(".pdf"))), "id", "file") == [(1, "EE-001.pdf")]
+    papers = spark.createDataFrame([(7, '["Smith, John", "Doe"]', 2020, "INGESTED"), (3, "no JSON", None, None), (5, '["X"]', 2001, "SCREENED_OUT"), (9, '["O\'Neil-Ruiz A"]', 0, "PARSED")], "id long, authors string, year int, status string")
+    assert rows(B.manifest(papers), "id", "seq", "file") == [(3, 1, "EE-001_Unknown_XXXX.pdf"), (7, 2, "EE-002_Smith_2020.pdf"), (9, 3, "EE-003_ONeil-Ruiz_XXXX.pdf")]
 
 
 EVENTS = "event_id long, ts timestamp, user_id long, event_type string, value double"

@@ -27,7 +27,7 @@ def test_rejection_and_adjudication(spark):
 
 def test_expressions(spark):
     df = spark.createDataFrame([("one\n\ntwo three", 8)], "t string, at int")
-    assert df.select(B.snap_paragraph(F.col("t"), F.col("at")).alias("s")).first().s == 5
+    assert df.select(B.snap_paragraph(F.col("t"), F.col("at")).alias("s")).first().s == 4  # the second break of the blank line stays
     df = spark.createDataFrame([("ABSTRACT_SCREENED_IN", ["include", "include"]), ("ABSTRACT_SCREENED_IN", ["exclude", "exclude"])], "s string, d array<string>")
     assert [r.x for r in df.select(B.rescreened(F.col("s"), F.col("d")).alias("x")).collect()] == ["ABSTRACT_SCREENED_IN", "ABSTRACT_SCREEN_FLAGGED"]
     assert B.spec_hash({"b": 1, "a": [2]}) == B.spec_hash({"a": [2], "b": 1})

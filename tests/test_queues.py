@@ -1,5 +1,6 @@
 """Queues and helpers on hand-built rows."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from concord.operators import queues as Q
@@ -55,8 +56,10 @@ def test_agreement_and_coverage(spark):
 
 
 def test_workbook_and_labels(spark):
-    bad = spark.createDataFrame([("EE-001", "a"), ("EE-001", "zzz"), ("7", "NR")], "paper_id string, f string")
-    assert rows(Q.workbook_errors(bad, {"f": ["a", "b"]})) == [("7", "label"), ("EE-001", "repeated"), ("EE-001", "value of f")]
-    df = spark.createDataFrame([('["Smith J", "Doe"]', 2001), ("Meyer A; Doe", 1999)], "authors string, year int")
-    assert sorted(r.l for r in df.select(Q.paper_label(F.col("authors"), F.col("year")).alias("l")).collect()) == ["Meyer 1999", "Smith 2001"]
-    assert spark.createDataFrame([("x/EE_review_ab.csv",)], "p string").select(Q.extractor_of(F.col("p")).alias("e")).first().e == "AB"
+    df = spark.createDataFrame([('["J Smith", "Doe"]', 2001, 1), ("A. van Meyer ; Doe", 1999, 2), ("[]", 2000, 3), ("", 2000, 4), (None, 2000, 5)], "authors string, year int, id long")
+    assert {r.id: r.l for r in df.select("id", Q.paper_label(F.col("authors"), F.col("year"), F.col("id")).alias("l")).collect()} == {1: "Smith 2001", 2: "Meyer 1999", 3: "3", 4: "4", 5: "5"}
+    name = lambda p: spark.createDataFrame([(p,)], "p string").select(Q.extractor_of(F.col("p")).alias("e")).first().e
+    assert name("x/EE_review_b.csv") == "B" == name("form_B.xlsx") == name("a.b_B")
+    for bad in ("x/EE_review_ab.csv", "form.xlsx", "form_1.xlsx", "form_.xlsx"):
+        with pytest.raises(Exception, match="no extractor"):
+            name(bad)
