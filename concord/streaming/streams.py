@@ -1,4 +1,4 @@
-"""Structured Streaming forms of the incremental batches (ST-01..ST-06)."""
+"""Event windows, sessions and the fold in order (ST-02, ST-05, ST-06); `stateful` has state with time, `ledger` the appends."""
 
 from __future__ import annotations
 
@@ -49,25 +49,5 @@ def _fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Ite
 
 
 def fold_status(events: DataFrame) -> DataFrame:
-    """ST-05: the status fold with state per paper; agrees with the batch fold when events come in order."""
+    """ST-05: the status fold at once, for events that come in order; `stateful.fold_status_in_order` waits for those that do not."""
     return events.groupBy("paper_id").applyInPandasWithState(_fold, "paper_id long, status string, applied long, rejected long", "status string, applied long, rejected long", "update", GroupStateTimeout.NoTimeout)
-
-
-def append_once(events: DataFrame, path: str, keys: list[str], checkpoint: str):
-    """ST-01 / ST-04: append rows whose key is not there yet; a batch that is repeated adds nothing."""
-
-    def write(batch: DataFrame, _: int) -> None:
-        new = batch.dropDuplicates(keys)
-        try:
-            new = new.join(batch.sparkSession.read.parquet(path).select(*keys), keys, "left_anti")
-        except Exception as e:  # noqa: BLE001
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-        new.write.mode("append").parquet(path)
-
-    return events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-def watch(events: DataFrame, name: str, checkpoint: str):
-    """ST-03: counts by type into a memory table."""
-    return events.groupBy("event_type").count().writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -142,15 +142,3 @@ def test_streams_agree_with_batches(spark, tmp_path, events):
         assert rows(spark.table(name), *keys) == rows(f(events), *keys)
     ended(streams.first_of_key(stream, ["user_id", "event_type"], "3 days").writeStream.outputMode("append").format("memory").queryName("firsts").option("checkpointLocation", str(tmp_path / "f")).start())
     assert rows(spark.table("firsts"), "user_id", "event_type") == rows(events.select("user_id", "event_type").distinct())
-    q = streams.watch(stream, "watched", str(tmp_path / "w"))
-    q.processAllAvailable()
-    assert rows(spark.table("watched")) == [("a", 30), ("b", 30)]
-    q.stop()
-
-
-def test_repeated_appends_add_nothing(spark, tmp_path, events):
-    out = str(tmp_path / "log")
-    for k in range(2):  # a new checkpoint: all input comes again
-        stream = spark.readStream.schema(EVENTS).parquet(str(tmp_path / "in"))
-        streams.append_once(stream, out, ["user_id", "event_type"], str(tmp_path / f"c{k}")).awaitTermination()
-    assert rows(spark.read.parquet(out), "user_id", "event_type") == rows(events.select("user_id", "event_type").distinct())
