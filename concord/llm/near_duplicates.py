@@ -17,8 +17,8 @@ are within two bits, so linking a code's members to its smallest one loses
 and adds nothing and takes 65 rows a fingerprint, whatever the group's size.
 
 Edge cases: null or empty text has fingerprint zero and is linked like any
-other; repeated ids each get a row; a null id is nobody's component unless
-all the ids of its fingerprint are null.
+other; repeated ids each get a row; rows without an id link their neighbours
+like others, and a component's id is null only if all its ids are.
 """
 
 from __future__ import annotations
@@ -119,9 +119,12 @@ def links(nodes: DataFrame, segments: int = 8) -> DataFrame:
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id of every row."""
     rows = durable(fingerprints(docs))
-    nodes = durable(rows.groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    found = components(links(nodes.where("rep IS NOT NULL"), segments_for(nodes.count())))
-    named = nodes.join(found, nodes.rep == found.node, "left").select("fp", F.coalesce("root", "rep").alias("component_id"))
+    nodes = durable(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    # fingerprints are linked, not ids, so that one held by rows without an id links its neighbours too
+    found = components(links(nodes.select(F.col("fp").alias("rep"), "fp"), segments_for(nodes.count())))
+    grouped = nodes.join(found, nodes.fp == found.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    least = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = grouped.join(least, "root").select("fp", "component_id")
     return rows.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 

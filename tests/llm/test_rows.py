@@ -182,3 +182,14 @@ def test_decontamination_against_brute_force(spark):
     assert sorted((r.doc_id, r.item_id, r.n_windows, r.n_matched) for r in got) == contaminated_pairs(texts, items)
     assert {(1, 1), (2, 1), (3, 2), (5, 3), (9, 4)} <= {(r.doc_id, r.item_id) for r in got}
     assert not {(7, 3), (14, 1), (14, 2)} & {(r.doc_id, r.item_id) for r in got}
+
+
+def test_op4_rows_without_an_id_link_their_neighbours(spark, monkeypatch):
+    """Steps of two bits: the middle fingerprint is held by null ids alone."""
+    from concord.llm import near_duplicates
+
+    rows = [(1, 0xF0F0), (None, 0xF0F3), (2, 0xF0FF), (7, 1 << 60), (None, 0xFF << 40), (None, 0x7F << 40)]
+    frame = spark.createDataFrame(rows, "doc_id long, fp long")
+    monkeypatch.setattr(near_duplicates, "fingerprints", lambda docs: frame)
+    got = {(r.doc_id, r.fingerprint): r.component_id for r in near_duplicates.near_duplicates(frame).collect()}
+    assert got == {(i, f"{fp:016x}"): {1: 1, 2: 1, 7: 7}.get(i, 1 if fp == 0xF0F3 else None) for i, fp in rows}
