@@ -220,7 +220,7 @@ def audit(docs: DataFrame, least: int = 30, top: int = 50, slice_terms: int = SL
     totals = kept.groupBy("lang", "term").agg(F.sum("n").alias("n"))
     langs = totals.groupBy("lang").agg(F.count("*").alias("kept"), F.sum("n").alias("n_lang")).withColumn("slices", F.ceil(F.col("kept") / slice_terms).cast("int"))
     in_slice = Window.partitionBy("lang", "slice").orderBy("term")
-    sliced = totals.join(langs.select("lang", "slices"), "lang").withColumn("slice", F.pmod(F.xxhash64("term"), "slices").cast("int"))
+    sliced = totals.join(langs.select("lang", "slices"), "lang").withColumn("slice", F.pmod(F.xxhash64("term"), "slices").cast("int")).repartition("lang", "slice")  # the join has dealt by language
     terms = durable(sliced.select("lang", "term", "slice", F.row_number().over(in_slice).alias("id"), "n"))
 
     cells = squeezed(kept.join(terms.drop("n"), ["lang", "term"]), "lang", "slice", "source")
