@@ -53,11 +53,14 @@ def contained_anywhere(snippets: DataFrame, texts: DataFrame, snippet: str, text
 
     The words of a snippet between its first and last are whole words of a
     text that holds it. One window of up to three of them is the join key; on
-    the texts' side all windows are. Only hashes are shuffled with the
-    windows. Snippets under three words have no such window and are tried on
-    every text. `contains` decides each pair.
+    the texts' side all windows are. Snippets under three words have no such
+    window: one of their runs of four characters is the key, or the whole
+    snippet if it is shorter, and on the texts' side all runs are. Only hashes
+    are shuffled with the keys. An empty snippet is in every text. `contains`
+    decides each pair.
     """
     split = lambda c: F.split(c, " ")
+    split_chars = lambda c: F.filter(F.split(c, ""), lambda x: x != "")
     own = F.slice(split(F.col("_s")), 2, F.greatest(F.size(split(F.col("_s"))) - 2, F.lit(0)))
     s = snippets.withColumn("_s", collapse(F.col(snippet))).where("_s IS NOT NULL").withColumn("_own", own).withColumn("_sk", F.xxhash64("_s"))
     t = texts.withColumn("_t", collapse(F.col(text))).where("_t IS NOT NULL").withColumn("_tk", F.xxhash64("_t"))
@@ -71,9 +74,19 @@ def contained_anywhere(snippets: DataFrame, texts: DataFrame, snippet: str, text
     of_text = let(split(F.col("_t")), lambda w: F.array_distinct(F.concat(windows(w, 3), windows(w, 1))))
     found = t.select("_tk", F.explode(of_text).alias("_key")).join(keys, "_key").select("_tk", "_sk").distinct()
     long_ones = t.join(found, "_tk").join(s, "_sk")
-    short_ones = t.crossJoin(s.where(F.size("_own") == 0))
+    short = s.where(F.size("_own") == 0)
+    chars = lambda c, n: let(split_chars(F.col(c)), lambda w: windows(w, n))
+    n = F.least(F.length("_s"), F.lit(4))
+    of_snippet = F.array_min(F.when(n == 4, chars("_s", 4)).when(n == 3, chars("_s", 3)).when(n == 2, chars("_s", 2)).otherwise(chars("_s", 1)))
+    short_keys = short.where("_s <> ''").select("_sk", of_snippet.alias("_key")).distinct()
+    of_chars = let(split_chars(F.col("_t")), lambda w: F.array_distinct(F.concat(*[windows(w, k) for k in (1, 2, 3, 4)])))
+    met = t.select("_tk", F.explode(of_chars).alias("_key")).join(short_keys, "_key").select("_tk", "_sk").distinct()
+    short_ones = t.join(met, "_tk").join(short, "_sk")
+    every = short.where("_s = ''").withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(63))))
+    in_all = t.withColumn("_part", F.pmod("_tk", F.lit(64)).cast("int")).join(every, "_part")
     columns = [*snippets.columns, *texts.columns]
-    return long_ones.select(*columns, "_t", "_s").unionByName(short_ones.select(*columns, "_t", "_s")).where(F.col("_t").contains(F.col("_s"))).select(*columns)
+    pairs = long_ones.select(*columns, "_t", "_s").unionByName(short_ones.select(*columns, "_t", "_s")).unionByName(in_all.select(*columns, "_t", "_s"))
+    return pairs.where(F.col("_t").contains(F.col("_s"))).select(*columns)
 
 
 def audit(spans: DataFrame) -> DataFrame:
