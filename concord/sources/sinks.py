@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +14,17 @@ def _fs(spark: SparkSession, path: str):
     return jvm, p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
+def put_in_place(spark: SparkSession, staged: str, target: str) -> None:
+    """The one file of a staged folder under its final name, in one step: a reader sees the old file or the new one. The folder goes."""
+    jvm, src, fs = _fs(spark, staged)
+    part = next(x.getPath() for x in fs.listStatus(src) if x.getPath().getName().startswith("part-"))
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    context.rename(part, jvm.org.apache.hadoop.fs.Path(target), options)
+    fs.delete(src, True)
+
+
 def version(spark: SparkSession, root: str) -> int:
     """The published version of a table, 0 without one."""
     _, p, fs = _fs(spark, f"{root}/CURRENT")
@@ -27,15 +40,7 @@ def publish(frames: dict[str, DataFrame], root: str) -> int:
         if not spark.read.parquet(f"{root}/{name}/version={n}").limit(1).count():
             raise ValueError(f"{name} is empty; version {n} is not published")
     spark.createDataFrame([(str(n),)], "value string").coalesce(1).write.mode("overwrite").text(f"{root}/_next")
-    jvm, src, fs = _fs(spark, f"{root}/_next")
-    part = next(s.getPath() for s in fs.listStatus(src) if s.getPath().getName().startswith("part-"))
-    target = jvm.org.apache.hadoop.fs.Path(f"{root}/CURRENT")
-    # one step: a reader sees the old pointer or the new one
-    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration())
-    options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
-    options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
-    context.rename(part, target, options)
-    fs.delete(src, True)
+    put_in_place(spark, f"{root}/_next", f"{root}/CURRENT")
     return n
 
 
@@ -68,9 +73,19 @@ def pair_rows(ratings: DataFrame) -> DataFrame:
 
 
 def report_csv(df: DataFrame, path: str) -> None:
-    """SNK-09 / SNK-11: one file; undefined numbers are empty."""
+    """SNK-09 / SNK-11: one CSV file at `path`, written under another name and renamed; undefined numbers are empty.
+
+    A report is one file by definition, so its rows go through one task. A write that fails leaves the file that was there.
+    """
     clean = df.select(*[F.when(~F.isnan(c), F.col(c)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
-    clean.coalesce(1).write.mode("overwrite").csv(path, header=True, escape='"')
+    folder, name = path.rsplit("/", 1)
+    staged = f"{folder}/_staged_{name}_{uuid.uuid4().hex}"
+    try:
+        clean.coalesce(1).write.csv(staged, header=True, escape='"')
+        put_in_place(df.sparkSession, staged, path)
+    finally:
+        _, left, fs = _fs(df.sparkSession, staged)
+        fs.delete(left, True)
 
 
 def report_json(df: DataFrame) -> DataFrame:
@@ -104,4 +119,4 @@ def methods_text(flow: DataFrame) -> DataFrame:
 def export_all(frames: dict[str, DataFrame], folder: str) -> None:
     """SNK-15."""
     for name, df in frames.items():
-        report_csv(df, f"{folder}/{name}")
+        report_csv(df, f"{folder}/{name}.csv")

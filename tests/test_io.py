@@ -89,8 +89,15 @@ def test_versions_and_appends(spark, tmp_path):
 def test_reports(spark, tmp_path):
     df = spark.createDataFrame([("a", float("nan"), 1), ("b", 0.5, 2)], "k string, x double, n int")
     sinks.export_all({"one": df, "two": df.limit(1)}, str(tmp_path / "out"))
-    text = [f.read_text() for f in (tmp_path / "out" / "one").glob("*.csv")]
-    assert len(text) == 1 and sorted(text[0].split()) == ["a,,1", "b,0.5,2", "k,x,n"]
+    one, out = tmp_path / "out" / "one.csv", tmp_path / "out"
+    assert sorted(one.read_text().split()) == ["a,,1", "b,0.5,2", "k,x,n"]
+    broken = df.withColumn("n", F.when(F.col("k") == "b", F.raise_error(F.lit("broken row"))).otherwise(F.col("n")))
+    with pytest.raises(Exception, match="broken row"):
+        sinks.report_csv(broken, str(one))
+    assert sorted(one.read_text().split()) == ["a,,1", "b,0.5,2", "k,x,n"]  # the old file stays whole
+    sinks.report_csv(df.limit(0), str(one))
+    assert one.read_text().split() == ["k,x,n"]
+    assert sorted(f.name for f in out.iterdir() if not f.name.endswith(".crc")) == ["one.csv", "two.csv"]
     assert sinks.artifact_name("r1", "ft_adjudication", "queue", "html") == "r1_ft_adjudication_queue.html"
     for bad in (("r1", "audit", "queue", "html"), ("r1", "ft_adjudication", "out", "html")):
         with pytest.raises(ValueError):
