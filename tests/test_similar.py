@@ -37,7 +37,7 @@ def edited(r, text, n, letters):
     return "".join(x)
 
 
-@pytest.mark.parametrize("least", [0.9, 0.8, 0.6])
+@pytest.mark.parametrize("least", [0.9, 0.7])
 @pytest.mark.parametrize("letters", ["ab", "abcdefghij klmnopé日"])
 def test_equals_all_pairs(spark, least, letters):
     r = random.Random(11)
@@ -58,7 +58,7 @@ def test_short_texts_and_pure_insertions(spark):
     assert joined(spark, a, b, 0.9) == pytest.approx(want)
 
 
-@pytest.mark.parametrize("changed", [1, 3, 4, 5])
+@pytest.mark.parametrize("changed", [3, 5])
 def test_changed_words_that_other_titles_know(spark, changed):
     """Titles of 23 words with a letter changed in several of them, where the changed words stand in other titles."""
     r = random.Random(changed)
