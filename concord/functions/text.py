@@ -302,29 +302,6 @@ def audit_key(v: Column) -> Column:
     return collapse(F.regexp_replace(v, r"(?U)(?<=\w)\.(?=\w)", " "))
 
 
-@F.pandas_udf(T.BooleanType())
-def _window_ratio(snippet: pd.Series, text: pd.Series) -> pd.Series:
-    def found(s: str | None, t: str | None) -> bool:
-        if not s or not t:
-            return False
-        have, n = t.split(), len(s.split())
-        m = difflib.SequenceMatcher(None, "", "", autojunk=True)
-        m.set_seq1(s)
-        for i in range(max(1, len(have) - n + 1)):
-            m.set_seq2(" ".join(have[i : i + n]))
-            if m.real_quick_ratio() > 0.85 and m.quick_ratio() > 0.85 and m.ratio() > 0.85:
-                return True
-        return False
-
-    return pd.Series([found(a, b) for a, b in zip(snippet, text, strict=True)])
-
-
-def grep_verify(snippet: Column, text: Column) -> Column:
-    """C-07: substring of the audit keys, else a window of as many words with a ratio over 0.85."""
-    s, t = audit_key(snippet), audit_key(text)
-    return F.when((s == "") | s.isNull() | t.isNull(), False).when(t.contains(s), True).otherwise(_window_ratio(s, t))
-
-
 @F.pandas_udf(T.StringType())
 def closest(v: pd.Series, options: pd.Series) -> pd.Series:
     """C-14: the closest of the options with a ratio of at least 0.4."""

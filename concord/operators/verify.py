@@ -6,29 +6,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from concord.functions.nulls import is_audit_absence, is_null_synonym
-from concord.functions.text import closest, collapse, grep_verify, has_ellipsis, let
+from concord.functions.spans import grep_verify, window_jaccard
+from concord.functions.text import closest, collapse, has_ellipsis, let
 from concord.functions.values import free_text_match, number_in, prefix_of
 
 
-def window_jaccard(span: Column, text: Column, least: float = 0.9) -> Column:
-    """W-10: some window of as many tokens as the span has a Jaccard of at least `least`; the span needs a letter."""
-
-    def of(v: Column) -> Column:
-        s, t, own = v.s, v.t, v.own
-        hit = lambda i: F.size(F.array_intersect(own, F.slice(t, i, F.size(s)))) >= least * F.size(F.array_union(own, F.slice(t, i, F.size(s))))
-        # the early tests: a letter, room, and as many shared tokens as a hit needs
-        able = (F.size(s) <= F.size(t)) & span.rlike("[a-z]") & (F.size(F.array_intersect(own, t)) >= least * F.size(own))
-        return F.when(able, F.exists(F.sequence(F.lit(1), F.size(t) - F.size(s) + 1), hit)).otherwise(False)
-
-    # tokens are variables of a lambda, so that they are split once
-    return let(F.struct(F.split(span, " ").alias("s"), F.split(text, " ").alias("t"), F.array_distinct(F.split(span, " ")).alias("own")), of)
-
-
 def precheck(triples: DataFrame) -> DataFrame:
     """C-06: span_present, span_in_source, span_match_method, value_in_span, span_length of (value, span, source_text, field_type, tolerance)."""
     span, source, value = collapse(F.coalesce("span", F.lit(""))), collapse(F.coalesce("source_text", F.lit(""))), F.coalesce("value", F.lit(""))
     present = F.length(F.regexp_replace(F.coalesce("span", F.lit("")), r"(?U)^\s+|\s+$", "")) >= 10
-    method = F.when((span == "") | (source == ""), "none").when(source.contains(span), "exact_substring").when(window_jaccard(span, source), "jaccard_fallback").otherwise("none")
+    asked = (span != "") & (source != "") & ~source.contains(span)  # only these rows carry their texts to Python
+    alike = window_jaccard(F.when(asked, span), F.when(asked, source))
+    method = F.when((span == "") | (source == ""), "none").when(source.contains(span), "exact_substring").when(alike, "jaccard_fallback").otherwise("none")
     inside = (
         F.when(F.col("field_type") == "numeric", number_in(value, F.coalesce("span", F.lit("")), F.col("tolerance")))
         .when(F.col("field_type") == "categorical", (collapse(value) != "") & span.contains(collapse(value)))

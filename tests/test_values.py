@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from concord.functions import nulls as N
+from concord.functions import spans as SP
 from concord.functions import text as X
 from concord.functions import values as V
 
@@ -89,7 +90,7 @@ def test_grep_verify(spark):
     text = "This is a randomized controlled trial with 20 patients. The STAR robot was used for autonomous suturing."
     rows = [("randomized controlled trial", True), ("The “STAR” robot", True), ("The STAR robots was used for autonomous suturing", True), ("", False), ("nothing of the kind was seen", False), (None, False)]
     df = spark.createDataFrame([(s, text, w) for s, w in rows], "s string, t string, w boolean")
-    got = df.select("s", "w", X.grep_verify(F.col("s"), F.col("t")).alias("g")).collect()
+    got = df.select("s", "w", SP.grep_verify(F.col("s"), F.col("t")).alias("g")).collect()
     assert [r.g for r in got] == [r.w for r in got]
 
 
