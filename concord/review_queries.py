@@ -18,6 +18,7 @@ from concord.operators import latest as J
 from concord.operators import queues as Q
 from concord.operators import reports as R
 from concord.operators import sampling as S
+from concord.operators import sketches as K
 from concord.operators import verify as C
 from concord.operators import windows as W
 from concord.queries import CURRENT, HEADS, KAPPA, NAMES, VOTES, status_events
@@ -148,12 +149,15 @@ def absence_predicates(cloud, human):
     return rows.select("value", "n", N.is_null_synonym(v).alias("synonym"), N.is_absence_claim(v).alias("claim"), N.is_audit_absence(v).alias("audit_absence"), N.is_populated(v).alias("populated"), N.human_value(v).alias("human_value"), N.csv_value(v).alias("csv_value"))
 
 
-@query("lineitem", sql="""WITH v AS (SELECT l_orderkey, l_linenumber, CASE l_linenumber % 4 WHEN 0 THEN '00' || l_quantity::INT || ' pigs, 5' WHEN 1 THEN '-' || l_partkey || ',' || '250.5 mm' WHEN 2 THEN 'none' ELSE ' 7.25' END AS v, l_extendedprice AS price FROM lineitem)
+NUMBERS = "CASE l_linenumber % 4 WHEN 0 THEN concat('00', cast(l_quantity AS string), ' pigs, ', cast(l_suppkey AS string)) WHEN 1 THEN concat('-', cast(l_partkey AS string), ',', cast(l_extendedprice AS string), ' mm') WHEN 2 THEN concat(l_returnflag, ' ', l_linestatus) ELSE concat(' ', cast(l_extendedprice AS string)) END"
+
+
+@query("lineitem", sql=f"""WITH v AS (SELECT l_orderkey, l_linenumber, {NUMBERS} AS v, l_extendedprice AS price FROM lineitem)
     SELECT l_orderkey, l_linenumber, CASE WHEN regexp_replace(v, '[^0-9]', '', 'g') = '' THEN trim(v) ELSE regexp_replace(v, '[^0-9]', '', 'g')::HUGEINT::VARCHAR END AS digits, TRY_CAST(nullif(regexp_extract(replace(trim(v), ',', ''), '^-?\\d+(\\.\\d+)?'), '') AS DOUBLE) AS leading,
-        greatest(0.0, least(1.0, price / 50000)) AS clamped, (CASE l_linenumber % 4 WHEN 2 THEN NULL WHEN 3 THEN 7.25 ELSE NULL END)::DOUBLE AS rounded FROM v""")
+        greatest(0.0, least(1.0, price / 50000)) AS clamped, round(TRY_CAST(trim(v) AS DOUBLE), 4) AS rounded FROM v""")
 def numbers_in_values(lineitem):
-    v = F.when(F.col("l_linenumber") % 4 == 0, F.concat(F.lit("00"), F.col("l_quantity").cast("int").cast("string"), F.lit(" pigs, 5"))).when(F.col("l_linenumber") % 4 == 1, F.concat(F.lit("-"), F.col("l_partkey").cast("string"), F.lit(",250.5 mm"))).when(F.col("l_linenumber") % 4 == 2, "none").otherwise(" 7.25")
-    rows = lineitem.select("l_orderkey", "l_linenumber", v.alias("v"), "l_extendedprice")
+    """N-01 / N-02 / N-04 / F-18: numbers in texts of a row's own values."""
+    rows = lineitem.select("l_orderkey", "l_linenumber", F.expr(NUMBERS).alias("v"), "l_extendedprice")
     return rows.select("l_orderkey", "l_linenumber", V.digits_only(F.col("v")).alias("digits"), V.leading_number(F.col("v")).alias("leading"), X.clamp(F.col("l_extendedprice") / 50000).alias("clamped"), B.rounded(F.col("v")).alias("rounded"))
 
 
@@ -191,11 +195,12 @@ def text_forms(documents):
 STOPS = "[" + ", ".join(f"'{w}'" for w in X.STOP_WORDS) + "]"
 
 
-@query("documents", sql=f"""WITH d AS (SELECT doc_id, substr(text, 1, 300) AS a, substr(text, 60, 300) AS b FROM documents),
+@query("documents", sql=f"""WITH d AS (SELECT doc_id, substr(text, 1, (length(text) // 2)::BIGINT) AS a, substr(text, (length(text) // 2 + 1)::BIGINT) AS b FROM documents),
     t AS (SELECT doc_id, list_distinct(list_filter(regexp_extract_all(lower(a), '[a-z]+'), lambda x: length(x) >= 2 AND NOT list_contains({STOPS}, x))) AS x, list_distinct(list_filter(regexp_extract_all(lower(b), '[a-z]+'), lambda x: length(x) >= 2 AND NOT list_contains({STOPS}, x))) AS y FROM d),
     s AS (SELECT doc_id, len(x) AS n_a, len(y) AS n_b, len(list_intersect(x, y)) AS shared FROM t) SELECT doc_id, n_a::INTEGER AS n_a, n_b::INTEGER AS n_b, round(CASE WHEN n_a + n_b = shared THEN 1.0 ELSE shared::DOUBLE / (n_a + n_b - shared) END, 9) AS jaccard, n_a > 0 AND n_b > 0 AND shared::DOUBLE / nullif(n_a + n_b - shared, 0) >= 0.3 AS matched FROM s""")
 def content_similarity(documents):
-    d = documents.select("doc_id", F.substring("text", 1, 300).alias("a"), F.substring("text", 60, 300).alias("b"))
+    half = F.floor(F.length("text") / 2).cast("int")
+    d = documents.select("doc_id", F.substring("text", F.lit(1), half).alias("a"), F.substring("text", half + 1, F.length("text")).alias("b"))
     x, y = X.content_tokens(F.col("a")), X.content_tokens(F.col("b"))
     return d.select("doc_id", F.size(x).alias("n_a"), F.size(y).alias("n_b"), F.round(X.jaccard(x, y), 9).alias("jaccard"), V.free_text_match(F.col("a"), F.col("b")).alias("matched"))
 
@@ -228,25 +233,29 @@ def fitted_texts(documents):
     return documents.select("doc_id", X.fitted_text(t, line(), F.concat(F.lit("About "), F.col("doc_id").cast("string")), 2000).alias("fitted"))
 
 
-AUTHORS = "CASE doc_id % 6 WHEN 0 THEN '[\"John Smith\", \"A B\"]' WHEN 1 THEN '[\"Lukas A\"]' WHEN 2 THEN '[\"Müller\"]' WHEN 3 THEN '[\"Garcia-Lopez\"]' WHEN 4 THEN '[]' END"
-
-
-@query("documents", sql=f"""WITH d AS (SELECT doc_id, 2000 + doc_id % 20 AS year, ['Smith', 'Lukas', 'Muller', 'Garcia-Lopez', 'Unknown', 'Unknown'][doc_id % 6 + 1] AS name, CASE WHEN doc_id % 2 = 0 THEN 'Chen, B; Doe' ELSE NULL END AS listed FROM documents)
-    SELECT doc_id, name, 'EE-' || doc_id || '_' || name || '_' || CASE WHEN year = 2000 THEN 'XXXX' ELSE year::VARCHAR END || '.pdf' AS file, CASE WHEN listed IS NULL THEN '—' ELSE 'Chen' END AS listed_name,
-        (['John 2', 'Lukas 2', 'Müller 2', 'Garcia-Lopez 2'])[doc_id % 6 + 1] IS NOT NULL AS has_name FROM d""")
+@query("documents", sql=f"""WITH w AS (SELECT doc_id, list_filter(string_split({LINE}, ' '), lambda x: x <> '') AS w FROM documents),
+    n AS (SELECT doc_id, w, trim(regexp_replace(regexp_replace(strip_accents(array_to_string(w[1:2], ' ')), '[^A-Za-z0-9\\- ]', '', 'g'), ' +', ' ', 'g')) AS plain, trim(split_part(split_part(array_to_string(w[1:2], ', ') || '; ' || array_to_string(w[3:4], ', '), ';', 1), ',', 1)) AS listed FROM w),
+    s AS (SELECT *, string_split(plain, ' ') AS p FROM n), m AS (SELECT *, CASE WHEN plain = '' THEN 'Unknown' WHEN len(p) > 1 AND length(p[-1]) <= 2 THEN p[1] ELSE p[-1] END AS name FROM s)
+    SELECT doc_id, name, 'EE-' || doc_id || '_' || name || '_' || CASE WHEN doc_id % 20 = 0 THEN 'XXXX' ELSE (2000 + doc_id % 20)::VARCHAR END || '.pdf' AS file, CASE WHEN listed = '' THEN '—' ELSE substr(listed, 1, 30) END AS listed_name FROM m""")
 def author_names(documents):
-    made = F.when(F.col("doc_id") % 6 == 0, '["John Smith", "A B"]').when(F.col("doc_id") % 6 == 1, '["Lukas A"]').when(F.col("doc_id") % 6 == 2, '["Müller"]').when(F.col("doc_id") % 6 == 3, '["Garcia-Lopez"]').when(F.col("doc_id") % 6 == 4, "[]")
-    d = documents.select("doc_id", made.alias("authors"), (F.lit(2000) + F.col("doc_id") % 20).alias("year"), F.when(F.col("doc_id") % 2 == 0, "Chen, B; Doe").alias("listed"))
-    year = F.when(F.col("year") == 2000, 0).otherwise(F.col("year"))
-    return d.select("doc_id", X.first_author(F.col("authors")).alias("name"), X.canonical_filename(F.concat(F.lit("EE-"), F.col("doc_id").cast("string")), F.col("authors"), year).alias("file"), X.first_author_list(F.col("listed")).alias("listed_name"), (F.size(F.coalesce(F.from_json("authors", "array<string>"), F.array())) > 0).alias("has_name"))
-
-
-@query("documents", sql=f"""WITH d AS (SELECT doc_id, text, {LINE} AS line FROM documents), e AS (SELECT *, substr(text, 41, 60) AS snippet, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS flat FROM d)
-    SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'exact' WHEN doc_id % 3 = 1 THEN CASE WHEN contains(text, lower(snippet)) THEN 'exact' ELSE 'normalized' END ELSE 'none' END AS found, substr(text, greatest(40 - 200, 0) + 1, 60 + 400) AS around FROM e""")
+    """X-11 / X-12: words of the title as names."""
+    w = F.filter(F.split(line(), " "), lambda x: x != "")
+    names = lambda i, by: F.array_join(F.slice(w, i, 2), by)
+    d = documents.where("text IS NOT NULL").select("doc_id", F.to_json(F.array(names(1, " "), names(3, " "))).alias("authors"), F.concat_ws("; ", names(1, ", "), names(3, ", ")).alias("listed"), F.when(F.col("doc_id") % 20 > 0, F.lit(2000) + F.col("doc_id") % 20).otherwise(0).alias("year"))
+    return d.select("doc_id", X.first_author(F.col("authors")).alias("name"), X.canonical_filename(F.concat(F.lit("EE-"), F.col("doc_id").cast("string")), F.col("authors"), F.col("year")).alias("file"), X.first_author_list(F.col("listed")).alias("listed_name"))
+
+
+@query("documents", sql=f"""WITH d AS (SELECT doc_id, text, list_filter(string_split({LINE}, ' '), lambda x: x <> '') AS w, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS flat FROM documents WHERE text IS NOT NULL),
+    e AS (SELECT *, CASE doc_id % 4 WHEN 0 THEN substr(text, 41, 60) WHEN 1 THEN lower(substr(text, 41, 60)) WHEN 2 THEN array_to_string(list_reverse(w), ' ') ELSE array_to_string(w, ' ') || ' qqqqzz xxxxzz' END AS snippet FROM d),
+    t AS (SELECT *, list_distinct(list_filter(regexp_split_to_array(lower(snippet), '\\s+'), lambda x: x <> '')) AS own, list_distinct(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '')) AS held FROM e)
+    SELECT doc_id, CASE WHEN contains(text, snippet) THEN 'exact' WHEN contains(flat, lower(trim(regexp_replace(snippet, '\\s+', ' ', 'g')))) THEN 'normalized' WHEN len(list_intersect(own, held))::DOUBLE / greatest(len(own), 1) >= 0.8 THEN 'token_overlap' ELSE 'none' END AS found,
+        CASE WHEN strpos(text, snippet) > 0 THEN substr(text, greatest(strpos(text, snippet) - 201, 0) + 1, length(snippet) + 400) END AS around FROM t""")
 def snippet_kinds(documents):
-    s = F.substring("text", 41, 60)
-    snippet = F.when(F.col("doc_id") % 3 == 0, s).when(F.col("doc_id") % 3 == 1, F.lower(s)).otherwise("zzzz qqqq xxxx")
-    return documents.select("doc_id", X.snippet_match(F.col("text"), snippet).alias("found"), X.context(F.col("text"), F.lit(40), F.lit(60)).alias("around"))
+    """X-16 / X-17 / X-22: pieces of a text, its title backwards and with words of no text, and what stands around them."""
+    s, w = F.substring("text", 41, 60), F.filter(F.split(line(), " "), lambda x: x != "")
+    snippet = F.when(F.col("doc_id") % 4 == 0, s).when(F.col("doc_id") % 4 == 1, F.lower(s)).when(F.col("doc_id") % 4 == 2, F.array_join(F.reverse(w), " ")).otherwise(F.concat(F.array_join(w, " "), F.lit(" qqqqzz xxxxzz")))
+    d = documents.where("text IS NOT NULL").select("doc_id", "text", snippet.alias("snippet"))
+    return d.select("doc_id", X.snippet_match(F.col("text"), F.col("snippet")).alias("found"), X.context(F.col("text"), F.expr("instr(text, snippet) - 1"), F.length("snippet")).alias("around"))
 
 
 @query("papers", sql="""SELECT id, CASE WHEN doi IS NOT NULL THEN 'https://doi.org/' || doi END AS doi_link, CASE WHEN pmid IS NOT NULL THEN 'https://pubmed.ncbi.nlm.nih.gov/' || pmid END AS pmid_link, 1 + (doi IS NOT NULL)::INT + (pmid IS NOT NULL)::INT AS n_links,
@@ -951,3 +960,19 @@ def token_windows(documents):
 def ft_exclusions_split(papers, human):
     """A-03: full-text exclusions by who decided."""
     return R.ft_split(papers, human.where("value = 'purchase'").select("paper_id"))
+
+
+@query("lineitem", sql="""SELECT l_returnflag AS flag, count(*) AS n, count(DISTINCT l_partkey) AS n_parts, true AS close_parts, true AS close_median, true AS close_shared FROM lineitem GROUP BY l_returnflag""")
+def merged_sketches(lineitem):
+    """A-46: sketches by flag and month merged by flag, and their errors against the exact figures: 3 % of the parts, 2 % of the ranks, 6 % of the parts shared by early and late months."""
+    rows = lineitem.select(F.col("l_returnflag").alias("flag"), F.trunc("l_shipdate", "month").alias("month"), F.col("l_partkey").alias("part"), F.col("l_extendedprice").alias("price"), (F.year("l_shipdate") < 1995).alias("early"))
+    stored = K.sketched(rows, ["flag", "month", "early"], "part", "price")
+    got = K.estimates(K.merged(stored, ["flag"])).drop("n")
+    sides = K.merged(stored, ["flag", "early"])
+    both = K.shared(sides.where("early"), sides.where("NOT early"), ["flag"])
+    parts = rows.groupBy("flag", "part").agg(F.count("*").alias("n"), F.count_distinct("early").alias("sides"))
+    exact = parts.groupBy("flag").agg(F.sum("n").alias("n"), F.count("*").alias("n_parts"), F.count_if(F.col("sides") == 2).alias("in_both"))
+    below = rows.join(got.select("flag", "q50"), "flag").groupBy("flag").agg(F.avg((F.col("price") <= F.col("q50")).cast("double")).alias("rank"))
+    out = exact.join(got, "flag").join(below, "flag").join(both, "flag", "left")
+    near = lambda a, b, share: F.abs(a - b) <= share * b
+    return out.select("flag", "n", "n_parts", near(F.col("n_distinct"), F.col("n_parts"), 0.03).alias("close_parts"), (F.abs(F.col("rank") - 0.5) <= 0.02).alias("close_median"), near(F.coalesce("n_shared", F.lit(0)), F.col("in_both"), 0.06).alias("close_shared"))
