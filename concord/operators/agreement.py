@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from concord.functions.nulls import is_null_synonym
 from concord.functions.values import kappa_columns, normalised, pair_score
 from concord.operators.latest import latest
+from concord.operators.scan import running
 
 
 def stacked(rows: DataFrame, keys: list[str], arms: dict[str, Column]) -> DataFrame:
@@ -156,24 +157,6 @@ def filled_domain(counts: DataFrame, domain: DataFrame, key: str) -> DataFrame:
     return domain.join(counts, key, "left").fillna(0)
 
 
-BATCH = 4096  # rows of a running total that are put in order in one task
-
-
-def running(df: DataFrame, order: str, sums: dict[str, Column], keys: list[str] = ()) -> DataFrame:
-    """W-06 / W-07: seen (rows so far), and running sums, in the order of a unique whole number, within keys.
-
-    Ranges of the order are summed first, so that no task orders all rows of a key.
-    """
-    rows = df.select("*", F.expr(f"{order} div {BATCH}").alias("_b"), F.lit(1).alias("_seen"), *[v.alias(f"_{k}") for k, v in sums.items()])
-    names = ["seen", *sums]
-    parts = rows.groupBy(*keys, "_b").agg(*[F.sum(f"_{n}").alias(f"_t_{n}") for n in names])
-    earlier = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    parts = parts.select(*keys, "_b", *[F.coalesce(F.sum(f"_t_{n}").over(earlier), F.lit(0)).alias(f"_e_{n}") for n in names])
-    so_far = Window.partitionBy(*keys, "_b").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    out = rows.join(parts, [*keys, "_b"])
-    return out.select(*df.columns, *[(F.col(f"_e_{n}") + F.sum(f"_{n}").over(so_far)).alias(n) for n in names])
-
-
 def progress(df: DataFrame, order: str, seconds: Column, failed: Column, total: int) -> DataFrame:
     """W-06: after each item: done, failed, mean seconds, percent and seconds to go."""
     out = running(df, order, {"failures": failed.cast("long"), "spent": seconds})

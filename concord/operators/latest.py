@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from concord.operators.scan import place
+
 
 def latest(df: DataFrame, keys: list[str], order: list[str | Column]) -> DataFrame:
     """J-03..J-05: the last row of each key by `order`, in one aggregation without a self-join."""
@@ -44,15 +46,8 @@ def current_spans(extractions: DataFrame, spans: DataFrame) -> DataFrame:
 
 
 def labelled(papers: DataFrame, order: str = "id") -> DataFrame:
-    """W-02: ee_label from the id, and ee_seq, the place in the ordered set.
-
-    A global rank without one task for all rows: counts per range are added up.
-    """
-    parts = papers.withColumn("_part", F.expr(f"{order} div 4096"))
-    before = parts.groupBy("_part").agg(F.count("*").alias("_n"))
-    before = before.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    ranked = parts.join(before, "_part").withColumn("ee_seq", F.col("_before") + F.row_number().over(Window.partitionBy("_part").orderBy(order)))
-    return ranked.withColumn("ee_label", F.format_string("EE-%03d", F.col(order))).drop("_part", "_before")
+    """W-02: ee_label from the id, and ee_seq, the place in the ordered set."""
+    return place(papers, order, "ee_seq").withColumn("ee_label", F.format_string("EE-%03d", F.col(order)))
 
 
 def cascade(df: DataFrame, lookup: DataFrame, keys: list[str], value: str) -> DataFrame:

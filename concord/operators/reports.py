@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from concord import lifecycle as L
 from concord.functions.nulls import is_populated
+from concord.operators.scan import place, running
 
 BINS = 4096  # of nearest_rank
 
@@ -195,9 +196,17 @@ def ranked(column: Column, order: list[str]) -> Column:
 
 
 def group_rank(df: DataFrame, group: str, item: str) -> DataFrame:
-    """W-04: groups by size and name, items within."""
-    sizes = df.groupBy(group).agg(F.count("*").alias("group_n")).withColumn("group_rank", F.dense_rank().over(Window.orderBy(F.desc("group_n"), group)))
-    return df.join(sizes, group).withColumn("item_rank", F.row_number().over(Window.partitionBy(group).orderBy(item)))
+    """W-04: groups by size and name, items (whole numbers, unique in a group) within.
+
+    Sizes are ranked by a scan, names within a size, and items by a scan within the group, so a large group is not sorted in one
+    task; only groups of one size are.
+    """
+    sizes = df.groupBy(group).agg(F.count("*").alias("group_n"))
+    larger = running(sizes.groupBy("group_n").agg(F.count("*").alias("_groups")).withColumn("_order", -F.col("group_n")), "_order", {"_up_to": F.col("_groups")})
+    ahead = larger.select("group_n", (F.col("_up_to") - F.col("_groups")).alias("_ahead"))
+    within = F.row_number().over(Window.partitionBy("group_n").orderBy(group))
+    ranked = sizes.join(ahead, "group_n").select(group, "group_n", (F.col("_ahead") + within).alias("group_rank"))
+    return place(df, item, "item_rank", [group]).join(ranked, group)
 
 
 def gates(df: DataFrame, checks: dict[str, Column]) -> DataFrame:

@@ -15,6 +15,7 @@ from concord.operators import entities as E
 from concord.operators import jobs as B
 from concord.operators import reports as R
 from concord.operators import sampling as S
+from concord.operators import scan
 from concord.operators import verify as C
 
 
@@ -84,7 +85,7 @@ def test_fold_of_long_histories(spark, monkeypatch, width):
 
 
 def test_running_totals(spark, monkeypatch):
-    monkeypatch.setattr(A, "BATCH", 7)
+    monkeypatch.setattr(scan, "BITS", 8)
     rng = random.Random(2)
     rows = [(i, rng.random() * 10, rng.random() < 0.1) for i in rng.sample(range(1000), 60)]
     got = A.progress(spark.createDataFrame(rows, "i long, s double, f boolean"), "i", F.col("s"), F.col("f"), 100).orderBy("i").collect()
