@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from concord.operators.scan import place
+
 
 def hash_rank(seed: int, *parts: Column) -> Column:
     """A place in a seeded order that does not depend on partitions."""
@@ -47,15 +49,18 @@ def fraction(df: DataFrame, key: str, share: float, seed: int = 42) -> DataFrame
 
 
 def shuffled(sample: DataFrame, key: str, seed: int = 42) -> DataFrame:
-    """W-03: row ids 1..n in seeded order, for a sample of bounded size."""
-    return sample.withColumn("row_id", F.row_number().over(Window.orderBy(hash_rank(seed, F.col(key)))))
+    """W-03: row ids 1..n in seeded order: a scan over 60 bits of the hash, and the whole hash among the few that share them."""
+    h = hash_rank(seed, F.col(key))
+    placed = place(sample.withColumn("_h", h).withColumn("_o", F.conv(F.substring("_h", 1, 15), 16, 10).cast("long")), "_o", "row_id")
+    same = Window.partitionBy("_o")
+    return placed.withColumn("row_id", F.col("row_id") - F.count("*").over(same) + F.row_number().over(same.orderBy("_h", key))).drop("_h", "_o")
 
 
 def is_monotonic(df: DataFrame, order: str, value: str) -> DataFrame:
-    """W-05: whether the order leaks the sequence of a bounded sample."""
-    w = Window.orderBy(order)
-    step = df.select((F.col(value) > F.lag(value).over(w)).alias("up"))
-    return step.agg(F.coalesce(F.bool_and("up"), F.lit(True)).alias("monotonic"))
+    """W-05: whether the order, a unique whole number, leaks the sequence of the values; each row meets the one before it by its place."""
+    rows = place(df.select(order, value), order, "_p").select("_p", F.col(value).alias("_v"))
+    earlier = rows.select((F.col("_p") + 1).alias("_p"), F.col("_v").alias("_u"))
+    return rows.join(earlier, "_p").agg(F.coalesce(F.bool_and(F.col("_v") > F.col("_u")), F.lit(True)).alias("monotonic"))
 
 
 def permutation(arms: Column, seed: Column) -> Column:

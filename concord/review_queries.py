@@ -181,11 +181,11 @@ def category_changes(human):
 # ---- text
 
 
-@query("documents", sql=f"""WITH d AS (SELECT doc_id, text, {LINE} AS line FROM documents), e AS (SELECT doc_id, text, line, CASE WHEN doc_id % 3 = 0 THEN '<think> ' || line || chr(10) || '</think> x' WHEN doc_id % 3 = 1 THEN '```json' || chr(10) || line || chr(10) || '```' ELSE line END AS v FROM d)
+@query("documents", sql=f"""WITH d AS (SELECT doc_id, text AS line FROM documents), e AS (SELECT doc_id, line, CASE WHEN doc_id % 3 = 0 THEN '<think> ' || line || chr(10) || '</think> x' WHEN doc_id % 3 = 1 THEN '```json' || chr(10) || line || chr(10) || '```' ELSE line END AS v FROM d)
     SELECT doc_id, trim(regexp_extract(v, '(?s)<think>(.*?)</think>', 1)) AS thinking, CASE WHEN doc_id % 3 = 1 THEN trim(line) ELSE trim(v) END AS bare, CASE WHEN length(v) > 40 THEN substr(v, 1, 40) || '...' ELSE v END AS short, ceil(length(v) / 4.0)::BIGINT AS n_tokens,
         coalesce(regexp_matches(v, '\\.\\.\\.|…'), false) AS bridged, regexp_replace(v || chr(7), '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]', '', 'g') = v AS controls_gone FROM e""")
 def text_forms(documents):
-    d = documents.select("doc_id", line().alias("line"))
+    d = documents.select("doc_id", F.col("text").alias("line"))
     kind = F.col("doc_id") % 3
     v = F.when(kind == 0, F.concat(F.lit("<think> "), F.col("line"), F.lit("\n</think> x"))).when(kind == 1, F.concat(F.lit("```json\n"), F.col("line"), F.lit("\n```"))).otherwise(F.col("line"))
     e = d.withColumn("v", v)
@@ -269,12 +269,12 @@ def links_and_flags(papers):
     return rows.join(marked, "id", "left").select("id", url("doi").alias("doi_link"), url("pubmed").alias("pmid_link"), F.size("links").alias("n_links"), X.flag_reason(F.col("language"), F.col("content_type")).alias("flag"), F.coalesce("flagged", F.lit(False)).alias("flagged"))
 
 
-@query("documents", sql=f"SELECT doc_id, 'Paper ' || doc_id || ' in ' || coalesce(nullif(lang, 'xx'), '(not available)') || ': ' || {LINE} || '.' AS prompt, CASE WHEN lang = 'en' THEN 300 WHEN lang = 'de' THEN 900 ELSE 600 END::INTEGER AS time_limit, upper(left(lang, 1)) AS extractor FROM documents WHERE length(lang) > 0")
+@query("documents", sql=f"SELECT doc_id, 'Paper ' || doc_id || ' in ' || coalesce(nullif(lang, 'xx'), '(not available)') || ': ' || coalesce(text, '(not available)') || '.' AS prompt, CASE WHEN lang = 'en' THEN 300 WHEN lang = 'de' THEN 900 ELSE 600 END::INTEGER AS time_limit, upper(left(lang, 1)) AS extractor FROM documents WHERE length(lang) > 0")
 def prompts(documents):
     """X-23, H-26, H-31."""
     documents = documents.where("length(lang) > 0")
     path = F.concat(F.lit("imports/review_of_"), F.col("lang"), F.lit("_"), F.substring("lang", 1, 1), F.lit(".xlsx"))
-    return documents.select("doc_id", X.prompt("Paper {id} in {lang}: {line}.", id=F.col("doc_id"), lang=F.col("lang"), line=line()).alias("prompt"), Q.limit_for(F.col("lang"), [("^en$", 300), ("^de$", 900)]).alias("time_limit"), Q.extractor_of(path).alias("extractor"))
+    return documents.select("doc_id", X.prompt("Paper {id} in {lang}: {text}.", id=F.col("doc_id"), lang=F.col("lang"), text=F.col("text")).alias("prompt"), Q.limit_for(F.col("lang"), [("^en$", 300), ("^de$", 900)]).alias("time_limit"), Q.extractor_of(path).alias("extractor"))
 
 
 @query("documents", sql="""WITH d AS (SELECT doc_id, text, length(text) AS n FROM documents WHERE length(text) > 0), e AS (SELECT doc_id, text, n, unnest([n // 5, n // 4, n // 2, n - 1]) AS a FROM d),
@@ -290,12 +290,13 @@ def merged_windows(documents):
 # ---- sources and ragged payloads
 
 
-@query("documents", sql="SELECT doc_id, array_to_string(list_filter(string_split(split_part(text, chr(10), 1), ' '), lambda x: x <> ''), ' ') AS abstract FROM documents")
+@query("documents", sql="SELECT doc_id, array_to_string(list_filter(string_split(text, ' '), lambda x: x <> ''), ' ') AS abstract FROM documents WHERE len(list_filter(string_split(text, ' '), lambda x: x <> '')) > 0")
 def inverted_abstracts(documents):
-    """SRC-08: the words of a line to an inverted index and back."""
-    words = F.filter(F.split(line(), " "), lambda x: x != "")
-    index = F.map_from_entries(F.transform(F.array_distinct(words), lambda w: F.struct(w.alias("w"), F.filter(F.transform(words, lambda x, i: F.when(x == w, i)), lambda i: i.isNotNull()).alias("p"))))
-    return documents.select("doc_id", readers.inverted_abstract(index).alias("abstract"))
+    """SRC-08: the words of a text to an inverted index, by a shuffle of its words, and back."""
+    words = F.filter(F.split("text", " "), lambda x: x != "")
+    places = documents.select("doc_id", F.posexplode(words).alias("place", "word")).groupBy("doc_id", "word").agg(F.collect_list("place").alias("places"))
+    index = places.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("word", "places"))).alias("index"))
+    return index.select("doc_id", readers.inverted_abstract(F.col("index")).alias("abstract"))
 
 
 @query("papers", sql="SELECT CASE WHEN pmid IS NULL THEN '' ELSE pmid END AS pmid, lower(doi) AS doi, title, CASE WHEN year % 4 = 0 THEN NULL ELSE year END::INTEGER AS year, 'A ' || id AS first_author FROM papers")
@@ -620,11 +621,11 @@ def blinding_leaks(human):
     return R.counts(S.leaks(human, ["extractor", "value", "snippet"], ["PURCHASE", '"k": 7']), "extractor")
 
 
-@query("verdicts", sql="SELECT arm, verdict, count(*) AS n, round(avg((paper_id % 3 > 0)::INT), 6) AS precision FROM verdicts WHERE no = 1 GROUP BY ALL")
+@query("verdicts", sql="SELECT arm, verdict, count(*) AS n, round(avg((paper_id % 3 > 0)::INT), 6) AS precision FROM verdicts GROUP BY ALL")
 def unblinded_precision(verdicts):
     """C-25."""
-    sample = verdicts.where("no = 1").select("paper_id", (F.col("paper_id") % 3 > 0).alias("correct"))
-    return S.precision(sample, verdicts.where("no = 1").select("paper_id", "arm", "verdict"), "paper_id", ["arm", "verdict"])
+    rows = verdicts.withColumn("blind_id", F.concat_ws("/", "paper_id", "no"))
+    return S.precision(rows.select("blind_id", (F.col("paper_id") % 3 > 0).alias("correct")), rows.select("blind_id", "arm", "verdict"), "blind_id", ["arm", "verdict"])
 
 
 @query("papers", sql="""WITH n AS (SELECT id, year, string_split(trim(regexp_replace(title, '[^\\p{L} ]', '', 'g')), ' ') AS words FROM papers)
@@ -771,12 +772,13 @@ def items_to_retry(runs, verdicts):
     return I.retry(runs.select(F.col("item").alias("paper_id")), verdicts.where("no > 3"), ["paper_id"]).agg(F.count("*").alias("n"))
 
 
-@query("spans", sql="WITH c AS (SELECT extraction_id AS k, max(quantity) AS q FROM spans WHERE flag = 'R' GROUP BY ALL), s AS (SELECT extraction_id, field_name, CASE WHEN partkey % 2 = 0 THEN NULL ELSE confidence END AS confidence FROM spans WHERE span_no = 1) SELECT s.extraction_id, coalesce(q, coalesce(confidence, 0.0)) AS confidence FROM s LEFT JOIN c ON c.k = s.extraction_id")
+@query("spans", sql="SELECT extraction_id, span_no, CASE WHEN flag = 'R' THEN quantity + 1 ELSE coalesce(CASE WHEN partkey % 2 <> 0 THEN confidence END, 0.0) END AS confidence FROM spans")
 def updated_confidence(spans):
-    """H-16 / H-17: nulls are filled, then the last change of a key is applied."""
-    s = B.with_not_null(spans.where("span_no = 1").select("extraction_id", F.when(F.col("partkey") % 2 != 0, F.col("confidence")).alias("confidence"), F.lit(None).cast("int").alias("tier"))).drop("tier")
-    changes = spans.where("flag = 'R'").select("extraction_id", F.col("quantity").alias("ord"), F.col("quantity").alias("confidence"))
-    return B.updated(s, changes, "extraction_id", ["confidence"])
+    """H-16 / H-17: nulls are filled, then the last of the two changes of a key is applied."""
+    keyed = spans.withColumn("key", F.concat_ws("/", "extraction_id", "span_no"))
+    s = B.with_not_null(keyed.select("key", "extraction_id", "span_no", F.when(F.col("partkey") % 2 != 0, F.col("confidence")).alias("confidence"), F.lit(None).cast("int").alias("tier"))).drop("tier")
+    changes = keyed.where("flag = 'R'").select("key", F.explode(F.array(F.lit(1), F.lit(2))).alias("ord"), "quantity").select("key", "ord", (F.col("quantity") + F.col("ord") - 1).alias("confidence"))
+    return B.updated(s, changes, "key", ["confidence"]).drop("key")
 
 
 @query("ratings", "human", sql="SELECT r.risk, count(*) AS n FROM ratings r JOIN human h ON h.id = r.paper_id AND h.extractor = 'A' WHERE r.level1 = 'PARTIAL' GROUP BY ALL")
@@ -860,10 +862,10 @@ def arm_permutations(orders):
     return orders.select("o_orderkey", F.array_join(S.permutation(F.array(*map(F.lit, ["local", "openai", "anthropic"])), F.col("o_orderkey")), ",").alias("slots"))
 
 
-@query("papers", sql="WITH s AS (SELECT id, row_number() OVER (ORDER BY sha256('42|' || id)) AS row_id FROM papers WHERE id < 200) SELECT (SELECT count(*) FROM s) AS n, (SELECT first(id ORDER BY row_id) FROM s) AS first_id, (SELECT coalesce(bool_and(up), true) FROM (SELECT id > lag(id) OVER (ORDER BY row_id) AS up FROM s)) AS monotonic")
+@query("papers", sql="WITH s AS (SELECT id, row_number() OVER (ORDER BY sha256('42|' || id)) AS row_id FROM papers) SELECT (SELECT count(*) FROM s) AS n, (SELECT first(id ORDER BY row_id) FROM s) AS first_id, (SELECT coalesce(bool_and(up), true) FROM (SELECT id > lag(id) OVER (ORDER BY row_id) AS up FROM s)) AS monotonic")
 def shuffled_sample(papers):
     """W-03 / W-05."""
-    s = S.shuffled(papers.where("id < 200").select("id"), "id")
+    s = S.shuffled(papers.select("id"), "id")
     return s.agg(F.count("*").alias("n"), F.min_by("id", "row_id").alias("first_id")).join(S.is_monotonic(s, "row_id", "id"))
 
 
@@ -879,11 +881,11 @@ def chosen_strata(papers):
     return S.first_strata(papers.select("id"), "id", [("odd", F.col("id") % 2 == 1, 5), ("third", F.col("id") % 3 == 0, 6), ("any", F.lit(True), 4)], "id")
 
 
-@query("papers", sql="WITH k AS (SELECT CASE WHEN id % 10 = 0 THEN 'x' || id ELSE (id * 7 % 1000)::VARCHAR END AS key FROM papers) SELECT key FROM k ORDER BY TRY_CAST(key AS BIGINT) NULLS LAST, key LIMIT 950")
+@query("papers", sql="WITH k AS (SELECT CASE WHEN id % 10 = 0 THEN 'x' || id ELSE (id * 7 % 1000)::VARCHAR END AS key FROM papers) SELECT key FROM k ORDER BY TRY_CAST(key AS BIGINT) NULLS LAST, key")
 def numbers_first(papers):
     """T-03."""
     keys = papers.select(F.when(F.col("id") % 10 == 0, F.concat(F.lit("x"), F.col("id").cast("string"))).otherwise((F.col("id") * 7 % 1000).cast("string")).alias("key"))
-    return keys.orderBy(*R.id_order("key")).limit(950)
+    return keys.orderBy(*R.id_order("key"))
 
 
 @query("human", "papers", sql="SELECT field_name FROM human GROUP BY ALL UNION ALL SELECT status FROM papers GROUP BY ALL")
