@@ -292,11 +292,10 @@ def merged_windows(documents):
 
 @query("documents", sql="SELECT doc_id, array_to_string(list_filter(string_split(text, ' '), lambda x: x <> ''), ' ') AS abstract FROM documents WHERE len(list_filter(string_split(text, ' '), lambda x: x <> '')) > 0")
 def inverted_abstracts(documents):
-    """SRC-08: the words of a text to an inverted index, by a shuffle of its words, and back."""
+    """SRC-08: the words of a text to an inverted index and back."""
     words = F.filter(F.split("text", " "), lambda x: x != "")
-    places = documents.select("doc_id", F.posexplode(words).alias("place", "word")).groupBy("doc_id", "word").agg(F.collect_list("place").alias("places"))
-    index = places.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("word", "places"))).alias("index"))
-    return index.select("doc_id", readers.inverted_abstract(F.col("index")).alias("abstract"))
+    rows = documents.where(F.size(words) > 0).select("doc_id", readers.inverted_index(words).alias("index"))
+    return rows.select("doc_id", readers.inverted_abstract(F.col("index")).alias("abstract"))
 
 
 @query("papers", sql="SELECT CASE WHEN pmid IS NULL THEN '' ELSE pmid END AS pmid, lower(doi) AS doi, title, CASE WHEN year % 4 = 0 THEN NULL ELSE year END::INTEGER AS year, 'A ' || id AS first_author FROM papers")

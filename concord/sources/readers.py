@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from concord.functions.text import is_pdf
+from concord.functions.text import is_pdf, let
 from concord.operators.latest import latest
 
 
@@ -54,6 +54,19 @@ def medline(records: DataFrame) -> DataFrame:
     return records.select(F.col("r.pmid").alias("pmid"), F.trim(F.regexp_replace(doi, r"\[doi\]$", "")).alias("doi"), F.col("r.ti").alias("title"), F.col("r.ab").alias("abstract"), F.col("r.jt").alias("journal"), F.substring("r.dp", 1, 4).try_cast("int").alias("year"), F.col("r.au").alias("authors"))
 
 
+def inverted_index(words: Column) -> Column:
+    """SRC-08 the other way: a map word -> places of an array of words, from one sort of the row's words."""
+
+    def runs(s: Column) -> Column:
+        begins = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i)["w"] != F.get(s, i - 1)["w"]))
+        end = lambda b, j: F.coalesce(F.get(b, j + 1), F.size(s))
+        entry = lambda b, i, j: F.struct(F.get(s, i)["w"].alias("w"), F.transform(F.slice(s, i + 1, end(b, j) - i), lambda x: x["p"]).alias("places"))
+        return let(begins, lambda b: F.map_from_entries(F.transform(b, lambda i, j: entry(b, i, j))))
+
+    placed = F.array_sort(F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("p"))))
+    return F.when(F.size(words) > 0, let(placed, runs))
+
+
 def inverted_abstract(index: Column) -> Column:
     """SRC-08: a map word -> places as text."""
     places = F.flatten(F.transform(F.map_entries(index), lambda e: F.transform(e.value, lambda p: F.struct(p.alias("p"), e.key.alias("w")))))
