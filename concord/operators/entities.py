@@ -30,7 +30,7 @@ def fuzzy_matches(a: DataFrame, b: DataFrame, least: float = 0.9) -> DataFrame:
     prep = lambda df: keyed(df).where("title_key IS NOT NULL").select("ord", "title_key")
     # equal titles are one row on either side, however many records have them
     once = lambda df: prep(df).groupBy("title_key").agg(F.min("ord").alias("id")).withColumnRenamed("title_key", "text")
-    pairs = similar_pairs(once(a), once(b), least)
+    pairs = similar_pairs(once(a), once(b), least, first=True)
     best = pairs.groupBy("b_id").agg(F.min("a_id").alias("a_ord"), F.min_by("ratio", "a_id").alias("ratio"))
     titles = once(b).join(best, F.col("id") == F.col("b_id")).select(F.col("text").alias("title_key"), "a_ord", "ratio")
     return prep(b).join(titles, "title_key").select("ord", "a_ord", "ratio")

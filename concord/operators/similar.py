@@ -1,25 +1,29 @@
-"""Exact similarity join of short strings by partitions (J-16).
+"""Exact similarity join of short strings by blocks of pairs (J-16).
 
 The ratio of two strings is 2 M / (la + lb) with M characters in common order,
-so at most D = ceil((1 - least) (la + lb)) - 1 insertions and deletions part two
-strings whose ratio is over `least`. The longer one is cut into one segment more
-than the largest D that its length allows; one of them then stands untouched in
-the shorter one, shifted by no more characters than there are segments before it
-and, seen from the end, behind it. Segments and the substrings of the other side
-meet by (segment, class of the length, region of the text), and inside that join
-
-* lengths and shifts are checked, and
-* two 128-bit signatures bound the edits: a deleted or inserted character
-  changes one (character, occurrence) and two bigrams at most.
-
-All of these lose no pair; what is left is compared exactly.
+so a ratio over `least` bounds the characters that only one of them has: `gone`
+and `new`. A string of `a` belongs to one class of lengths, a string of `b`
+visits each class that it can reach; both are dealt there into cells of bounded
+size, and each pair of cells is one group, so every pair of strings whose
+lengths allow the ratio meets exactly once. In a group
+
+* bitmaps bound the edits of all its pairs at once: a deleted character spoils
+  four 4-grams at most, an inserted one three, and what stays is shifted by no
+  more than `gone` back and `new` ahead, so longer strings are held block by
+  block against windows of the other,
+* the pairs that pass are bounded by the same 4-grams almost without collisions, and
+* what is left is compared exactly.
+
+None of these loses a pair. A string is shuffled once for each cell that it meets,
+not once for each of its substrings.
 """
 
 from __future__ import annotations
 
 import math
-import zlib
 from collections.abc import Callable, Iterator
+from functools import cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -28,83 +32,69 @@ from pyspark.sql import functions as F
 
 from concord.functions.text import RatioAbove
 
-STEP = 1.25  # lengths of one class lie within this factor
-REGION = (16, 4)  # a region has this many characters at least, and this part of its class's greatest length
+STEP = 1.15  # lengths of one class lie within this factor
+GRAM = 4
+BLOCKS = ((250, 1), (1000, 4), (math.inf, 8))  # strings below these lengths are held in so many blocks
+FILL = 6  # bits for each gram of a window
+SLOTS = 64  # for each gram of a window, in the second bound
+ROWS, CHARACTERS = 8192, 8 << 20  # of a cell
+CHUNK = 64  # strings of a cell that are held against all of the other at once
 TINY = 1e-9
 MIX = np.uint64(0x9E3779B97F4A7C15)
-SIDE = "id long, len int, c0 long, c1 long, g0 long, g1 long, key long"
-ROWS = 100_000  # of a batch that goes back to Spark
+KEY = ["cls", "x_cell", "y_cell"]
+PAIRS = "a_id long, b_id long, ratio double"
 
 
-def _signature(text: str) -> list[int]:
-    """Bits of the (character, occurrence) pairs and of the bigrams of a text, 128 of either, as four signed numbers."""
-    seen: dict[str, int] = {}
-    letters = set()
-    for c in text:
-        seen[c] = seen.get(c, 0) + 1
-        letters.add(f"{c}{seen[c]}")
-    out = []
-    for keys in (letters, {text[i : i + 2] for i in range(len(text) - 1)}):
-        bits = 0
-        for k in keys:
-            bits |= 1 << (zlib.crc32(k.encode()) & 127)
-        out += [x - (1 << 64) if x >> 63 else x for x in (bits & (1 << 64) - 1, bits >> 64)]
-    return out
-
+class Layout(NamedTuple):
+    """Of a class: least and greatest length, blocks, characters of a block, bits and slots of a block."""
 
-def _parts(n: int, least: float) -> int:
-    """Segments of a text of n characters: one more than the most edits between it and a text that is no longer."""
-    return max(1, math.ceil(2 * (1 - least) * n - TINY))
+    low: float
+    high: float
+    blocks: int
+    size: int
+    bits: int
+    slots: int
 
 
-def _class(n: int) -> int:
-    return int(math.log(n) / math.log(STEP) + TINY)
+@cache
+def _layout(cls: int, least: float) -> Layout:
+    low, high = STEP**cls * (1 - 1e-6), STEP ** (cls + 1) * (1 + 1e-6) + 1
+    blocks = next(k for below, k in BLOCKS if high < below)
+    size = math.ceil(high / blocks)
+    window = size + (2 * (1 - least) * high if blocks > 1 else 0)
+    return Layout(low, high, blocks, size, 64 * math.ceil(FILL * window / 64), 1 << math.ceil(SLOTS * window).bit_length())
 
 
-def _region_size(cls: int) -> int:
-    return max(REGION[0], int(STEP ** (cls + 1) / REGION[1]))
-
-
-def _keys(codes: np.ndarray, start: np.ndarray, width: np.ndarray | int, cls: int, region: np.ndarray) -> np.ndarray:
-    """A hash of each codes[start : start + width] with its class and region; equal hashes of others only make more candidates."""
-    out = np.full(len(start), np.uint64(cls), np.uint64) * MIX ^ region.astype(np.uint64)
-    for k in range(int(np.max(width, initial=0))):
-        inside = k < width
-        new = (out ^ codes[np.minimum(start + k, len(codes) - 1)]) * MIX
-        out = np.where(inside, new ^ new >> np.uint64(29), out)
-    return out.view(np.int64)
+def _grams(text: str, layout: Layout, least: float, windows: bool) -> list[np.ndarray]:
+    """Hashes of the (gram, occurrence) pairs of each block of a text, or of the window in which that block's grams can stand."""
+    codes = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.uint64)
+    n = len(codes)
+    grams = np.zeros(max(n - GRAM + 1, 0), np.uint64)
+    for k in range(GRAM):
+        grams = (grams ^ codes[k : k + len(grams)]) * MIX
+        grams ^= grams >> np.uint64(29)
+    back = ahead = 0
+    if windows:
+        back, ahead = (max(0, math.floor(x) + 1) for x in (layout.high - least * (layout.high + n) / 2, n - least * (layout.low + n) / 2))
+    out = []
+    for k in range(layout.blocks):
+        own = np.sort(grams[max(0, k * layout.size - back) : (k + 1) * layout.size + ahead if k < layout.blocks - 1 else None])
+        begins = np.flatnonzero(np.concatenate([np.ones(min(len(own), 1), bool), own[1:] != own[:-1]]))
+        nth = np.arange(len(own)) - np.repeat(begins, np.diff(begins, append=len(own)))
+        mixed = (own + nth.astype(np.uint64)) * MIX
+        out.append(mixed ^ mixed >> np.uint64(32))
+    return out
 
 
-def _segments(codes: np.ndarray, least: float) -> list[np.ndarray]:
-    """The longer side: key, how many segments, which, its place."""
-    n = len(codes)
-    m, cls = _parts(n, least), _class(n)
-    j = np.arange(m)
-    at = j * n // m
-    return [_keys(codes, at, (j + 1) * n // m - at, cls, at // _region_size(cls)), np.full(m, m, np.int32), j.astype(np.int32), at.astype(np.int32)]
+def _bitmap(text: str, layout: Layout, least: float, windows: bool) -> bytes:
+    out = np.zeros((layout.blocks, layout.bits), bool)
+    for row, own in zip(out, _grams(text, layout, least, windows), strict=True):
+        row[own % np.uint64(layout.bits)] = True
+    return np.packbits(out).tobytes()
 
 
-def _substrings(codes: np.ndarray, least: float) -> list[np.ndarray]:
-    """The shorter side: key and place of all substrings as long as a segment of a longer text can be, for each region where that segment can lie."""
-    n = len(codes)
-    longest = int(n * (2 - least) / least + TINY)
-    widths = {w for k in range(n, longest + 1) for w in (k // _parts(k, least), -(-k // _parts(k, least))) if w <= n}
-    # |p - at| <= j <= (at + 1) / w for a least width w of segments, and the same from the end with the difference of the lengths
-    w, wider = n / (2 * (1 - least) * n + 1), longest - n
-    keys, places = [], []
-    for cls in range(_class(n), _class(longest) + 1):
-        size = _region_size(cls)
-        for width in sorted(widths):
-            p = np.arange(n - width + 1)
-            low = np.maximum(0, np.ceil((p * w - 1) / (w + 1)).astype(np.int64)) // size
-            ahead = (p * w + 1) / (w - 1) if w > 1 else np.full(len(p), longest)
-            behind = p + wider + (n - width - p + wider + 1) / w
-            many = np.maximum(np.floor(np.minimum(ahead, behind) + TINY).astype(np.int64) // size - low, 0) + 1
-            at = np.repeat(p, many)
-            region = np.repeat(low - np.cumsum(many) + many, many) + np.arange(len(at))
-            keys.append(_keys(codes, at, width, cls, region))
-            places.append(at.astype(np.int32))
-    return [np.concatenate(keys), np.concatenate(places)]
+def _slots(text: str, layout: Layout, least: float, windows: bool) -> np.ndarray:
+    return np.concatenate([(own >> np.uint64(20)) % np.uint64(layout.slots) + np.uint64(k * layout.slots) for k, own in enumerate(_grams(text, layout, least, windows))]).astype(np.int32)
 
 
 def _dealt(rows: DataFrame, *by: Column | str) -> DataFrame:
@@ -112,76 +102,92 @@ def _dealt(rows: DataFrame, *by: Column | str) -> DataFrame:
     return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
 
 
-def _side(texts: DataFrame, least: float, rows_of: Callable[[np.ndarray, float], list[np.ndarray]], own: str) -> DataFrame:
-    names = [x.split()[0] for x in f"{SIDE}, {own}".split(", ")]
+def _class(n: Column, more: float = TINY) -> Column:
+    return F.greatest(F.floor(F.log(n) / math.log(STEP) + more), F.lit(0)).cast("int")
+
+
+def _with_bitmaps(texts: DataFrame, least: float, windows: bool) -> DataFrame:
+    """texts: id, text, cls, cell (its own), others (how many it meets)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[np.ndarray]] = []
-        size = 0
         for batch in batches:
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                rows = rows_of(np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.uint64), least)
-                n = len(rows[0])
-                head = [np.full(n, x, np.int64) for x in (key, *_signature(text))]
-                held.append([head[0], np.full(n, len(text), np.int32), *head[1:], *rows])
-                size += n
-                if size >= ROWS:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held, strict=True)], names)
-                    held, size = [], 0
-        if held:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held, strict=True)], names)
-
-    return _dealt(texts.select("id", "text"), "id").mapInArrow(run, f"{SIDE}, {own}")
-
-
-def edits(la: Column, lb: Column, least: float) -> Column:
-    """The most insertions and deletions between strings of these lengths whose ratio is over `least`."""
-    return F.ceil((1 - least) * (la + lb) - TINY).cast("int") - 1
-
-
-def _candidates(long: DataFrame, short: DataFrame, least: float, strictly: bool) -> DataFrame:
-    """long_id, short_id of the pairs that pass all bounds; `strictly`: only where the first is longer."""
-    x = _side(long, least, _segments, "m int, j int, at int")
-    y = _side(short, least, _substrings, "p int")
-    own = ["id", "len", "c0", "c1", "g0", "g1"]
-    x = x.withColumnsRenamed({c: f"x_{c}" for c in own})
-    y = y.withColumnsRenamed({c: f"y_{c}" for c in own})
-    la, lb, shift = F.col("x_len"), F.col("y_len"), F.col("p") - F.col("at")
-    d = edits(la, lb, least)
-    gone = F.floor((d + la - lb) / 2)
-    new = F.floor((d + lb - la) / 2)
-    lost = lambda a, b, s: sum(F.bit_count(F.col(f"{a}_{s}{i}").bitwiseAND(F.bitwise_not(F.col(f"{b}_{s}{i}")))) for i in (0, 1))
-    near = (
-        (la > lb if strictly else la >= lb)
-        & (new >= 0)
-        & (F.abs(shift) <= F.col("j"))
-        & (F.abs(shift + la - lb) <= F.col("m") - 1 - F.col("j"))
-        & (lost("x", "y", "c") <= gone)
-        & (lost("y", "x", "c") <= new)
-        & (lost("x", "y", "g") <= 2 * gone + new)
-        & (lost("y", "x", "g") <= 2 * new + gone)
-    )
-    return x.join(y, "key").where(near).select(F.col("x_id").alias("long_id"), F.col("y_id").alias("short_id")).distinct()
-
-
-def similar_pairs(a: DataFrame, b: DataFrame, least: float = 0.9) -> DataFrame:
+            made = [_bitmap(text, _layout(cls, least), least, windows) for text, cls in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.binary())], [*batch.schema.names, "bits"])
+
+    return _dealt(texts, "id", "cls").mapInArrow(run, "id long, text string, cls int, cell int, others int, bits binary")
+
+
+def _words(rows: pa.Table) -> np.ndarray:
+    return np.frombuffer(b"".join(rows["bits"].to_pylist()), np.uint64).reshape(len(rows), -1)
+
+
+def _meet(least: float, first: bool) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """The pairs of two cells; `first`: of each string of the second only the one with the smallest id of the first."""
+
+    def found(a: pa.Table, b: pa.Table) -> Iterator[tuple[int, int, float]]:
+        layout, ratio = _layout(a["cls"][0].as_py(), least), RatioAbove(least)
+        a = a.sort_by("id")
+        x, missing, n, m = np.ascontiguousarray(_words(a).T), np.ascontiguousarray(~_words(b).T), a["n"].to_numpy(), b["n"].to_numpy()
+        own = [_slots(t, layout, least, False) for t in a["text"].to_pylist()]
+        end = layout.blocks * layout.slots  # stands for what is beyond a text's last gram, and is in every table
+        slots = np.full((len(a), max(map(len, own))), end, np.int32)
+        for row, s in zip(slots, own, strict=True):
+            row[: len(s)] = s
+        table = np.zeros(end + 1, bool)
+        table[end] = True
+        for at in range(0, len(b), CHUNK):
+            common = np.ceil(least / 2 * (n + m[at : at + CHUNK, None]) - TINY).astype(np.int32)
+            gone, new = n - common, m[at : at + CHUNK, None] - common
+            limit = np.where((gone >= 0) & (new >= 0), GRAM * gone + (GRAM - 1) * new, -1)
+            lost, both, count = (np.zeros(limit.shape, t) for t in (np.int32, np.uint64, np.uint8))
+            for k in range(len(x)):
+                lost += np.bitwise_count(np.bitwise_and(x[k], missing[k, at : at + CHUNK, None], out=both), out=count)
+            for j, near in enumerate(lost <= limit):
+                ids = np.flatnonzero(near)
+                if len(ids):
+                    text = b["text"][at + j].as_py()
+                    held = _slots(text, layout, least, True)
+                    table[held] = True
+                    ids = ids[slots.shape[1] - np.count_nonzero(table.take(slots[ids]), axis=1) <= limit[j, ids]]
+                    table[held] = False
+                for i in ids.tolist():
+                    r = ratio(a["text"][i].as_py(), text)
+                    if r > least:
+                        yield a["id"][i].as_py(), b["id"][at + j].as_py(), r
+                        if first:
+                            break
+
+    def run(a: pa.Table, b: pa.Table) -> pa.Table:
+        out = list(found(a, b)) if len(a) and len(b) else []
+        return pa.table([pa.array([o[i] for o in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], ["a_id", "b_id", "ratio"])
+
+    return run
+
+
+def _sides(a: DataFrame, b: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
+    """The strings of either side by the KEY of each group that they take part in."""
+    n, factor = F.length("text"), (2 - least) / least
+    x, y = (df.where("text <> ''").select("id", "text") for df in (a, b))
+    x = x.withColumn("cls", _class(n))
+    y = y.withColumn("cls", F.explode(F.sequence(_class(n / factor, -TINY), _class(n * factor))))
+    cells = lambda df, to: df.groupBy("cls").agg(F.ceil(F.greatest(F.count("*") / ROWS, F.sum(n) / CHARACTERS)).cast("int").alias(to))
+    many = F.broadcast(cells(x, "x_cells").join(cells(y, "y_cells"), "cls"))  # a row for each class: the logarithm of the greatest length
+
+    def side(df: DataFrame, own: str, other: str, windows: bool) -> DataFrame:
+        cell = F.pmod(F.xxhash64("id"), F.col(f"{own}_cells")).cast("int").alias("cell")
+        made = _with_bitmaps(df.join(many, "cls").select("id", "text", "cls", cell, F.col(f"{other}_cells").alias("others")), least, windows)
+        met = made.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("others") - 1)))
+        return met.withColumnsRenamed({"cell": f"{own}_cell", "other": f"{other}_cell"}).select(*KEY, "id", n.alias("n"), "text", "bits")
+
+    return side(x, "x", "y", False), side(y, "y", "x", True)
+
+
+def similar_pairs(a: DataFrame, b: DataFrame, least: float = 0.9, first: bool = False) -> DataFrame:
     """a_id, b_id, ratio of all pairs of texts with a ratio over `least` (0.5 at least); both sides have id and text, an id and a text once.
 
-    Null and empty texts take no part.
+    Null and empty texts take no part. With `first` some pairs may be left out, but of each b_id never the one with the smallest a_id.
     """
     if not 0.5 <= least < 1:
         raise ValueError("least must be from 0.5 to below 1")
-    x, y = (df.where("text <> ''").select("id", "text") for df in (a, b))
-    pairs = _candidates(x, y, least, False).toDF("a_id", "b_id").union(_candidates(y, x, least, True).select("short_id", "long_id"))
-    pairs = pairs.join(x.toDF("a_id", "a_text"), "a_id").join(y.toDF("b_id", "b_text"), "b_id")
-    pairs = _dealt(pairs.select("a_id", "b_id", "a_text", "b_text"), "a_id", F.pmod("b_id", F.lit(16))).sortWithinPartitions("a_id")
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ratio = RatioAbove(least)
-        for batch in batches:
-            found = np.array([ratio(s, t) for s, t in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)], np.float64)
-            keep = pa.array(found > least)
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep), pa.array(found).filter(keep)], ["a_id", "b_id", "ratio"])
-
-    # not a column function: as a predicate it would be moved to before the pairs are dealt
-    return pairs.mapInArrow(compare, "a_id long, b_id long, ratio double")
+    x, y = (_dealt(df, *KEY).groupBy(*KEY) for df in _sides(a, b, least))
+    return x.cogroup(y).applyInArrow(_meet(least, first), PAIRS)

@@ -99,3 +99,36 @@ def test_two_sources_end_in_one_record_each(spark):
     unique, matched = E.deduplicate(a, b, ["doi", "pmid", "abstract"])
     assert {(r.title, r.abstract) for r in unique.collect()} == {("Autonomous suturing with the STAR robot", "from b"), ("Surgical automation: a review", "kept"), ("Learning from demonstration in the operating room", "found by title"), ("A new record", "new")}
     assert sorted((r.ord, r.a_ord) for r in matched.collect()) == [(0, 0), (1, 1), (2, 2)]
+
+
+def test_long_strings_are_few_rows_and_lose_no_pair(spark):
+    """A string is one row for each class of lengths that it can reach, not one for each of its substrings; moved and changed long strings are found."""
+    from concord.operators.similar import _sides
+
+    r = random.Random(5)
+    letters = "".join(map(chr, range(0x4E00, 0x4E00 + 2000)))  # so many that none is junk to difflib
+    a = [(i, "".join(r.choices(letters, k=r.choice([150, 400, 900, 1700])))) for i in range(30)]
+    b = [(100 + i, edited(r, x, len(x) // r.choice([12, 25, 200]), letters)) for i, x in a] + [(200 + i, x[len(x) // 12 :] + "".join(r.choices(letters, k=9))) for i, x in a[:15]]
+    want = everything(a, b, 0.9)
+    assert 30 < len(want) < 46
+    assert joined(spark, a, b, 0.9) == pytest.approx(want)
+    frame = lambda rows: spark.createDataFrame(rows, "id long, text string")
+    x, y = _sides(frame(a), frame(b), 0.9)
+    assert x.count() <= len(a) and y.count() <= 5 * len(b)
+
+
+def test_cells_lose_no_pair(spark, monkeypatch):
+    """More strings than a cell holds; of each b the smallest a is there with `first`."""
+    from concord.operators import similar
+
+    monkeypatch.setattr(similar, "ROWS", 7)
+    r = random.Random(6)
+    base = ["".join(r.choices("abcdefgh ", k=60)) for _ in range(4)]
+    a = [(i, x) for x, i in {edited(r, r.choice(base), 3, "xyz"): i for i in range(60)}.items()]
+    b = [(100 + i, x) for x, i in {edited(r, r.choice(base), 3, "xyz"): i for i in range(60)}.items()]
+    want = everything(a, b, 0.9)
+    assert len(want) > 100 and joined(spark, a, b, 0.9) == pytest.approx(want)
+    frame = lambda rows: spark.createDataFrame(rows, "id long, text string")
+    got = similar.similar_pairs(frame(a), frame(b), 0.9, first=True).collect()
+    least = lambda pairs: {j: min(i for i, k in pairs if k == j) for j in {j for _, j in pairs}}
+    assert least([(x.a_id, x.b_id) for x in got]) == least(want)
