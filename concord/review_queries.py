@@ -356,10 +356,10 @@ def papers_by_status(papers):
     return R.counts(readers.by_status(papers, "PARSED", "EXTRACTED", "REJECTED"), "status")
 
 
-@query("papers", sql="SELECT p.id, 'EE-' || lpad((p.id % 1200)::VARCHAR, 3, '0') || '_Smith_2020.pdf' AS file, q.title FROM papers p LEFT JOIN papers q ON q.id = p.id % 1200")
+@query("papers", sql="SELECT p.id, 'EE-' || lpad((p.id % 1200)::VARCHAR, greatest(3, length((p.id % 1200)::VARCHAR))::INTEGER, '0') || '_Smith_2020.pdf' AS file, q.title FROM papers p LEFT JOIN papers q ON q.id = p.id % 1200")
 def files_of_papers(papers):
     """J-25."""
-    files = papers.select(F.col("id").alias("no"), F.concat(F.lit("EE-"), F.lpad((F.col("id") % 1200).cast("string"), 3, "0"), F.lit("_Smith_2020.pdf")).alias("path"))
+    files = papers.select(F.col("id").alias("no"), F.format_string("EE-%03d_Smith_2020.pdf", F.col("id") % 1200).alias("path"))
     return readers.file_papers(files, papers.select("id", "title")).select(F.col("no").alias("id"), F.col("path").alias("file"), "title")
 
 
