@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from concord.operators.scan import place
 
+TASK_ROWS = 1 << 18
+
 
 def latest(df: DataFrame, keys: list[str], order: list[str | Column]) -> DataFrame:
     """J-03..J-05: the last row of each key by `order`, in one aggregation without a self-join."""
@@ -29,9 +31,16 @@ def pending(papers: DataFrame, done: DataFrame, key: str = "id", other: str = "p
     return papers.join(done.select(F.col(other).alias(key)).distinct(), key, "left_anti")
 
 
+def dealt(rows: DataFrame, key: str) -> DataFrame:
+    """Rows by a key over so many tasks that one has about TASK_ROWS, however large the table is; later steps by this key need no other shuffle."""
+    tasks = -(-rows.select(key).count() // TASK_ROWS)
+    return rows.repartition(max(tasks, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))), key)
+
+
 def orphans(spans: DataFrame, extractions: DataFrame) -> DataFrame:
     """J-07: spans of extractions that are not the latest of their paper."""
-    return spans.join(latest(extractions, ["paper_id"], ["id"]).select(F.col("id").alias("extraction_id")), "extraction_id", "left_anti")
+    heads = extractions.groupBy("paper_id").agg(F.max("id").alias("extraction_id")).select("extraction_id")
+    return dealt(spans, "extraction_id").join(heads, "extraction_id", "left_anti")
 
 
 def childless(heads: DataFrame, children: DataFrame, key: str = "extraction_id") -> DataFrame:
