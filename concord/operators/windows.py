@@ -9,6 +9,7 @@ character. Rows stand alone: nothing is shuffled.
 from __future__ import annotations
 
 import os
+import re
 from bisect import bisect_left
 from collections.abc import Iterator
 
@@ -27,20 +28,34 @@ CHARACTERS = 4  # of a token, for seeking
 CELL = 32_767  # characters of a spreadsheet cell
 NEEDLES = (200, 80)  # characters of a span that are looked for
 
+PIECE = 256  # characters that are tokenised at once, at least
+SAFE = re.compile(r"(?<=[A-Za-z0-9]) (?=[A-Za-z0-9])")
+
 _state: dict[str, object] = {}
 
 
 class Tokens:
-    """A text's tokens as places in it."""
+    """A text's tokens as places in it; with `enough` only so many first ones, and some more, as a longer text has.
+
+    The text is tokenised in pieces that begin with a space between two ASCII letters or digits: byte-level
+    BPE splits there whatever stands on either side, so pieces and the whole have the same tokens.
+    """
 
-    def __init__(self, vocabulary: str, text: str):
+    def __init__(self, vocabulary: str, text: str, enough: int | None = None):
         if vocabulary not in _state:
             os.environ["TOKENIZERS_PARALLELISM"] = "false"
             from tokenizers import Tokenizer
 
             _state[vocabulary] = Tokenizer.from_file(vocabulary)
-        offsets = _state[vocabulary].encode(text, add_special_tokens=False).offsets
-        self.text, self.starts, self.ends = text, [a for a, _ in offsets], [b for _, b in offsets]
+        self.text, self.starts, self.ends = text, [], []
+        at, step = 0, len(text) if enough is None else max(PIECE, CHARACTERS * enough)
+        while at < len(text) and (enough is None or len(self.starts) <= enough):
+            cut = SAFE.search(text, at + step) if at + step < len(text) else None
+            end = cut.start() if cut else len(text)
+            offsets = _state[vocabulary].encode(text[at:end], add_special_tokens=False).offsets
+            self.starts += [at + a for a, _ in offsets]
+            self.ends += [at + b for _, b in offsets]
+            at = end
 
     def __len__(self) -> int:
         return len(self.starts)
@@ -77,9 +92,9 @@ def union(intervals: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def source_window(text: str, spans: list[str | None], vocabulary: str, budget: int = BUDGET, radius: int = RADIUS) -> tuple[str, bool, int]:
+def source_window(text: str, spans: list[str | None], vocabulary: str, budget: int = BUDGET, radius: int = RADIUS, tokens: Tokens | None = None) -> tuple[str, bool, int]:
     """X-14: (text to show, whether it is a window, its tokens): the paragraphs around the spans, joined by gaps and cut at the budget."""
-    tokens = Tokens(vocabulary, text)
+    tokens = tokens or Tokens(vocabulary, text, budget)
     if len(tokens) <= budget:
         return text, False, len(tokens)
     around = []
@@ -93,20 +108,21 @@ def source_window(text: str, spans: list[str | None], vocabulary: str, budget: i
             around.append((paragraph_start(text, at - reach), paragraph_end(text, min(len(text), at + len(needle) + reach))))
     if not around:
         return tokens.cut(0, budget), True, budget
-    shown = Tokens(vocabulary, GAP.join(text[a:b] for a, b in union(around)))
+    shown = Tokens(vocabulary, GAP.join(text[a:b] for a, b in union(around)), budget)
     return (shown.text if len(shown) <= budget else shown.cut(0, budget)), True, min(len(shown), budget)
 
 
-def token_window(text: str, place: int, vocabulary: str, radius: int) -> str:
+def token_window(text: str, place: int, vocabulary: str, radius: int, tokens: Tokens | None = None) -> str:
     """H-08: `radius` tokens on either side of the token at a place."""
-    tokens = Tokens(vocabulary, text)
+    tokens = tokens or Tokens(vocabulary, text)
     centre = tokens.before(place)
     return tokens.cut(centre - radius, centre + radius + 1)
 
 
-def head_window(text: str, vocabulary: str, characters: int) -> str:
+def head_window(text: str, vocabulary: str, characters: int, tokens: Tokens | None = None) -> str:
     """H-08: the first tokens, one for each four characters allowed, and no more characters than that."""
-    return Tokens(vocabulary, text).cut(0, max(1, characters // CHARACTERS))[:characters]
+    most = max(1, characters // CHARACTERS)
+    return (tokens or Tokens(vocabulary, text, most)).cut(0, most)[:characters]
 
 
 def with_source_windows(rows: DataFrame, vocabulary: str, budget: int = BUDGET, radius: int = RADIUS) -> DataFrame:
@@ -137,17 +153,18 @@ def with_audit_windows(rows: DataFrame, vocabulary: str, budget: int = BUDGET, r
     marked = rows.withColumn("_absent", F.coalesce(is_absence_claim(F.col("value")), F.lit(True))).withColumn("_at", F.coalesce(locate_span(F.col("source_text"), F.col("span")), F.lit(-1)))
 
     def one(text: str, spans: list[str | None], absent: bool, at: int) -> tuple[str, str]:
-        shown, windowed, _ = source_window(text, spans, vocabulary, budget, radii[0])
+        tokens = Tokens(vocabulary, text, budget)  # all of them, unless the text is shown in part
+        shown, windowed, _ = source_window(text, spans, vocabulary, budget, radii[0], tokens)
         if windowed:
             return "pass2_window", shown
         if len(text) <= cell:
             return "full_text", text
         if absent:
-            return "absence_fallback_head", head_window(text, vocabulary, cell)
+            return "absence_fallback_head", head_window(text, vocabulary, cell, tokens)
         if at >= 0:
-            tries = (token_window(text, at, vocabulary, r) for r in radii)
-            return "arm_span_window", next((w for w in tries if len(w) <= cell), token_window(text, at, vocabulary, radii[-1])[:cell])
-        return "missing_span_fallback_head", head_window(text, vocabulary, cell)
+            tries = (token_window(text, at, vocabulary, r, tokens) for r in radii)
+            return "arm_span_window", next((w for w in tries if len(w) <= cell), token_window(text, at, vocabulary, radii[-1], tokens)[:cell])
+        return "missing_span_fallback_head", head_window(text, vocabulary, cell, tokens)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -125,6 +125,18 @@ def test_audit_strategies(spark):
     assert got[5].window == W.source_window(text * 3, [span], VOCABULARY, count(text) + 10, 30)[0] and span[:20] in got[5].window
 
 
+def test_first_tokens_of_a_long_text_without_the_rest():
+    """Pieces have the tokens of the whole, and a budget does not tokenise a text to its end."""
+    odd = "don't stop  a\n\nb é à 日本 x y  z 12 a1 b2 <|endoftext|> tail's end \t q " * 40
+    for text in (long_text(2, 900), odd, odd.replace(" ", ""), "", "a", "a b"):
+        offsets = LIBRARY.encode(text, add_special_tokens=False).offsets
+        for enough in (0, 1, 50, 400, 10**6):
+            tokens = W.Tokens(VOCABULARY, text, enough)
+            got = list(zip(tokens.starts, tokens.ends, strict=True))
+            assert got == offsets[: len(got)] and (len(got) > enough or len(got) == len(offsets))
+    assert len(W.Tokens(VOCABULARY, long_text(2, 900) * 20, 50)) < 1000
+
+
 @pytest.mark.parametrize("at", [0, 1, 3, 4, 5, 8, 13, 14, 30, 99])
 def test_paragraphs_snap_on_both_sides(spark, at):
     for text in ("one\n\ntwo three\nfour\n\n\nfive", "one\ntwo\nthree", "no break at all", "", "\n\nx"):
