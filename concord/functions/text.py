@@ -3,12 +3,9 @@
 from __future__ import annotations
 
 import difflib
-import math
 import unicodedata
 from collections.abc import Callable
-from functools import lru_cache
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -230,33 +227,6 @@ def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
-GRAMS = (2, 3, 4, 5)
-BINS = 4096
-
-
-def _grams(x: str) -> list[np.ndarray]:
-    """How often the grams of each length occur, by a hash of BINS values; grams that share one only loosen the bound."""
-    codes, h, out = np.frombuffer(x.encode("utf-32-le"), np.uint32), np.zeros(len(x), np.uint32), []
-    for q in range(1, GRAMS[-1] + 1):
-        h = (h[: len(x) - q + 1] * np.uint32(0x9E3779B1)) ^ codes[q - 1 :]
-        if q in GRAMS:
-            out.append(np.bincount((h * np.uint32(0x85EBCA6B)) >> np.uint32(20), minlength=BINS).astype(np.uint16 if len(x) < 60_000 else np.int64))
-    return out
-
-
-def can_reach(x: str, y: str, least: float, grams: Callable[[str], list[np.ndarray]] = _grams) -> bool:
-    """Whether the ratio can be over `least`, by the grams in common: a character that only x has spoils q grams of x at most, one that only y has q - 1."""
-    d = math.ceil((1 - least) * (len(x) + len(y)) - 1e-9) - 1
-    gone, new = (d + len(x) - len(y)) // 2, (d + len(y) - len(x)) // 2
-    if gone < 0 or new < 0:
-        return False
-    for i, q in enumerate(GRAMS):
-        need = len(x) - q + 1 - q * gone - (q - 1) * new
-        if need > 0 and np.minimum(grams(x)[i], grams(y)[i]).sum() < need:
-            return False
-    return True
-
-
 def common_length(x: str, y: str, masks: dict[str, int] | None = None) -> int:
     """Length of the longest common subsequence, all of x at once in the bits of a number; no ratio can have more characters in common."""
     if masks is None:
@@ -276,20 +246,6 @@ def places(x: str) -> dict[str, int]:
     return out
 
 
-class RatioAbove:
-    """X-02 with a bound: the ratio, or 0 where an upper bound of it is not over `least`; what it knows of a text serves the next pairs too."""
-
-    def __init__(self, least: float):
-        self.least = least
-        self.grams, self.masks = lru_cache(256)(_grams), lru_cache(256)(places)
-
-    def __call__(self, x: str, y: str) -> float:
-        both = self.least * (len(x) + len(y))
-        if 2 * min(len(x), len(y)) <= both or not can_reach(x, y, self.least, self.grams) or 2 * common_length(x, y, self.masks(x)) <= both:
-            return 0.0
-        return difflib.SequenceMatcher(None, x, y).ratio()
-
-
 @F.pandas_udf(T.StringType())
 def _nfkc(v: pd.Series) -> pd.Series:
     return v.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))

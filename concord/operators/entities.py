@@ -27,7 +27,7 @@ def exact_matches(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def fuzzy_matches(a: DataFrame, b: DataFrame, least: float = 0.9) -> DataFrame:
     """C-01 / J-16, fuzzy phase: ord and a_ord of all titles with a ratio over `least`; the smallest ordinal of a wins. See `similar`: no pair is lost."""
-    prep = lambda df: keyed(df).where("title_key IS NOT NULL").select("ord", "title_key")
+    prep = lambda df: keyed(df).where("title_key <> ''").select("ord", "title_key")
     # equal titles are one row on either side, however many records have them
     once = lambda df: prep(df).groupBy("title_key").agg(F.min("ord").alias("id")).withColumnRenamed("title_key", "text")
     pairs = similar_pairs(once(a), once(b), least, first=True)

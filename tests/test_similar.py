@@ -3,6 +3,7 @@
 import difflib
 import random
 
+import pyarrow as pa
 import pytest
 
 from concord.operators import entities as E
@@ -132,3 +133,41 @@ def test_cells_lose_no_pair(spark, monkeypatch):
     got = similar.similar_pairs(frame(a), frame(b), 0.9, first=True).collect()
     least = lambda pairs: {j: min(i for i, k in pairs if k == j) for j in {j for _, j in pairs}}
     assert least([(x.a_id, x.b_id) for x in got]) == least(want)
+
+
+def test_few_pairs_are_compared_whole(spark, monkeypatch):
+    """Of long titles of the same syllables, letters, grams and a first part of the text leave only those that are alike; bitmaps are not shuffled."""
+    from concord.operators import similar
+
+    r = random.Random(7)
+    syllables = ["".join(r.choices("etaoinshrdlu", k=r.randrange(2, 5))) + r.choice(["", " "]) for _ in range(60)]
+    text = lambda n: "".join(r.choices(syllables, k=n // 3))[:n]
+    a = [(i, text(r.randrange(700, 900))) for i in range(150)]
+    b = [(1000 + i, text(r.randrange(700, 900))) for i in range(150)] + [(2000 + i, edited(r, x, 25, "etaoin")) for i, x in a[:10]]
+    table = lambda rows: pa.table({"cls": pa.array([47] * len(rows), pa.int32()), "id": pa.array([i for i, _ in rows], pa.int64()), "text": [x for _, x in rows]})
+    whole = []
+    monkeypatch.setattr(similar, "_alike", lambda x, ids, y, least, part, f=similar._alike: (whole.extend(ids.tolist()) if part == 1 else None, f(x, ids, y, least, part))[1])
+    similar._meet(0.9, False)(table(a), table(b))
+    assert 10 <= len(whole) < 30
+    frame = spark.createDataFrame(a[:3], "id long, text string")
+    assert [set(df.columns) for df in similar._sides(frame, frame, 0.9)] == [{*similar.KEY, "id", "text"}] * 2
+
+
+@pytest.mark.parametrize("letters", ["ab", "etaoinshrdlu xqz", "abcdefghij klmnopé日" * 2])
+def test_ratio_is_that_of_difflib(letters):
+    """Also of strings of 200 characters and more, where popular characters begin no match; 0 where matches are too few."""
+    from concord.operators.similar import Matcher
+
+    r = random.Random(8)
+    for n in [0, 1, 5, 40, 199, 200, 201, 450, 700] * 3:
+        x = "".join(r.choices(letters, k=n))
+        y = edited(r, x, r.randrange(0, n // 6 + 2), letters)
+        m = Matcher()
+        m.set_seq2(y)
+        for z in (x, y, x[n // 2 :] + x[: n // 2], ""):
+            m.set_seq1(z)
+            want = difflib.SequenceMatcher(None, z, y)
+            if z or y:
+                common = sum(k for *_, k in want.get_matching_blocks())
+                assert m.get_matching_blocks() == want.get_matching_blocks()
+                assert m.ratio_from(common) == want.ratio() and m.ratio_from(common + 1) == 0
